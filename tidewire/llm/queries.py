@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import new_folder
 from tidewire.llm.decontaminate import find_contamination
+from tidewire.llm.jaccard_join import jaccard_groups
+from tidewire.llm.kneser_ney import classify
 from tidewire.llm.mixing import mix
 from tidewire.llm.secret_scan import scan_secrets
 from tidewire.llm.url_filter import judge_urls
@@ -34,6 +36,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("node")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
+
+
 BASE_KINDS = ("assign", "access", "hex")
 
 
@@ -74,6 +84,8 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_decontamination": op3_decontamination,
+    "op4_jaccard": op4_jaccard,
+    "op5_quality": op5_quality,
     "op7_secrets": op7_secrets,
     "op9_urls": op9_urls,
     "op10_webp": op10_webp,
