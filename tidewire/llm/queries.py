@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.llm.chunk_dedup import dedup_substrings
 from tidewire.llm.common import new_folder
 from tidewire.llm.decontaminate import find_contamination
 from tidewire.llm.jaccard_join import jaccard_groups
@@ -23,6 +24,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "part_words")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -83,6 +88,7 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_substrings": op2_substrings,
     "op3_decontamination": op3_decontamination,
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
