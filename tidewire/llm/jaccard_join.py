@@ -108,6 +108,15 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, runs: int) -> Da
     return map_texts(ids, "_text", ["_id"], fields, make)
 
 
+def with_nodes(docs: DataFrame, keep: list[str], text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+    """The columns ``keep`` and ``node``, the digest of each document's shingle set; null without words."""
+
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
+        return lambda texts: [pa.array([x for value, offsets in shingle_sets(texts, n) for x in _digests(value, offsets)], pa.binary())]
+
+    return map_texts(docs, text_col, keep, [T.StructField("node", T.BinaryType())], make)
+
+
 def _token(run: Column, place: Column) -> Column:
     """The sampled shingle of a run at a place, as 8 bytes."""
     return F.substring(F.col("paths"), (run * sum(BRANCHES) + place) * 8 + 1, F.lit(8))

@@ -12,6 +12,7 @@ from tidewire.llm.jaccard_join import jaccard_groups
 from tidewire.llm.kneser_ney import classify
 from tidewire.llm.mixing import mix
 from tidewire.llm.secret_scan import scan_secrets
+from tidewire.llm.sharding import shard
 from tidewire.llm.url_filter import judge_urls
 from tidewire.llm.webp import decode_media, encode_media
 
@@ -49,6 +50,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
+    stored = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return rows.select("doc_id", "lang", "source", "n_chars", stored.alias("text_sha256"), F.col("shard").isNotNull().alias("sharded"))
+
+
 BASE_KINDS = ("assign", "access", "hex")
 
 
@@ -92,6 +99,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
+    "op6_shards": op6_shards,
     "op7_secrets": op7_secrets,
     "op9_urls": op9_urls,
     "op10_webp": op10_webp,
@@ -141,6 +149,9 @@ ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
+""",
+    "op6_shards": """
+SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256, true AS sharded FROM documents
 """,
     "op9_urls": r"""
 WITH parts AS (
