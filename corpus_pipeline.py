@@ -1,8 +1,81 @@
-"""Stages of a training-data pipeline, applied to documents one after another."""
+"""A training-data pipeline: quality, near duplicates, contamination, mixing, shards.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and
+returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewire.llm.common import new_folder
+from tidewire.llm.decontaminate import find_contamination
+from tidewire.llm.jaccard_join import jaccard_groups, with_nodes
+from tidewire.llm.kneser_ney import classify
+from tidewire.llm.mixing import mix, word_count
+from tidewire.llm.sharding import shard
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(docs, labels, keep=COLUMNS).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that links of 0.8 or more join: that with the least id.
+
+    Documents without words link to nothing and stay; rows that repeat both id and words count as one.
+    """
+    key = F.concat_ws(":", F.hex("node"), F.col("doc_id").cast("string"))
+    groups = jaccard_groups(docs)
+    stays = groups.where("node is null or doc_id <=> class_id").groupBy("class_id", "node").agg(F.min("doc_id").alias("doc_id"))
+    stays = stays.groupBy("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).alias("_own")).agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"))
+    keyed = with_nodes(docs, COLUMNS).withColumn("_key", key)
+    kept = keyed.join(stays.select(key.alias("_key")).distinct(), "_key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
+    return kept.withColumn("_nth", first).where("_nth = 1").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which benchmark passages cover a twentieth of the words or more."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
+    return found.where("not contaminated").select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; half a repetition or more counts as one."""
+    taken = mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), (F.col("copies") + (F.col("part_words") * 2 > F.col("size")).cast("long")).alias("_times"))
+    taken = taken.where("_times > 0").groupBy("_id", "_size").agg(F.max("_times").alias("_times"))
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("_size")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stores what is left in shards, and returns it as read back, with each row's shard."""
+    return shard(docs, new_folder(spark, "shards"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mixture),
+    ("sharding", shards),
+]
+
+#: The classifier and the joins' samples are not expressible in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows after all stages, each stage written as Parquet in the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = new_folder(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
