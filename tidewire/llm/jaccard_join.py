@@ -310,7 +310,7 @@ def jaccard_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row for each document: its id, ``node`` (digest of its shingle set), ``class_id`` (the least id
+    """One row for each document: its id, ``node`` (digest of its shingle set), ``class_node`` (the least digest of its class), ``class_id`` (the least id
     of all documents that links join with it), ``text_id`` (the least id with the same set),
     ``n_links`` (other documents at or above the threshold, equal ones too) and
     ``n_text_links`` (other sets at or above it).
@@ -364,11 +364,12 @@ def jaccard_groups(
     classes = nodes.select("node", "text_id", "weight").join(counts, "node", "left").join(roots, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
     classes = materialize(classes, "classes")
     of_root = classes.groupBy("_root").agg(F.min("text_id").alias("class_id"))
-    classes = classes.join(of_root, "_root").select("node", "text_id", "class_id", "weight", "_links", "_texts").withColumnRenamed("node", "_node")
+    classes = classes.join(of_root, "_root").select("node", F.col("_root").alias("class_node"), "text_id", "class_id", "weight", "_links", "_texts").withColumnRenamed("node", "_node")
     out = drawn.select("_id", "node").join(classes, F.col("node") == F.col("_node"), "left")
     return out.select(
         F.col("_id").alias(id_col),
         "node",
+        "class_node",
         F.coalesce("class_id", F.when(F.col("node").isNull(), F.col("_id"))).alias("class_id"),
         F.coalesce("text_id", F.when(F.col("node").isNull(), F.col("_id"))).alias("text_id"),
         (F.coalesce("_links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"),

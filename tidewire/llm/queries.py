@@ -10,6 +10,7 @@ from tidewire.llm.common import new_folder
 from tidewire.llm.decontaminate import find_contamination
 from tidewire.llm.jaccard_join import jaccard_groups
 from tidewire.llm.kneser_ney import classify
+from tidewire.llm.line_dedup import dedup_lines
 from tidewire.llm.mixing import mix
 from tidewire.llm.secret_scan import scan_secrets
 from tidewire.llm.sharding import shard
@@ -43,7 +44,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents")).drop("node")
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("node", "class_node")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), keep=["page_id"])
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_shards": op6_shards,
     "op7_secrets": op7_secrets,
+    "op8_lines": op8_lines,
     "op9_urls": op9_urls,
     "op10_webp": op10_webp,
 }
