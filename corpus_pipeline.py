@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     key = F.concat_ws(":", F.hex("node"), F.col("doc_id").cast("string"))
     groups = jaccard_groups(docs)
-    stays = groups.where("node is null or doc_id <=> class_id").groupBy("class_id", "node").agg(F.min("doc_id").alias("doc_id"))
-    stays = stays.groupBy("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).alias("_own")).agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("s")
+    stays = groups.where("node is not null").groupBy("class_node").agg(least).select("s.doc_id", "s.node")
+    stays = stays.unionByName(groups.where("node is null").select("doc_id", "node"))
     keyed = with_nodes(docs, COLUMNS).withColumn("_key", key)
     kept = keyed.join(stays.select(key.alias("_key")).distinct(), "_key", "left_semi")
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
