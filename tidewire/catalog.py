@@ -1,4 +1,5 @@
 """Registered queries and the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewire.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Arabic diacritics, alef forms and digits that normalisation folds.
 DIACRITICS = r"[ؐ-ًؚ-ٰٟۖ-ۭ]"
@@ -23,7 +24,7 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -117,7 +118,7 @@ def redact(values: Column | str) -> Column:
     return F.transform_values(col(values), lambda k, v: F.when(F.regexp_like(F.lower(k), F.lit("|".join(SECRET_KEYS))), F.lit("***")).otherwise(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stable_json(values: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no blanks and ASCII escapes."""
     return values.map(lambda v: json.dumps(json.loads(v), sort_keys=True, separators=(",", ":")), na_action="ignore")

@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.text import col
 
@@ -57,7 +58,7 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 1024) -> Da
     return every.select(id_col, F.coalesce(dense, F.array_repeat(F.lit(0.0), dim)).alias("embedding"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def image_fingerprint(images: pd.Series) -> pd.Series:
     """SHA-256 of about 64 bytes spread over the image, and of its length."""
 

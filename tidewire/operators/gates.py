@@ -64,7 +64,7 @@ def with_overrides(channels: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def job_interrupted(status: Column, state: Column, started: Column, created: Column, task_id: Column, asof: Column, pending_min: int = 5, legacy_min: int = 15, hard_min: int = 40) -> Column:
     """Whether a job that claims to run has been lost."""
-    age = (asof.cast("long") - F.coalesce(started, created).cast("long")) / 60
+    age = (asof.cast("timestamp").cast("long") - F.coalesce(started, created).cast("timestamp").cast("long")) / 60
     lost = (
         F.coalesce(state.isin("FAILURE", "REVOKED"), F.lit(False))
         | (age >= hard_min)
@@ -76,7 +76,7 @@ def job_interrupted(status: Column, state: Column, started: Column, created: Col
 
 def refresh_suppressed(status: Column, finished: Column, asof: Column, minutes: int = 15) -> Column:
     """Whether a new ingest request does nothing: one runs, or one succeeded just now."""
-    return status.isin("queued", "running") | ((status == "succeeded") & (asof.cast("long") - finished.cast("long") < minutes * 60))
+    return status.isin("queued", "running") | ((status == "succeeded") & (asof.cast("timestamp").cast("long") - finished.cast("timestamp").cast("long") < minutes * 60))
 
 
 #: The types a monitored entity may have.

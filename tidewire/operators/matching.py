@@ -13,6 +13,7 @@ import difflib
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,20 +49,61 @@ def entity_terms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return names.unionByName(more).where(F.trim("surface") != "")
 
 
-def existence(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc, term) pairs where the term occurs: exact and case-insensitive counts of non-overlapping places.
+def existence(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """(id, entity_id, surface, exact_hits, folded_hits): how often each term occurs, as written and in
+    lower case, without overlaps. Pairs without a hit are left out.
 
-    Documents first fetch the terms whose first word part could be in them by a join on the
-    term's three leading letters in lower case; only those are searched.
+    One automaton of all terms is broadcast below ``max_broadcast_bytes`` (in blocks beyond it), and
+    each text is run through it once, whatever the number of terms.
     """
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))
-    low = F.lower(F.col(text_col))
-    probes = docs.where(F.length(text_col) > 0).select("*", low.alias("_low"), F.explode(grams(low)).alias("_key"))
-    keyed = terms.withColumn("_key", F.substring(F.lower("surface"), 1, 3))
-    short = F.length(F.lower("surface")) < 3
-    found = probes.join(keyed.where(~short), "_key").where(F.contains("_low", F.lower("surface"))).drop("_key")
-    count = lambda hay, needle: ((F.length(hay) - F.length(F.replace(hay, needle))) / F.length(needle)).cast("long")
-    return found.withColumn("exact_hits", count(F.col(text_col), F.col("surface"))).withColumn("folded_hits", count(F.col("_low"), F.lower("surface"))).drop("_low")
+    import ahocorasick
+
+    spark = docs.sparkSession
+    size = terms.agg(F.sum(F.octet_length("surface") * 40 + 100)).first()[0] or 0
+    blocks = max(1, -(-size // max_broadcast_bytes))
+    kinds = (docs.schema[id_col].dataType.simpleString(), terms.schema["entity_id"].dataType.simpleString())
+    out = None
+    for block in range(blocks):
+        part = terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("surface"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast([(r.entity_id, r.surface) for r in part.select("entity_id", "surface").distinct().collect()])
+
+        def run(frames: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            by_lower: dict[str, list] = {}
+            for entity, surface in shared.value:
+                by_lower.setdefault(surface.lower(), []).append((entity, surface))
+            automaton = ahocorasick.Automaton()
+            for low in by_lower:
+                automaton.add_word(low, low)
+            automaton.make_automaton()
+            for frame in frames:
+                found = []
+                for doc_id, text in zip(frame[id_col], frame[text_col], strict=True):
+                    lower = (text or "").lower()
+                    for low in {x for _, x in automaton.iter(lower)} if by_lower else ():
+                        n = lower.count(low)
+                        found += [(doc_id, entity, surface, text.count(surface), n) for entity, surface in by_lower[low]]
+                yield pd.DataFrame(found, columns=[id_col, "entity_id", "surface", "exact_hits", "folded_hits"])
+
+        mine = docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kinds[0]}, entity_id {kinds[1]}, surface string, exact_hits long, folded_hits long")
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+class Text:
+    """A field of a document, and what is made of it once for all entities."""
+
+    def __init__(self, raw: str | None):
+        self.raw = raw or ""
+        self.lower = self.raw.lower()
+        self.folded = normalized(self.raw)
+
+    @cached_property
+    def words(self) -> list[tuple[int, int, str]]:
+        return [(m.start(), m.end(), normalized(m.group())) for m in re.finditer(r"\S+", self.raw)]
+
+    @cached_property
+    def tokens(self) -> list[str]:
+        return self.folded.split()
 
 
 class Matcher:
@@ -71,19 +113,15 @@ class Matcher:
         self.terms = [t | {"folded": normalized(t["surface"]), "lower": t["surface"].lower()} for t in terms]
         self.exclusions = [(x, normalized(x)) for x in exclusions]
 
-    def vetoed(self, title: str, body: str) -> str | None:
-        whole = normalized(f"{title}\n{body}")
-        return next((raw for raw, x in self.exclusions if x and x in whole), None)
-
-    def match(self, title: str | None, body: str | None) -> dict | None:
+    def match(self, title: Text, body: Text) -> dict | None:
         """None without a hit; else excluded, phrase, and hits from best to worst."""
-        title, body = title or "", body or ""
-        phrase = self.vetoed(title, body)
+        whole = f"{title.folded} {body.folded}".strip()
+        phrase = next((raw for raw, x in self.exclusions if x and x in whole), None)
         if phrase is not None:
             return {"excluded": True, "phrase": phrase, "hits": []}
         hits: dict[tuple, dict] = {}
         for field, text in (("title", title), ("body", body)):
-            if text:
+            if text.raw:
                 for hit in self._hits(field, text):
                     hits.setdefault((hit["match_type"], field, hit["start"], hit["end"]), hit)
         if not hits:
@@ -91,34 +129,32 @@ class Matcher:
         best = sorted(hits.values(), key=lambda h: (-RANK[h["match_type"]], -h["score"]))  # stable: ties stay in order
         return {"excluded": False, "phrase": None, "hits": best[:HITS_KEPT]}
 
-    def _hits(self, field: str, text: str) -> Iterator[dict]:
-        folded, lower = normalized(text), text.lower()
-        words = [(m.start(), m.end(), normalized(m.group())) for m in re.finditer(r"\S+", text)]
-        tokens = folded.split()
+    def _hits(self, field: str, text: Text) -> Iterator[dict]:
         for term in self.terms:
 
             def hit(kind: str, score: float, start: int | None = None, end: int | None = None, matched: str | None = None, term=term) -> dict:
                 return {"match_type": kind, "field": field, "start": start, "end": end, "score": score, "term": term["surface"], "matched": matched or term["surface"]}
 
-            for m in re.finditer(re.escape(term["surface"]), text):
-                yield hit("exact", 1.0, m.start(), m.end())
-            if term["language"] == "en" or re.search("[A-Za-z]", term["surface"]):
-                for m in re.finditer(re.escape(term["lower"]), lower):
-                    seen = text[m.start() : m.end()]
+            if term["surface"] in text.raw:
+                for m in re.finditer(re.escape(term["surface"]), text.raw):
+                    yield hit("exact", 1.0, m.start(), m.end())
+            if term["lower"] in text.lower and (term["language"] == "en" or re.search("[A-Za-z]", term["surface"])):
+                for m in re.finditer(re.escape(term["lower"]), text.lower):
+                    seen = text.raw[m.start() : m.end()]
                     if seen != term["surface"]:
                         yield hit("case_insensitive_en", 0.99, m.start(), m.end(), seen)
-            if term["folded"] and term["folded"] in folded:
+            if term["folded"] and term["folded"] in text.folded:
                 kind, score = ("alias", 0.96) if term["source"] == "alias" else ("arabic_normalized", 0.97)
                 wide, placed = len(term["folded"].split()), False
-                for i in range(len(words) - wide + 1):
-                    window = words[i : i + wide]
+                for i in range(len(text.words) - wide + 1):
+                    window = text.words[i : i + wide]
                     if " ".join(w[2] for w in window if w[2]) == term["folded"]:
                         placed = True
-                        yield hit(kind, score, window[0][0], window[-1][1], text[window[0][0] : window[-1][1]])
+                        yield hit(kind, score, window[0][0], window[-1][1], text.raw[window[0][0] : window[-1][1]])
                 if not placed:
                     yield hit(kind, score)
             if not term["exact_only"] and len(term["folded"]) >= FUZZY_CHARS:
-                yield from (hit("controlled_fuzzy", round(r, 4), matched=g) for r, g in self._fuzzy(term["folded"], tokens))
+                yield from (hit("controlled_fuzzy", round(r, 4), matched=g) for r, g in self._fuzzy(term["folded"], text.tokens))
 
     @staticmethod
     def _fuzzy(term: str, tokens: list[str]) -> list[tuple[float, str]]:
@@ -169,8 +205,9 @@ def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id
             for frame in frames:
                 found = []
                 for doc_id, title, body in zip(frame[id_col], frame["title"], frame["body"], strict=True):
+                    fields = Text(title), Text(body)
                     for e, m in matchers.items():
-                        got = m.match(title, body)
+                        got = m.match(*fields)
                         if got is not None:
                             best = got["hits"][0] if got["hits"] else {}
                             found.append((doc_id, e, got["excluded"], got["phrase"], best.get("match_type"), best.get("score"), got["hits"]))
