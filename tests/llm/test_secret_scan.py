@@ -1,0 +1,57 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tidewire.llm import secret_scan
+from tidewire.llm.common import new_folder
+from tidewire.llm.secret_scan import scan_secrets
+
+BASE = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+    "hex": (re.compile(r"[0-9a-f]+"), 0, 32),
+}
+
+
+def brute(text):
+    found = []
+    for place, (kind, (pattern, group, least)) in enumerate(BASE.items()):
+        found += [(m.start(), place, kind, m.end()) for m in pattern.finditer(text or "") if len(m.group(group)) >= least]
+    return [(k, s, e) for s, _, k, e in sorted(found)]
+
+
+def test_base_spans(spark, docs_of):
+    rng = random.Random(9)
+    bits = ["password", "TOKEN", "tokentoken", "ſecret", "api_key", "ApiKey", " = ", ":", '"', "'", "abcdefgh", "abc", "AKIA", "AKIAABCDEFGHIJKL", "0f" * 16, "0f" * 15, "é", "\n", " ", "secret: token: abcdefghij", "𝄞"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, "", "K" * 5]
+    rows = scan_secrets(docs_of(texts), new_folder(spark, "ledger")).orderBy("doc_id").collect()
+    for text, r in zip(texts, rows, strict=True):
+        assert [(s.kind, s.start, s.end) for s in r.findings if s.kind in BASE] == brute(text)
+    assert sum(len(r.findings) for r in rows) > 50
+
+
+def test_other_kinds(spark, docs_of):
+    text = "x -----BEGIN RSA PRIVATE KEY----- ghp_" + "g1" * 20 + " xoxb-12345678901 eyJabcdef.eyJabcdef.sig"
+    r = scan_secrets(docs_of([text]), new_folder(spark, "ledger")).first()
+    assert [s.kind for s in r.findings] == ["private_key", "forge_token", "chat_token", "web_token"]
+
+
+def test_ledger_scans_only_unseen_blobs(spark, docs_of):
+    ledger = new_folder(spark, "ledger")
+    scan_secrets(docs_of(["password=abcdefgh1", "plain", "plain"]), ledger).collect()
+    count = lambda: secret_scan.read_ledger(spark, ledger).count()
+    assert count() == 2
+    rows = scan_secrets(docs_of(["plain", "password=abcdefgh1", "token: zzzzzzzz9", None], ids=[7, 8, None, 8]), ledger).collect()
+    assert count() == 4
+    assert sorted((r.doc_id is None, r.doc_id or 0, len(r.findings)) for r in rows) == [(False, 7, 0), (False, 8, 0), (False, 8, 1), (True, 0, 1)]
+    scan_secrets(docs_of(["plain"]), ledger, rules_version="3").collect()
+    assert count() == 5
+
+
+def test_edges(spark, docs_of):
+    assert scan_secrets(docs_of([]), new_folder(spark, "ledger")).collect() == []
+    same = docs_of(["token=aaaaaaaa"] * 3, ids=[1, 1, 1]).withColumns({"blob": F.lit("mine"), "findings": F.lit(3)})
+    assert [len(r.findings) for r in scan_secrets(same, new_folder(spark, "ledger")).collect()] == [1, 1, 1]
+    long = "z" * 500_000 + " secret=abcdefgh"
+    assert scan_secrets(docs_of([long]), new_folder(spark, "ledger")).first().findings[0].start == 500_001

@@ -118,7 +118,7 @@ def _cut_out(texts: pa.Array, spans: pa.Array) -> list[pa.Array]:
         for s in mine:
             start, end = s["start"], s["end"]
             if start and raw[start - 1] not in blank:
-                start = next((i for i in range(start, min(start + 40, end)) if raw[i] in blank), start)
+                start = next((i + 1 for i in range(start, min(start + 40, end)) if raw[i] in blank), start)
             if end < len(raw) and raw[end] not in blank:
                 end = next((i for i in range(end, max(end - 40, start), -1) if raw[i - 1] in blank), end)
             while start < end and raw[start] & 0xC0 == 0x80:
