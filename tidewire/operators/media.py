@@ -44,7 +44,7 @@ def verified(candidates: DataFrame, top: int = 5, least: float = 0.55) -> DataFr
 
 def text_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, block_no, text, bbox_y, bbox_h): a block for each line with text of a page's text layer."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda t: t != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda t: F.trim(t)), lambda t: t != "")
     each = pages.select("page_id", F.size(lines).alias("_n"), F.posexplode(lines).alias("block_no", "text"))
     return each.select("page_id", "block_no", "text", F.least(F.lit(0.95), F.col("block_no") / F.col("_n")).alias("bbox_y"), F.greatest(F.lit(0.02), 0.9 / F.col("_n")).alias("bbox_h"))
 
