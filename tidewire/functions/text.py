@@ -30,6 +30,11 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def strip(text: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -58,8 +63,8 @@ def content_hash(title: Column, body: Column) -> Column:
 
 def clip(text: Column | str, n: int) -> Column:
     """Trimmed, and cut to n characters of which the last is an ellipsis."""
-    t = F.trim(col(text))
-    return F.when(F.length(t) > n, F.concat(F.rtrim(F.substring(t, 1, n - 1)), F.lit("…"))).otherwise(t)
+    t = strip(col(text))
+    return F.when(F.length(t) > n, F.concat(strip(F.substring(t, 1, n - 1)), F.lit("…"))).otherwise(t)
 
 
 def snippet(text: Column | str, n: int = 220) -> Column:
@@ -69,18 +74,18 @@ def snippet(text: Column | str, n: int = 220) -> Column:
 def match_window(text: Column, start: Column, end: Column, around: int = 80) -> Column:
     """The match and what stands around it, with an ellipsis on each side that is cut."""
     lo, hi = F.greatest(start - around, F.lit(0)), F.least(end + around, F.length(text))
-    middle = F.trim(F.substring(text, lo + 1, hi - lo))
+    middle = strip(F.substring(text, lo + 1, hi - lo))
     return F.concat(F.when(lo > 0, "…").otherwise(""), middle, F.when(hi < F.length(text), "…").otherwise(""))
 
 
 def is_junk_body(body: Column | str) -> Column:
-    t = F.trim(F.coalesce(col(body), F.lit("")))
+    t = strip(F.coalesce(col(body), F.lit("")))
     hits = sum((F.contains(t, F.lit(m)).cast("int") for m in JUNK_MARKERS), F.lit(0))
     return (F.length(t) == 0) | (hits >= 3) | ((F.length(t) < MIN_BODY_CHARS) & (hits >= 1))
 
 
 def body_ok(body: Column | str) -> Column:
-    return (F.length(F.trim(F.coalesce(col(body), F.lit("")))) >= MIN_BODY_CHARS) & ~is_junk_body(body)
+    return (F.length(strip(F.coalesce(col(body), F.lit("")))) >= MIN_BODY_CHARS) & ~is_junk_body(body)
 
 
 def should_replace(new: Column | str, old: Column | str) -> Column:

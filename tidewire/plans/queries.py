@@ -121,7 +121,7 @@ def snippets(spark, root):
     return load(spark, root, "documents").select("doc_id", tx.snippet("text").alias("snippet"))
 
 
-@query("SELECT doc_id, length(trim(body)) >= 80 AS ok, length(trim(body)) = 0 AS junk FROM articles", True)
+@query(r"SELECT doc_id, length(regexp_replace(body, '^\s+|\s+$', '', 'g')) >= 80 AS ok, length(regexp_replace(body, '^\s+|\s+$', '', 'g')) = 0 AS junk FROM articles", True)
 def body_quality(spark, root):
     return articles(spark, root).select("doc_id", tx.body_ok("body").alias("ok"), tx.is_junk_body("body").alias("junk"))
 
