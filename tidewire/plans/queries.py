@@ -15,6 +15,7 @@ from tidewire.functions import text as tx
 from tidewire.functions import urls, vectors
 from tidewire.operators import gates, matching, media, merge, priority, ranking, reports, semantic, stats
 from tidewire.operators.extraction import extract_articles
+from tidewire.plans import jobs
 from tidewire.session import load
 from tidewire.sources import discovery
 from tidewire.streaming import pipeline as streams
@@ -486,3 +487,48 @@ def sessions(spark, root):
     gap = F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(w).cast("timestamp").cast("double")
     e = load(spark, root, "events").withColumn("new", F.when(gap.isNull() | (gap > 1800), 1).otherwise(0)).withColumn("session", F.sum("new").over(w))
     return e.groupBy("user_id", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n")).drop("session")
+
+
+@query("""WITH latest AS (SELECT user_id AS channel, event_id AS last_run, event_type AS last_status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1),
+failed AS (SELECT user_id AS channel, least(5, count(*)) AS n FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT channel, last_run, last_status, coalesce(n, 0) AS recent_failure_count FROM latest LEFT JOIN failed USING (channel)""")
+def source_health(spark, root):
+    e = load(spark, root, "events").withColumnsRenamed({"user_id": "channel", "event_id": "run_id", "event_type": "status", "ts": "at"})
+    return jobs.source_health(e.select("channel").distinct(), e, e.where("status = 'error'").select("channel"))
+
+
+@query("SELECT conv_id AS post_id, turn AS posted_at FROM (SELECT conv_id * 100 + turn AS k, * FROM conversations) ORDER BY turn DESC, conv_id DESC LIMIT 500")
+def newest_posts(spark, root):
+    c = load(spark, root, "conversations").select(F.col("conv_id").alias("post_id"), F.col("turn").alias("posted_at"))
+    return media.newest_posts(c)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'explicitly_skipped' WHEN doc_id % 7 = 1 THEN 'awaiting_licensing' WHEN doc_id % 7 = 2 THEN 'blocked' WHEN lang = 'es' THEN 'connector_not_scrapeable' ELSE 'enabled' END AS reason FROM documents""")
+def enablement_reasons(spark, root):
+    d = load(spark, root, "documents")
+    kind = F.when(F.col("doc_id") % 7 == 1, "awaiting_licensing").when(F.col("doc_id") % 7 == 2, "blocked").when(F.col("doc_id") % 7 == 3, "temporarily_broken")
+    why = gates.enablement(F.lit(True), F.col("doc_id") % 11 == 0, kind, F.lit(False), True, F.col("lang") != "es")
+    return d.select("doc_id", why.alias("reason"))
+
+
+@query("""SELECT event_id, CASE WHEN a = 'submit' AND s = 'draft' THEN 'in_review' WHEN a = 'approve' AND s IN ('draft', 'in_review') AND n > 0 THEN 'approved' WHEN a = 'revise' AND s = 'approved' THEN 'draft'
+  WHEN a = 'archive' AND s IN ('approved', 'sent', 'failed') THEN 'archived' WHEN a = 'edit' AND s IN ('draft', 'in_review') THEN s END AS state
+FROM (SELECT event_id, ['draft', 'in_review', 'approved', 'sent'][1 + event_id % 4] AS s, ['submit', 'approve', 'revise', 'archive', 'edit'][1 + event_id % 5] AS a, user_id % 3 AS n FROM events)""")
+def report_states(spark, root):
+    pick = lambda n, *names: F.get(F.array(*map(F.lit, names)), (F.col("event_id") % n).cast("int"))
+    state, action = pick(4, "draft", "in_review", "approved", "sent"), pick(5, "submit", "approve", "revise", "archive", "edit")
+    return load(spark, root, "events").select("event_id", reports.next_state(state, action, F.col("user_id") % 3).alias("state"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'pending' WHEN page_id % 8 = 0 THEN 'blocked' WHEN page_id % 5 = 0 THEN 'blocked' WHEN page_id % 2 = 0 THEN 'rss' WHEN page_id % 3 = 0 THEN 'sitemap'
+  WHEN contains(html, '<a ') THEN 'html' ELSE 'pending' END AS recommended FROM pages""")
+def source_recommendation(spark, root):
+    i = F.col("page_id")
+    status = F.when(i % 9 == 0, 503).otherwise(200)
+    return load(spark, root, "pages").select("page_id", gates.recommendation(status, i % 8 == 0, i % 5 != 0, i % 2 == 0, i % 3 == 0, F.contains("html", F.lit("<a "))).alias("recommended"))
+
+
+@query("""SELECT user_id AS host, time_bucket(INTERVAL 1 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1""")
+def busy_minutes(spark, root):
+    counted = streams.windowed_counts(load(spark, root, "events"), "ts", ["user_id"], "60 seconds")
+    return counted.where("n > 1").select(F.col("user_id").alias("host"), "start", "n")
