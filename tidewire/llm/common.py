@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 
 #: Bytes of text worked on at once, so that the numpy temporaries stay small.
 SLICE_BYTES = 1 << 20
+#: Settings while an intermediate table is written: what the job shuffled is removed when it ends, as nothing
+#: reads it again; and Arrow batches are small, as a row may be a long text or a large set.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -43,9 +46,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back, which cuts its lineage."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    before = {key: spark.conf.get(key, None) for key in _WHILE_WRITING}
+    for key, value in _WHILE_WRITING.items():
+        spark.conf.set(key, value)
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def quoted(name: str) -> str:
@@ -66,16 +76,21 @@ def map_texts(
     made = {f.name for f in fields}
     keep = [c for c in dict.fromkeys(keep) if c not in made]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
+    picked = [F.col(quoted(c)) for c in keep]
+    if text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType):
+        place = keep.index(text_col)
+    else:
+        place = len(keep)
+        picked.append(F.col(quoted(text_col)).cast("string").alias("_text_"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             if batch.num_rows:
                 columns = [batch.column(i) for i in range(len(keep))]
-                out = work(batch.column(len(keep)))
+                out = work(batch.column(place))
                 yield pa.RecordBatch.from_arrays(columns + out, names=[*keep, *(f.name for f in fields)])
 
-    picked = [F.col(quoted(c)) for c in keep] + [F.col(quoted(text_col)).cast("string").alias("_text_")]
     return df.select(*picked).mapInArrow(run, schema)
 
 

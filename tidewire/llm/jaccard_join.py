@@ -221,28 +221,29 @@ def verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.R
     for table in by_key(batches):
         t = Tile(table)
         a, b = t.sides()
-        sets = [np.frombuffer(table["shingles"][i].as_py(), np.uint64) for i in t.pick.tolist()]
+        shared = _intersections([np.frombuffer(table["shingles"][i].as_py(), np.uint64) for i in t.pick.tolist()], a, b)
         weight = table["weight"].to_numpy()[t.pick]
-        shared = _intersections(sets, a, b)
-        union = t.size[a][:, None] + t.size[b][None, :] - shared
-        link = shared >= threshold * union - 1e-9
-        link &= a[:, None] != b[None, :]
-        whole = t.low == t.high
+        link = np.zeros(shared.shape, bool)
+        for i, x in enumerate(a.tolist()):
+            union = (t.size[x] + t.size[b]) - shared[i]
+            link[i] = (shared[i] >= threshold * union - 1e-6) & (b != x)
+        del shared
         if not link.any():
             continue
-        owned = link & ~t.elsewhere(a, b)
-        texts, documents = np.zeros(len(t.nodes), np.int64), np.zeros(len(t.nodes), np.int64)
-        texts[a] += owned.sum(1)
-        documents[a] += owned @ weight[b]
-        if not whole:
-            texts[b] += owned.sum(0)
-            documents[b] += weight[a] @ owned
         root = _roots(len(t.nodes), a, b, link)
-        rows = [i for i in range(len(t.nodes)) if texts[i] or root[i] != i]
-        least = {}
+        link &= ~t.elsewhere(a, b)
+        texts, documents = np.zeros(len(t.nodes), np.int64), np.zeros(len(t.nodes), np.int64)
+        for i, x in enumerate(a.tolist()):
+            mine = b[link[i]]
+            texts[x] += len(mine)
+            documents[x] += weight[mine].sum()
+            if t.low != t.high:
+                texts[mine] += 1
+                documents[mine] += weight[x]
+        least: dict[int, bytes] = {}
         for i, r in enumerate(root):
             least[r] = min(least.get(r, t.nodes[i]), t.nodes[i])
-        # roots' own rows matter only for their counts
+        rows = [i for i in range(len(t.nodes)) if texts[i] or root[i] != i]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([t.nodes[i] for i in rows], pa.binary()),
@@ -257,24 +258,24 @@ def verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(a, b): how many shingles two sets share, by products of 0/1 matrices over blocks of the shingles that several sets have."""
     value = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    known, code, count = np.unique(value, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(value)
+    value, row = value[order], row[order]
+    first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    count = np.diff(np.append(first, len(value)))
     common = int((count == len(sets)).sum())
-    useful = np.flatnonzero((count > 1) & (count < len(sets)))
-    place = np.full(len(known), -1)
-    place[useful] = np.arange(len(useful))
-    column = place[code]
-    row, column = row[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+    useful = (count > 1) & (count < len(sets))
+    column = np.repeat((np.cumsum(useful) - 1).astype(np.int32), count)[np.repeat(useful, count)]
+    row = row[np.repeat(useful, count)]
+    del value, order
     out = np.full((len(a), len(b)), common, np.float32)
-    step = max(256, (8 << 20) // max(1, len(sets)))
-    for lo in range(0, len(useful), step):
+    many, step = int(useful.sum()), max(64, (1 << 20) // max(1, len(sets)))
+    for lo in range(0, many, step):
         i, j = np.searchsorted(column, (lo, lo + step))
-        has = np.zeros((len(sets), min(step, len(useful) - lo)), np.float32)
+        has = np.zeros((len(sets), min(step, many - lo)), np.float32)
         has[row[i:j], column[i:j] - lo] = 1
         out += has[a] @ has[b].T
-    return out.astype(np.int64)
+    return out
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, link: np.ndarray) -> list[int]:
