@@ -3,7 +3,7 @@
 A line is the set of its words. Words are ordered by rarity, and a line's prefix are
 its rarest words: two lines at the threshold share one of them. Prefix words are the
 join's key; the length filter, the positional filter and a bitmap filter (bits that
-differ in 64-bit signatures bound the words that differ) drop pairs that cannot
+differ in 128-bit signatures bound the words that differ) drop pairs that cannot
 reach the threshold. A semi-join keeps the lines with some partner left, so its
 result does not grow with the pairs. For those lines the whole sets are fetched, and
 Jaccard similarity decides: first against the earliest line of each prefix word, which
@@ -25,37 +25,37 @@ CELLS = 1 << 15
 _HASH_BITS = 53
 
 
-def line_words(line: Column) -> Column:
-    """Distinct words of a line: what stands between blanks, in lower case."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(F.translate(line, "\t\r\f\v", "    ")), " ")), "")
-
-
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    split = F.split(F.col(quoted(text_col)), "\n")
-    return docs.select(F.col(quoted(id_col)).alias("_id"), F.posexplode(split).alias("line_no", "line"))
+def words_of(text: Column) -> Column:
+    """What stands between blanks, in lower case; empty words where blanks meet."""
+    low = F.lower(text)
+    for blank in "\t\r\f\v":
+        low = F.replace(low, F.lit(blank), F.lit(" "))
+    return F.split(low, " ")
 
 
 def _cell(hashed: Column) -> Column:
-    return F.pmod(hashed, F.lit(CELLS)).cast("int")
+    return hashed.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
-def cell_levels(words: DataFrame) -> Column:
+def cell_levels(texts: DataFrame) -> Column:
     """How often words of each cell occur, in quarters of a power of two, as one constant of CELLS numbers."""
-    counted = words.select(F.explode("words").alias("w")).groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n"))
+    words = texts.select(F.explode(words_of(F.replace(F.col("_text"), F.lit("\n"), F.lit(" ")))).alias("w"))
+    counted = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n"))
     levels = [0] * CELLS
     for cell, level in counted.select("cell", F.ceil(F.log2("n") * 4).cast("int")).collect():  # at most CELLS rows
         levels[cell] = level
     return F.from_json(F.lit(json.dumps(levels)), "array<bigint>")
 
 
-def rarity_order(words: Column, levels: Column) -> Column:
-    """The words as numbers in the order of rarity: level of the cell, then hash."""
+def rarity_order(line: Column, levels: Column) -> Column:
+    """A line's distinct words as numbers in the order of rarity: level of the cell, then 53 bits of hash."""
 
     def number(w: Column) -> Column:
         hashed = F.xxhash64(w)
         return F.shiftleft(F.get(levels, _cell(hashed)), _HASH_BITS).bitwiseOR(hashed.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    return F.sort_array(F.transform(words, number))
+    numbers = F.array_distinct(F.transform(words_of(line), number))
+    return F.sort_array(F.array_remove(numbers, number(F.lit(""))))
 
 
 def _need(n_a: Column, n_b: Column, t: float) -> Column:
@@ -70,7 +70,8 @@ def _possible(a: str, b: str, t: float) -> Column:
     need = _need(na, nb, t)
     length = F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9
     positional = F.least(pa, pb) + F.least(na - pa, nb - pb) >= need
-    bitmap = F.bit_count(col(a, "sig").bitwiseXOR(col(b, "sig"))) <= na + nb - 2 * need
+    differ = sum(F.bit_count(col(a, s).bitwiseXOR(col(b, s))) for s in ("sig", "sig2"))
+    bitmap = differ <= na + nb - 2 * need
     return length & bitmap & positional
 
 
@@ -79,10 +80,10 @@ def _named(df: DataFrame, side: str) -> DataFrame:
 
 
 def similar_lines(sets: DataFrame, t: float) -> DataFrame:
-    """Of (node, sig, n, ranks, first) those with an earlier line at or above t, as (node, sig)."""
+    """Of (node, sig, sig2, n, ranks, first) those with an earlier line at or above t, as (node, sig)."""
     key = ["node", "sig"]
     prefix = F.slice("ranks", F.lit(1), (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
-    rows = sets.select(*key, "n", "first", F.posexplode(prefix).alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
+    rows = sets.select(*key, "sig2", "n", "first", F.posexplode(prefix).alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
     arrays = sets.select(*key, "n", "ranks", "first")
 
     def matches(pairs: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def similar_lines(sets: DataFrame, t: float) -> DataFrame:
         shared = F.size(F.array_intersect("a_ranks", "b_ranks"))
         return both.where(shared >= _need(F.col("a_n"), F.col("b_n"), t)).select(F.col("a_node").alias("node"), F.col("a_sig").alias("sig")).distinct()
 
-    earliest = rows.groupBy("word").agg(F.min(F.struct("first", "node", "sig", "n", "pos")).alias("p"))
+    earliest = rows.groupBy("word").agg(F.min(F.struct("first", "node", "sig", "sig2", "n", "pos")).alias("p"))
     earliest = earliest.select("word", "p.*")
     pivots = _named(rows, "a_").join(_named(earliest, "b_"), F.col("a_word") == F.col("b_word")).where((F.col("a_first") > F.col("b_first")) & _possible("a_", "b_", t))
     settled = materialize(matches(pivots), "settled")
@@ -110,26 +111,30 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     others. Of rows that share an id, lines at equal places and with equal words count as one.
     """
     t = threshold
-    lines = _lines(docs, id_col, text_col)
-    words = lines.select("_id", "line_no", line_words(F.col("line")).alias("words"))
-    levels = cell_levels(words)
-    ranked = words.select("_id", "line_no", rarity_order(F.col("words"), levels).alias("ranks"))
-    signature = F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseOR(_bit(r)))
+    base = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
+    levels = cell_levels(base)
+    lines = base.select("_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+    ranked = lines.select("_id", "line_no", rarity_order(F.col("line"), levels).alias("ranks"))
+    signature, more = _signature("ranks", 0), _signature("ranks", 1)
     length = F.size("ranks")
     prefix = F.slice("ranks", F.lit(1), (length - F.ceil(length * t - 1e-9) + 1).cast("int"))
-    found = ranked.select("_id", "line_no", F.xxhash64("ranks").alias("node"), signature.alias("sig"), length.alias("n"), F.when(length > 0, prefix).otherwise(F.array().cast("array<bigint>")).alias("prefix"))
+    none = F.array().cast("array<bigint>")
+    found = ranked.select("_id", "line_no", F.xxhash64("ranks").alias("node"), signature.alias("sig"), more.alias("sig2"), length.alias("n"), F.when(length > 0, prefix).otherwise(none).alias("prefix"))
     found = materialize(found, "lines")
-    # one exchange by word; both sides of the semi-join read it
-    rows = found.select("node", "sig", "n", F.posexplode("prefix").alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
-    rows = rows.repartition("word").dropDuplicates()
-    a, b = _named(rows, "a_"), _named(rows, "b_")
+    rows = found.select("node", "sig", "sig2", "n", F.posexplode("prefix").alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
+    # both sides are the same exchange by word
+    a, b = _named(rows, "a_"), _named(rows, "b_").hint("merge")
     other = (F.col("a_node") != F.col("b_node")) | (F.col("a_sig") != F.col("b_sig"))
-    some = a.join(b, (F.col("a_word") == F.col("b_word")) & other & _possible("a_", "b_", t), "left_semi").select(F.col("a_node").alias("node"), F.col("a_sig").alias("sig")).distinct()
+    some = a.join(b, (F.col("a_word") == F.col("b_word")) & other & _possible("a_", "b_", t), "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in ("node", "sig", "sig2")])
+    some = materialize(some.distinct(), "candidates")
     firsts = found.where("n > 0").groupBy("node", "sig").agg(F.min(F.struct("_id", "line_no")).alias("first"), F.count("*").alias("times"))
     firsts = materialize(firsts, "firsts")
-    wanted = firsts.join(some, ["node", "sig"]).select("node", "sig", "first", F.col("first._id").alias("_w"), F.col("first.line_no").alias("_no"))
-    fetched = ranked.join(wanted, F.col("_id").eqNullSafe(F.col("_w")) & (F.col("line_no") == F.col("_no")))
-    sets = fetched.where(F.xxhash64("ranks") == F.col("node")).select("node", "sig", F.size("ranks").alias("n"), "ranks", "first").dropDuplicates(["node", "sig"])
+    wanted = firsts.join(some, ["node", "sig"]).select(F.col("first._id").alias("_w"), F.struct(F.col("first.line_no").alias("no"), "node", "sig", "sig2").alias("s"))
+    wanted = wanted.groupBy("_w").agg(F.collect_list("s").alias("spots"))
+    texts = base.join(wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("_w"))).select("_id", F.split("_text", "\n").alias("all"), F.explode("spots").alias("s"))
+    fetched = texts.where(F.col("s.no") < F.size("all")).select("_id", "s.*", F.get("all", F.col("s.no")).alias("line"))
+    sets = fetched.select("node", "sig", "sig2", F.struct("_id", F.col("no").alias("line_no")).alias("first"), rarity_order(F.col("line"), levels).alias("ranks"))
+    sets = sets.where(F.xxhash64("ranks") == F.col("node")).select("node", "sig", "sig2", F.size("ranks").alias("n"), "ranks", "first").dropDuplicates(["node", "sig"])
     later = similar_lines(materialize(sets, "sets"), t).withColumn("_similar", F.lit(True))
     judged = firsts.join(later, ["node", "sig"], "left").where("times > 1 or _similar").select("node", "sig", "first", F.coalesce("_similar", F.lit(False)).alias("_similar"))
     spots = found.where("n > 0").join(judged, ["node", "sig"])
@@ -142,8 +147,14 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     return out.select(F.col("_id").alias(id_col), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def _bit(rank: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), rank.bitwiseAND(F.lit(63)).cast("int"))
+def _signature(ranks: str, half: int) -> Column:
+    return F.aggregate(ranks, F.lit(0).cast("long"), lambda a, r: a.bitwiseOR(_bit(r, half)))
+
+
+def _bit(rank: Column, half: int) -> Column:
+    """The word's bit of 128, if it is in this half."""
+    here = F.shiftright(rank, 6).bitwiseAND(F.lit(1)) == half
+    return F.when(here, F.call_function("shiftleft", F.lit(1).cast("long"), rank.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
 
 
 def without_lines(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
