@@ -35,8 +35,8 @@ class Conflict(RuntimeError):
 class ShardStore:
     """Opens or begins the store in ``root``, a folder of any file system that Spark writes to."""
 
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, fan_in: int = 4, unit: int = 1 << 20):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, fan_in: int = 4, unit: int = 1 << 20, row_group_bytes: int = 32 << 20):
+        self.spark, self.root, self.row_group_bytes = spark, root.rstrip("/"), row_group_bytes
         self.target_bytes, self.fan_in, self.unit = target_bytes, fan_in, unit
         self._jvm = spark._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
@@ -83,7 +83,8 @@ class ShardStore:
 
     def _write(self, df: DataFrame) -> list[Shard]:
         folder = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
+        # a task holds a row group in memory while it writes
+        df.write.option("parquet.block.size", self.row_group_bytes).parquet(f"{self.root}/{folder}")
         files = self._fs.listStatus(self._path(f"{self.root}/{folder}"))
         return [Shard(f"{folder}/{f.getPath().getName()}", f.getLen()) for f in files if f.getPath().getName().startswith("part-")]
 
