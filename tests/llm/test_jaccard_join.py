@@ -84,3 +84,15 @@ def test_components(spark):
             root[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_lower_threshold(spark, docs_of):
+    """At 0.5, sets of which one holds the other link down to half its size."""
+    texts = []
+    for d in range(12):
+        long = [f"w{d}x{i}" for i in range(104)]
+        texts += [" ".join(long), " ".join(long[: 70 if d % 2 else 40])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = {i: sum(2 * len(a & b) >= len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    rows = jaccard_groups(docs_of(texts), threshold=0.5).collect()
+    assert {r.doc_id: r.n_links for r in rows} == want and sum(want.values()) == 12

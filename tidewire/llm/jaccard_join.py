@@ -191,7 +191,7 @@ class Tile:
         return out
 
 
-def may_match(batches: Iterable[pa.RecordBatch], many: int, least: int) -> Iterator[pa.RecordBatch]:
+def may_match(batches: Iterable[pa.RecordBatch], many: int, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Of each task's nodes those that have a partner here by their sketches, in a pair that belongs here."""
     for table in by_key(batches):
         t = Tile(table)
@@ -205,7 +205,7 @@ def may_match(batches: Iterable[pa.RecordBatch], many: int, least: int) -> Itera
                 same += short[a[lo : lo + 256], k][:, None] == short[b, k][None, :]
             near[lo : lo + 256] = same >= least
         near &= a[:, None] != b[None, :]
-        near &= np.minimum.outer(t.size[a], t.size[b]) >= THRESHOLD * np.maximum.outer(t.size[a], t.size[b]) - 1
+        near &= np.minimum.outer(t.size[a], t.size[b]) >= threshold * np.maximum.outer(t.size[a], t.size[b]) - 1
         if near.any():
             near &= ~t.elsewhere(a, b)
         keep = np.zeros(len(t.nodes), bool)
@@ -333,7 +333,7 @@ def jaccard_groups(
     of_node = held.groupBy("node").agg(F.collect_list("leaf").alias("leaves")).join(nodes.select("node", "n_set", "paths"), "node")
     at = tiles(held.join(of_node, "node"), tile).select("task", "leaf", "low", "high", "node", "part", "leaves", "n_set", "paths")
     at = at.repartition("task").sortWithinPartitions("task", "node")
-    near = at.mapInArrow(lambda b: may_match(b, many, least), "leaf long, node binary").distinct()
+    near = at.mapInArrow(lambda b: may_match(b, many, least, threshold), "leaf long, node binary").distinct()
     near = materialize(near, "near")
     wanted = near.select("node").distinct().join(nodes.select("node", "text_id"), "node").withColumnsRenamed({"node": "_want", "text_id": "_want_id"})
     texts = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
