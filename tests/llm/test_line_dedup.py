@@ -48,10 +48,38 @@ def test_against_brute_force(spark, docs_of, seed):
 
 
 def test_texts_and_edges(spark, docs_of):
-    docs = docs_of(["a b c\nnew line\n\na b c", "a b c", None], ids=[4, 4, None]).withColumns({"node": F.lit(1), "removed": F.lit("x")})
+    docs = docs_of(["a b c\nnew line\n\na b c", "a b d e f g", None], ids=[4, 5, None]).withColumns({"node": F.lit(1), "removed": F.lit("x")})
     judged = dedup_lines(docs)
     rows = {r.doc_id: r for r in judged.collect()}
-    assert rows[4].removed == [3] and rows[None].removed == []
+    assert rows[4].removed == [3] and rows[None].removed == [] and rows[5].removed == []
     got = without_lines(docs.drop("removed"), judged)
-    assert sorted(r.text or "" for r in got.collect()) == ["", "a b c", "a b c\nnew line\n"]
+    assert sorted(r.text or "" for r in got.collect()) == ["", "a b c\nnew line\n", "a b d e f g"]
     assert dedup_lines(docs_of([])).collect() == []
+
+
+@pytest.mark.parametrize("shared", [1, None])
+def test_documents_that_share_an_id(spark, docs_of, shared):
+    texts = ["the same line here\nfirst of its own", "the same line here\nsecond of another kind", "totally different line"]
+    docs = docs_of([*texts, texts[2]], ids=[shared] * 4)
+    # clashes with helper columns
+    docs = docs.withColumns({c: F.lit(7) for c in ("_of", "_key", "_gone", "_rows", "_nth", "id", "key", "_id", "word", "first")})
+    judged = dedup_lines(docs)
+    got = sorted(r.text for r in without_lines(docs, judged).collect())
+    assert len(got) == 4 and got.count("totally different line") == 1 and got.count("") == 1
+    assert sum("the same line here" in x for x in got) == 1
+    assert any("first of its own" in x for x in got) and any("second of another kind" in x for x in got)
+    assert sorted(r.n_rows for r in judged.collect()) == [1, 1, 2]
+
+
+def test_group_around_no_common_pivot(spark, docs_of):
+    """Hundreds of lines around an unseen one: most do not match the earliest, and brute force decides."""
+    rng = random.Random(5)
+    base = [f"common{i}" for i in range(30)]
+    texts = []
+    for _ in range(150):
+        mine = list(base)
+        for _ in range(rng.randint(1, 4)):
+            mine[rng.randrange(30)] = f"own{rng.randrange(10**6)}"
+        texts.append(" ".join(mine))
+    rows = dedup_lines(docs_of(texts)).orderBy("doc_id").collect()
+    assert [list(r.removed) for r in rows] == brute(texts)

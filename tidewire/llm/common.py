@@ -3,7 +3,8 @@ as bytes, word hashing, and connected components.
 
 Conventions of every operator here: a null text counts as empty; rows are never
 identified by position; where a result column has the name of an input column,
-the result replaces it.
+the result replaces it. Other columns may have any name: helper columns take names
+that the input does not have. A document is a distinct pair of id and text.
 """
 
 from __future__ import annotations
@@ -55,7 +56,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and that no result still to be computed reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, made longer until no frame has a column of that name in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def quoted(name: str) -> str:

@@ -1,13 +1,14 @@
 """Line deduplication: an exact set-similarity join in DataFrame functions only.
 
-A line is the set of its words. Words are ordered by rarity, and a line's prefix are
-its rarest words: two lines at the threshold share one of them. Prefix words are the
-join's key; the length filter, the positional filter and a bitmap filter (bits that
-differ in 128-bit signatures bound the words that differ) drop pairs that cannot
-reach the threshold. A semi-join keeps the lines with some partner left, so its
-result does not grow with the pairs. For those lines the whole sets are fetched, and
-Jaccard similarity decides: first against the earliest line of each prefix word, which
-settles nearly all members of large groups, then the lines still open against all.
+A line is the set of its words; equal sets are one node from the start. Words are
+ordered by rarity, and a line's prefix are its rarest words: two lines at the threshold
+share one of them. Prefix words are the join's key; the length filter, the positional
+filter and a parity filter (bits that differ in 64-bit signatures, of which each word
+flips one, bound the words that differ) drop pairs that cannot reach the threshold. A
+semi-join keeps the nodes with some partner left, so its result does not grow with the
+pairs. Only their texts are fetched, and Jaccard similarity over the words themselves
+decides: first against the earliest node of each prefix word, then against a drawn one,
+which settles nearly all members of large groups, then the nodes still open against all.
 A line goes if some earlier line (by document, then place) matches it.
 """
 
@@ -15,13 +16,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, quoted
+from tidewire.llm.common import discard, fresh, materialize, quoted
 
 #: Word counts are kept in this many cells, whatever the vocabulary; words that share a cell share a count.
-CELLS = 1 << 15
+CELLS = 1 << 16
+#: Nodes with more than one in HEAVY of all lines, fewer than HEAVY of them, are broadcast to the lines.
+HEAVY = 4096
 _HASH_BITS = 53
 
 
@@ -39,7 +42,7 @@ def _cell(hashed: Column) -> Column:
 
 def cell_levels(texts: DataFrame) -> Column:
     """How often words of each cell occur, in quarters of a power of two, as one constant of CELLS numbers."""
-    words = texts.select(F.explode(words_of(F.replace(F.col("_text"), F.lit("\n"), F.lit(" ")))).alias("w"))
+    words = texts.select(F.explode(words_of(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
     counted = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n"))
     levels = [0] * CELLS
     for cell, level in counted.select("cell", F.ceil(F.log2("n") * 4).cast("int")).collect():  # at most CELLS rows
@@ -49,13 +52,15 @@ def cell_levels(texts: DataFrame) -> Column:
 
 def rarity_order(line: Column, levels: Column) -> Column:
     """A line's distinct words as numbers in the order of rarity: level of the cell, then 53 bits of hash."""
+    hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
+    ranked = F.transform(hashes, lambda h: F.shiftleft(F.get(levels, _cell(h)), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))))
+    return F.sort_array(ranked)
 
-    def number(w: Column) -> Column:
-        hashed = F.xxhash64(w)
-        return F.shiftleft(F.get(levels, _cell(hashed)), _HASH_BITS).bitwiseOR(hashed.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    numbers = F.array_distinct(F.transform(words_of(line), number))
-    return F.sort_array(F.array_remove(numbers, number(F.lit(""))))
+def _parity(ranks: Column) -> Column:
+    """64 bits, of which each word flips one."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(ranks, F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(r, 31).bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _need(n_a: Column, n_b: Column, t: float) -> Column:
@@ -63,104 +68,136 @@ def _need(n_a: Column, n_b: Column, t: float) -> Column:
     return F.ceil((n_a + n_b) * F.lit(t / (1 + t)) - 1e-9)
 
 
-def _possible(a: str, b: str, t: float) -> Column:
-    """Length, positional and bitmap filters on two prefix rows of one word."""
-    col = lambda side, name: F.col(f"{side}{name}")
-    na, nb, pa, pb = col(a, "n"), col(b, "n"), col(a, "pos"), col(b, "pos")
+def _prefix_size(n: Column, t: float) -> Column:
+    return (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int")
+
+
+def _named(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{side}{c}") for c in df.columns])
+
+
+def postings(nodes: DataFrame, *more: str) -> DataFrame:
+    """A row for each prefix word of each node: word, node, sig, n and pos (from 1)."""
+    rows = nodes.select("node", "sig", "n", *more, F.posexplode("prefix").alias("pos", "word"))
+    return rows.withColumn("pos", F.col("pos") + 1)
+
+
+def _possible(t: float) -> Column:
+    """Length, parity and positional filters on two postings of one word, a and b."""
+    na, nb, pa, pb = (F.col(c) for c in ("a_n", "b_n", "a_pos", "b_pos"))
     need = _need(na, nb, t)
     length = F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9
+    parity = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= na + nb - 2 * need
     positional = F.least(pa, pb) + F.least(na - pa, nb - pb) >= need
-    differ = sum(F.bit_count(col(a, s).bitwiseXOR(col(b, s))) for s in ("sig", "sig2"))
-    bitmap = differ <= na + nb - 2 * need
-    return length & bitmap & positional
+    return length & parity & positional
 
 
-def _named(df: DataFrame, side: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{side}{c}") for c in df.columns])
+def with_partner(nodes: DataFrame, t: float) -> DataFrame:
+    """(node): those that some other node may match by the filters. Both sides of the join are one exchange by word."""
+    rows = postings(nodes)
+    a, b = _named(rows, "a_"), _named(rows, "b_").hint("merge")
+    met = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_node") != F.col("b_node")) & _possible(t), "left_semi")
+    return met.select(F.col("a_node").alias("node")).distinct()
 
 
-def similar_lines(sets: DataFrame, t: float) -> DataFrame:
-    """Of (node, sig, sig2, n, ranks, first) those with an earlier line at or above t, as (node, sig)."""
-    key = ["node", "sig"]
-    prefix = F.slice("ranks", F.lit(1), (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
-    rows = sets.select(*key, "sig2", "n", "first", F.posexplode(prefix).alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
-    arrays = sets.select(*key, "n", "ranks", "first")
+def similar_nodes(sets: DataFrame, t: float) -> DataFrame:
+    """Of (node, sig, n, prefix, first, words) the nodes with an earlier one at or above t."""
+    rows = postings(sets, "first")
+    words = sets.select("node", "n", "words")
 
     def matches(pairs: DataFrame) -> DataFrame:
-        """The later lines of those pairs (a the later, b the earlier) that reach t."""
-        pairs = pairs.select("a_node", "a_sig", "b_node", "b_sig").distinct()
-        with_a = pairs.join(_named(arrays.select(*key, "n", "ranks"), "a_"), ["a_node", "a_sig"])
-        both = with_a.join(_named(arrays.select(*key, "n", "ranks"), "b_"), ["b_node", "b_sig"])
-        shared = F.size(F.array_intersect("a_ranks", "b_ranks"))
-        return both.where(shared >= _need(F.col("a_n"), F.col("b_n"), t)).select(F.col("a_node").alias("node"), F.col("a_sig").alias("sig")).distinct()
-
-    earliest = rows.groupBy("word").agg(F.min(F.struct("first", "node", "sig", "sig2", "n", "pos")).alias("p"))
-    earliest = earliest.select("word", "p.*")
-    pivots = _named(rows, "a_").join(_named(earliest, "b_"), F.col("a_word") == F.col("b_word")).where((F.col("a_first") > F.col("b_first")) & _possible("a_", "b_", t))
-    settled = materialize(matches(pivots), "settled")
-    still = rows.join(settled, key, "left_anti")
-    rest = _named(still, "a_").join(_named(rows, "b_"), (F.col("a_word") == F.col("b_word")) & (F.col("a_first") > F.col("b_first")) & _possible("a_", "b_", t))
-    return settled.unionByName(matches(rest))
+        """The later nodes (a) of those pairs that reach t."""
+        pairs = pairs.where(F.col("a_first") > F.col("b_first")).where(_possible(t)).select("a_node", "b_node").distinct()
+        both = pairs.join(_named(words, "a_"), "a_node").join(_named(words, "b_"), "b_node")
+        shared = F.size(F.array_intersect("a_words", "b_words"))
+        return both.where(shared >= _need(F.col("a_n"), F.col("b_n"), t)).select(F.col("a_node").alias("node")).distinct()
+
+    settled = []
+    for order in (F.col("first"), F.xxhash64("first")):
+        still = rows
+        for one in settled:
+            still = still.join(one, "node", "left_anti")
+        pivots = rows.groupBy("word").agg(F.min_by(F.struct("node", "sig", "n", "pos", "first"), order).alias("p")).select("word", "p.*")
+        settled.append(materialize(matches(_named(still, "a_").join(_named(pivots, "b_"), F.col("a_word") == F.col("b_word"))), "settled"))
+    still = rows
+    for one in settled:
+        still = still.join(one, "node", "left_anti")
+    rest = matches(_named(still, "a_").join(_named(rows, "b_"), F.col("a_word") == F.col("b_word")))
+    return rest.unionByName(settled[0]).unionByName(settled[1])
+
+
+def text_key(text: Column) -> Column:
+    """With the id, what tells documents apart."""
+    return F.xxhash64(text)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document id: ``n_lines``, ``n_removed`` and ``removed`` (numbers of the
-    lines that go, from 0, ascending). ``without_lines`` makes the texts.
-
-    Lines without words always stay. Null texts have no lines. Null ids are one id, before all
-    others. Of rows that share an id, lines at equal places and with equal words count as one.
+    """One row for each document: its id, ``text_key``, ``n_rows``, ``n_lines``, ``n_removed`` and ``removed``
+    (numbers of the lines that go, from 0, ascending). ``without_lines`` makes the texts.
+
+    Lines without words always stay. Null texts have no lines. Documents are ordered by id (null
+    first), then by ``text_key``: documents that share an id, or have none, are judged each on its own.
+    Rows that repeat both id and text are one document, ``n_rows`` of them; all but one
+    lose their lines. Equal sets are told by 128 bits of their words' hashes; similar ones are
+    compared word by word.
     """
     t = threshold
-    base = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
+    text = F.col(quoted(text_col)).cast("string")
+    base = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text"))
     levels = cell_levels(base)
-    lines = base.select("_id", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    ranked = lines.select("_id", "line_no", rarity_order(F.col("line"), levels).alias("ranks"))
-    signature, more = _signature("ranks", 0), _signature("ranks", 1)
-    length = F.size("ranks")
-    prefix = F.slice("ranks", F.lit(1), (length - F.ceil(length * t - 1e-9) + 1).cast("int"))
-    none = F.array().cast("array<bigint>")
-    found = ranked.select("_id", "line_no", F.xxhash64("ranks").alias("node"), signature.alias("sig"), more.alias("sig2"), length.alias("n"), F.when(length > 0, prefix).otherwise(none).alias("prefix"))
+    lines = base.select("id", text_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    ranked = lines.select("id", "key", "line_no", rarity_order(F.col("line"), levels).alias("ranks")).where(F.size("ranks") > 0)
+    found = ranked.select(
+        "id",
+        "key",
+        "line_no",
+        F.xxhash64("ranks").alias("node"),
+        F.xxhash64(F.lit(1), "ranks").alias("node2"),
+        _parity(F.col("ranks")).alias("sig"),
+        F.size("ranks").alias("n"),
+        # low bits of the hash name the word
+        F.transform(F.slice("ranks", F.lit(1), _prefix_size(F.size("ranks"), t)), lambda r: r.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
+    )
     found = materialize(found, "lines")
-    rows = found.select("node", "sig", "sig2", "n", F.posexplode("prefix").alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
-    # both sides are the same exchange by word
-    a, b = _named(rows, "a_"), _named(rows, "b_").hint("merge")
-    other = (F.col("a_node") != F.col("b_node")) | (F.col("a_sig") != F.col("b_sig"))
-    some = a.join(b, (F.col("a_word") == F.col("b_word")) & other & _possible("a_", "b_", t), "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in ("node", "sig", "sig2")])
-    some = materialize(some.distinct(), "candidates")
-    firsts = found.where("n > 0").groupBy("node", "sig").agg(F.min(F.struct("_id", "line_no")).alias("first"), F.count("*").alias("times"))
-    firsts = materialize(firsts, "firsts")
-    wanted = firsts.join(some, ["node", "sig"]).select(F.col("first._id").alias("_w"), F.struct(F.col("first.line_no").alias("no"), "node", "sig", "sig2").alias("s"))
-    wanted = wanted.groupBy("_w").agg(F.collect_list("s").alias("spots"))
-    texts = base.join(wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("_w"))).select("_id", F.split("_text", "\n").alias("all"), F.explode("spots").alias("s"))
-    fetched = texts.where(F.col("s.no") < F.size("all")).select("_id", "s.*", F.get("all", F.col("s.no")).alias("line"))
-    sets = fetched.select("node", "sig", "sig2", F.struct("_id", F.col("no").alias("line_no")).alias("first"), rarity_order(F.col("line"), levels).alias("ranks"))
-    sets = sets.where(F.xxhash64("ranks") == F.col("node")).select("node", "sig", "sig2", F.size("ranks").alias("n"), "ranks", "first").dropDuplicates(["node", "sig"])
-    later = similar_lines(materialize(sets, "sets"), t).withColumn("_similar", F.lit(True))
-    judged = firsts.join(later, ["node", "sig"], "left").where("times > 1 or _similar").select("node", "sig", "first", F.coalesce("_similar", F.lit(False)).alias("_similar"))
-    spots = found.where("n > 0").join(judged, ["node", "sig"])
-    goes = spots.where(F.col("_similar") | ~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("line_no") == F.col("first.line_no"))))
-    gone = goes.groupBy("_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")).withColumnRenamed("_id", "_of")
-    sizes = found.groupBy("_id").agg(F.countDistinct("line_no").alias("n_lines"))
-    ids = docs.select(F.col(quoted(id_col)).alias("_id")).distinct()
-    out = ids.join(sizes.withColumnRenamed("_id", "_s"), F.col("_id").eqNullSafe(F.col("_s")), "left").join(gone, F.col("_id").eqNullSafe(F.col("_of")), "left")
+    place = F.struct("id", "key", "line_no")
+    nodes = found.groupBy("node", "node2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = materialize(nodes, "nodes")
+    some = materialize(with_partner(nodes, t), "partners")
+    near = materialize(nodes.join(some, "node", "left_semi"), "near")
+    spots = near.select("node", "node2", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"), F.col("first.line_no").alias("_no"))
+    here = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("line_no") == F.col("_no"))
+    fetched = lines.join(spots.hint("merge"), here).select("node", "node2", F.array_distinct(F.array_remove(words_of(F.col("line")), "")).alias("words"))
+    sets = near.join(fetched.dropDuplicates(["node", "node2"]), ["node", "node2"]).select("node", "sig", "n", "prefix", "first", "words")
+    sets = materialize(sets, "sets")
+    similar = materialize(similar_nodes(sets, t).distinct(), "similar").withColumn("similar", F.lit(True))
+    judged = nodes.join(similar, "node", "left").where("times > 1 or similar").select("node", "node2", "first", "times", F.coalesce("similar", F.lit(False)).alias("similar"))
+    judged = materialize(judged, "judged")
+    discard(near, some, sets)
+    every = found.select("id", "key", "line_no", "node", "node2")
+    many = found.count()
+    heavy, rare = judged.where(F.col("times") * HEAVY > many), judged.where(F.col("times") * HEAVY <= many)
+    met = every.join(F.broadcast(heavy), ["node", "node2"]).unionByName(every.join(rare, ["node", "node2"]))
+    of_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")) & (F.col("line_no") == F.col("first.line_no"))
+    gone = met.where(F.col("similar") | ~of_first).groupBy("id", "key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    listed = docs.select(F.col(quoted(id_col)).alias("_id"), text_key(text).alias("text_key"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"), text.isNull().alias("none"))
+    listed = listed.groupBy("_id", "text_key").agg(F.count("*").alias("n_rows"), F.max(F.when(F.col("none"), 0).otherwise(F.col("n_lines"))).cast("long").alias("n_lines"))
+    out = listed.join(gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(F.col("_id").alias(id_col), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
-
-
-def _signature(ranks: str, half: int) -> Column:
-    return F.aggregate(ranks, F.lit(0).cast("long"), lambda a, r: a.bitwiseOR(_bit(r, half)))
-
-
-def _bit(rank: Column, half: int) -> Column:
-    """The word's bit of 128, if it is in this half."""
-    here = F.shiftright(rank, 6).bitwiseAND(F.lit(1)) == half
-    return F.when(here, F.call_function("shiftleft", F.lit(1).cast("long"), rank.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return out.select(F.col("_id").alias(id_col), "text_key", "n_rows", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_lines(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the texts that are left when the lines listed in ``removed`` go."""
-    gone = judged.select(F.col(quoted(id_col)).alias("_of"), F.col("removed").alias("_gone")).where(F.size("_gone") > 0)
-    joined = docs.join(gone, F.col(quoted(id_col)).eqNullSafe(F.col("_of")), "left")
+    """docs with the texts that are left when the lines listed in ``removed`` go; of rows
+    that repeat id and text all but one keep only their lines without words."""
+    of, key, gone, rows, nth = (fresh(x, docs) for x in ("_of", "_key", "_gone", "_rows", "_nth"))
+    touched = judged.where("n_removed > 0 or n_rows > 1")
+    touched = touched.select(F.col(quoted(id_col)).alias(of), F.col("text_key").alias(key), F.col("removed").alias(gone), F.col("n_rows").alias(rows))
     text = F.col(quoted(text_col))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), text).otherwise(kept)).drop("_of", "_gone")
+    joined = docs.join(touched, F.col(quoted(id_col)).eqNullSafe(F.col(of)) & (text_key(text.cast("string")) == F.col(key)), "left")
+    lines = F.split(text, "\n")
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n")
+    bare = F.array_join(F.filter(lines, lambda line: F.size(F.array_remove(words_of(line), "")) == 0), "\n")
+    single = joined.where(F.coalesce(rows, F.lit(1)) == 1).withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(kept))
+    again = joined.where(F.col(rows) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(of, key).orderBy(key)))
+    again = again.withColumn(text_col, F.when(F.col(nth) == 1, kept).otherwise(bare)).drop(nth)
+    return single.unionByName(again).drop(of, key, gone, rows)
