@@ -3,10 +3,10 @@
 A line is the set of its words; equal sets are one node from the start. Words are
 ordered by rarity, and a line's prefix are its rarest words: two lines at the threshold
 share one of them. Prefix words are the join's key; the length filter, the positional
-filter and a parity filter (bits that differ in 64-bit signatures, of which each word
-flips one, bound the words that differ) drop pairs that cannot reach the threshold. A
+filter and a parity filter (bits that differ in signatures, of which each word flips
+one, bound the words that differ) drop pairs that cannot reach the threshold. A
 semi-join keeps the nodes with some partner left, so its result does not grow with the
-pairs. Only their texts are fetched, and Jaccard similarity over the words themselves
+pairs. Only their texts are fetched, and Jaccard similarity over all their words
 decides: first against the earliest node of each prefix word, then against a drawn one,
 which settles nearly all members of large groups, then the nodes still open against all.
 A line goes if some earlier line (by document, then place) matches it.
@@ -50,17 +50,30 @@ def cell_levels(texts: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(levels)), "array<bigint>")
 
 
+def word_hashes(line: Column) -> Column:
+    """A line's distinct words by their 64-bit hashes."""
+    return F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
+
+
 def rarity_order(line: Column, levels: Column) -> Column:
     """A line's distinct words as numbers in the order of rarity: level of the cell, then 53 bits of hash."""
-    hashes = F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
-    ranked = F.transform(hashes, lambda h: F.shiftleft(F.get(levels, _cell(h)), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))))
+    ranked = F.transform(word_hashes(line), lambda h: F.shiftleft(F.get(levels, _cell(h)), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))))
     return F.sort_array(ranked)
 
 
-def _parity(ranks: Column) -> Column:
-    """64 bits, of which each word flips one."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(ranks, F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(r, 31).bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(hashes: Column, part: int | None = None) -> Column:
+    """64 bits, of which each word flips one; if ``part`` is given, these are a quarter of 256 bits, and words of other quarters flip none."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def bit(h: Column) -> Column:
+        at = F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+        return at if part is None else F.when(F.shiftright(h, 6).bitwiseAND(F.lit(3)) == part, at).otherwise(none)
+
+    return F.aggregate(hashes, none, lambda a, h: a.bitwiseXOR(bit(h)))
+
+
+#: A signature of 256 bits of the nodes whose texts are fetched, beside the one that all have.
+WIDE = ("wide0", "wide1", "wide2", "wide3")
 
 
 def _need(n_a: Column, n_b: Column, t: float) -> Column:
@@ -77,37 +90,39 @@ def _named(df: DataFrame, side: str) -> DataFrame:
 
 
 def postings(nodes: DataFrame, *more: str) -> DataFrame:
-    """A row for each prefix word of each node: word, node, sig, n and pos (from 1)."""
-    rows = nodes.select("node", "sig", "n", *more, F.posexplode("prefix").alias("pos", "word"))
-    return rows.withColumn("pos", F.col("pos") + 1)
+    """A row for each prefix word of each node: word, node, ``at`` (words of the node, and the word's place from 1, 32 bits each) and more columns."""
+    rows = nodes.select("node", "n", *more, F.posexplode("prefix").alias("pos", "word"))
+    return rows.select("word", "node", *more, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") + 1).alias("at"))
 
 
-def _possible(t: float) -> Column:
+def _possible(t: float, signature: tuple[str, ...] = ("sig",)) -> Column:
     """Length, parity and positional filters on two postings of one word, a and b."""
-    na, nb, pa, pb = (F.col(c) for c in ("a_n", "b_n", "a_pos", "b_pos"))
+    na, nb = (F.shiftright(c, 32) for c in ("a_at", "b_at"))
+    pa, pb = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("a_at", "b_at"))
     need = _need(na, nb, t)
     length = F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9
-    parity = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= na + nb - 2 * need
+    differ = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in signature)
+    parity = differ <= na + nb - 2 * need
     positional = F.least(pa, pb) + F.least(na - pa, nb - pb) >= need
     return length & parity & positional
 
 
 def with_partner(nodes: DataFrame, t: float) -> DataFrame:
     """(node): those that some other node may match by the filters. Both sides of the join are one exchange by word."""
-    rows = postings(nodes)
+    rows = postings(nodes, "sig")
     a, b = _named(rows, "a_"), _named(rows, "b_").hint("merge")
     met = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_node") != F.col("b_node")) & _possible(t), "left_semi")
     return met.select(F.col("a_node").alias("node")).distinct()
 
 
 def similar_nodes(sets: DataFrame, t: float) -> DataFrame:
-    """Of (node, sig, n, prefix, first, words) the nodes with an earlier one at or above t."""
-    rows = postings(sets, "first")
+    """Of (node, WIDE, n, prefix, first, words) the nodes with an earlier one at or above t."""
+    rows = postings(sets, *WIDE, "first")
     words = sets.select("node", "n", "words")
 
     def matches(pairs: DataFrame) -> DataFrame:
         """The later nodes (a) of those pairs that reach t."""
-        pairs = pairs.where(F.col("a_first") > F.col("b_first")).where(_possible(t)).select("a_node", "b_node").distinct()
+        pairs = pairs.where(F.col("a_first") > F.col("b_first")).where(_possible(t, WIDE)).select("a_node", "b_node").distinct()
         both = pairs.join(_named(words, "a_"), "a_node").join(_named(words, "b_"), "b_node")
         shared = F.size(F.array_intersect("a_words", "b_words"))
         return both.where(shared >= _need(F.col("a_n"), F.col("b_n"), t)).select(F.col("a_node").alias("node")).distinct()
@@ -117,7 +132,7 @@ def similar_nodes(sets: DataFrame, t: float) -> DataFrame:
         still = rows
         for one in settled:
             still = still.join(one, "node", "left_anti")
-        pivots = rows.groupBy("word").agg(F.min_by(F.struct("node", "sig", "n", "pos", "first"), order).alias("p")).select("word", "p.*")
+        pivots = rows.groupBy("word").agg(F.min_by(F.struct("node", *WIDE, "at", "first"), order).alias("p")).select("word", "p.*")
         settled.append(materialize(matches(_named(still, "a_").join(_named(pivots, "b_"), F.col("a_word") == F.col("b_word"))), "settled"))
     still = rows
     for one in settled:
@@ -138,15 +153,15 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     Lines without words always stay. Null texts have no lines. Documents are ordered by id (null
     first), then by ``text_key``: documents that share an id, or have none, are judged each on its own.
     Rows that repeat both id and text are one document, ``n_rows`` of them; all but one
-    lose their lines. Equal sets are told by 128 bits of their words' hashes; similar ones are
-    compared word by word.
+    lose their lines. Words are compared by 64-bit hashes, within two lines at a time; equal sets
+    are told by two hashes of these.
     """
     t = threshold
     text = F.col(quoted(text_col)).cast("string")
     base = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text"))
     levels = cell_levels(base)
     lines = base.select("id", text_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    ranked = lines.select("id", "key", "line_no", rarity_order(F.col("line"), levels).alias("ranks")).where(F.size("ranks") > 0)
+    ranked = lines.where(F.trim("line") != "").select("id", "key", "line_no", rarity_order(F.col("line"), levels).alias("ranks"))
     found = ranked.select(
         "id",
         "key",
@@ -156,9 +171,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
         _parity(F.col("ranks")).alias("sig"),
         F.size("ranks").alias("n"),
         # low bits of the hash name the word
-        F.transform(F.slice("ranks", F.lit(1), _prefix_size(F.size("ranks"), t)), lambda r: r.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
+        F.transform(F.slice("ranks", F.lit(1), F.when(F.size("ranks") > 0, _prefix_size(F.size("ranks"), t)).otherwise(0)), lambda r: r.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
     )
-    found = materialize(found, "lines")
+    found = materialize(found, "lines").where("n > 0")
     place = F.struct("id", "key", "line_no")
     nodes = found.groupBy("node", "node2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "nodes")
@@ -166,8 +181,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     near = materialize(nodes.join(some, "node", "left_semi"), "near")
     spots = near.select("node", "node2", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"), F.col("first.line_no").alias("_no"))
     here = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("line_no") == F.col("_no"))
-    fetched = lines.join(spots.hint("merge"), here).select("node", "node2", F.array_distinct(F.array_remove(words_of(F.col("line")), "")).alias("words"))
-    sets = near.join(fetched.dropDuplicates(["node", "node2"]), ["node", "node2"]).select("node", "sig", "n", "prefix", "first", "words")
+    fetched = lines.join(spots.hint("merge"), here).select("node", "node2", word_hashes(F.col("line")).alias("words"))
+    wide = [_parity(F.col("words"), i).alias(c) for i, c in enumerate(WIDE)]
+    sets = near.join(fetched.dropDuplicates(["node", "node2"]), ["node", "node2"]).select("node", *wide, "n", "prefix", "first", "words")
     sets = materialize(sets, "sets")
     similar = materialize(similar_nodes(sets, t).distinct(), "similar").withColumn("similar", F.lit(True))
     judged = nodes.join(similar, "node", "left").where("times > 1 or similar").select("node", "node2", "first", "times", F.coalesce("similar", F.lit(False)).alias("similar"))
