@@ -142,6 +142,7 @@ for _range in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_BYTE = _VALUE
 _VALUE = _VALUE[np.frombuffer(LOWER, np.uint8)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,6 +154,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def run_hashes(data: np.ndarray, inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the runs of bytes marked ``inside``; runs end where a text of offsets ``at`` does."""
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cut = at[:-1][at[:-1] < len(inside)]
+    first[cut] = inside[cut]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    held = np.flatnonzero(inside)
+    begin = np.searchsorted(held, starts)
+    lens = np.diff(np.append(begin, len(held)))
+    powers = np.full(int(lens.max()), _STEP)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    value = _BYTE[data[held]] * powers[held - np.repeat(starts, lens)]
+    return starts, mix64(np.add.reduceat(value, begin) + lens.astype(np.uint64))
+
+
 class Words:
     """The words of some texts: starts and ends in the byte buffer, the word range of each text, and hashes."""
 

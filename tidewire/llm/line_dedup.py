@@ -1,4 +1,4 @@
-"""Line deduplication: an exact set-similarity join in DataFrame functions only.
+"""Line deduplication: an exact set-similarity join.
 
 A line is the set of its words; equal sets are one node from the start. Words are
 ordered by rarity, and a line's prefix are its rarest words: two lines at the threshold
@@ -10,133 +10,217 @@ pairs. Only their texts are fetched, and Jaccard similarity over all their words
 decides: first against the earliest node of each prefix word, then against a drawn one,
 which settles nearly all members of large groups, then the nodes still open against all.
 A line goes if some earlier line (by document, then place) matches it.
+
+Words are cut and hashed in Arrow batches; joins and grouping are DataFrame functions. With DataFrame
+functions alone the same plan took two to three times its budget of CPU seconds, as higher-order
+functions are interpreted word by word (figures in the README).
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewire.llm.common import discard, fresh, materialize, quoted
+from tidewire.llm.common import byte_view, discard, fresh, materialize, mix64, quoted, run_hashes, slices
 
 #: Word counts are kept in this many cells, whatever the vocabulary; words that share a cell share a count.
-CELLS = 1 << 16
+CELLS = 1 << 17
 #: Nodes with more than one in HEAVY of all lines, fewer than HEAVY of them, are broadcast to the lines.
 HEAVY = 4096
-_HASH_BITS = 53
-
-
-def words_of(text: Column) -> Column:
-    """What stands between blanks, in lower case; empty words where blanks meet."""
-    low = F.lower(text)
-    for blank in "\t\r\f\v":
-        low = F.replace(low, F.lit(blank), F.lit(" "))
-    return F.split(low, " ")
-
-
-def _cell(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(CELLS - 1)).cast("int")
-
-
-def cell_levels(texts: DataFrame) -> Column:
-    """How often words of each cell occur, in quarters of a power of two, as one constant of CELLS numbers."""
-    words = texts.select(F.explode(words_of(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
-    counted = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count("*").alias("n"))
-    levels = [0] * CELLS
-    for cell, level in counted.select("cell", F.ceil(F.log2("n") * 4).cast("int")).collect():  # at most CELLS rows
-        levels[cell] = level
-    return F.from_json(F.lit(json.dumps(levels)), "array<bigint>")
-
-
-def word_hashes(line: Column) -> Column:
-    """A line's distinct words by their 64-bit hashes."""
-    return F.array_distinct(F.transform(F.array_remove(words_of(line), ""), lambda w: F.xxhash64(w)))
-
-
-def rarity_order(line: Column, levels: Column) -> Column:
-    """A line's distinct words as numbers in the order of rarity: level of the cell, then 53 bits of hash."""
-    ranked = F.transform(word_hashes(line), lambda h: F.shiftleft(F.get(levels, _cell(h)), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))))
-    return F.sort_array(ranked)
-
-
-def _parity(hashes: Column, part: int | None = None) -> Column:
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\r\f\v\n")] = True
+
+
+class Lines:
+    """The lines of some texts and the words on them (between blanks, in lower case) by 64-bit hashes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        base = int(offsets[0])
+        part, at = data[base : int(offsets[-1])], offsets - base
+        ends = np.flatnonzero(part == 0x0A)
+        # a text has a line more than line ends; lines are numbered over all texts
+        first = np.searchsorted(ends, at[:-1]) + np.arange(len(at) - 1)
+        self.row = np.repeat(np.arange(len(at) - 1), np.diff(np.append(first, len(ends) + len(at) - 1)))
+        self.number = np.arange(len(self.row)) - first[self.row]
+        inside = ~_BLANK[part]
+        starts, self.hashes = run_hashes(part, inside, at)
+        self.line = np.searchsorted(ends, starts) + np.searchsorted(at, starts, "right") - 1
+
+    def ranked(self, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, hash) of each line's distinct words, the rarest first."""
+        h, line = self.hashes, self.line
+        level = levels[(h & np.uint64(CELLS - 1)).astype(np.int64)]
+        if len(self.row) < 1 << 20:
+            order = np.argsort(line.astype(np.uint64) << np.uint64(44) | level.astype(np.uint64) << np.uint64(36) | h >> np.uint64(28))
+        else:
+            order = np.lexsort((h >> np.uint64(28), level, line))
+        h, line = h[order], line[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        return line[new], h[new]
+
+
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return byte_view(pc.utf8_lower(texts))
+
+
+def cell_levels(texts: DataFrame) -> np.ndarray:
+    """How often words of each cell occur, in quarters of a power of two: CELLS numbers."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            offsets, data = lowered(batch.column(0))
+            for lo, hi in slices(offsets):
+                cells = Lines(data, offsets[lo : hi + 1]).hashes & np.uint64(CELLS - 1)
+                total += np.bincount(cells.astype(np.int64), minlength=CELLS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["cell", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = counted.select("cell", F.ceil(F.log2("n") * 4).cast("int").alias("level")).toArrow()  # at most CELLS rows
+    levels = np.zeros(CELLS, np.uint8)
+    levels[found["cell"].to_numpy()] = found["level"].to_numpy()
+    return levels
+
+
+def _parity(h: np.ndarray, starts: np.ndarray, part: int | None = None) -> np.ndarray:
     """64 bits, of which each word flips one; if ``part`` is given, these are a quarter of 256 bits, and words of other quarters flip none."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-
-    def bit(h: Column) -> Column:
-        at = F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
-        return at if part is None else F.when(F.shiftright(h, 6).bitwiseAND(F.lit(3)) == part, at).otherwise(none)
-
-    return F.aggregate(hashes, none, lambda a, h: a.bitwiseXOR(bit(h)))
+    bit = np.uint64(1) << (h & np.uint64(63))
+    if part is not None:
+        bit = np.where((h >> np.uint64(6)) & np.uint64(3) == part, bit, np.uint64(0))
+    return np.bitwise_xor.reduceat(bit, starts).view(np.int64)
 
 
 #: A signature of 256 bits of the nodes whose texts are fetched, beside the one that all have.
 WIDE = ("wide0", "wide1", "wide2", "wide3")
 
 
+def prefix_sizes(n: np.ndarray, t: float) -> np.ndarray:
+    return n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
+
+
+def line_sets(docs: DataFrame, levels: np.ndarray, t: float) -> DataFrame:
+    """(id, key, line_no, node, node2, sig, n, prefix) of each line with words, from (id, key, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    fields = [("line_no", pa.int32()), ("node", pa.int64()), ("node2", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int32()))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = lowered(batch.column(2))
+            for lo, hi in slices(offsets):
+                lines = Lines(data, offsets[lo : hi + 1])
+                line, h = lines.ranked(shared.value)
+                if not len(h):
+                    continue
+                starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+                n = np.diff(np.append(starts, len(h)))
+                place = np.arange(len(h)) - np.repeat(starts, n)
+                sizes = prefix_sizes(n, t)
+                prefix = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), (h[place < np.repeat(sizes, n)] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                node, node2 = (np.add.reduceat(mix64(h ^ np.uint64(seed)), starts).view(np.int64) for seed in (1, 0x5DEECE66D))
+                at = line[starts]
+                rows = pa.array(lines.row[at] + lo)
+                columns = [lines.number[at].astype(np.int32), node, node2, _parity(h, starts), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, columns), prefix], names=["id", "key", *(f for f, _ in fields)])
+
+    kind = T.StructType([docs.schema["id"], docs.schema["key"], *(T.StructField(f, T.LongType() if k == pa.int64() else T.IntegerType() if k == pa.int32() else T.ArrayType(T.IntegerType())) for f, k in fields)])
+    return docs.select("id", "key", "text").mapInArrow(run, kind)
+
+
+def line_words(lines: DataFrame) -> DataFrame:
+    """(node, node2, words, WIDE) from (node, node2, line): the distinct words' hashes, 8 bytes each, and signatures."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(CELLS, np.uint8)
+        for batch in batches:
+            offsets, data = lowered(batch.column(2))
+            for lo, hi in slices(offsets):
+                line, h = Lines(data, offsets[lo : hi + 1]).ranked(none)
+                starts = np.searchsorted(line, np.arange(hi - lo))  # each has words
+                edges = np.append(starts, len(h)) * 8
+                words = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words, *(pa.array(_parity(h, starts, i)) for i in range(len(WIDE)))], names=["node", "node2", "words", *WIDE])
+
+    return lines.select("node", "node2", "line").mapInArrow(run, "node long, node2 long, words binary, " + ", ".join(f"{c} long" for c in WIDE))
+
+
 def _need(n_a: Column, n_b: Column, t: float) -> Column:
     """Words that two lines at the threshold share at least."""
     return F.ceil((n_a + n_b) * F.lit(t / (1 + t)) - 1e-9)
 
 
-def _prefix_size(n: Column, t: float) -> Column:
-    return (n - F.ceil(n * F.lit(t) - 1e-9) + 1).cast("int")
-
-
 def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}{c}") for c in df.columns])
 
 
 def postings(nodes: DataFrame, *more: str) -> DataFrame:
-    """A row for each prefix word of each node: word, node, ``at`` (words of the node, and the word's place from 1, 32 bits each) and more columns."""
-    rows = nodes.select("node", "n", *more, F.posexplode("prefix").alias("pos", "word"))
-    return rows.select("word", "node", *more, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") + 1).alias("at"))
+    """A row for each prefix word of each node: word, node, sig, ``at`` (words of the node, and the word's place from 1, 32 bits each) and more columns."""
+    rows = nodes.select("node", "sig", "n", *more, F.posexplode("prefix").alias("pos", "word"))
+    return rows.select("word", "node", "sig", *more, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") + 1).alias("at"))
 
 
-def _possible(t: float, signature: tuple[str, ...] = ("sig",)) -> Column:
+def _differ(*signature: str) -> Column:
+    return sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in signature)
+
+
+def _possible(t: float) -> Column:
     """Length, parity and positional filters on two postings of one word, a and b."""
     na, nb = (F.shiftright(c, 32) for c in ("a_at", "b_at"))
-    pa, pb = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("a_at", "b_at"))
+    pa_, pb = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("a_at", "b_at"))
     need = _need(na, nb, t)
     length = F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9
-    differ = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in signature)
-    parity = differ <= na + nb - 2 * need
-    positional = F.least(pa, pb) + F.least(na - pa, nb - pb) >= need
-    return length & parity & positional
+    positional = F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= need
+    return length & (_differ("sig") <= na + nb - 2 * need) & positional
 
 
 def with_partner(nodes: DataFrame, t: float) -> DataFrame:
     """(node): those that some other node may match by the filters. Both sides of the join are one exchange by word."""
-    rows = postings(nodes, "sig")
+    rows = postings(nodes)
     a, b = _named(rows, "a_"), _named(rows, "b_").hint("merge")
     met = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_node") != F.col("b_node")) & _possible(t), "left_semi")
     return met.select(F.col("a_node").alias("node")).distinct()
 
 
+def reaching(pairs: DataFrame, t: float) -> DataFrame:
+    """(node): the later nodes (a) of pairs of sets that reach t."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(i)] for i in (1, 2)]
+            match = []
+            for a, b in zip(*sets, strict=True):
+                shared = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
+                match.append(shared >= np.ceil((len(a) + len(b)) * (t / (1 + t)) - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(match, pa.bool_()))], names=["node"])
+
+    return pairs.select("a_node", "a_words", "b_words").mapInArrow(run, "node long").distinct()
+
+
 def similar_nodes(sets: DataFrame, t: float) -> DataFrame:
-    """Of (node, WIDE, n, prefix, first, words) the nodes with an earlier one at or above t."""
-    rows = postings(sets, *WIDE, "first")
-    words = sets.select("node", "n", "words")
+    """Of (node, sig, WIDE, n, prefix, first, words) the nodes with an earlier one at or above t."""
+    rows = postings(sets)
+    light, words = sets.select("node", "n", "first", *WIDE), sets.select("node", "words")
 
     def matches(pairs: DataFrame) -> DataFrame:
-        """The later nodes (a) of those pairs that reach t."""
-        pairs = pairs.where(F.col("a_first") > F.col("b_first")).where(_possible(t, WIDE)).select("a_node", "b_node").distinct()
-        both = pairs.join(_named(words, "a_"), "a_node").join(_named(words, "b_"), "b_node")
-        shared = F.size(F.array_intersect("a_words", "b_words"))
-        return both.where(shared >= _need(F.col("a_n"), F.col("b_n"), t)).select(F.col("a_node").alias("node")).distinct()
+        pairs = pairs.where((F.col("a_node") != F.col("b_node")) & _possible(t)).select("a_node", "b_node").distinct()
+        both = pairs.join(_named(light, "a_"), "a_node").join(_named(light, "b_"), "b_node")
+        room = F.col("a_n") + F.col("b_n") - 2 * _need(F.col("a_n"), F.col("b_n"), t)
+        both = both.where((F.col("a_first") > F.col("b_first")) & (_differ(*WIDE) <= room)).select("a_node", "b_node")
+        return reaching(both.join(_named(words, "a_"), "a_node").join(_named(words, "b_"), "b_node"), t)
 
-    settled = []
+    settled, still = [], rows
     for order in (F.col("first"), F.xxhash64("first")):
-        still = rows
-        for one in settled:
-            still = still.join(one, "node", "left_anti")
-        pivots = rows.groupBy("word").agg(F.min_by(F.struct("node", *WIDE, "at", "first"), order).alias("p")).select("word", "p.*")
+        pivots = postings(sets, "first").groupBy("word").agg(F.min_by(F.struct("node", "sig", "at"), order).alias("p")).select("word", "p.*")
         settled.append(materialize(matches(_named(still, "a_").join(_named(pivots, "b_"), F.col("a_word") == F.col("b_word"))), "settled"))
-    still = rows
-    for one in settled:
-        still = still.join(one, "node", "left_anti")
+        still = still.join(settled[-1], "node", "left_anti")
     rest = matches(_named(still, "a_").join(_named(rows, "b_"), F.col("a_word") == F.col("b_word")))
     return rest.unionByName(settled[0]).unionByName(settled[1])
 
@@ -154,26 +238,12 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     first), then by ``text_key``: documents that share an id, or have none, are judged each on its own.
     Rows that repeat both id and text are one document, ``n_rows`` of them; all but one
     lose their lines. Words are compared by 64-bit hashes, within two lines at a time; equal sets
-    are told by two hashes of these.
+    are told by two sums of these, scrambled.
     """
     t = threshold
     text = F.col(quoted(text_col)).cast("string")
-    base = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text"))
-    levels = cell_levels(base)
-    lines = base.select("id", text_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    ranked = lines.where(F.trim("line") != "").select("id", "key", "line_no", rarity_order(F.col("line"), levels).alias("ranks"))
-    found = ranked.select(
-        "id",
-        "key",
-        "line_no",
-        F.xxhash64("ranks").alias("node"),
-        F.xxhash64(F.lit(1), "ranks").alias("node2"),
-        _parity(F.col("ranks")).alias("sig"),
-        F.size("ranks").alias("n"),
-        # low bits of the hash name the word
-        F.transform(F.slice("ranks", F.lit(1), F.when(F.size("ranks") > 0, _prefix_size(F.size("ranks"), t)).otherwise(0)), lambda r: r.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
-    )
-    found = materialize(found, "lines").where("n > 0")
+    base = docs.select(F.col(quoted(id_col)).alias("id"), text_key(text).alias("key"), text.alias("text"))
+    found = materialize(line_sets(base, cell_levels(base), t), "lines")
     place = F.struct("id", "key", "line_no")
     nodes = found.groupBy("node", "node2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "nodes")
@@ -181,9 +251,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     near = materialize(nodes.join(some, "node", "left_semi"), "near")
     spots = near.select("node", "node2", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"), F.col("first.line_no").alias("_no"))
     here = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("line_no") == F.col("_no"))
-    fetched = lines.join(spots.hint("merge"), here).select("node", "node2", word_hashes(F.col("line")).alias("words"))
-    wide = [_parity(F.col("words"), i).alias(c) for i, c in enumerate(WIDE)]
-    sets = near.join(fetched.dropDuplicates(["node", "node2"]), ["node", "node2"]).select("node", *wide, "n", "prefix", "first", "words")
+    lines = base.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    fetched = lines.join(spots.hint("merge"), here).dropDuplicates(["node", "node2"])
+    sets = near.join(line_words(fetched), ["node", "node2"]).select("node", "sig", "n", "prefix", "first", "words", *WIDE)
     sets = materialize(sets, "sets")
     similar = materialize(similar_nodes(sets, t).distinct(), "similar").withColumn("similar", F.lit(True))
     judged = nodes.join(similar, "node", "left").where("times > 1 or similar").select("node", "node2", "first", "times", F.coalesce("similar", F.lit(False)).alias("similar"))
@@ -212,7 +282,7 @@ def without_lines(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", te
     joined = docs.join(touched, F.col(quoted(id_col)).eqNullSafe(F.col(of)) & (text_key(text.cast("string")) == F.col(key)), "left")
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n")
-    bare = F.array_join(F.filter(lines, lambda line: F.size(F.array_remove(words_of(line), "")) == 0), "\n")
+    bare = F.array_join(F.filter(lines, lambda line: ~F.regexp_like(line, F.lit(r"[^ \t\r\f\x0B]"))), "\n")
     single = joined.where(F.coalesce(rows, F.lit(1)) == 1).withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(kept))
     again = joined.where(F.col(rows) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(of, key).orderBy(key)))
     again = again.withColumn(text_col, F.when(F.col(nth) == 1, kept).otherwise(bare)).drop(nth)
