@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,7 +143,6 @@ for _range in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = (_rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_BYTE = _VALUE
 _VALUE = _VALUE[np.frombuffer(LOWER, np.uint8)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -154,6 +154,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bytes of a run that are hashed eight at a time over all runs; longer ones are hashed whole, one by one.
+LONG_RUN = 256
+_LEADING = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 def run_hashes(data: np.ndarray, inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and 64-bit hashes of the runs of bytes marked ``inside``; runs end where a text of offsets ``at`` does."""
     first = inside.copy()
@@ -163,14 +168,21 @@ def run_hashes(data: np.ndarray, inside: np.ndarray, at: np.ndarray) -> tuple[np
     starts = np.flatnonzero(first)
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
-    held = np.flatnonzero(inside)
-    begin = np.searchsorted(held, starts)
-    lens = np.diff(np.append(begin, len(held)))
-    powers = np.full(int(lens.max()), _STEP)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    value = _BYTE[data[held]] * powers[held - np.repeat(starts, lens)]
-    return starts, mix64(np.add.reduceat(value, begin) + lens.astype(np.uint64))
+    last = inside.copy()
+    last[:-1] &= first[1:] | ~inside[1:]
+    lens = np.flatnonzero(last) + 1 - starts
+    # eight bytes at a time, from any place on
+    eight = np.ndarray((len(data),), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    out = mix64((eight[starts] & _LEADING[np.minimum(lens, 8)]) + lens.astype(np.uint64) * _STEP)
+    more, at_byte = np.flatnonzero(lens > 8), 8
+    while len(more) and at_byte < LONG_RUN:
+        left = np.minimum(lens[more] - at_byte, 8)
+        out[more] = mix64(out[more] * _STEP + (eight[starts[more] + at_byte] & _LEADING[left]))
+        at_byte += 8
+        more = more[lens[more] > at_byte]
+    for i in more.tolist():
+        out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lens[i]].tobytes()))
+    return starts, out
 
 
 class Words:

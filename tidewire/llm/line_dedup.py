@@ -135,21 +135,23 @@ def line_sets(docs: DataFrame, levels: np.ndarray, t: float) -> DataFrame:
 
 
 def line_words(lines: DataFrame) -> DataFrame:
-    """(node, node2, words, WIDE) from (node, node2, line): the distinct words' hashes, 8 bytes each, and signatures."""
+    """Puts ``words`` (the distinct words' hashes, 8 bytes each) and WIDE in the place of ``line``, the last column."""
+    kept = lines.columns[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(CELLS, np.uint8)
         for batch in batches:
-            offsets, data = lowered(batch.column(2))
+            offsets, data = lowered(batch.column(len(kept)))
             for lo, hi in slices(offsets):
                 line, h = Lines(data, offsets[lo : hi + 1]).ranked(none)
                 starts = np.searchsorted(line, np.arange(hi - lo))  # each has words
                 edges = np.append(starts, len(h)) * 8
                 words = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words, *(pa.array(_parity(h, starts, i)) for i in range(len(WIDE)))], names=["node", "node2", "words", *WIDE])
+                part = batch.slice(lo, hi - lo).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*part, words, *(pa.array(_parity(h, starts, i)) for i in range(len(WIDE)))], names=[*kept, "words", *WIDE])
 
-    return lines.select("node", "node2", "line").mapInArrow(run, "node long, node2 long, words binary, " + ", ".join(f"{c} long" for c in WIDE))
+    schema = T.StructType([*(lines.schema[c] for c in kept), T.StructField("words", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in WIDE)])
+    return lines.mapInArrow(run, schema)
 
 
 def _need(n_a: Column, n_b: Column, t: float) -> Column:
@@ -249,11 +251,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     nodes = materialize(nodes, "nodes")
     some = materialize(with_partner(nodes, t), "partners")
     near = materialize(nodes.join(some, "node", "left_semi"), "near")
-    spots = near.select("node", "node2", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"), F.col("first.line_no").alias("_no"))
+    spots = near.select("node", "node2", "sig", "n", "prefix", "first", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"), F.col("first.line_no").alias("_no"))
     here = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("line_no") == F.col("_no"))
     lines = base.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    fetched = lines.join(spots.hint("merge"), here).dropDuplicates(["node", "node2"])
-    sets = near.join(line_words(fetched), ["node", "node2"]).select("node", "sig", "n", "prefix", "first", "words", *WIDE)
+    fetched = lines.join(spots.hint("merge"), here).dropDuplicates(["node", "node2"])  # rows may repeat
+    sets = line_words(fetched.select("node", "sig", "n", "prefix", "first", "line"))
     sets = materialize(sets, "sets")
     similar = materialize(similar_nodes(sets, t).distinct(), "similar").withColumn("similar", F.lit(True))
     judged = nodes.join(similar, "node", "left").where("times > 1 or similar").select("node", "node2", "first", "times", F.coalesce("similar", F.lit(False)).alias("similar"))
