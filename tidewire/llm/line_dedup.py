@@ -90,16 +90,14 @@ def cell_levels(texts: DataFrame) -> np.ndarray:
     return levels
 
 
-def _parity(h: np.ndarray, starts: np.ndarray, part: int | None = None) -> np.ndarray:
-    """64 bits, of which each word flips one; if ``part`` is given, these are a quarter of 256 bits, and words of other quarters flip none."""
-    bit = np.uint64(1) << (h & np.uint64(63))
-    if part is not None:
-        bit = np.where((h >> np.uint64(6)) & np.uint64(3) == part, bit, np.uint64(0))
-    return np.bitwise_xor.reduceat(bit, starts).view(np.int64)
+def _parity(h: np.ndarray, starts: np.ndarray, names: tuple[str, ...]) -> list[pa.Array]:
+    """A signature of 64 bits for each name; each word flips one bit of all."""
+    bit, part = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(len(names))
+    return [pa.array(np.bitwise_xor.reduceat(np.where(part == i, bit, np.uint64(0)), starts).view(np.int64)) for i in range(len(names))]
 
 
-#: A signature of 256 bits of the nodes whose texts are fetched, beside the one that all have.
-WIDE = ("wide0", "wide1", "wide2", "wide3")
+#: The signature of all nodes, and the wider one of those whose texts are fetched.
+NARROW, WIDE = ("sig0", "sig1"), ("wide0", "wide1", "wide2", "wide3")
 
 
 def prefix_sizes(n: np.ndarray, t: float) -> np.ndarray:
@@ -107,9 +105,9 @@ def prefix_sizes(n: np.ndarray, t: float) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, levels: np.ndarray, t: float) -> DataFrame:
-    """(id, key, line_no, node, node2, sig, n, prefix) of each line with words, from (id, key, text)."""
+    """(id, key, line_no, node, node2, NARROW, n, prefix) of each line with words, from (id, key, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    fields = [("line_no", pa.int32()), ("node", pa.int64()), ("node2", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int32()))]
+    fields = [("line_no", pa.int32()), ("node", pa.int64()), ("node2", pa.int64()), *((c, pa.int64()) for c in NARROW), ("n", pa.int32()), ("prefix", pa.list_(pa.int32()))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,8 +125,8 @@ def line_sets(docs: DataFrame, levels: np.ndarray, t: float) -> DataFrame:
                 node, node2 = (np.add.reduceat(mix64(h ^ np.uint64(seed)), starts).view(np.int64) for seed in (1, 0x5DEECE66D))
                 at = line[starts]
                 rows = pa.array(lines.row[at] + lo)
-                columns = [lines.number[at].astype(np.int32), node, node2, _parity(h, starts), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, columns), prefix], names=["id", "key", *(f for f, _ in fields)])
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, (lines.number[at].astype(np.int32), node, node2)), *_parity(h, starts, NARROW)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int32)), prefix], names=["id", "key", *(f for f, _ in fields)])
 
     kind = T.StructType([docs.schema["id"], docs.schema["key"], *(T.StructField(f, T.LongType() if k == pa.int64() else T.IntegerType() if k == pa.int32() else T.ArrayType(T.IntegerType())) for f, k in fields)])
     return docs.select("id", "key", "text").mapInArrow(run, kind)
@@ -148,7 +146,7 @@ def line_words(lines: DataFrame) -> DataFrame:
                 edges = np.append(starts, len(h)) * 8
                 words = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
                 part = batch.slice(lo, hi - lo).columns[:-1]
-                yield pa.RecordBatch.from_arrays([*part, words, *(pa.array(_parity(h, starts, i)) for i in range(len(WIDE)))], names=[*kept, "words", *WIDE])
+                yield pa.RecordBatch.from_arrays([*part, words, *_parity(h, starts, WIDE)], names=[*kept, "words", *WIDE])
 
     schema = T.StructType([*(lines.schema[c] for c in kept), T.StructField("words", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in WIDE)])
     return lines.mapInArrow(run, schema)
@@ -163,31 +161,28 @@ def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}{c}") for c in df.columns])
 
 
-def postings(nodes: DataFrame, *more: str) -> DataFrame:
-    """A row for each prefix word of each node: word, node, sig, ``at`` (words of the node, and the word's place from 1, 32 bits each) and more columns."""
-    rows = nodes.select("node", "sig", "n", *more, F.posexplode("prefix").alias("pos", "word"))
-    return rows.select("word", "node", "sig", *more, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") + 1).alias("at"))
+def postings(nodes: DataFrame, *carried: str) -> DataFrame:
+    """A row for each prefix word of each node: word, node, ``at`` (words of the node, and the word's place from 1, 32 bits each) and columns carried."""
+    rows = nodes.select("node", "n", *carried, F.posexplode("prefix").alias("pos", "word"))
+    return rows.select("word", "node", *carried, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") + 1).alias("at"))
 
 
-def _differ(*signature: str) -> Column:
-    return sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in signature)
-
-
-def _possible(t: float) -> Column:
+def _possible(t: float, signature: tuple[str, ...]) -> Column:
     """Length, parity and positional filters on two postings of one word, a and b."""
     na, nb = (F.shiftright(c, 32) for c in ("a_at", "b_at"))
     pa_, pb = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("a_at", "b_at"))
     need = _need(na, nb, t)
     length = F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9
     positional = F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= need
-    return length & (_differ("sig") <= na + nb - 2 * need) & positional
+    differ = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in signature)
+    return length & (differ <= na + nb - 2 * need) & positional
 
 
 def with_partner(nodes: DataFrame, t: float) -> DataFrame:
     """(node): those that some other node may match by the filters. Both sides of the join are one exchange by word."""
-    rows = postings(nodes)
+    rows = postings(nodes, *NARROW)
     a, b = _named(rows, "a_"), _named(rows, "b_").hint("merge")
-    met = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_node") != F.col("b_node")) & _possible(t), "left_semi")
+    met = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_node") != F.col("b_node")) & _possible(t, NARROW), "left_semi")
     return met.select(F.col("a_node").alias("node")).distinct()
 
 
@@ -207,20 +202,18 @@ def reaching(pairs: DataFrame, t: float) -> DataFrame:
 
 
 def similar_nodes(sets: DataFrame, t: float) -> DataFrame:
-    """Of (node, sig, WIDE, n, prefix, first, words) the nodes with an earlier one at or above t."""
-    rows = postings(sets)
-    light, words = sets.select("node", "n", "first", *WIDE), sets.select("node", "words")
+    """Of (node, WIDE, n, prefix, first, words) the nodes with an earlier one at or above t."""
+    rows = postings(sets, *WIDE)
+    firsts, words = sets.select("node", "first"), sets.select("node", "words")
 
     def matches(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where((F.col("a_node") != F.col("b_node")) & _possible(t)).select("a_node", "b_node").distinct()
-        both = pairs.join(_named(light, "a_"), "a_node").join(_named(light, "b_"), "b_node")
-        room = F.col("a_n") + F.col("b_n") - 2 * _need(F.col("a_n"), F.col("b_n"), t)
-        both = both.where((F.col("a_first") > F.col("b_first")) & (_differ(*WIDE) <= room)).select("a_node", "b_node")
-        return reaching(both.join(_named(words, "a_"), "a_node").join(_named(words, "b_"), "b_node"), t)
+        pairs = pairs.where((F.col("a_node") != F.col("b_node")) & _possible(t, WIDE)).select("a_node", "b_node").distinct()
+        later = pairs.join(_named(firsts, "a_"), "a_node").join(_named(firsts, "b_"), "b_node").where("a_first > b_first").select("a_node", "b_node")
+        return reaching(later.join(_named(words, "a_"), "a_node").join(_named(words, "b_"), "b_node"), t)
 
     settled, still = [], rows
     for order in (F.col("first"), F.xxhash64("first")):
-        pivots = postings(sets, "first").groupBy("word").agg(F.min_by(F.struct("node", "sig", "at"), order).alias("p")).select("word", "p.*")
+        pivots = postings(sets, *WIDE, "first").groupBy("word").agg(F.min_by(F.struct("node", *WIDE, "at"), order).alias("p")).select("word", "p.*")
         settled.append(materialize(matches(_named(still, "a_").join(_named(pivots, "b_"), F.col("a_word") == F.col("b_word"))), "settled"))
         still = still.join(settled[-1], "node", "left_anti")
     rest = matches(_named(still, "a_").join(_named(rows, "b_"), F.col("a_word") == F.col("b_word")))
@@ -247,15 +240,15 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     base = docs.select(F.col(quoted(id_col)).alias("id"), text_key(text).alias("key"), text.alias("text"))
     found = materialize(line_sets(base, cell_levels(base), t), "lines")
     place = F.struct("id", "key", "line_no")
-    nodes = found.groupBy("node", "node2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = found.groupBy("node", "node2").agg(F.min(place).alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in NARROW], F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "nodes")
     some = materialize(with_partner(nodes, t), "partners")
     near = materialize(nodes.join(some, "node", "left_semi"), "near")
-    spots = near.select("node", "node2", "sig", "n", "prefix", "first", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"), F.col("first.line_no").alias("_no"))
+    spots = near.select("node", "node2", "n", "prefix", "first", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"), F.col("first.line_no").alias("_no"))
     here = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("line_no") == F.col("_no"))
     lines = base.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     fetched = lines.join(spots.hint("merge"), here).dropDuplicates(["node", "node2"])  # rows may repeat
-    sets = line_words(fetched.select("node", "sig", "n", "prefix", "first", "line"))
+    sets = line_words(fetched.select("node", "n", "prefix", "first", "line"))
     sets = materialize(sets, "sets")
     similar = materialize(similar_nodes(sets, t).distinct(), "similar").withColumn("similar", F.lit(True))
     judged = nodes.join(similar, "node", "left").where("times > 1 or similar").select("node", "node2", "first", "times", F.coalesce("similar", F.lit(False)).alias("similar"))
