@@ -169,21 +169,20 @@ def postings(nodes: DataFrame, *carried: str) -> DataFrame:
 
 def _possible(t: float, signature: tuple[str, ...]) -> Column:
     """Length, parity and positional filters on two postings of one word, a and b."""
-    na, nb = (F.shiftright(c, 32) for c in ("a_at", "b_at"))
-    pa_, pb = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("a_at", "b_at"))
+    na, nb = (F.shiftright(c, 32) for c in ("a.at", "b.at"))
+    pa_, pb = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("a.at", "b.at"))
     need = _need(na, nb, t)
     length = F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9
     positional = F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= need
-    differ = sum(F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in signature)
+    differ = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in signature)
     return length & (differ <= na + nb - 2 * need) & positional
 
 
 def with_partner(nodes: DataFrame, t: float) -> DataFrame:
     """(node): those that some other node may match by the filters. Both sides of the join are one exchange by word."""
     rows = postings(nodes, *NARROW)
-    a, b = _named(rows, "a_"), _named(rows, "b_").hint("merge")
-    met = a.join(b, (F.col("a_word") == F.col("b_word")) & (F.col("a_node") != F.col("b_node")) & _possible(t, NARROW), "left_semi")
-    return met.select(F.col("a_node").alias("node")).distinct()
+    other = (F.col("a.word") == F.col("b.word")) & (F.col("a.node") != F.col("b.node"))
+    return rows.alias("a").join(rows.alias("b").hint("merge"), other & _possible(t, NARROW), "left_semi").select("a.node").distinct()
 
 
 def reaching(pairs: DataFrame, t: float) -> DataFrame:
@@ -206,17 +205,18 @@ def similar_nodes(sets: DataFrame, t: float) -> DataFrame:
     rows = postings(sets, *WIDE)
     firsts, words = sets.select("node", "first"), sets.select("node", "words")
 
-    def matches(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where((F.col("a_node") != F.col("b_node")) & _possible(t, WIDE)).select("a_node", "b_node").distinct()
+    def matches(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.alias("a").join(b.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.node") != F.col("b.node")) & _possible(t, WIDE))
+        pairs = pairs.select(F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node")).distinct()
         later = pairs.join(_named(firsts, "a_"), "a_node").join(_named(firsts, "b_"), "b_node").where("a_first > b_first").select("a_node", "b_node")
         return reaching(later.join(_named(words, "a_"), "a_node").join(_named(words, "b_"), "b_node"), t)
 
     settled, still = [], rows
     for order in (F.col("first"), F.xxhash64("first")):
         pivots = postings(sets, *WIDE, "first").groupBy("word").agg(F.min_by(F.struct("node", *WIDE, "at"), order).alias("p")).select("word", "p.*")
-        settled.append(materialize(matches(_named(still, "a_").join(_named(pivots, "b_"), F.col("a_word") == F.col("b_word"))), "settled"))
+        settled.append(materialize(matches(still, pivots), "settled"))
         still = still.join(settled[-1], "node", "left_anti")
-    rest = matches(_named(still, "a_").join(_named(rows, "b_"), F.col("a_word") == F.col("b_word")))
+    rest = matches(still, rows)
     return rest.unionByName(settled[0]).unionByName(settled[1])
 
 
