@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.llm.chunk_dedup import MAX_CHUNK, MIN_CHUNK, cuts, dedup_substrings
@@ -39,7 +40,7 @@ def test_repeated_passages_go(spark, docs_of):
         for i in ids[:1]:
             assert passages[p] in rows[i].text
         for i in ids[1:]:
-            assert passages[p] not in rows[i].text and rows[i].n_removed > 150
+            assert passages[p][10:-10] not in rows[i].text and rows[i].n_removed > len(passages[p].encode()) - 20
             assert set(rows[i].text.split()) <= set(texts[i].split()) | {w for w in rows[i].text.split() if len(w) < 12}
 
 
@@ -51,10 +52,55 @@ def test_edges(spark, docs_of):
     for r in rows:
         by.setdefault(r.doc_id, []).append((r.text, r.n_removed > 0))
     assert by[None] == [(None, False)] and by[0] == [("", False)]
-    assert by[1] == [(text, False)] * 2
-    assert by[2][0][1] and len(by[2][0][0]) < 40
+    assert sorted(by[1]) == [("", True), (text, False)]  # one row of the two is the document
+    assert by[2] == [("", True)]
     assert dedup_substrings(docs_of([])).collect() == []
-    long = dedup_substrings(docs_of([text * 3000])).first()
+    long = dedup_substrings(docs_of([(text + " ") * 3000])).first()
     assert long.n_removed > 0.9 * long.n_bytes
     emoji = "😀é" * 200
     assert [r.text for r in dedup_substrings(docs_of([emoji, "x " + emoji])).orderBy("doc_id").collect()][0].encode()
+
+
+@pytest.mark.parametrize("shared", [1, None])
+def test_documents_that_share_an_id(spark, docs_of, shared):
+    rng = random.Random(4)
+    passage = say(rng, 80)
+    texts = [say(rng, 50) + " " + passage, say(rng, 90) + " " + passage, say(rng, 120)]
+    docs = docs_of(texts, ids=[shared] * 3).withColumns({c: F.lit(1) for c in ("_id", "_key", "key", "id", "spots", "_text_")})
+    got = {r.text for r in dedup_substrings(docs).collect()}
+    assert texts[2] in got and sum(passage in t for t in got) == 1
+    own = [t[: -len(passage) - 1] for t in texts[:2]]
+    assert all(any(t.startswith(o) for t in got) for o in own)
+
+
+def repeated_words(texts, n=50):
+    """For each word of each text: whether an earlier text, or an earlier place, has n words in a row that hold it."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.split(" ")
+        hit = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            gram = tuple(w[i : i + n])
+            if gram in seen:
+                hit[i : i + n] = [True] * n
+            seen.add(gram)
+        out.append(hit)
+    return out
+
+
+def test_against_brute_force(spark, docs_of):
+    """Passages of 51 to 90 words, short ones too, in changing surroundings: what goes is what a scan of all word windows finds."""
+    rng = random.Random(6)
+    short = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    passages = [say(rng, rng.randint(51, 90)) for _ in range(30)] + [short(rng.randint(51, 90)) for _ in range(30)]
+    texts = [" ".join([say(rng, rng.randint(1, 60)), rng.choice(passages), say(rng, rng.randint(1, 60)), rng.choice(passages)]) for _ in range(120)]
+    rows = dedup_substrings(docs_of(texts)).orderBy("doc_id").collect()
+    missed = more = total = 0
+    for text, hit, r in zip(texts, repeated_words(texts), rows, strict=True):
+        at, gone = 0, [(s.start, s.end) for s in r.removed]
+        for word, want in zip(text.split(" "), hit, strict=True):
+            size = len(word.encode())
+            got = any(s <= at and at + size <= e for s, e in gone)
+            total, missed, more = total + want, missed + (want and not got), more + (got and not want)
+            at += size + 1
+    assert total > 4000 and missed <= 0.01 * total and more <= 0.01 * total

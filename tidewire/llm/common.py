@@ -12,11 +12,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,17 +47,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it back, which cuts its lineage."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+@contextmanager
+def while_writing(spark: SparkSession) -> Iterator[None]:
     before = {key: spark.conf.get(key, None) for key in _WHILE_WRITING}
     for key, value in _WHILE_WRITING.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        yield
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to a table in the shared folder and reads it back, which cuts its lineage."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    with while_writing(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -77,6 +84,11 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def text_key(text: Column) -> Column:
+    """With the id, what tells documents apart."""
+    return F.xxhash64(text)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -100,7 +112,7 @@ def map_texts(
         place = keep.index(text_col)
     else:
         place = len(keep)
-        picked.append(F.col(quoted(text_col)).cast("string").alias("_text_"))
+        picked.append(F.col(quoted(text_col)).cast("string").alias(fresh("_text_", df)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

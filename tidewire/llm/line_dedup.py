@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import byte_view, discard, fresh, materialize, mix64, quoted, run_hashes, slices
+from tidewire.llm.common import byte_view, discard, fresh, materialize, mix64, quoted, run_hashes, slices, text_key
 
 #: Word counts are kept in this many cells, whatever the vocabulary; words that share a cell share a count.
 CELLS = 1 << 17
@@ -220,11 +220,6 @@ def similar_nodes(sets: DataFrame, t: float) -> DataFrame:
     return rest.unionByName(settled[0]).unionByName(settled[1])
 
 
-def text_key(text: Column) -> Column:
-    """With the id, what tells documents apart."""
-    return F.xxhash64(text)
-
-
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: its id, ``text_key``, ``n_rows``, ``n_lines``, ``n_removed`` and ``removed``
     (numbers of the lines that go, from 0, ascending). ``without_lines`` makes the texts.
