@@ -61,7 +61,10 @@ BASE_KINDS = ("assign", "access", "hex")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"), new_folder(spark, "ledger"))
+    docs, ledger = table(spark, sf_dir, "documents"), new_folder(spark, "ledger")
+    # an earlier arrival, about half of the rows; the scan of the whole table then meets blobs that the ledger holds
+    scan_secrets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), ledger)
+    found = scan_secrets(docs, ledger)
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda *kinds: F.filter("findings", lambda s: s["kind"].isin(*kinds))
     return found.select(

@@ -1,16 +1,17 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every path is addressed by the SHA-256 of its text. A scan looks
-only at blobs that the ledger does not hold for the rules' version, one text for
+only at blobs that the ledger does not hold for these rules, told by a digest of them, one text for
 each blob however many paths carry it; its findings are appended to the ledger
 and joined back to all paths.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from tidewire.llm.common import map_texts, materialize, quoted
+from tidewire.llm.common import map_texts, materialize, quoted, while_writing
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,6 @@ class Rule:
     any_of: tuple[str, ...] = ()
 
 
-RULES_VERSION = "2"
 #: In the order in which kinds are listed at equal starts.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, re.IGNORECASE | re.ASCII, ("passw", "secret", "token", "api")),
@@ -64,6 +64,11 @@ def spans_of(text: str, rules: tuple[Rule, ...], compiled: list[re.Pattern]) ->
     return [(rules[place].kind, start, end) for start, place, end in sorted(found)]
 
 
+def rules_digest(rules: tuple[Rule, ...]) -> str:
+    """Names a version of the rules: any change of one, or of their order, gives another."""
+    return hashlib.sha256(repr([(*astuple(r)[:4], int(r.flags), r.any_of) for r in rules]).encode()).hexdigest()[:32]
+
+
 def _scanner(rules: tuple[Rule, ...]) -> Callable[[], Callable[[pa.Array], list[pa.Array]]]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -87,16 +92,16 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def scan_secrets(
-    docs: DataFrame, ledger: str, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION
+    docs: DataFrame, ledger: str, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES
 ) -> DataFrame:
     """One row for each row of docs: its path column, ``blob`` and ``findings``, sorted by start.
 
-    The ledger is a Parquet folder, (blob, findings) partitioned by rules_version; a scan
+    The ledger is a Parquet folder, (blob, findings) partitioned by the digest of the rules; a scan
     appends what it newly found, also for blobs without findings. Null texts are empty.
     Paths may repeat with other texts (versions) or be null. Two scans at the same time may
     both append a blob; reading takes one row a blob.
     """
-    spark = docs.sparkSession
+    spark, rules_version = docs.sparkSession, rules_digest(rules)
     path, text = quoted(path_col), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     addressed = docs.select(F.col(path).alias("path"), text.alias("text"), F.sha2(text, 256).alias("blob"))
     versions = materialize(addressed.select("path", "blob"), "versions")
@@ -107,7 +112,8 @@ def scan_secrets(
     unseen = unseen.select(F.col("blob").alias("b"), F.col("path").alias("p"))
     texts = addressed.join(unseen, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
     new = map_texts(texts, "text", ["blob"], [T.StructField("findings", FINDINGS)], _scanner(rules))
-    new.withColumn("rules_version", F.lit(rules_version)).write.mode("append").partitionBy("rules_version").parquet(ledger)
+    with while_writing(spark):
+        new.withColumn("rules_version", F.lit(rules_version)).write.mode("append").partitionBy("rules_version").parquet(ledger)
     held = read_ledger(spark, ledger).where((F.col("rules_version") == rules_version) & (F.size("findings") > 0))
     held = held.select("blob", "findings").dropDuplicates(["blob"])
     joined = versions.join(held, "blob", "left")
