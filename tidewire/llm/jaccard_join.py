@@ -122,6 +122,15 @@ def _token(run: Column, place: Column) -> Column:
     return F.substring(F.col("paths"), (run * sum(BRANCHES) + place) * 8 + 1, F.lit(8))
 
 
+def with_size(members: DataFrame, least: int, heavy: int = 4096) -> DataFrame:
+    """Members of leaves of at least ``least`` with the size ``m`` of their leaf. Leaves with more than one in ``heavy``
+    of all members, fewer than heavy of them, are broadcast; a join by leaf would deal each to one task."""
+    sizes = materialize(members.groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") >= least), "sizes")
+    total = sizes.agg(F.sum("m")).first()[0] or 0
+    large, small = sizes.where(F.col("m") * heavy > total), sizes.where(F.col("m") * heavy <= total)
+    return members.join(F.broadcast(large), "leaf").unionByName(members.join(small, "leaf"))
+
+
 def leaves(nodes: DataFrame, runs: int, limit: int) -> DataFrame:
     """(leaf, node): the buckets of at least two nodes in which each run ends."""
     done = []
@@ -129,8 +138,7 @@ def leaves(nodes: DataFrame, runs: int, limit: int) -> DataFrame:
     level = nodes.select("node", "paths", each.alias("run")).select("node", "run", F.xxhash64("run", _token(F.col("run"), F.lit(0))).alias("leaf"))
     at = BRANCHES[0]
     for depth in range(len(BRANCHES)):
-        sizes = level.groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1")
-        level = materialize(level.join(sizes, "leaf"), "buckets")
+        level = materialize(with_size(materialize(level, "level"), 2), "buckets")
         last = depth == len(BRANCHES) - 1
         done.append(level if last else level.where(F.col("m") <= limit))
         if last:
@@ -352,10 +360,9 @@ def jaccard_groups(
                 at += len(digests)
 
     sets = texts.mapInArrow(fetch, "node binary, shingles binary")
-    left = near.join(held.select("leaf", "node", "m"), ["leaf", "node"])
-    sizes = left.groupBy("leaf").agg(F.count("*").alias("m"))
+    left = with_size(near, 1)
     every = held.groupBy("node").agg(F.collect_list("leaf").alias("leaves")).join(nodes.select("node", "n_set", "weight"), "node")
-    full = left.drop("m").join(sizes, "leaf").join(every, "node").join(sets, "node")
+    full = left.join(every, "node").join(sets, "node")
     full = tiles(full, tile).select("task", "leaf", "low", "high", "node", "part", "leaves", "n_set", "weight", "shingles")
     full = full.repartition("task").sortWithinPartitions("task", "node")
     found = full.mapInArrow(lambda b: verify(b, threshold), "node binary, least binary, n_links long, n_text_links long")
