@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = stays.unionByName(groups.where("node is null").select("doc_id", "node"))
     keyed = with_nodes(docs, COLUMNS).withColumn("_key", key)
     kept = keyed.join(stays.select(key.alias("_key")).distinct(), "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("text", "lang", "source", "n_chars"))
     return kept.withColumn("_nth", first).where("_nth = 1").select(*COLUMNS)
 
 
@@ -51,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; half a repetition or more counts as one."""
     taken = mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), (F.col("copies") + (F.col("part_words") * 2 > F.col("size")).cast("long")).alias("_times"))
     taken = taken.where("_times > 0").groupBy("_id", "_size").agg(F.max("_times").alias("_times"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("_size")))
+    joined = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("_size")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
