@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import Words, byte_view, map_texts, materialize, quoted, slices, window_hashes
+from tidewire.llm.common import Words, byte_view, fresh, map_texts, materialize, quoted, slices, window_hashes
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 FIELDS = [
@@ -133,7 +133,7 @@ def find_contamination(
     windows = materialize(benchmark_windows(benchmark, n, item_col, item_text_col), "windows")
     size = windows.agg(F.sum(F.octet_length("window") * 2 + F.coalesce(F.octet_length("item"), F.lit(0)) + 200)).first()[0] or 0
     blocks = max(1, math.ceil(size / max_broadcast_bytes))
-    out = None
+    out, spans_col, items_col = None, fresh("_spans", docs), fresh("_items", docs)
     for block in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # below max_broadcast_bytes
@@ -146,17 +146,17 @@ def find_contamination(
             out = map_texts(docs, text_col, keep, FIELDS, make)
         else:
             # each pass adds its block's hits; written out, so that one set at a time is held
-            had = [] if out is None else ["_spans", "_items"]
+            had = [] if out is None else [spans_col, items_col]
             source = docs if out is None else out
             all_cols = list(dict.fromkeys([*keep, text_col]))
             more = map_texts(source, text_col, [*all_cols, *had], FIELDS, make)
-            spans = F.concat("_spans", "hit_words") if had else F.col("hit_words")
-            ids = F.array_union("_items", "item_ids") if had else F.col("item_ids")
+            spans = F.concat(spans_col, "hit_words") if had else F.col("hit_words")
+            ids = F.array_union(items_col, "item_ids") if had else F.col("item_ids")
             left = [F.col(quoted(c)) for c in all_cols if c not in {f.name for f in FIELDS}]
-            out = materialize(more.select(*left, spans.alias("_spans"), ids.alias("_items"), "n_words"), "passes")
+            out = materialize(more.select(*left, spans.alias(spans_col), ids.alias(items_col), "n_words"), "passes")
     if blocks > 1:
         names = [F.col(quoted(c)) for c in keep if c not in {f.name for f in FIELDS}]
-        out = out.select(*names, "n_words", _merged(F.col("_spans")).alias("hit_words"), F.array_sort("_items").alias("item_ids"))
+        out = out.select(*names, "n_words", _merged(F.col(spans_col)).alias("hit_words"), F.array_sort(items_col).alias("item_ids"))
     hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
     out = out.withColumn("n_hit", hit)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * words_a_hit >= F.col("n_words")))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import quoted
+from tidewire.llm.common import fresh, quoted
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,8 @@ PATTERN_RULES = (
     PatternRule("allow", "article", r"/article/\d+"),
 )
 TOKEN = r"[a-z0-9]+"
+#: Up to so many rules their index is broadcast; a longer list is joined by token as Spark decides.
+BROADCAST_RULES = 10_000
 _LITERALS = re.compile(r"\\[.\\/?&=#-]|\[[^\]]*\]|\([^()]*\)|[a-z0-9_/=&:#-]+|.")
 
 
@@ -125,14 +127,14 @@ def judge_urls(
     urls = urls.select("_url", lowered.alias("_text"), F.lower(lowered).alias("_lower"))
     tokens = urls.select("_url", "_text", "_lower", F.explode(F.array_distinct(F.regexp_extract_all("_lower", F.lit(TOKEN), F.lit(0)))).alias("token"))
     rules = rule_table(spark, hosts, patterns)
+    few = F.broadcast if len(hosts) + len(patterns) <= BROADCAST_RULES else lambda df: df
     # of each rule's token sets, the one that the fewest URLs have; (set, token) pairs are few
     sets = rules.select("rule_no", F.posexplode("needs").alias("set_no", "choices")).select("rule_no", "set_no", F.explode("choices").alias("token"))
-    counts = tokens.join(F.broadcast(sets.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    counts = tokens.join(few(sets.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     weighed = sets.join(counts, "token", "left").groupBy("rule_no", "set_no").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     chosen = weighed.groupBy("rule_no").agg(F.min(F.struct("n", "set_no")).alias("best")).select("rule_no", F.col("best.set_no").alias("set_no"))
     index = sets.join(chosen, ["rule_no", "set_no"]).join(rules.drop("needs"), "rule_no").drop("set_no")
-    # the rules are the caller's short list, far below any bound
-    candidates = tokens.join(F.broadcast(index), "token").drop("token")
+    candidates = tokens.join(few(index), "token").drop("token")
     unfiled = rules.where(F.size("needs") == 0).drop("needs")
     if any(not literal_tokens(r.pattern) for r in patterns):
         always = unfiled.groupBy().agg(F.collect_list(F.struct("rule_no", "kind", "action", "name", "rank", "pattern")).alias("all")).first()["all"]
@@ -143,14 +145,15 @@ def judge_urls(
     best_host = F.max(F.when(F.col("kind") == "host", F.struct("rank", "name", "action")))
     # block sorts after allow
     best_pattern = F.max(F.when(F.col("kind") == "pattern", F.struct("action", "name")))
-    verdicts = fits.groupBy("_url").agg(best_host.alias("h"), best_pattern.alias("p")).withColumnRenamed("_url", "_of")
-    joined = pages.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(url_col)).alias("_url")).join(verdicts, F.col("_url") == F.col("_of"), "left")
-    host, path, _ = url_parts(F.col("_url"))
+    of, url, h, p = (fresh(x, pages) for x in ("_of", "_page_url", "_h", "_p"))
+    verdicts = fits.groupBy("_url").agg(best_host.alias(h), best_pattern.alias(p)).withColumnRenamed("_url", of)
+    joined = pages.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(url_col)).alias(url)).join(verdicts, F.col(url) == F.col(of), "left")
+    host, path, _ = url_parts(F.col(url))
     return joined.select(
         *[F.col(quoted(c)) for c in keep],
         host.alias("host"),
         path.alias("path"),
-        F.col("h.name").alias("rule"),
-        F.when(F.col("h").isNull(), F.col("p.name")).alias("pattern_rule"),
-        F.coalesce("h.action", "p.action", F.lit("allow")).alias("verdict"),
+        F.col(h)["name"].alias("rule"),
+        F.when(F.col(h).isNull(), F.col(p)["name"]).alias("pattern_rule"),
+        F.coalesce(F.col(h)["action"], F.col(p)["action"], F.lit("allow")).alias("verdict"),
     )

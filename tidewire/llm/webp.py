@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import byte_view, quoted
+from tidewire.llm.common import byte_view, fresh, quoted
 
 MAX_SIDE = 1 << 14
 #: Fixed values of the format: the order in which lengths of the code-length code are stored.
@@ -361,6 +361,8 @@ def _bit_list(value: int, n: int) -> list[int]:
 def encode(payload: np.ndarray) -> bytes:
     """A lossless WebP image whose RGBA samples begin with the payload (a positive multiple of 64 bytes); zeros follow."""
     rows = len(payload) // 64
+    if rows > MAX_SIDE * MAX_SIDE // 16:
+        raise ValueError("a payload of more than 1 GiB does not fit one image")
     columns = -(-rows // MAX_SIDE)
     height = -(-rows // columns)
     width = 16 * columns
@@ -423,7 +425,7 @@ def encode_media(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
                 columns += [pa.array(sizes, pa.int64()), pa.array(payloads, pa.int64()), pa.array(media, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in made)])
 
-    picked = [F.col(quoted(c)) for c in keep] + [F.col(quoted(text_col)).cast("string").alias("_text_")]
+    picked = [F.col(quoted(c)) for c in keep] + [F.col(quoted(text_col)).cast("string").alias(fresh("_text_", docs))]
     return docs.select(*picked).mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + made))
 
 
@@ -455,7 +457,7 @@ def decode_media(media: DataFrame, keep: list[str], media_col: str = "media") ->
                 columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in made)])
 
-    picked = [F.col(quoted(c)) for c in keep] + [F.col(quoted(media_col)).alias("_media_")]
+    picked = [F.col(quoted(c)) for c in keep] + [F.col(quoted(media_col)).alias(fresh("_media_", media))]
     return media.select(*picked).mapInArrow(run, T.StructType([media.schema[c] for c in keep] + made))
 
 
