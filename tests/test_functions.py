@@ -95,7 +95,8 @@ def test_dates(spark):
     assert one(spark, dates.clock_hour("t"), t="5:10 م") == 17 and one(spark, dates.clock_hour("t"), t="12:10 ص") == 0
     assert one(spark, dates.feed_date("t"), t="Tue, 02 Jan 2024 03:04:05 GMT") == at(2024, 1, 2, 3, 4, 5)
     assert one(spark, dates.feed_date("t"), t="2024-01-02T03:04:05Z") == at(2024, 1, 2, 3, 4, 5)
-    assert one(spark, dates.lastmod("t"), t="2024/01/02") == at(2024, 1, 2)
+    assert one(spark, dates.lastmod("t"), t="2024-01-02") == at(2024, 1, 2)
+    assert one(spark, dates.lastmod("t"), t="2024/01/02") is None and one(spark, dates.lastmod("t"), t="2024") is None
     assert one(spark, dates.edition_date("t"), t="05-06-2024") == dt.date(2024, 6, 5)
     assert one(spark, dates.edition_date("t"), t="5-6-2024") is None
 

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators.extraction import extract, extract_articles
+from tidewire.operators.extraction import extract_articles
 from tidewire.sources import discovery
 from tidewire.streaming import pipeline as streams
 
@@ -51,14 +51,22 @@ def page(head="", body=""):
     return f"<html><head><title>Page title</title>{head}</head><body><nav><p>{BODY}</p></nav>{body}</body></html>"
 
 
-def test_extract_dom():
+@pytest.fixture
+def extract(spark):
+    def run(html, url, year):
+        return extract_articles(spark.createDataFrame([(1, url, html)], "page_id long, url string, html string"), year).first().asDict()
+
+    return run
+
+
+def test_extract_dom(extract):
     r = extract(page(body=f"<article><h1>H</h1><p>{BODY}</p><p>short</p><p>{BODY} &amp; more</p></article>"), "https://a.com/2026-03-04/x", 2026)
     assert r["title"] == "Page title" and r["body"] == f"{BODY}\n\n{BODY} & more" and r["body_source"] == "dom"
-    assert r["published_at"] == dt.datetime(2026, 3, 4, tzinfo=dt.UTC) and not r["date_unknown"]
+    assert r["published_at"] == dt.datetime(2026, 3, 4) and not r["date_unknown"]
     assert extract("", "", 2026)["body"] == "" and extract("<p>عدد اليوم</p>", "", 2026)["body_source"] is None
 
 
-def test_extract_payloads():
+def test_extract_payloads(extract):
     ld = '<script type="application/ld+json">{"@graph": [{"@type": ["NewsArticle"], "headline": "L", "articleBody": "%s", "datePublished": "2026-01-02T00:00:00Z", "image": [{"url": "/c.jpg"}]}]}</script>' % (BODY * 2)
     r = extract(page(ld, f"<article><p>{BODY}</p></article>"), "https://a.com/x", 2026)
     assert (r["title"], r["body"], r["body_source"], r["image_url"]) == ("L", BODY * 2, "json_ld", "https://a.com/c.jpg")
@@ -70,16 +78,28 @@ def test_extract_payloads():
     assert (r["title"], r["body_source"], r["published_at"].hour) == ("I", "article_info", 18)
 
 
-def test_extract_dates_and_images():
+def test_extract_dates_and_images(extract):
     meta = '<meta property="og:image" content="https://i.com/o.png"><meta property="article:published_time" content="2024-01-01">'
     r = extract(page(meta, '<span id="x_lblDate">22/07/2026 09:28</span>'), "https://a.com/", 2026)
-    assert r["published_at"] == dt.datetime(2026, 7, 22, 9, 28, tzinfo=dt.UTC) and r["image_url"] == "https://i.com/o.png"
+    assert r["published_at"] == dt.datetime(2026, 7, 22, 9, 28) and r["image_url"] == "https://i.com/o.png"
     r = extract(page(body='<font class="WriterLink">2026/07/20</font><font class="WriterLink">5:10 م</font>'), "", 2026)
-    assert r["published_at"] == dt.datetime(2026, 7, 20, 17, 10, tzinfo=dt.UTC)
+    assert r["published_at"] == dt.datetime(2026, 7, 20, 17, 10)
     r = extract(page(body='<span id="lblGrogerianDate">01/02/2026</span>'), "", 2026)
     assert r["date_unknown"]
 
 
+def test_extract_old_and_shown_dates(extract):
+    meta = '<meta name="pubdate" content="2019-01-01T10:00:00+02:00">'
+    assert extract(page(meta), "https://a.com/", 2026)["published_at"] is None
+    assert extract(page(meta), "https://a.com/", 2020)["published_at"] == dt.datetime(2019, 1, 1, 8)
+    r = extract(page(meta, "<p>99/99/2026 then 3.2.2026</p>"), "https://a.com/", 2026)
+    assert r["published_at"] == dt.datetime(2026, 2, 3)
+    r = extract(page('<script id="__NEXT_DATA__">{"props": 3}</script><script type="application/ld+json">{broken</script>', "<main>tiny</main>"), "u", 2026)
+    assert r["body"] == "tiny" and r["body_source"] == "dom"
+    box = f'<div class="Story-Body x"><p>{BODY}</p></div><div id="article1"><p>other {BODY}</p></div>'
+    assert extract(page(body=box), "u", 2026)["body"] == BODY
+
+
 def test_extract_frame(spark):
     pages = spark.createDataFrame([(1, "https://a.com/2026-03-04/x", page()), (2, None, None)], "page_id long, url string, html string")
     rows = extract_articles(pages, 2026).orderBy("page_id").collect()

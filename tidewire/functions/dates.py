@@ -7,44 +7,66 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import col
 
+_DAY, _SEP, _YEAR = r"(\d?\d)", "[-./]", r"(20\d\d)"
+#: A day as readers see it, alone or with a clock behind; numbered groups are its parts.
+SHOWN_DAY_FIRST = rf"(?<!\w){_DAY}{_SEP}{_DAY}{_SEP}{_YEAR}(?:\s+{_DAY}:(\d\d))?(?!\w)"
+SHOWN_YEAR_FIRST = rf"(?<!\w){_YEAR}{_SEP}{_DAY}{_SEP}{_DAY}(?!\w)"
+#: The marks of the halves of a day, after noon and before it.
+AFTER_NOON, BEFORE_NOON = "م", "ص"
 
-def _at(y: Column, mo: Column, d: Column, h: Column | None = None, mi: Column | None = None) -> Column:
-    zero = F.lit("0")
-    text = F.format_string("%04d-%02d-%02d %02d:%02d:00", *[F.coalesce(x.try_cast("int"), F.lit(0)) for x in (y, mo, d, h if h is not None else zero, mi if mi is not None else zero)])
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
+
+def _parts(raw: Column, pattern: str, n: int) -> list[Column]:
+    return [F.regexp_extract(raw, pattern, i + 1).try_cast("int") for i in range(n)]
+
+
+def _midnight(y: Column, m: Column, d: Column) -> Column:
+    """Null unless the numbers are a day."""
+    return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd"))
+
+
+def _plus(day: Column, hour: Column, minute: Column) -> Column:
+    """The day at that clock; null if there is no such time."""
+    h, m = F.coalesce(hour, F.lit(0)), F.coalesce(minute, F.lit(0))
+    return F.when((h < 24) & (m < 60), day + F.make_dt_interval(hours=h, mins=m))
 
 
 def iso(raw: Column | str) -> Column:
-    """ISO 8601; without a zone it is UTC."""
-    return F.trim(col(raw)).try_cast("timestamp")
+    """ISO 8601 from the day on; without a zone it is UTC."""
+    t = F.trim(col(raw))
+    return F.when(F.regexp_like(t, F.lit(r"^\d{4}-\d{2}-\d{2}")), t).try_cast("timestamp")
 
 
 def local_naive(raw: Column | str, hours: int = 3) -> Column:
     """ISO 8601; without a zone it is ``hours`` ahead of UTC."""
     t = F.trim(col(raw))
-    zoned = F.regexp_like(t, F.lit(r"(Z|[+-]\d{2}:?\d{2})$"))
-    return F.when(zoned, iso(t)).otherwise(iso(t) - F.make_interval(hours=F.lit(hours)))
-
-
-DAY_FIRST = r"\b(\d{1,2})[/.-](\d{1,2})[/.-](20\d{2})(?:\s+(\d{1,2}):(\d{2}))?\b"
-YEAR_FIRST = r"\b(20\d{2})[/.-](\d{1,2})[/.-](\d{1,2})\b"
+    # only a time without a zone can take one more
+    bare = F.coalesce(iso(F.concat(t, F.lit("Z"))), iso(F.concat(t, F.lit("T00:00:00Z"))))
+    return F.coalesce(bare - F.make_dt_interval(hours=F.lit(hours)), iso(t))
 
 
 def day_first(raw: Column | str) -> Column:
-    g = [F.regexp_extract(col(raw), DAY_FIRST, i) for i in range(6)]
-    return F.when(g[0] != "", _at(g[3], g[2], g[1], g[4], g[5]))
+    """The first dd/mm/yyyy [hh:mm] in a text."""
+    d, m, y, hour, minute = _parts(col(raw), SHOWN_DAY_FIRST, 5)
+    return _plus(_midnight(y, m, d), hour, minute)
 
 
 def year_first(raw: Column | str) -> Column:
-    g = [F.regexp_extract(col(raw), YEAR_FIRST, i) for i in range(4)]
-    return F.when(g[0] != "", _at(g[1], g[2], g[3]))
+    """The first yyyy/mm/dd in a text."""
+    return _midnight(*_parts(col(raw), SHOWN_YEAR_FIRST, 3))
 
 
 def clock_hour(raw: Column | str) -> Column:
-    """The hour of hh:mm with an Arabic mark of the half day."""
-    hour = F.regexp_extract(col(raw), r"(\d{1,2}):(\d{2})", 1).try_cast("int")
-    after, before = F.contains(col(raw), F.lit("م")), F.contains(col(raw), F.lit("ص"))
-    return F.when(after & (hour < 12), hour + 12).when(before & (hour == 12), 0).otherwise(hour)
+    """The hour of hh:mm, by the Arabic mark of the half day if there is one."""
+    (hour,) = _parts(col(raw), rf"{_DAY}:\d\d", 1)
+    has = lambda mark: F.contains(col(raw), F.lit(mark))
+    return F.when(has(AFTER_NOON), F.when(hour < 12, hour + 12).otherwise(hour)).when(has(BEFORE_NOON) & (hour == 12), 0).otherwise(hour)
+
+
+def day_and_clock(raw: Column | str) -> Column:
+    """yyyy/mm/dd, at the hh:mm that stands behind it if there is one."""
+    (minute,) = _parts(col(raw), r"\d:(\d\d)", 1)
+    day = year_first(raw)
+    return F.coalesce(_plus(day, clock_hour(raw), minute), day)
 
 
 def feed_date(raw: Column | str) -> Column:
@@ -55,9 +77,8 @@ def feed_date(raw: Column | str) -> Column:
 
 
 def lastmod(raw: Column | str) -> Column:
-    """A sitemap's lastmod: ISO, then date forms with slashes."""
-    t = F.trim(col(raw))
-    return F.coalesce(iso(t), F.try_to_timestamp(t, F.lit("yyyy/MM/dd")), F.try_to_timestamp(t, F.lit("dd/MM/yyyy")))
+    """A sitemap's lastmod: ISO with at least the day; nothing else."""
+    return iso(raw)
 
 
 def edition_date(slug: Column | str) -> Column:
