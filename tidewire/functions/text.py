@@ -54,7 +54,7 @@ def normalize_text(text: Column | str) -> Column:
 
 
 def title_fingerprint(title: Column | str) -> Column:
-    return F.sha2(fold_text(title), 256)
+    return F.sha2(normalize_text(title), 256)
 
 
 def content_hash(title: Column, body: Column) -> Column:
@@ -123,6 +123,14 @@ def redact(values: Column | str) -> Column:
     return F.transform_values(col(values), lambda k, v: F.when(F.regexp_like(F.lower(k), F.lit("|".join(SECRET_KEYS))), F.lit("***")).otherwise(v))
 
 
+#: Header names whose values are secret.
+SECRET_HEADERS = ("authorization", "cookie", "set-cookie", "x-api-key")
+
+
+def redact_headers(headers: Column | str) -> Column:
+    return F.transform_values(col(headers), lambda k, v: F.when(F.lower(k).isin(*SECRET_HEADERS), F.lit("***")).otherwise(v))
+
+
 @F.pandas_udf(T.StringType())
 def stable_json(values: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no blanks and ASCII escapes."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import fold_text
+from tidewire.functions.text import normalize_text
 from tidewire.functions.vectors import cosine
 
 TOP_K, RERANK_K, MIN_COSINE, MIN_RERANK, MIN_CONFIDENCE = 20, 10, 0.45, 0.10, 0.6
@@ -25,9 +25,9 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int = TOP_K, least: fl
 
 
 def overlap(query: Column, text: Column) -> Column:
-    """Share of the query's distinct words that the text has; both folded."""
-    q, t = F.array_distinct(F.split(fold_text(query), " ")), F.split(fold_text(text), " ")
-    return F.when(fold_text(query) == "", 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
+    """Share of the query's distinct words that the text has; both normalised."""
+    q, t = F.array_distinct(F.split(normalize_text(query), " ")), F.split(normalize_text(text), " ")
+    return F.when(normalize_text(query) == "", 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
 
 
 def rerank(candidates: DataFrame, query: str, text: str, query_col: str = "query_id", item_col: str = "item_id", k: int = RERANK_K) -> DataFrame:
