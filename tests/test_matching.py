@@ -65,3 +65,52 @@ def test_on_frames(spark):
     for limit in (1 << 20, 150):
         rows = match_documents(docs, terms, vetoes, max_broadcast_bytes=limit).orderBy("doc_id").collect()
         assert [(r.doc_id, r.entity_id, r.excluded, r.match_type) for r in rows] == [(1, 1, False, "case_insensitive_en"), (3, 1, True, None)]
+
+
+def plain_fuzzy(term, tokens):
+    import difflib
+
+    out, wide = [], len(term.split())
+    for i in range(len(tokens)):
+        for n in (wide, wide + 1):
+            gram = " ".join(tokens[i : i + n])
+            if gram != term and (r := difflib.SequenceMatcher(None, gram, term).ratio()) >= 0.92:
+                out.append((r, gram))
+    return sorted(out, key=lambda x: -x[0])[:3] if len(term) >= 6 else []
+
+
+def test_fuzzy_against_a_plain_loop():
+    import random
+
+    from tidewire.operators.matching import FuzzyTerms
+
+    rng = random.Random(4)
+    vocab = ["harbour", "harbor", "line", "lines", "liner", "a", "port", "ports", "portal", "المطار", "مطار"]
+    terms = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    found = 0
+    for _ in range(60):
+        tokens = [rng.choice(vocab) for _ in range(rng.randint(0, 30))]
+        got = FuzzyTerms(terms).find(tokens)
+        for t in terms:
+            assert got.get(t, []) == plain_fuzzy(t, tokens)
+            found += len(got.get(t, []))
+    assert found > 200
+
+
+def test_frames_against_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(8)
+    vocab = ["Harbour", "harbor", "Line", "lines", "liner", "a", "PORT", "ports", "portal", "Straße", "STRASSE", "المطار", "x-y"]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    docs = [(i, say(rng.randint(0, 4)), say(rng.randint(0, 40))) for i in range(60)]
+    entities = {e: ([term(say(rng.randint(1, 3)), exact_only=rng.random() < 0.3, source=rng.choice(["canonical", "alias"])) for _ in range(rng.randint(1, 3))], [say(3)] if rng.random() < 0.3 else []) for e in range(20)}
+    rows = [(e, i, t["surface"], t["language"], t["exact_only"], t["source"]) for e, (ts, _) in entities.items() for i, t in enumerate(ts)]
+    frame = spark.createDataFrame(rows, "entity_id long, pos int, surface string, language string, exact_only boolean, source string")
+    vetoes = spark.createDataFrame([(e, x) for e, (_, xs) in entities.items() for x in xs], "entity_id long, phrase string")
+    got = {(r.doc_id, r.entity_id): r for r in match_documents(spark.createDataFrame(docs, "doc_id long, title string, body string"), frame, vetoes).collect()}
+    want = {(d, e): m for d, title, body in docs for e, (ts, xs) in entities.items() if (m := match(ts, title, body, xs)) is not None}
+    assert set(got) == set(want) and len(want) > 300
+    for key, m in want.items():
+        assert got[key].excluded == m["excluded"] and got[key].phrase == m["phrase"]
+        assert [h.asDict() for h in got[key].evidence] == m["hits"]

@@ -4,7 +4,9 @@
 where, with built-ins; ``match_documents`` gives the full evidence: layers exact, case-
 insensitive, normalised and fuzzy, an exclusion veto before them, and the ten best
 hits. Entities are a tenant's list of names; they are sent to the tasks in one broadcast
-below ``max_broadcast_bytes``, and in blocks of entities beyond it.
+below ``max_broadcast_bytes``, and in blocks of entities beyond it. A document is run through one
+automaton of all names, and its runs of words are held against all names at once by character
+counts; only entities found so are looked at one by one.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import ALEFS, ARABIC_DIGITS, DIACRITICS, TATWEEL, fold_text
+from tidewire.functions.text import ALEFS, ARABIC_DIGITS, DIACRITICS, TATWEEL, normalize_text
 
+#: How match types rank, and the limits of fuzzy matching and of evidence.
 RANK = {"exact": 5, "case_insensitive_en": 4, "arabic_normalized": 3, "alias": 3, "controlled_fuzzy": 1}
 FUZZY_RATIO, FUZZY_CHARS, FUZZY_BEST, HITS_KEPT = 0.92, 6, 3, 10
 _MARKS = re.compile(DIACRITICS)
@@ -89,6 +93,12 @@ def existence(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
+def surroundings(text: str, start: int, end: int, around: int = 80) -> str:
+    """What functions.text.match_window gives, for one string."""
+    lo, hi = max(0, start - around), min(len(text), end + around)
+    return ("…" if lo else "") + text[lo:hi].strip() + ("…" if hi < len(text) else "")
+
+
 class Text:
     """A field of a document, and what is made of it once for all entities."""
 
@@ -106,6 +116,68 @@ class Text:
         return self.folded.split()
 
 
+class FuzzyTerms:
+    """Terms held against all runs of words of a text at once.
+
+    The ratio of two strings is at most twice the characters that they share, in whatever order, over
+    both lengths, and each kind of character that only one of them has is one not shared; only pairs
+    that pass both are compared in full.
+    """
+
+    def __init__(self, terms: Iterable[str]):
+        self.terms = sorted({t for t in terms if len(t) >= FUZZY_CHARS})
+        self.sizes = np.array([len(t) for t in self.terms], np.int64)
+        self.counts = np.array([self._counts(t, np.zeros(len(t), np.int64), 1)[0] for t in self.terms], np.int64).reshape(-1, 64)
+        self.kinds = self._kinds(self.counts)
+        wide: dict[int, list[int]] = {}
+        for k, t in enumerate(self.terms):
+            for n in (len(t.split()), len(t.split()) + 1):
+                wide.setdefault(n, []).append(k)
+        self.by_width = {n: np.array(ks) for n, ks in wide.items()}
+
+    @staticmethod
+    def _counts(text: str, row: np.ndarray, rows: int) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) & 63
+        return np.bincount(row * 64 + codes, minlength=rows * 64).reshape(rows, 64)
+
+    @staticmethod
+    def _kinds(counts: np.ndarray) -> np.ndarray:
+        """A bit for each kind of character."""
+        return ((counts > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+    def find(self, tokens: list[str]) -> dict[str, list[tuple[float, str]]]:
+        """For each term the three most alike runs of as many words, or one more; of equal ones the first."""
+        n_tokens, found = len(tokens), {}
+        if not n_tokens or not self.terms:
+            return {}
+        sizes = np.array([len(t) for t in tokens])
+        counts = self._counts("".join(tokens), np.repeat(np.arange(n_tokens), sizes), n_tokens)
+        upto, kinds = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(counts, axis=0))), self._kinds(counts)
+        size_upto = np.concatenate(([0], np.cumsum(sizes)))
+        start, judge = np.arange(n_tokens), difflib.SequenceMatcher()
+        for width, ks in self.by_width.items():
+            stop = np.minimum(start + width, n_tokens)
+            long = size_upto[stop] - size_upto[start] + stop - start - 1
+            held = kinds.copy()
+            for more in range(1, width):
+                held[:-more] |= kinds[more:] | np.uint64(1 << 32)  # the blank between words
+            both = long[:, None] + self.sizes[ks][None, :]
+            i, j = np.nonzero(np.bitwise_count(held[:, None] ^ self.kinds[ks][None, :]) <= (1 - FUZZY_RATIO) * both + 1e-9)
+            for lo in range(0, len(i), 1 << 14):
+                a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+                grams = upto[stop[a]] - upto[start[a]]
+                grams[:, 32] += stop[a] - start[a] - 1  # blanks between words
+                shared = np.minimum(grams, self.counts[ks[b]]).sum(1)
+                near = 2 * shared >= FUZZY_RATIO * both[a, b] - 1e-9
+                for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                    term, gram = self.terms[ks[y]], " ".join(tokens[x : x + width])
+                    if gram != term:
+                        judge.set_seqs(gram, term)
+                        if (r := judge.ratio()) >= FUZZY_RATIO:
+                            found.setdefault(term, []).append((-r, x, width, gram))
+        return {term: [(-r, gram) for r, _, _, gram in sorted(hits)[:FUZZY_BEST]] for term, hits in found.items()}
+
+
 class Matcher:
     """Finds one entity's terms in a document's title and body."""
 
@@ -113,27 +185,34 @@ class Matcher:
         self.terms = [t | {"folded": normalized(t["surface"]), "lower": t["surface"].lower()} for t in terms]
         self.exclusions = [(x, normalized(x)) for x in exclusions]
 
-    def match(self, title: Text, body: Text) -> dict | None:
-        """None without a hit; else excluded, phrase, and hits from best to worst."""
-        whole = f"{title.folded} {body.folded}".strip()
-        phrase = next((raw for raw, x in self.exclusions if x and x in whole), None)
-        if phrase is not None:
-            return {"excluded": True, "phrase": phrase, "hits": []}
+    def fuzzy_terms(self) -> set[str]:
+        return {t["folded"] for t in self.terms if not t["exact_only"]}
+
+    def match(self, title: Text, body: Text, fuzzy: dict[str, dict] | None = None) -> dict | None:
+        """None without a hit; else excluded, phrase, and hits from best to worst. ``fuzzy``: what FuzzyTerms found in each field."""
+        if self.exclusions:
+            whole = f"{title.folded} {body.folded}".strip()
+            phrase = next((raw for raw, x in self.exclusions if x and x in whole), None)
+            if phrase is not None:
+                return {"excluded": True, "phrase": phrase, "hits": []}
+        if fuzzy is None:
+            own = FuzzyTerms(self.fuzzy_terms())
+            fuzzy = {"title": own.find(title.tokens), "body": own.find(body.tokens)}
         hits: dict[tuple, dict] = {}
         for field, text in (("title", title), ("body", body)):
             if text.raw:
-                for hit in self._hits(field, text):
+                for hit in self._hits(field, text, fuzzy[field]):
                     hits.setdefault((hit["match_type"], field, hit["start"], hit["end"]), hit)
         if not hits:
             return None
         best = sorted(hits.values(), key=lambda h: (-RANK[h["match_type"]], -h["score"]))  # stable: ties stay in order
         return {"excluded": False, "phrase": None, "hits": best[:HITS_KEPT]}
 
-    def _hits(self, field: str, text: Text) -> Iterator[dict]:
+    def _hits(self, field: str, text: Text, fuzzy: dict) -> Iterator[dict]:
         for term in self.terms:
 
             def hit(kind: str, score: float, start: int | None = None, end: int | None = None, matched: str | None = None, term=term) -> dict:
-                return {"match_type": kind, "field": field, "start": start, "end": end, "score": score, "term": term["surface"], "matched": matched or term["surface"]}
+                return {"match_type": kind, "field": field, "start": start, "end": end, "score": score, "term": term["surface"], "matched": matched or term["surface"], "normalized": matched if kind == "controlled_fuzzy" else term["folded"], "span": surroundings(text.raw, start, end) if start is not None else ""}
 
             if term["surface"] in text.raw:
                 for m in re.finditer(re.escape(term["surface"]), text.raw):
@@ -153,27 +232,52 @@ class Matcher:
                         yield hit(kind, score, window[0][0], window[-1][1], text.raw[window[0][0] : window[-1][1]])
                 if not placed:
                     yield hit(kind, score)
-            if not term["exact_only"] and len(term["folded"]) >= FUZZY_CHARS:
-                yield from (hit("controlled_fuzzy", round(r, 4), matched=g) for r, g in self._fuzzy(term["folded"], text.tokens))
+            if not term["exact_only"]:
+                yield from (hit("controlled_fuzzy", round(r, 4), matched=g) for r, g in fuzzy.get(term["folded"], ()))
+
+
+class Finder:
+    """All entities of a block: which of them a document may be about, by one pass over its text."""
+
+    def __init__(self, matchers: dict):
+        import ahocorasick
+
+        self.matchers, forms = matchers, ({}, {}, {})
+        fuzzy: dict[str, set] = {}
+        for e, m in matchers.items():
+            for t in m.terms:
+                for form, text in zip(forms, (t["surface"], t["lower"], t["folded"]), strict=True):
+                    if text:
+                        form.setdefault(text, set()).add(e)
+            for _, x in m.exclusions:
+                if x:
+                    forms[2].setdefault(x, set()).add(e)
+            for t in m.fuzzy_terms():
+                fuzzy.setdefault(t, set()).add(e)
+        self.automata = []
+        for form in forms:
+            automaton = ahocorasick.Automaton()
+            for text, who in form.items():
+                automaton.add_word(text, who)
+            automaton.make_automaton()
+            self.automata.append(automaton if form else None)
+        self.fuzzy, self.fuzzy_terms = fuzzy, FuzzyTerms(fuzzy)
 
-    @staticmethod
-    def _fuzzy(term: str, tokens: list[str]) -> list[tuple[float, str]]:
-        """The three most alike runs of as many words as the term, or one more."""
-        wide, found = len(term.split()), []
-        judge = difflib.SequenceMatcher()
-        for n in (wide, wide + 1):
-            for i in range(len(tokens)):
-                gram = " ".join(tokens[i : i + n])
-                # the ratio is at most 2 * shorter / (both lengths)
-                if gram == term or 2 * min(len(gram), len(term)) < FUZZY_RATIO * (len(gram) + len(term)):
-                    continue
-                judge.set_seqs(gram, term)
-                if judge.real_quick_ratio() >= FUZZY_RATIO and judge.quick_ratio() >= FUZZY_RATIO and (r := judge.ratio()) >= FUZZY_RATIO:
-                    found.append((r, gram))
-        return sorted(found, key=lambda x: -x[0])[:FUZZY_BEST]
+    def find(self, title: Text, body: Text) -> Iterator[tuple[object, dict]]:
+        whole = f"{title.folded} {body.folded}".strip()
+        alike = {"title": self.fuzzy_terms.find(title.tokens), "body": self.fuzzy_terms.find(body.tokens)}
+        who: set = set().union(*(self.fuzzy[t] for field in alike.values() for t in field))
+        for automaton, texts in zip(self.automata, ((title.raw, body.raw), (title.lower, body.lower), (title.folded, body.folded, whole)), strict=True):
+            for text in texts if automaton is not None else ():
+                for _, entities in automaton.iter(text):
+                    who |= entities
+        for e in who:
+            got = self.matchers[e].match(title, body, alike)
+            if got is not None:
+                yield e, got
 
 
-HIT = "struct<match_type:string,field:string,start:int,end:int,score:double,term:string,matched:string>"
+HIT = "struct<match_type:string,field:string,start:int,end:int,score:double,term:string,matched:string,normalized:string,span:string>"
 
 
 def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id_col: str = "doc_id", max_broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -182,7 +286,7 @@ def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id
     ``terms`` as entity_terms gives them, ``exclusions`` (entity_id, phrase).
     """
     spark = docs.sparkSession
-    size = terms.agg(F.sum(F.octet_length("surface") + 100)).first()[0] or 0
+    size = (terms.agg(F.sum(F.octet_length("surface") * 40 + 100)).first()[0] or 0) + (exclusions.agg(F.sum(F.octet_length("phrase") * 40 + 100)).first()[0] or 0)
     blocks = max(1, -(-size // max_broadcast_bytes))
     out = None
     for block in range(blocks):
@@ -201,16 +305,13 @@ def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id
             for r in bad:
                 if r["entity_id"] in by:
                     by[r["entity_id"]][1].append(r["phrase"])
-            matchers = {e: Matcher(*x) for e, x in by.items()}
+            finder = Finder({e: Matcher(*x) for e, x in by.items()})
             for frame in frames:
                 found = []
                 for doc_id, title, body in zip(frame[id_col], frame["title"], frame["body"], strict=True):
-                    fields = Text(title), Text(body)
-                    for e, m in matchers.items():
-                        got = m.match(*fields)
-                        if got is not None:
-                            best = got["hits"][0] if got["hits"] else {}
-                            found.append((doc_id, e, got["excluded"], got["phrase"], best.get("match_type"), best.get("score"), got["hits"]))
+                    for e, got in finder.find(Text(title), Text(body)):
+                        best = got["hits"][0] if got["hits"] else {}
+                        found.append((doc_id, e, got["excluded"], got["phrase"], best.get("match_type"), best.get("score"), got["hits"]))
                 yield pd.DataFrame(found, columns=[id_col, "entity_id", "excluded", "phrase", "match_type", "score", "evidence"])
 
         part = docs.select(id_col, "title", "body").mapInPandas(run, f"{id_col} {kind}, entity_id {entity}, excluded boolean, phrase string, match_type string, score double, evidence array<{HIT}>")
@@ -219,6 +320,6 @@ def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id
 
 
 def vetoed_documents(docs: DataFrame, exclusions: DataFrame, text_col: str = "text") -> DataFrame:
-    """Documents of which the folded text has an exclusion phrase, by built-ins; a few phrases, broadcast by Spark's size check."""
-    folded = docs.withColumn("_folded", fold_text(text_col))
-    return folded.join(exclusions, F.contains("_folded", fold_text("phrase"))).drop("_folded")
+    """Documents of which the normalised text has an exclusion phrase; a few phrases, broadcast by Spark's size check."""
+    folded = docs.withColumn("_folded", normalize_text(text_col))
+    return folded.join(exclusions, F.contains("_folded", normalize_text("phrase"))).drop("_folded")

@@ -80,9 +80,12 @@ def lexical_existence(spark, root):
 
 @query()
 def lexical_evidence(spark, root):
-    t = phrases(spark, root).select("entity_id", F.lit(0).alias("pos"), "surface", F.lit("en").alias("language"), F.lit(True).alias("exact_only"), F.lit("canonical").alias("source"))
-    bad = spark.createDataFrame([], "entity_id long, phrase string")
-    return matching.match_documents(articles(spark, root), t, bad)
+    """All layers: names with fuzzy ones, aliases that must be exact, and exclusions. test_matching compares it with a plain loop."""
+    words = load(spark, root, "benchmark").select(F.col("item_id").alias("entity_id"), F.split("text", " ").alias("w"))
+    names = words.select("entity_id", F.array_join(F.slice("w", 1, 3), " ").alias("name_en"), F.lit(None).cast("string").alias("name_ar"))
+    aliases = words.select("entity_id", F.lit(0).alias("pos"), F.array_join(F.slice("w", 7, 2), " ").alias("alias_text"), F.lit("en").alias("language"), F.lit(True).alias("exact_only"))
+    bad = words.where("entity_id % 3 = 0").select("entity_id", F.lower(F.get("w", F.lit(5))).alias("phrase"))
+    return matching.match_documents(articles(spark, root), matching.entity_terms(names, aliases), bad)
 
 
 @query(f"""WITH {PHRASES}, hits AS (SELECT entity_id, doc_id FROM documents JOIN terms ON contains(text, surface))
