@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import collapse, col
+from tidewire.operators.ranking import percentile_pick
 
 #: Weights of tones.
 TONE = {"negative": 0.2, "mixed": 0.08}
@@ -39,16 +40,13 @@ def ranked(articles: DataFrame, phrase: str, id_col: str = "doc_id") -> DataFram
     """Articles (title, text, importance, sentiment, cluster_id) above the adaptive threshold, one a story.
 
     The threshold is the score at index max(0, floor(0.72 n) - 1) of all in ascending order, and at
-    least 0.3, with focus 0.68. Scores are counted first, so the pick reads a row for each
-    distinct score and not one for each article.
+    least 0.3, with focus 0.68.
     """
     tokens = focus_tokens(phrase)
     relevance, score = priority(F.concat_ws(" ", "title", "text"), F.col("importance"), F.col("sentiment"), tokens)
     scored = articles.withColumns({"relevance": relevance, "score": F.round(score, 9)}).where("relevance > 0")
-    counts = scored.groupBy("score").agg(F.count("*").alias("n"))
-    everything = Window.partitionBy()
-    upto = counts.select("score", F.sum("n").over(Window.orderBy("score")).alias("upto"), F.sum("n").over(everything).alias("all"))
-    bar = upto.where(F.col("upto") > F.greatest(F.lit(0), F.floor(F.col("all") * 0.72) - 1)).agg(F.greatest(F.min("score"), F.lit(0.68 if tokens else 0.3)).alias("bar"))
+    picked = percentile_pick(scored.select(F.lit(1).alias("_all"), "score"), "_all", "score")
+    bar = picked.select(F.greatest("threshold", F.lit(0.68 if tokens else 0.3)).alias("bar"))
     story = F.coalesce(F.col("cluster_id").cast("string"), F.substring(collapse(F.lower("title")), 1, 80))
     first = Window.partitionBy(story).orderBy(F.desc("score"), id_col)
     chosen = scored.join(F.broadcast(bar), F.col("score") >= F.col("bar"))  # one row

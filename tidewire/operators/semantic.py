@@ -2,26 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.functions.text import normalize_text
-from tidewire.functions.vectors import cosine
 
 TOP_K, RERANK_K, MIN_COSINE, MIN_RERANK, MIN_CONFIDENCE = 20, 10, 0.45, 0.10, 0.6
 
 
-def cosine_top_k(queries: DataFrame, items: DataFrame, k: int = TOP_K, least: float = MIN_COSINE, query_col: str = "query_id", item_col: str = "item_id", vector: str = "embedding") -> DataFrame:
-    """(query, item, similarity, rank): for each query the k most similar items, ties by item.
+def cosine_top_k(
+    queries: DataFrame, items: DataFrame, k: int = TOP_K, least: float = MIN_COSINE, query_col: str = "query_id", item_col: str = "item_id", vector: str = "embedding", block_bytes: int = 32 << 20
+) -> DataFrame:
+    """(query, item, similarity, rank): for each query the k most similar items, ties by item; vectors of other lengths, null or with nulls have none.
 
-    Queries are a stated set (monitored entities); Spark broadcasts them by size. Each item
-    partition keeps its own best k of each query before the shuffle (window group limit).
+    Queries are a stated set (monitored entities). They are dealt into blocks of at most about ``block_bytes``
+    by their counted size, and one block after another is broadcast against all items; a task multiplies
+    batches and keeps the k best of each query before the shuffle.
     """
-    q = queries.select(F.col(query_col), F.col(vector).alias("_q"))
-    i = items.select(F.col(item_col), F.col(vector).alias("_i"))
-    pairs = i.join(q, F.size("_q") == F.size("_i")).withColumn("similarity", cosine("_q", "_i")).where(F.col("similarity") >= least)
+    spark = queries.sparkSession
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    q = queries.where(whole).select(query_col, F.transform(vector, lambda x: x.cast("double")).alias("_q"))
+    i = items.where(whole).select(item_col, F.transform(vector, lambda x: x.cast("double")).alias("_i"))
+    blocks = max(1, -(-(q.agg(F.sum(F.size("_q") * 8 + 64)).first()[0] or 0) // block_bytes))
+    schema = T.StructType([q.schema[query_col], i.schema[item_col], T.StructField("similarity", T.DoubleType())])
+    kind, out = to_arrow_type(q.schema[query_col].dataType), None
+    for block in range(blocks):
+        mine = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == block)
+        by_size: dict[int, tuple[list, list]] = {}
+        for r in mine.collect():  # at most about block_bytes
+            ids, rows = by_size.setdefault(len(r[1]), ([], []))
+            ids.append(r[0])
+            rows.append(r[1])
+        shared = spark.sparkContext.broadcast({n: (ids, _unit(np.array(rows).reshape(len(ids), n))) for n, (ids, rows) in by_size.items()})
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(1)
+                sizes = lists.value_lengths().to_numpy()
+                for n, (ids, matrix) in shared.value.items():
+                    rows = np.flatnonzero(sizes == n)
+                    if not len(rows) or not n:
+                        continue
+                    found = _unit(lists.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), n)) @ matrix.T
+                    if len(rows) > k:  # ties with the k-th stay
+                        found[found < np.partition(found, -k, axis=0)[-k]] = -2
+                    at, of = np.nonzero(found >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in of.tolist()], kind), batch.column(0).take(pa.array(rows[at])), pa.array(found[at, of])], names=schema.names)
+
+        part = i.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
     best = Window.partitionBy(query_col).orderBy(F.col("similarity").desc(), item_col)
-    return pairs.drop("_q", "_i").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    length = np.sqrt((rows * rows).sum(1))
+    return rows / np.where(length == 0, 1.0, length)[:, None]
 
 
 def overlap(query: Column, text: Column) -> Column:

@@ -302,13 +302,13 @@ def first_seen_urls(spark, root):
 # semantic
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE label = 0), pairs AS (
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), pairs AS (
   SELECT query_id, vec_id AS item_id, list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS s
   FROM embeddings, q WHERE vec_id <> query_id)
 SELECT query_id, item_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM pairs WHERE s >= 0.1) WHERE rank <= 20""")
 def cosine_top_k(spark, root):
     e = load(spark, root, "embeddings")
-    q = e.where("label = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = semantic.cosine_top_k(q, e.withColumnRenamed("vec_id", "item_id"), 21, 0.1).where("query_id <> item_id")
     again = ranking.top_per_group(found.drop("rank"), ["query_id"], [F.desc("similarity"), F.col("item_id")], 20)
     return again.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
