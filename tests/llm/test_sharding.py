@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.llm.common import new_folder
 from tidewire.llm.sharding import Conflict, Shard, ShardStore, shard
@@ -59,3 +60,14 @@ def test_edges(spark, docs_of):
     assert empty.collect() == [] and "shard" in empty.columns
     rows = shard(docs_of([None, "", "a", "a"], ids=[None, 1, 2, 2]).withColumnRenamed("lang", "shard"), new_folder(spark, "store")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in rows) == [(0, ""), (1, ""), (2, "a"), (2, "a")]
+
+
+def test_query_compacts_several_arrivals(spark, tmp_path, docs_of):
+    from tidewire.llm.queries import op6_shards
+
+    docs_of([f"text {i} " * 20 for i in range(200)]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op6_shards(spark, str(tmp_path))
+    assert rows.count() == 200 and rows.where("not sharded").count() == 0
+    # five arrivals of one small shard each; the first four were merged into one
+    files = rows.select(F.input_file_name().alias("f")).distinct().count()
+    assert files == 2

@@ -114,9 +114,12 @@ class ShardStore:
                 tiers.setdefault(self.tier(s.bytes), []).append(s)
         return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fan_in), [])
 
-    def compact(self, rounds: int = 50) -> int:
-        """Merges until no tier has a full run; returns the version. A merge that loses a race is done anew."""
-        for _ in range(rounds):
+    def compact(self) -> int:
+        """Merges until no tier has a full run; returns the version. A merge that loses a race is done anew.
+
+        Each merge leaves fewer shards or larger ones, so this ends.
+        """
+        while True:
             version, schema, shards = self.manifest()
             run = self.full_run(shards)
             if not run:
@@ -134,7 +137,6 @@ class ShardStore:
                     break
                 except Conflict:
                     continue
-        return self.manifest()[0]
 
     def vacuum(self) -> None:
         """Deletes shards that the latest version does not have, and older manifests. Readers of older versions must be done."""
@@ -163,14 +165,15 @@ class ShardStore:
         return rows.withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)$", 1))
 
 
-def shard(df: DataFrame, root: str, target_bytes: int = 64 << 20) -> DataFrame:
-    """Appends df to the store in root, compacts it, and returns the rows of the store with their ``shard``.
+def shard(df: DataFrame, root: str, target_bytes: int = 64 << 20, arrivals: list[DataFrame] | None = None) -> DataFrame:
+    """Appends df (or, one after another, the arrivals that make it up) to the store in root, compacts it after each, and returns the rows of the store with their ``shard``.
 
     Nulls, repeated rows and any columns are stored as they are; an empty table makes a
     version with an empty shard.
     """
     store = ShardStore(df.sparkSession, root, target_bytes)
-    store.append(df)
-    store.compact()
+    for arrival in arrivals or [df]:
+        store.append(arrival)
+        store.compact()
     store.vacuum()
     return store.read()
