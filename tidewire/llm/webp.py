@@ -3,18 +3,19 @@
 ``decode`` reads any lossless WebP image: prefix codes (simple and normal, also
 with several groups of codes), back-references, colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms; it returns RGBA samples.
-Images whose pixels are all literals with codes of one length are read as whole
-arrays; all others symbol by symbol.
 
-``encode`` stores bytes as the RGBA samples of such an image: literals only, in
-the shortest codes of one length that the bytes in use allow, so that both ways
-run as array operations.
+``encode`` stores bytes as the RGBA samples of such an image. It weighs each transform
+by the entropy that it leaves, writes the image with the best one and without any, and
+keeps the shorter; repeated pixels become back-references, and a colour cache is used
+where it saves bits.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,12 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 
+#: Predictor modes that are undone a row at a time: the left pixel, or from the row above only.
+ROW_MODES = (1, 2, 3, 4, 8, 9)
+#: What ``encode`` uses: the longest code, the largest colour cache (bits), the longest copy, pixels searched together for copies.
+LONGEST_CODE, LARGEST_CACHE, LONGEST_COPY, SEARCHED = 13, 10, 4096, 1 << 18
+
+
 class Corrupt(ValueError):
     """The bytes are no lossless WebP image."""
 
@@ -59,48 +66,30 @@ class Bits:
         return value
 
 
+@cache
+def _backwards(n: int) -> np.ndarray:
+    """The numbers of n bits, each read from its last bit to its first."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate((out * 2, out * 2 + 1))
+    return out
+
+
 class PrefixCode:
-    """A canonical prefix code from its lengths."""
+    """A canonical prefix code from its lengths: ``table`` has symbol * 16 + length by the next ``most`` bits."""
 
     def __init__(self, lengths: np.ndarray):
-        self.symbols = np.flatnonzero(lengths)
-        used = lengths[self.symbols]
-        if len(used) and used.min() != used.max():
-            order = np.argsort(used, kind="stable")
-            self.symbols, used = self.symbols[order], used[order]
-        if not len(used):
-            self.symbols, used = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.only = int(self.symbols[0]) if len(used) == 1 else None
-        #: The one length of all codes, or None.
-        self.even = 0 if self.only is not None else int(used[0]) if used[0] == used[-1] else None
-        if self.only is None:
-            if int((32768 >> used).sum()) != 32768:
-                raise Corrupt("a prefix code is not complete")
-            self.most = int(used[-1])
-            self._table = None
-            self._lengths = used
-
-    def table(self) -> list[tuple[int, int]]:
-        """(symbol, length) by the next ``most`` bits."""
-        if self._table is None:
-            out: list[tuple[int, int]] = [(0, 0)] * (1 << self.most)
-            code, before = 0, int(self._lengths[0])
-            for symbol, n in zip(self.symbols.tolist(), self._lengths.tolist(), strict=True):
-                code <<= n - before
-                before = n
-                backwards = int(f"{code:0{n}b}"[::-1], 2)
-                for i in range(backwards, 1 << self.most, 1 << n):
-                    out[i] = (symbol, n)
-                code += 1
-            self._table = out
-        return self._table
-
-    def next(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        symbol, n = self.table()[bits.peek(self.most)]
-        bits.at += n
-        return symbol
+        symbols = np.flatnonzero(lengths)
+        used = lengths[symbols]
+        if len(symbols) < 2:
+            self.most, self.table = 0, [int(symbols[0]) << 4 if len(symbols) else 0]
+            return
+        order = np.argsort(used, kind="stable")
+        self.most = int(used[order[-1]])
+        share = 1 << (self.most - used)
+        if int(share.sum()) != 1 << self.most:
+            raise Corrupt("a prefix code is not complete")
+        self.table = np.repeat((symbols << 4 | used)[order], share[order])[_backwards(self.most)].tolist()
 
 
 def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
@@ -117,24 +106,23 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
         of_lengths[LENGTH_ORDER[i]] = bits.read(3)
     code = PrefixCode(of_lengths)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    i, last = 0, 8
-    if code.even is not None and code.symbols.max() < 16:
-        most = min(most, alphabet)
-        lengths[:most] = code.symbols[_take(bits, code.even, most)]
-        return PrefixCode(lengths)
+    table, mask, i, last, out = code.table, (1 << code.most) - 1, 0, 8, []
     while i < alphabet and most:
         most -= 1
-        symbol = code.next(bits)
+        found = table[bits.peek(15) & mask]
+        bits.at += found & 15
+        symbol = found >> 4
         if symbol < 16:
-            lengths[i] = symbol
+            out.append(symbol)
             last = symbol or last
             i += 1
             continue
         value, times = (last, 3 + bits.read(2)) if symbol == 16 else (0, 3 + bits.read(3)) if symbol == 17 else (0, 11 + bits.read(7))
-        if i + times > alphabet:
-            raise Corrupt("a run of code lengths is too long")
-        lengths[i : i + times] = value
         i += times
+        if i > alphabet:
+            raise Corrupt("a run of code lengths is too long")
+        out += [value] * times
+    lengths[: len(out)] = out
     return PrefixCode(lengths)
 
 
@@ -146,45 +134,6 @@ def _count(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _take(bits: Bits, width: int, n: int) -> np.ndarray:
-    """The next n codes of one length as numbers, first bit highest."""
-    total = width * n
-    if bits.at + total > bits.size:
-        raise Corrupt("the image ends early")
-    start = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8, (bits.at + total + 7 >> 3) - start, start)
-    each = np.unpackbits(raw, bitorder="little")[bits.at & 7 : (bits.at & 7) + total].reshape(n, width)
-    bits.at += total
-    value = np.zeros(n, np.uint16)
-    for i in range(width):
-        value = (value << 1) | each[:, i]
-    return value
-
-
-def _even_pixels(bits: Bits, codes: list[PrefixCode], n: int) -> np.ndarray:
-    """n literal pixels as ARGB bytes (n, 4), where each channel's codes have one length."""
-    widths = [c.even for c in codes[:4]]
-    total = sum(widths) * n
-    if bits.at + total > bits.size:
-        raise Corrupt("the image ends early")
-    out = np.empty((n, 4), np.uint8)
-    start = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8, (bits.at + total + 7 >> 3) - start, start)
-    each = np.unpackbits(raw, bitorder="little")[bits.at & 7 : (bits.at & 7) + total].reshape(n, -1) if total else None
-    at = 0
-    for code, width, channel in zip(codes[:4], widths, (2, 1, 3, 0), strict=True):
-        if not width:
-            out[:, channel] = code.only
-            continue
-        value = each[:, at].astype(np.uint16)
-        for i in range(at + 1, at + width):
-            value = (value << 1) | each[:, i]
-        out[:, channel] = code.symbols.astype(np.uint8)[value]
-        at += width
-    bits.at += total
-    return out
-
-
 def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
     """Entropy-coded pixels as ARGB bytes (height, width, 4)."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -200,37 +149,66 @@ def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.n
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[_read_code(bits, size) for size in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_size and all(c.even is not None for c in codes[0][:4]) and codes[0][0].symbols.max() < 256:
-        return _even_pixels(bits, codes[0], n).reshape(height, width, 4)
-    out: list[int] = []
-    cache, cached = [0] * cache_size, 0  # cached: pixels that the cache has taken in
-    group, rows = codes[0], blocks.tolist() if blocks is not None else None
-    while len(out) < n:
+    out = array("I")
+    colours, cached = [0] * cache_size, 0  # cached: pixels that the cache has taken in
+    rows = blocks.tolist() if blocks is not None else None
+    read = [[x for c in group for x in (c.table, (1 << c.most) - 1)] for group in codes]
+    greens, green_mask, reds, red_mask, blues, blue_mask, alphas, alpha_mask, distances, distance_mask = read[0]
+    data, at, word, base = bits.data, bits.at, 0, -1000
+    count = 0
+    while count < n:
         if rows is not None:
-            y, x = divmod(len(out), width)
-            group = codes[rows[y >> block_bits][x >> block_bits]]
-        green, red, blue, alpha, distance = group
-        symbol = green.next(bits)
+            y, x = divmod(count, width)
+            greens, green_mask, reds, red_mask, blues, blue_mask, alphas, alpha_mask, distances, distance_mask = read[rows[y >> block_bits][x >> block_bits]]
+        skip = at - base
+        if skip > 440:  # a pixel has at most 60 bits, a copy at most 72
+            if at > bits.size:
+                raise Corrupt("the image ends early")
+            base, skip = at & -8, at & 7
+            word = int.from_bytes(data[at >> 3 : (at >> 3) + 64], "little")
+        ahead = word >> skip & 0xFFFFFFFFFFFFFFF
+        found = greens[ahead & green_mask]
+        took = found & 15
+        at += took
+        symbol = found >> 4
         if symbol < 256:
-            r = red.next(bits)
-            b = blue.next(bits)
-            out.append(alpha.next(bits) << 24 | r << 16 | symbol << 8 | b)
+            ahead >>= took
+            red = reds[ahead & red_mask]
+            took = red & 15
+            at += took
+            ahead >>= took
+            blue = blues[ahead & blue_mask]
+            took = blue & 15
+            at += took
+            alpha = alphas[ahead >> took & alpha_mask]
+            at += alpha & 15
+            out.append(alpha >> 4 << 24 | red >> 4 << 16 | symbol << 8 | blue >> 4)
+            count += 1
         elif symbol < 280:
+            bits.at = at
             length = _count(bits, symbol - 256)
-            far = _count(bits, distance.next(bits))
+            found = distances[bits.peek(15) & distance_mask]
+            bits.at += found & 15
+            far = _count(bits, found >> 4)
+            at = bits.at
             far = far - 120 if far > 120 else max(1, NEAR[far - 1][0] + NEAR[far - 1][1] * width)
-            if far > len(out) or len(out) + length > n:
+            if far > count or count + length > n:
                 raise Corrupt("a back-reference leaves the image")
-            for _ in range(length):
-                out.append(out[-far])
+            seen = out[count - far : count - far + length]
+            while len(seen) < length:
+                seen += seen[: length - len(seen)]
+            out += seen
+            count += length
         else:
-            while cached < len(out):
-                cache[(0x1E35A7BD * out[cached] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
+            while cached < count:
+                colours[(0x1E35A7BD * out[cached] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
                 cached += 1
-            out.append(cache[symbol - 280])
-        if bits.at > bits.size:
-            raise Corrupt("the image ends early")
-    return np.array(out, ">u4").view(np.uint8).reshape(height, width, 4)
+            out.append(colours[symbol - 280])
+            count += 1
+    bits.at = at
+    if at > bits.size:
+        raise Corrupt("the image ends early")
+    return np.frombuffer(out, np.uint32).byteswap().view(np.uint8).reshape(height, width, 4)
 
 
 def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -279,6 +257,12 @@ def _undo_predictor(image: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarr
         above, row = out[y - 1], out[y]
         row[0] = (row[0] + above[0]) & 255
         kinds = modes[y >> bits]
+        if (kinds == kinds[0]).all() and kinds[0] in ROW_MODES:
+            if kinds[0] == 1:
+                out[y] = np.cumsum(row, axis=0) & 255
+            else:
+                row[1:] = (row[1:] + _predict(int(kinds[0]), None, above[1:], above[:-1], np.concatenate((above[2:], row[:1])))) & 255
+            continue
         for x in range(1, width):
             right = above[x + 1] if x + 1 < width else row[0]
             row[x] = (row[x] + _predict(int(kinds[x >> bits]), row[x - 1], above[x], above[x - 1], right)) & 255
@@ -354,8 +338,322 @@ def decode(media: bytes) -> np.ndarray:
     return image[..., [1, 2, 3, 0]]
 
 
-def _bit_list(value: int, n: int) -> list[int]:
-    return [value >> i & 1 for i in range(n)]
+class Out:
+    """Numbers as bits, the lowest first, kept as arrays until they are joined."""
+
+    def __init__(self):
+        self.values: list[np.ndarray] = []
+        self.widths: list[np.ndarray] = []
+        self.few: list[tuple[int, int]] = []
+
+    def put(self, value: int, width: int) -> None:
+        self.few.append((value, width))
+
+    def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
+        self.settle()
+        self.values.append(values)
+        self.widths.append(widths)
+
+    def settle(self) -> None:
+        if self.few:
+            both = np.array(self.few, np.uint64)
+            self.values.append(both[:, 0])
+            self.widths.append(both[:, 1])
+            self.few = []
+
+    def joined(self) -> bytes:
+        """Each number has at most 57 bits, so that it lies in two words at most."""
+        self.settle()
+        values, widths = np.concatenate(self.values), np.concatenate(self.widths).astype(np.int64)
+        ends = np.cumsum(widths)
+        starts = ends - widths
+        words = np.zeros(int(ends[-1]) // 64 + 2, np.uint64)
+        shift = (starts & 63).astype(np.uint64)
+        np.bitwise_or.at(words, starts >> 6, values << shift)
+        np.bitwise_or.at(words, (starts >> 6) + 1, (values >> np.uint64(1)) >> (np.uint64(63) - shift))
+        return words.astype("<u8").tobytes()[: -(-int(ends[-1]) // 8)]
+
+
+def _code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
+    """Lengths of an optimal prefix code; counts are evened out until no code is longer than ``longest``."""
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    used = used[np.argsort(counts[used], kind="stable")]
+    n = len(used)
+    if n < 2:
+        return lengths
+    leaves = counts[used].tolist()
+    while True:
+        weight, parent = leaves + [0] * (n - 1), [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for new in range(n, 2 * n - 1):
+            for _ in range(2):
+                if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                    pick, leaf = leaf, leaf + 1
+                else:
+                    pick, node = node, node + 1
+                parent[pick] = new
+                weight[new] += weight[pick]
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if depth[0] <= longest:
+            lengths[used] = depth[:n]
+            return lengths
+        leaves = [x // 2 + 1 for x in leaves]
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """The canonical codes of these lengths, first bit lowest."""
+    out = np.zeros(len(lengths), np.uint64)
+    symbols = np.flatnonzero(lengths)
+    if len(symbols):
+        symbols = symbols[np.argsort(lengths[symbols], kind="stable")]
+        used = lengths[symbols]
+        most = int(used[-1])
+        share = 1 << (most - used)
+        left = np.cumsum(share) - share
+        out[symbols] = _backwards(most)[left].astype(np.uint64)
+    return out
+
+
+def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """Code lengths as (symbol, extra bits, their number): runs of zeros and repeats shortened."""
+    cuts = np.flatnonzero(np.diff(lengths)) + 1
+    starts = [0, *cuts.tolist()]
+    out = []
+    for value, run in zip(lengths[starts].tolist(), np.diff([*starts, len(lengths)]).tolist(), strict=True):
+        if value:
+            out.append((value, 0, 0))
+            run -= 1
+        while run >= 3:
+            n = min(run, 6 if value else 138)
+            out.append((16, n - 3, 2) if value else (17, n - 3, 3) if n < 11 else (18, n - 11, 7))
+            run -= n
+        out += [(value, 0, 0)] * run
+    return out
+
+
+def _write_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a prefix code for these counts; gives its codes and their lengths by symbol."""
+    used = np.flatnonzero(counts)
+    if len(used) < 3 and (not len(used) or used[-1] < 256):
+        symbols = used.tolist() or [0]
+        out.put(1, 1)
+        out.put(len(symbols) - 1, 1)
+        out.put(1, 1)
+        for symbol in symbols:
+            out.put(symbol, 8)
+        lengths = np.zeros(len(counts), np.int64)
+        if len(symbols) == 2:
+            lengths[used] = 1
+        return _codes(lengths), lengths.astype(np.uint64)
+    lengths = _code_lengths(counts, LONGEST_CODE)
+    runs = _runs(lengths)
+    of_runs = np.bincount([r[0] for r in runs], minlength=19)
+    if np.count_nonzero(of_runs) == 1:
+        of_runs[0 if of_runs[0] == 0 else 1] = 1
+    wide = _code_lengths(of_runs, 7)
+    names, wide = _codes(wide).tolist(), wide.tolist()
+    stored = max(i for i, symbol in enumerate(LENGTH_ORDER) if wide[symbol] or i == 3) + 1
+    out.put(0, 1)
+    out.put(stored - 4, 4)
+    for symbol in LENGTH_ORDER[:stored]:
+        out.put(wide[symbol], 3)
+    out.put(0, 1)
+    for symbol, extra, n in runs:
+        out.put(names[symbol] | extra << wide[symbol], wide[symbol] + n)
+    return _codes(lengths), lengths.astype(np.uint64)
+
+
+def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches of two or more pixels that occurred before, from left to right."""
+    out = []
+    for lo in range(0, len(pixels), SEARCHED):
+        part = pixels[lo : lo + SEARCHED]
+        if len(part) < 3:
+            continue
+        pairs = part[:-1].astype(np.uint64) << np.uint64(32) | part[1:]
+        order = np.argsort(pairs, kind="stable")
+        ordered = pairs[order]
+        again = np.flatnonzero(ordered[1:] == ordered[:-1])
+        if not len(again):
+            continue
+        spots, before = order[again + 1], order[again]
+        by_spot = np.argsort(spots)
+        values, n, free = part.tolist(), len(part), 0
+        for spot, first in zip(spots[by_spot].tolist(), before[by_spot].tolist(), strict=True):
+            if spot < free:
+                continue
+            free, end = spot + 2, min(n, spot + LONGEST_COPY)
+            far = spot - first
+            while free < end and values[free] == values[free - far]:
+                free += 1
+            out.append((lo + spot, free - spot, far))
+    return out
+
+
+def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths or distances."""
+    less = values - 1
+    top = np.maximum(np.frexp(np.maximum(less, 1).astype(float))[1] - 2, 0)  # bits below the two highest
+    top = np.where(less < 4, 0, top)
+    symbol = np.where(less < 4, less, 2 * top + (less >> top))
+    return symbol, less & ((1 << top) - 1), top
+
+
+@cache
+def _near_names(width: int) -> np.ndarray:
+    """The short code of each small distance in an image of this width, else 0."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for name in range(len(NEAR), 0, -1):
+        far = NEAR[name - 1][0] + NEAR[name - 1][1] * width
+        if far > 0:
+            out[far] = name
+    return out
+
+
+def _entropy(counts: np.ndarray) -> float:
+    """Bits that symbols so frequent take, with about five for each that has to be named."""
+    counts = counts[counts > 0].astype(float)
+    return float(counts.sum() * np.log2(counts.sum()) - (counts * np.log2(counts)).sum() + 5 * len(counts)) if len(counts) > 1 else 0.0
+
+
+def _bits_left(image: np.ndarray) -> float:
+    """About how many bits the literals of an image take."""
+    return sum(_entropy(np.bincount(image[..., channel].reshape(-1), minlength=256)) for channel in range(4))
+
+
+def _write_image(out: Out, image: np.ndarray, main: bool = False) -> None:
+    """Entropy-coded pixels (height, width, 4), ARGB: copies, cache hits and literals with one group of codes."""
+    width = image.shape[1]
+    bytes_ = np.ascontiguousarray(image).reshape(-1, 4)
+    pixels = bytes_.view(">u4").reshape(-1).astype(np.uint32)
+    n = len(pixels)
+    copies = np.array(_copies(pixels), np.int64).reshape(-1, 3)
+    inside = np.zeros(n + 1, np.int32)
+    np.add.at(inside, copies[:, 0] + 1, 1)
+    np.add.at(inside, copies[:, 0] + copies[:, 1], -1)
+    starts = np.flatnonzero(np.cumsum(inside)[:n] == 0)
+    of_copy = np.searchsorted(starts, copies[:, 0])
+    literal = np.ones(len(starts), bool)
+    literal[of_copy] = False
+    length, length_extra, length_bits = _prefix(copies[:, 1])
+    near = _near_names(width)
+    far = copies[:, 2]
+    named = near[np.minimum(far, len(near) - 1)] * (far < len(near))
+    distance, distance_extra, distance_bits = _prefix(np.where(named > 0, named, far + 120))
+    channels = bytes_[starts]
+    cache_bits = min(LARGEST_CACHE, max(1, n.bit_length() - 1))
+    spot = (pixels * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)
+    order = np.argsort(spot, kind="stable")
+    same = (spot[order[1:]] == spot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    hit = np.zeros(n, bool)
+    hit[order[1:][same]] = True
+    hit = hit[starts] & literal
+
+    def counted(cached: np.ndarray) -> list[np.ndarray]:
+        plain = channels[literal & ~cached]
+        green = np.concatenate((plain[:, 2], 256 + length, 280 + spot[starts][cached].astype(np.int64)))
+        return [np.bincount(green, minlength=280 + (1 << cache_bits if cached.any() else 0)), *(np.bincount(plain[:, c], minlength=256) for c in (1, 3, 0)), np.bincount(distance, minlength=40)]
+
+    none = np.zeros(len(starts), bool)
+    counts = counted(none)
+    if hit.any():
+        with_cache = counted(hit)
+        if sum(map(_entropy, with_cache)) < sum(map(_entropy, counts)):
+            counts = with_cache
+        else:
+            hit = none
+    out.put(int(hit.any()), 1)
+    if hit.any():
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)
+    codes = [_write_code(out, c) for c in counts]
+    symbol = channels[:, 2].astype(np.int64)
+    symbol[hit] = 280 + spot[starts][hit].astype(np.int64)
+    symbol[of_copy] = 256 + length
+    values, widths = codes[0][0][symbol], codes[0][1][symbol]
+    plain = literal & ~hit
+    for (code, lengths), channel in zip(codes[1:4], (1, 3, 0), strict=True):
+        part = channels[plain, channel]
+        values[plain] |= code[part] << widths[plain]
+        widths[plain] += lengths[part]
+    for value, more in ((length_extra, length_bits), (codes[4][0][distance], codes[4][1][distance]), (distance_extra, distance_bits)):
+        values[of_copy] |= value.astype(np.uint64) << widths[of_copy]
+        widths[of_copy] += more.astype(np.uint64)
+    out.put_all(values, widths)
+
+
+def _with_predictor(image: np.ndarray) -> tuple[int, np.ndarray]:
+    """The mode of ``ROW_MODES`` with the smallest residuals, and those."""
+    now = image.astype(np.int16)
+    fixed = np.empty_like(now)
+    fixed[0, 0] = now[0, 0] - [255, 0, 0, 0]
+    fixed[0, 1:] = now[0, 1:] - now[0, :-1]
+    fixed[1:, 0] = now[1:, 0] - now[:-1, 0]
+    above, left = now[:-1, 1:], now[1:, :-1]
+    corner = now[:-1, :-1]
+    right = np.concatenate((now[:-1, 2:], now[1:, :1]), axis=1)
+    best = None
+    for mode in ROW_MODES:
+        rest = (now[1:, 1:] - _predict(mode, left, above, corner, right)).astype(np.uint8)
+        size = int(np.abs(rest.view(np.int8).astype(np.int16)).sum(dtype=np.int64))
+        if best is None or size < best[0]:
+            best = size, mode, rest
+    out = fixed.astype(np.uint8)
+    out[1:, 1:] = best[2]
+    return best[1], out
+
+
+def _with_cross_colour(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One set of factors (as an ARGB pixel) by least squares, and what they leave."""
+    green, red, blue = (image[..., c].view(np.int8).astype(np.int16) for c in (2, 1, 3))
+    whole = np.int64(np.square(green.astype(np.int32)).sum(dtype=np.int64))
+    by = lambda x: int(np.clip(np.round(32 * np.multiply(x, green, dtype=np.int32).sum(dtype=np.int64) / max(1, whole)), -128, 127))
+    to_red, to_blue = by(red), by(blue)
+    out = image.copy()
+    out[..., 1] = (red - (to_red * green.astype(np.int32) >> 5)).astype(np.uint8)
+    out[..., 3] = (blue - (to_blue * green.astype(np.int32) >> 5)).astype(np.uint8)
+    return np.array([255, 0, to_blue & 255, to_red & 255], np.uint8), out
+
+
+def _with_palette(image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The colours, and the image of their packed numbers; None if there are more than 256."""
+    colours, index = np.unique(np.ascontiguousarray(image).view(">u4").reshape(-1), return_inverse=True)
+    if len(colours) > 256:
+        return None
+    packed = _packed_bits(len(colours))
+    height, width = image.shape[:2]
+    across = -(-width >> packed) if packed else width
+    wide = np.zeros((height, across << packed), np.int64)
+    wide[:, :width] = index.reshape(height, width)
+    out = np.zeros((height, across, 4), np.uint8)
+    out[..., 0] = 255
+    out[..., 2] = (wide.reshape(height, across, -1) << ((8 >> packed) * np.arange(1 << packed))).sum(-1)
+    return colours.astype(">u4").view(np.uint8).reshape(-1, 4), out
+
+
+def _file(image: np.ndarray, kind: int | None = None, given: np.ndarray | int | None = None, rest: np.ndarray | None = None) -> bytes:
+    """The image with one transform, or none."""
+    height, width = image.shape[:2]
+    out = Out()
+    out.put(width - 1 | height - 1 << 14 | 1 << 28, 32)
+    if kind is not None:
+        out.put(1 | kind << 1, 3)
+        if kind in (PREDICTOR, CROSS_COLOUR):  # blocks of 512 pixels a side, all alike
+            out.put(7, 3)
+            pixel = np.array([255, 0, given, 0], np.uint8) if kind == PREDICTOR else given
+            _write_image(out, np.broadcast_to(pixel, (-(-height >> 9), -(-width >> 9), 4)))
+        elif kind == PALETTE:
+            out.put(len(given) - 1, 8)
+            _write_image(out, np.diff(given.astype(np.int16), axis=0, prepend=np.zeros((1, 4), np.int16)).astype(np.uint8)[None])
+    out.put(0, 1)
+    _write_image(out, image if rest is None else rest, main=True)
+    raw = b"\x2f" + out.joined()
+    padded = raw + b"\0" * (len(raw) & 1)
+    return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(raw)) + padded
 
 
 def encode(payload: np.ndarray) -> bytes:
@@ -370,33 +668,21 @@ def encode(payload: np.ndarray) -> bytes:
     if width * height * 4 != len(payload):
         samples = np.zeros(width * height * 4, np.uint8)
         samples[: len(payload)] = payload
-    used = np.flatnonzero(np.bincount(samples, minlength=256))
-    wide = int(len(used) - 1).bit_length()
-    head = _bit_list(width - 1, 14) + _bit_list(height - 1, 14) + [1, 0, 0, 0] + [0, 0, 0]
-    if wide == 0:
-        one = [1, 0, 1] + _bit_list(int(used[0]), 8)
-        body = np.array(head + one * 4, np.uint8)
-    else:
-        free = np.ones(256, bool)
-        free[used] = False
-        symbols = np.sort(np.concatenate((used, np.flatnonzero(free)[: (1 << wide) - len(used)])))
-        present = np.zeros(int(symbols[-1]) + 1, np.uint8)
-        present[symbols] = 1
-        place = LENGTH_ORDER.index(wide)
-        start = [0, *_bit_list(place + 1 - 4, 4)]
-        for i in range(place + 1):
-            start += [1, 0, 0] if LENGTH_ORDER[i] in (0, wide) else [0, 0, 0]
-        start += [1, 1, 1, 0] + _bit_list(len(present) - 2, 8)
-        code = np.concatenate((np.array(start, np.uint8), present))
-        at = np.zeros((256, wide), np.uint8)
-        at[symbols] = np.arange(1 << wide)[:, None] >> np.arange(wide - 1, -1, -1) & 1
-        pixels = at[samples.reshape(-1, 4)[:, [1, 0, 2, 3]].reshape(-1)].reshape(-1)
-        body = np.concatenate((np.array(head, np.uint8), np.tile(code, 4), np.array([1, 0, 0, 0], np.uint8), pixels))
-    if wide == 0:
-        body = np.concatenate((body, np.array([1, 0, 0, 0], np.uint8)))
-    raw = b"\x2f" + np.packbits(body, bitorder="little").tobytes()
-    padded = raw + b"\0" * (len(raw) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(raw)) + padded
+    image = np.ascontiguousarray(samples.reshape(height, width, 4)[..., [3, 0, 1, 2]])
+    plans: list[tuple] = []
+    mode, rest = _with_predictor(image)
+    plans.append((_bits_left(rest) + 50, PREDICTOR, mode, rest))
+    factors, rest = _with_cross_colour(image)
+    plans.append((_bits_left(rest) + 60, CROSS_COLOUR, factors, rest))
+    rest = image.copy()
+    rest[..., 1] -= image[..., 2]
+    rest[..., 3] -= image[..., 2]
+    plans.append((_bits_left(rest) + 3, SUBTRACT_GREEN, None, rest))
+    if found := _with_palette(image):
+        plans.append((_bits_left(found[1]) + _bits_left(found[0]) + 40, PALETTE, *found))
+    plain = _file(image)
+    cost, kind, given, rest = min(plans, key=lambda p: p[:2])
+    return min(_file(image, kind, given, rest), plain, key=len) if cost < _bits_left(image) else plain
 
 
 def encode_media(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
