@@ -12,6 +12,7 @@ where it saves bits.
 
 from __future__ import annotations
 
+import math
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
@@ -35,7 +36,8 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 
 #: Predictor modes that are undone a row at a time: the left pixel, or from the row above only.
 ROW_MODES = (1, 2, 3, 4, 8, 9)
-#: What ``encode`` uses: the longest code, the largest colour cache (bits), the longest copy, pixels searched together for copies.
+#: What ``encode`` uses: predictor modes that it tries, the longest code, the largest colour cache (bits), the longest copy, pixels searched together for copies.
+TRIED_MODES = (1, 2, 4)
 LONGEST_CODE, LARGEST_CACHE, LONGEST_COPY, SEARCHED = 13, 10, 4096, 1 << 18
 
 
@@ -58,6 +60,10 @@ class Bits:
             skip = self.at - self._base
         return (self._word >> skip) & ((1 << n) - 1)
 
+    def span(self, start: int, n: int) -> int:
+        """n bits from a place on."""
+        return int.from_bytes(self.data[start >> 3 : (start + n + 7) >> 3], "little") >> (start & 7) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         value = self.peek(n)
         self.at += n
@@ -79,17 +85,18 @@ class PrefixCode:
     """A canonical prefix code from its lengths: ``table`` has symbol * 16 + length by the next ``most`` bits."""
 
     def __init__(self, lengths: np.ndarray):
-        symbols = np.flatnonzero(lengths)
-        used = lengths[symbols]
+        symbols = lengths.nonzero()[0]
         if len(symbols) < 2:
-            self.most, self.table = 0, [int(symbols[0]) << 4 if len(symbols) else 0]
+            self.most, self.table = 0, symbols << 4 if len(symbols) else np.zeros(1, np.int64)
             return
-        order = np.argsort(used, kind="stable")
-        self.most = int(used[order[-1]])
+        packed = lengths[symbols] << 12 | symbols
+        packed.sort()
+        used, symbols = packed >> 12, packed & 4095
+        self.most = int(used[-1])
         share = 1 << (self.most - used)
         if int(share.sum()) != 1 << self.most:
             raise Corrupt("a prefix code is not complete")
-        self.table = np.repeat((symbols << 4 | used)[order], share[order])[_backwards(self.most)].tolist()
+        self.table = np.repeat(symbols << 4 | used, share)[_backwards(self.most)]
 
 
 def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
@@ -106,26 +113,52 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
         of_lengths[LENGTH_ORDER[i]] = bits.read(3)
     code = PrefixCode(of_lengths)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    table, mask, i, last, out = code.table, (1 << code.most) - 1, 0, 8, []
-    while i < alphabet and most:
+    table, mask, last, out = code.table.tolist(), (1 << code.most) - 1, 8, []
+    data, at, word, end = bits.data, bits.at, 0, -1
+    while len(out) < alphabet and most:
         most -= 1
-        found = table[bits.peek(15) & mask]
-        bits.at += found & 15
-        symbol = found >> 4
+        if at + 14 > end:
+            base, end = at & -8, (at & -8) + 256
+            word = int.from_bytes(data[at >> 3 : (at >> 3) + 32], "little")
+        ahead = word >> (at - base)
+        found = table[ahead & mask]
+        symbol, took = found >> 4, found & 15
+        at += took
         if symbol < 16:
             out.append(symbol)
             last = symbol or last
-            i += 1
-            continue
-        value, times = (last, 3 + bits.read(2)) if symbol == 16 else (0, 3 + bits.read(3)) if symbol == 17 else (0, 11 + bits.read(7))
-        i += times
-        if i > alphabet:
-            raise Corrupt("a run of code lengths is too long")
-        out += [value] * times
+        elif symbol == 16:
+            out += [last] * (3 + (ahead >> took & 3))
+            at += 2
+        elif symbol == 17:
+            out += [0] * (3 + (ahead >> took & 7))
+            at += 3
+        else:
+            out += [0] * (11 + (ahead >> took & 127))
+            at += 7
+    bits.at = at
+    if len(out) > alphabet:
+        raise Corrupt("a run of code lengths is too long")
     lengths[: len(out)] = out
     return PrefixCode(lengths)
 
 
+def _read_codes(bits: Bits, greens: int) -> list[PrefixCode]:
+    """The five codes of a group. One whose bits are those of the code before it is that code."""
+    out = [_read_code(bits, greens)]
+    start = bits.at
+    out.append(_read_code(bits, 256))
+    size = bits.at - start
+    first = bits.span(start, size)
+    for _ in range(2):
+        if bits.at + size <= bits.size and bits.span(bits.at, size) == first:
+            bits.at += size
+            out.append(out[1])
+        else:
+            out.append(_read_code(bits, 256))
+    return [*out, _read_code(bits, 40)]
+
+
 def _count(bits: Bits, prefix: int) -> int:
     """A run length or distance from its prefix symbol and extra bits."""
     if prefix < 4:
@@ -147,68 +180,161 @@ def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.n
         blocks = chosen[..., 1].astype(int) << 8 | chosen[..., 2]
         groups = int(blocks.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    codes = [[_read_code(bits, size) for size in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
-    n = width * height
+    codes = [_read_codes(bits, 280 + cache_size) for _ in range(groups)]
+    read = _pixels(bits, codes[0], width, width * height, cache_bits) if blocks is None else None
+    if read is None:
+        read = _pixels_in_turn(bits, codes, blocks, block_bits, width, width * height, cache_bits)
+    return read.byteswap().view(np.uint8).reshape(height, width, 4)
+
+
+def _pixels(bits: Bits, codes: list[PrefixCode], width: int, n: int, cache_bits: int) -> np.ndarray | None:
+    """n pixels (uint32) of one group of codes.
+
+    The width of each code is looked up for every bit at which it might start; following these widths gives the
+    true starts, and the symbols are gathered for all pixels at once. None, with nothing read, if a colour
+    is asked of the cache before any is there.
+    """
+    tables, masks = [c.table for c in codes], [np.uint32((1 << c.most) - 1) for c in codes]
+    if not any(c.most for c in codes[:4]):
+        green, red, blue, alpha = (int(t[0]) >> 4 for t in tables[:4])
+        if green > 255:
+            raise Corrupt("a back-reference leaves the image")
+        return np.full(n, alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
+    took = [(t & 15).astype(np.uint8) for t in tables[:4]]
+    took[0] += (32 * (tables[0] > 4095) + 32 * (tables[0] > 4479)).astype(np.uint8)  # 64 and more: cache; 32 and more: copy
+    first, at, count = bits.at, bits.at, 0
+    symbols, pixels, copies = [], [], []
+    while count < n:
+        base, ahead = at & -8, _ahead(bits, at >> 3)
+        if at > bits.size:
+            raise Corrupt("the image ends early")
+        widths = {}
+        for code, wide, mask in zip(codes[:4], took, masks, strict=False):
+            if id(code) not in widths:
+                widths[id(code)] = wide[ahead & mask].tobytes()
+        green, red, blue, alpha = (widths[id(code)] for code in codes[:4])
+        starts, spot, stop = [], at - base, len(ahead) - 64
+        while count < n and spot < stop:
+            step = green[spot]
+            if step < 32:
+                starts.append(spot)
+                spot += step
+                spot += red[spot]
+                spot += blue[spot]
+                spot += alpha[spot]
+                count += 1
+            elif step < 64:
+                bits.at = base + spot + step - 32
+                length, far = _copy(bits, int(tables[0][int(ahead[spot] & masks[0])]) >> 4, tables[4], int(masks[4]), width)
+                if far > count or count + length > n:
+                    raise Corrupt("a back-reference leaves the image")
+                copies.append((count, length, far))
+                count += length
+                spot = bits.at - base
+            else:
+                starts.append(spot)
+                spot += step - 64
+                count += 1
+        at = base + spot
+        spots, found = np.array(starts, np.int64), []
+        for table, mask in zip(tables[:4], masks, strict=False):
+            each = table[ahead[spots] & mask]
+            spots += each & 15
+            found.append((each >> 4).astype(np.uint32))
+            if len(found) == 1:  # nothing but green for the cache; what is read for the rest is not used
+                spots[found[0] > 255] = 0
+        symbols.append(found[0])
+        pixels.append(found[3] << 24 | found[1] << 16 | found[0] << 8 | found[2])
+    if at > bits.size:
+        raise Corrupt("the image ends early")
+    bits.at = at
+    symbol, pixel = np.concatenate(symbols), np.concatenate(pixels)
+    origin = np.arange(n, dtype=np.int32)
+    own = np.ones(n, bool)
+    for start, length, far in copies:
+        own[start : start + length] = False
+        origin[start : start + length] -= far
+    out = np.zeros(n, np.uint32)
+    out[own] = pixel
+    if copies:
+        origin = _settled(origin)
+    if cache_bits and (cached := symbol > 279).any():
+        spots = np.zeros(n, np.uint32)
+        spots[own] = np.where(cached, symbol - np.uint32(280), (pixel * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits))
+        spots = spots[origin]
+        asks = np.zeros(n, bool)
+        asks[own] = cached
+        order = np.argsort(spots, kind="stable")
+        asked = asks[order].nonzero()[0]
+        if asked[0] == 0 or (spots[order[asked]] != spots[order[asked - 1]]).any():
+            bits.at = first
+            return None
+        origin[order[asked]] = order[asked - 1]
+        origin = _settled(origin)
+    return out[origin]
+
+
+def _ahead(bits: Bits, start: int) -> np.ndarray:
+    """At least 16 bits from each bit on, of up to 4 KB from this byte on."""
+    raw = np.frombuffer(bits.data[start : start + 4106].ljust(min(4106, max(0, len(bits.data) - start) + 18), b"\0"), np.uint8).astype(np.uint32)
+    whole = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+    return (whole[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+
+
+def _settled(origin: np.ndarray) -> np.ndarray:
+    """Each place's first origin, where origins may have origins themselves."""
+    while True:
+        further = origin[origin]
+        if (further == origin).all():
+            return origin
+        origin = further
+
+
+def _copy(bits: Bits, symbol: int, distances, mask: int, width: int) -> tuple[int, int]:
+    """Length and distance of a back-reference whose first symbol is read."""
+    length = _count(bits, symbol - 256)
+    found = int(distances[bits.peek(15) & mask])
+    bits.at += found & 15
+    far = _count(bits, found >> 4)
+    return length, far - 120 if far > 120 else max(1, NEAR[far - 1][0] + NEAR[far - 1][1] * width)
+
+
+def _pixels_in_turn(bits: Bits, codes: list[list[PrefixCode]], blocks: np.ndarray | None, block_bits: int, width: int, n: int, cache_bits: int) -> np.ndarray:
+    """n pixels (uint32), one after the other: for several groups of codes."""
     out = array("I")
-    colours, cached = [0] * cache_size, 0  # cached: pixels that the cache has taken in
+    colours, cached = [0] * (1 << cache_bits), 0  # cached: pixels that the cache has taken in
+    groups = [[(c.table.tolist(), (1 << c.most) - 1) for c in group] for group in codes]
     rows = blocks.tolist() if blocks is not None else None
-    read = [[x for c in group for x in (c.table, (1 << c.most) - 1)] for group in codes]
-    greens, green_mask, reds, red_mask, blues, blue_mask, alphas, alpha_mask, distances, distance_mask = read[0]
-    data, at, word, base = bits.data, bits.at, 0, -1000
-    count = 0
-    while count < n:
+    group = groups[0]
+
+    def following(k: int) -> int:
+        table, mask = group[k]
+        found = table[bits.peek(15) & mask]
+        bits.at += found & 15
+        return found >> 4
+
+    while len(out) < n:
         if rows is not None:
-            y, x = divmod(count, width)
-            greens, green_mask, reds, red_mask, blues, blue_mask, alphas, alpha_mask, distances, distance_mask = read[rows[y >> block_bits][x >> block_bits]]
-        skip = at - base
-        if skip > 440:  # a pixel has at most 60 bits, a copy at most 72
-            if at > bits.size:
-                raise Corrupt("the image ends early")
-            base, skip = at & -8, at & 7
-            word = int.from_bytes(data[at >> 3 : (at >> 3) + 64], "little")
-        ahead = word >> skip & 0xFFFFFFFFFFFFFFF
-        found = greens[ahead & green_mask]
-        took = found & 15
-        at += took
-        symbol = found >> 4
+            y, x = divmod(len(out), width)
+            group = groups[rows[y >> block_bits][x >> block_bits]]
+        symbol = following(0)
         if symbol < 256:
-            ahead >>= took
-            red = reds[ahead & red_mask]
-            took = red & 15
-            at += took
-            ahead >>= took
-            blue = blues[ahead & blue_mask]
-            took = blue & 15
-            at += took
-            alpha = alphas[ahead >> took & alpha_mask]
-            at += alpha & 15
-            out.append(alpha >> 4 << 24 | red >> 4 << 16 | symbol << 8 | blue >> 4)
-            count += 1
+            red, blue, alpha = following(1), following(2), following(3)
+            out.append(alpha << 24 | red << 16 | symbol << 8 | blue)
         elif symbol < 280:
-            bits.at = at
-            length = _count(bits, symbol - 256)
-            found = distances[bits.peek(15) & distance_mask]
-            bits.at += found & 15
-            far = _count(bits, found >> 4)
-            at = bits.at
-            far = far - 120 if far > 120 else max(1, NEAR[far - 1][0] + NEAR[far - 1][1] * width)
-            if far > count or count + length > n:
+            length, far = _copy(bits, symbol, *group[4], width)
+            if far > len(out) or len(out) + length > n:
                 raise Corrupt("a back-reference leaves the image")
-            seen = out[count - far : count - far + length]
-            while len(seen) < length:
-                seen += seen[: length - len(seen)]
-            out += seen
-            count += length
+            for _ in range(length):
+                out.append(out[-far])
         else:
-            while cached < count:
+            while cached < len(out):
                 colours[(0x1E35A7BD * out[cached] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
                 cached += 1
             out.append(colours[symbol - 280])
-            count += 1
-    bits.at = at
-    if at > bits.size:
-        raise Corrupt("the image ends early")
-    return np.frombuffer(out, np.uint32).byteswap().view(np.uint8).reshape(height, width, 4)
+        if bits.at > bits.size:
+            raise Corrupt("the image ends early")
+    return np.frombuffer(out, np.uint32)
 
 
 def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -339,39 +465,38 @@ def decode(media: bytes) -> np.ndarray:
 
 
 class Out:
-    """Numbers as bits, the lowest first, kept as arrays until they are joined."""
+    """Numbers as bits, the lowest first: single ones gathered in a long number, many as arrays."""
 
     def __init__(self):
-        self.values: list[np.ndarray] = []
-        self.widths: list[np.ndarray] = []
-        self.few: list[tuple[int, int]] = []
+        self.parts: list[tuple] = []
+        self.few, self.bits = 0, 0
 
     def put(self, value: int, width: int) -> None:
-        self.few.append((value, width))
+        self.few |= value << self.bits
+        self.bits += width
 
     def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
-        self.settle()
-        self.values.append(values)
-        self.widths.append(widths)
-
-    def settle(self) -> None:
-        if self.few:
-            both = np.array(self.few, np.uint64)
-            self.values.append(both[:, 0])
-            self.widths.append(both[:, 1])
-            self.few = []
+        """Each has at most 57 bits, so that it lies in two words at most."""
+        self.parts += [(self.few, self.bits), (values, widths.astype(np.int64))]
+        self.few, self.bits = 0, 0
 
     def joined(self) -> bytes:
-        """Each number has at most 57 bits, so that it lies in two words at most."""
-        self.settle()
-        values, widths = np.concatenate(self.values), np.concatenate(self.widths).astype(np.int64)
-        ends = np.cumsum(widths)
-        starts = ends - widths
-        words = np.zeros(int(ends[-1]) // 64 + 2, np.uint64)
-        shift = (starts & 63).astype(np.uint64)
-        np.bitwise_or.at(words, starts >> 6, values << shift)
-        np.bitwise_or.at(words, (starts >> 6) + 1, (values >> np.uint64(1)) >> (np.uint64(63) - shift))
-        return words.astype("<u8").tobytes()[: -(-int(ends[-1]) // 8)]
+        total = self.bits + sum(int(np.sum(widths)) for _, widths in self.parts)
+        words = np.zeros(total // 64 + 3, "<u8")
+        at = 0
+        for values, widths in [*self.parts, (self.few, self.bits)]:
+            if isinstance(values, int):
+                raw = (values << (at & 7)).to_bytes((widths + 15) // 8, "little")
+                words.view(np.uint8)[at >> 3 : (at >> 3) + len(raw)] |= np.frombuffer(raw, np.uint8)
+                at += widths
+                continue
+            ends = np.cumsum(widths) + at
+            starts = ends - widths
+            shift = (starts & 63).view(np.uint64)
+            np.bitwise_or.at(words, starts >> 6, values << shift)
+            np.bitwise_or.at(words, (starts >> 6) + 1, (values >> np.uint64(1)) >> (np.uint64(63) - shift))
+            at = int(ends[-1])
+        return words.tobytes()[: -(-total // 8)]
 
 
 def _code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -387,13 +512,16 @@ def _code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
         weight, parent = leaves + [0] * (n - 1), [0] * (2 * n - 1)
         leaf, node = 0, n
         for new in range(n, 2 * n - 1):
-            for _ in range(2):
-                if leaf < n and (node >= new or weight[leaf] <= weight[node]):
-                    pick, leaf = leaf, leaf + 1
-                else:
-                    pick, node = node, node + 1
-                parent[pick] = new
-                weight[new] += weight[pick]
+            if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                one, leaf = leaf, leaf + 1
+            else:
+                one, node = node, node + 1
+            if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                two, leaf = leaf, leaf + 1
+            else:
+                two, node = node, node + 1
+            parent[one] = parent[two] = new
+            weight[new] = weight[one] + weight[two]
         depth = [0] * (2 * n - 1)
         for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
@@ -406,23 +534,23 @@ def _code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
 def _codes(lengths: np.ndarray) -> np.ndarray:
     """The canonical codes of these lengths, first bit lowest."""
     out = np.zeros(len(lengths), np.uint64)
-    symbols = np.flatnonzero(lengths)
+    symbols = lengths.nonzero()[0]
     if len(symbols):
-        symbols = symbols[np.argsort(lengths[symbols], kind="stable")]
-        used = lengths[symbols]
+        packed = lengths[symbols] << 12 | symbols
+        packed.sort()
+        used = packed >> 12
         most = int(used[-1])
         share = 1 << (most - used)
-        left = np.cumsum(share) - share
-        out[symbols] = _backwards(most)[left].astype(np.uint64)
+        out[packed & 4095] = _backwards(most)[share.cumsum() - share]
     return out
 
 
 def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     """Code lengths as (symbol, extra bits, their number): runs of zeros and repeats shortened."""
-    cuts = np.flatnonzero(np.diff(lengths)) + 1
-    starts = [0, *cuts.tolist()]
+    starts = [0, *((lengths[1:] != lengths[:-1]).nonzero()[0] + 1).tolist(), len(lengths)]
     out = []
-    for value, run in zip(lengths[starts].tolist(), np.diff([*starts, len(lengths)]).tolist(), strict=True):
+    for value, lo, hi in zip(lengths[starts[:-1]].tolist(), starts, starts[1:], strict=False):
+        run = hi - lo
         if value:
             out.append((value, 0, 0))
             run -= 1
@@ -430,7 +558,8 @@ def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
             n = min(run, 6 if value else 138)
             out.append((16, n - 3, 2) if value else (17, n - 3, 3) if n < 11 else (18, n - 11, 7))
             run -= n
-        out += [(value, 0, 0)] * run
+        for _ in range(run):
+            out.append((value, 0, 0))
     return out
 
 
@@ -461,8 +590,11 @@ def _write_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for symbol in LENGTH_ORDER[:stored]:
         out.put(wide[symbol], 3)
     out.put(0, 1)
+    value, at = 0, 0
     for symbol, extra, n in runs:
-        out.put(names[symbol] | extra << wide[symbol], wide[symbol] + n)
+        value |= (names[symbol] | extra << wide[symbol]) << at
+        at += wide[symbol] + n
+    out.put(value, at)
     return _codes(lengths), lengths.astype(np.uint64)
 
 
@@ -513,15 +645,20 @@ def _near_names(width: int) -> np.ndarray:
     return out
 
 
-def _entropy(counts: np.ndarray) -> float:
-    """Bits that symbols so frequent take, with about five for each that has to be named."""
+#: Where the symbols of each channel of a pixel (alpha, red, green, blue) are counted.
+CHANNELS = np.array([0, 256, 512, 768])
+
+
+def _cost(counts: np.ndarray, totals: list[int]) -> float:
+    """Bits that symbols so frequent take, of several codes with so many in all, and about five for each that has to be named."""
     counts = counts[counts > 0].astype(float)
-    return float(counts.sum() * np.log2(counts.sum()) - (counts * np.log2(counts)).sum() + 5 * len(counts)) if len(counts) > 1 else 0.0
+    return sum(t * math.log2(t) for t in totals if t) - float((counts * np.log2(counts)).sum()) + 5 * len(counts)
 
 
 def _bits_left(image: np.ndarray) -> float:
     """About how many bits the literals of an image take."""
-    return sum(_entropy(np.bincount(image[..., channel].reshape(-1), minlength=256)) for channel in range(4))
+    pixels = image.reshape(-1, 4)
+    return _cost(np.bincount((pixels + CHANNELS).reshape(-1)), [len(pixels)] * 4)
 
 
 def _write_image(out: Out, image: np.ndarray, main: bool = False) -> None:
@@ -531,10 +668,8 @@ def _write_image(out: Out, image: np.ndarray, main: bool = False) -> None:
     pixels = bytes_.view(">u4").reshape(-1).astype(np.uint32)
     n = len(pixels)
     copies = np.array(_copies(pixels), np.int64).reshape(-1, 3)
-    inside = np.zeros(n + 1, np.int32)
-    np.add.at(inside, copies[:, 0] + 1, 1)
-    np.add.at(inside, copies[:, 0] + copies[:, 1], -1)
-    starts = np.flatnonzero(np.cumsum(inside)[:n] == 0)
+    inside = np.bincount(copies[:, 0] + 1, minlength=n + 1) - np.bincount(copies[:, 0] + copies[:, 1], minlength=n + 1)
+    starts = (inside.cumsum()[:n] == 0).nonzero()[0]
     of_copy = np.searchsorted(starts, copies[:, 0])
     literal = np.ones(len(starts), bool)
     literal[of_copy] = False
@@ -544,7 +679,7 @@ def _write_image(out: Out, image: np.ndarray, main: bool = False) -> None:
     named = near[np.minimum(far, len(near) - 1)] * (far < len(near))
     distance, distance_extra, distance_bits = _prefix(np.where(named > 0, named, far + 120))
     channels = bytes_[starts]
-    cache_bits = min(LARGEST_CACHE, max(1, n.bit_length() - 1))
+    cache_bits = min(LARGEST_CACHE, max(1, n.bit_length() - 5))
     spot = (pixels * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)
     order = np.argsort(spot, kind="stable")
     same = (spot[order[1:]] == spot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
@@ -552,16 +687,20 @@ def _write_image(out: Out, image: np.ndarray, main: bool = False) -> None:
     hit[order[1:][same]] = True
     hit = hit[starts] & literal
 
-    def counted(cached: np.ndarray) -> list[np.ndarray]:
-        plain = channels[literal & ~cached]
-        green = np.concatenate((plain[:, 2], 256 + length, 280 + spot[starts][cached].astype(np.int64)))
-        return [np.bincount(green, minlength=280 + (1 << cache_bits if cached.any() else 0)), *(np.bincount(plain[:, c], minlength=256) for c in (1, 3, 0)), np.bincount(distance, minlength=40)]
+    def counted(cached: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        plain, greens = channels[literal & ~cached] if len(copies) or cached.any() else channels, 280 + (1 << cache_bits if cached.any() else 0)
+        parts = [(plain[:, [1, 3, 0, 2]] + (CHANNELS + 40)).reshape(-1), distance, 808 + 256 + length]
+        if cached.any():
+            parts.append(808 + 280 + spot[starts[cached]].astype(np.int64))
+        counts = np.bincount(np.concatenate(parts), minlength=808 + greens)
+        cost = _cost(counts, [len(plain)] * 3 + [len(copies), len(starts)])
+        return cost, [counts[808:], counts[40:296], counts[296:552], counts[552:808], counts[:40]]
 
     none = np.zeros(len(starts), bool)
-    counts = counted(none)
+    cost, counts = counted(none)
     if hit.any():
-        with_cache = counted(hit)
-        if sum(map(_entropy, with_cache)) < sum(map(_entropy, counts)):
+        other, with_cache = counted(hit)
+        if other < cost:
             counts = with_cache
         else:
             hit = none
@@ -570,7 +709,16 @@ def _write_image(out: Out, image: np.ndarray, main: bool = False) -> None:
         out.put(cache_bits, 4)
     if main:
         out.put(0, 1)
-    codes = [_write_code(out, c) for c in counts]
+    counts[1:4] = [counts[1] + counts[2] + counts[3]] * 3  # bytes of a text are spread alike in all; one code serves as well
+    codes = []
+    for i, c in enumerate(counts):
+        if i in (2, 3) and c is counts[1]:
+            out.put(*same)
+            codes.append(codes[1])
+            continue
+        before = out.few, out.bits
+        codes.append(_write_code(out, c))
+        same = out.few >> before[1], out.bits - before[1]
     symbol = channels[:, 2].astype(np.int64)
     symbol[hit] = 280 + spot[starts][hit].astype(np.int64)
     symbol[of_copy] = 256 + length
@@ -587,7 +735,7 @@ def _write_image(out: Out, image: np.ndarray, main: bool = False) -> None:
 
 
 def _with_predictor(image: np.ndarray) -> tuple[int, np.ndarray]:
-    """The mode of ``ROW_MODES`` with the smallest residuals, and those."""
+    """The mode of ``TRIED_MODES`` with the smallest residuals, and those."""
     now = image.astype(np.int16)
     fixed = np.empty_like(now)
     fixed[0, 0] = now[0, 0] - [255, 0, 0, 0]
@@ -597,7 +745,7 @@ def _with_predictor(image: np.ndarray) -> tuple[int, np.ndarray]:
     corner = now[:-1, :-1]
     right = np.concatenate((now[:-1, 2:], now[1:, :1]), axis=1)
     best = None
-    for mode in ROW_MODES:
+    for mode in TRIED_MODES:
         rest = (now[1:, 1:] - _predict(mode, left, above, corner, right)).astype(np.uint8)
         size = int(np.abs(rest.view(np.int8).astype(np.int16)).sum(dtype=np.int64))
         if best is None or size < best[0]:
@@ -621,9 +769,12 @@ def _with_cross_colour(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_palette(image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """The colours, and the image of their packed numbers; None if there are more than 256."""
-    colours, index = np.unique(np.ascontiguousarray(image).view(">u4").reshape(-1), return_inverse=True)
+    pixels = image.view(">u4").reshape(-1).astype(np.uint32)
+    ordered = np.sort(pixels)
+    colours = ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
     if len(colours) > 256:
         return None
+    index = np.searchsorted(colours, pixels)
     packed = _packed_bits(len(colours))
     height, width = image.shape[:2]
     across = -(-width >> packed) if packed else width
