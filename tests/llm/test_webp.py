@@ -1,4 +1,4 @@
-"""The encoder in webp.py writes literals only; here another one writes everything the decoder must undo."""
+"""Another encoder writes everything the decoder must undo; the one in webp.py is tested by what it chooses."""
 
 import random
 import struct
@@ -289,6 +289,73 @@ def test_round_trip_of_payloads():
             assert media == encode(payload.copy())
 
 
+def chosen(media):
+    bits = webp.Bits(media[21:])
+    bits.read(32)
+    return bits.read(2) if bits.read(1) else None
+
+
+def test_each_transform_is_chosen_where_it_pays():
+    rng = np.random.default_rng(5)
+    noise = lambda n=4: rng.integers(0, n, (64, 16)).astype(np.uint8)
+    pixels = np.zeros((64, 16, 4), np.uint8)
+    pixels[..., 3] = 255
+    cases = {}
+    slope = pixels.copy()
+    slope[..., :3] = np.cumsum(rng.integers(0, 3, (64, 16, 3)), axis=0)
+    cases[webp.PREDICTOR] = slope
+    grey = pixels.copy()
+    grey[..., 1] = rng.integers(0, 256, (64, 16))
+    grey[..., 0] = grey[..., 1] + noise()
+    grey[..., 2] = grey[..., 1] + noise()
+    cases[webp.SUBTRACT_GREEN] = grey
+    tied = grey.copy()
+    green = tied[..., 1].view(np.int8).astype(int)
+    tied[..., 0] = (noise() + (green * 20 >> 5)).astype(np.uint8)
+    tied[..., 2] = (noise() - (green * 11 >> 5)).astype(np.uint8)
+    cases[webp.CROSS_COLOUR] = tied
+    cases[webp.PALETTE] = rng.integers(0, 256, (200, 4)).astype(np.uint8)[rng.integers(0, 200, (64, 16))]
+    for kind, image in cases.items():
+        media = encode(image.reshape(-1))
+        assert chosen(media) == kind
+        assert (decode(media) == image).all()
+        assert len(media) < len(webp._file(np.ascontiguousarray(image[..., [3, 0, 1, 2]])))
+
+
+def test_copies_and_cache_shorten_texts():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu", k=3)) + " " for _ in range(40)]
+    text = np.frombuffer("".join(rng.choices(words, k=3200)).encode(), np.uint8)
+    media = encode(text)
+    assert (decode(media).reshape(-1)[: len(text)] == text).all()
+    assert len(media) < len(text) * 0.3
+    again = encode(np.concatenate((text, text)))
+    assert len(again) < len(media) + 200
+
+
+def test_colours_asked_before_they_are_there_are_black():
+    out = Writer()
+    out.put(15, 14)
+    out.put(3, 14)
+    out.put(0, 5)
+    out.put(1, 1)
+    out.put(3, 4)
+    out.put(0, 1)
+    write = [write_code(out, used, n) for used, n in (({7, 285}, 288), ({0}, 256), ({0}, 256), ({255}, 256), (set(), 40))]
+    symbols = [285, 7] * 32
+    for s in symbols:
+        out.code(s, write[0])
+    got = decode(out.file()).reshape(-1, 4).tolist()
+    # place 5 is asked for; it is filled only if a literal or black falls there
+    place = lambda p: (0x1E35A7BD * p & 0xFFFFFFFF) >> 29
+    cache, want = [0] * 8, []
+    for s in symbols:
+        p = cache[5] if s == 285 else 0xFF000700
+        cache[place(p)] = p
+        want.append([p >> 16 & 255, p >> 8 & 255, p & 255, p >> 24])
+    assert got == want
+
+
 def test_broken_media_are_refused():
     media = encode(np.arange(64, dtype=np.uint8))
     for bad in (b"", b"RIFF", media[:30], b"X" + media[1:], media[:20] + b"\x00" + media[21:]):
