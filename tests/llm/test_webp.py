@@ -1,7 +1,9 @@
 """Another encoder writes everything the decoder must undo; the one in webp.py is tested by what it chooses."""
 
+import hashlib
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -379,3 +381,26 @@ def test_columns(spark, docs_of):
     assert encode_media(docs_of([]), ["doc_id"]).collect() == []
     broken = spark.createDataFrame([(1, b"nope"), (2, None)], "doc_id long, media binary")
     assert [r.pixels for r in decode_media(broken, ["doc_id"]).collect()] == [None, None]
+
+
+def test_query_gives_the_contract(docs_of, tmp_path):
+    from tidewire.llm.queries import op10_webp
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij é", k=rng.randint(1, 9))) for _ in range(30)]
+    texts = [None, "", "x" * 63, "x" * 64, "x" * 65, "\x00", "é" * 500, *(" ".join(rng.choices(words, k=rng.randint(1, 3000))) for _ in range(12))]
+    texts += texts[-3:]
+    docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark = docs_of([]).sparkSession
+    rows = {r.doc_id: r for r in op10_webp(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw))
+        media = encode(np.frombuffer(payload, np.uint8))
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(media))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert r.tail_crc32 == zlib.crc32(payload[-64:])
+        assert r.media_sha256 == hashlib.sha256(media).hexdigest()
+        assert r.feature == average_hash(decode(media).reshape(-1))
