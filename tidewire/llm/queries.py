@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidewire.llm.chunk_dedup import dedup_substrings
 from tidewire.llm.common import new_folder
 from tidewire.llm.decontaminate import find_contamination
+from tidewire.llm.fill_middle import fill_middle, restored
 from tidewire.llm.jaccard_join import jaccard_groups
 from tidewire.llm.kneser_ney import classify
 from tidewire.llm.line_dedup import dedup_lines
+from tidewire.llm.line_rules import clean_lines
 from tidewire.llm.mixing import mix
 from tidewire.llm.secret_scan import scan_secrets
 from tidewire.llm.sharding import shard
@@ -104,6 +106,25 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = clean_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.withColumn("cleaned_sha256", F.sha2(F.col("cleaned").cast("binary"), 256)).drop("cleaned")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substrings": op2_substrings,
@@ -115,6 +136,8 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_urls": op9_urls,
     "op10_webp": op10_webp,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 ORACLES = {
@@ -188,5 +211,55 @@ patterns AS (
 SELECT u.page_id, u.host, u.path, f.rule, CASE WHEN f.rule IS NULL THEN coalesce(p.blocked, p.allowed) END AS pattern_rule,
        coalesce(f.action, CASE WHEN p.blocked IS NOT NULL THEN 'block' WHEN p.allowed IS NOT NULL THEN 'allow' END, 'allow') AS verdict
 FROM urls u LEFT JOIN fits f USING (page_id) LEFT JOIN patterns p USING (page_id)
+""",
+    "op11_fill_middle": r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM hashed),
+cuts AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS low, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(list_slice(u, 1, low), '') AS prefix, array_to_string(list_slice(u, low + 1, high), '') AS middle,
+         array_to_string(list_slice(u, high + 1, n), '') AS suffix
+  FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+""",
+    "op12_quality_rules": r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM docs WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM docs)),
+counted AS (
+  SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+         len(regexp_extract_all(line, '[|>»›·•/–-]([ 	-]|\z)')) AS separators
+  FROM lines),
+judged AS (
+  SELECT *, n > 0 AND (
+           NOT regexp_matches(line, '[.!?:;…。！？؟।]["''”’»)\]]*([ 	-]|\z)') OR symbols > n * 0.1 OR separators > n * 0.2
+           OR regexp_matches(line, 'all rights reserved|terms of (use|service)|privacy policy|use of cookies|(accept|uses|use) cookies|enable javascript|lorem ipsum|click here|sign up for our|subscribe to our|share (this )?on (facebook|twitter)|powered by', 'i')) AS fails
+  FROM counted),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
+         count(*) FILTER (fails) AS n_failed_lines, CAST(coalesce(sum(n) FILTER (fails), 0) AS BIGINT) AS lost_words,
+         coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT fails), '') AS cleaned
+  FROM judged GROUP BY doc_id),
+joined AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         n_lines, n_failed_lines, lost_words, sha256(cleaned) AS cleaned_sha256
+  FROM docs d JOIN by_doc USING (doc_id) LEFT JOIN repeated USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_words <= 50 * n_words AS kept
+FROM joined
 """,
 }
