@@ -16,6 +16,7 @@ from tidewire.llm.line_rules import clean_lines
 from tidewire.llm.mixing import mix
 from tidewire.llm.secret_scan import scan_secrets
 from tidewire.llm.sharding import shard
+from tidewire.llm.token_alignment import align_tokens
 from tidewire.llm.url_filter import judge_urls
 from tidewire.llm.webp import decode_media, encode_media
 
@@ -125,6 +126,14 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("cleaned_sha256", F.sha2(F.col("cleaned").cast("binary"), 256)).drop("cleaned")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    aligned = align_tokens(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), keep=["doc_id"])
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substrings": op2_substrings,
@@ -138,6 +147,7 @@ QUERIES = {
     "op10_webp": op10_webp,
     "op11_fill_middle": op11_fill_middle,
     "op12_quality_rules": op12_quality_rules,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES = {
@@ -234,18 +244,22 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
 FROM parts
 """,
     "op12_quality_rules": r"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM documents),
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) AS w FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM docs WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM docs)),
 counted AS (
-  SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
-         len(regexp_extract_all(line, '[|>»›·•/–-]([ 	-]|\z)')) AS separators
+  SELECT *, len(regexp_extract_all(line, '[^ 	-
+]+')) AS n, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+         len(regexp_extract_all(line, '[|>»›·•/–-]([ 	-
+]|\z)')) AS separators
   FROM lines),
 judged AS (
   SELECT *, n > 0 AND (
-           NOT regexp_matches(line, '[.!?:;…。！？؟।]["''”’»)\]]*([ 	-]|\z)') OR symbols > n * 0.1 OR separators > n * 0.2
+           NOT regexp_matches(line, '[.!?:;…。！？؟।]["''”’»)\]]*([ 	-
+]|\z)') OR symbols > n * 0.1 OR separators > n * 0.2
            OR regexp_matches(line, 'all rights reserved|terms of (use|service)|privacy policy|use of cookies|(accept|uses|use) cookies|enable javascript|lorem ipsum|click here|sign up for our|subscribe to our|share (this )?on (facebook|twitter)|powered by', 'i')) AS fails
   FROM counted),
 by_doc AS (
