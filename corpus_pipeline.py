@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import new_folder
+from tidewire.llm.common import new_folder, text_key
 from tidewire.llm.decontaminate import find_contamination
 from tidewire.llm.jaccard_join import jaccard_groups, with_nodes
 from tidewire.llm.kneser_ney import classify
-from tidewire.llm.mixing import mix, word_count
+from tidewire.llm.mixing import mix
 from tidewire.llm.sharding import shard
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = stays.unionByName(groups.where("node is null").select("doc_id", "node"))
     keyed = with_nodes(docs, COLUMNS).withColumn("_key", key)
     kept = keyed.join(stays.select(key.alias("_key")).distinct(), "_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("text", "lang", "source", "n_chars"))
-    return kept.withColumn("_nth", first).where("_nth = 1").select(*COLUMNS)
+    # of rows with one key the first; tasks pick theirs before the shuffle, as very many may have it
+    first = F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("row")
+    return kept.groupBy("_key").agg(first).select("row.*").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,16 +49,25 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; half a repetition or more counts as one."""
-    taken = mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), (F.col("copies") + (F.col("part_words") * 2 > F.col("size")).cast("long")).alias("_times"))
-    taken = taken.where("_times > 0").groupBy("_id", "_size").agg(F.max("_times").alias("_times"))
-    joined = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    """Repeats each document as often as the mix takes it; half a repetition or more counts as one.
+
+    Documents are told apart by id, text and source, so those without an id, or with a shared one, are each taken by
+    their own lot. Rows that repeat all three share what the mix takes of them evenly.
+    """
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_key(F.col("text")).cast("string"))
+    named = docs.select(*COLUMNS).withColumn("_name", name)
+    times = F.col("copies") + (F.col("part_words") * 2 > F.col("size")).cast("long")
+    taken = mix(named, id_col="_name").groupBy("_name", "source").agg(F.sum(times).alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
+    taken = taken.withColumnsRenamed({"_name": "_of", "source": "_from"})
+    joined = named.join(taken, (F.col("_name") == F.col("_of")) & F.col("source").eqNullSafe(F.col("_from")))
+    place = F.row_number().over(Window.partitionBy("_name", "source").orderBy("lang", "n_chars"))
+    mine = F.floor(F.col("_times") / F.col("_rows")) + (place <= F.col("_times") % F.col("_rows")).cast("long")
+    return joined.withColumn("_mine", mine).where("_mine > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mine")))).select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stores what is left in shards, and returns it as read back, with each row's shard."""
-    return shard(docs, new_folder(spark, "shards"))
+    return shard(docs, new_folder(spark, "shards"), grace_seconds=0)
 
 
 STAGES = [

@@ -96,3 +96,25 @@ def test_lower_threshold(spark, docs_of):
     want = {i: sum(2 * len(a & b) >= len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
     rows = jaccard_groups(docs_of(texts), threshold=0.5).collect()
     assert {r.doc_id: r.n_links for r in rows} == want and sum(want.values()) == 12
+
+
+def test_rows_without_ids_cost_no_more(spark, docs_of):
+    """2,000 rows in near-copy pairs: as fast without ids as with them, and the same links."""
+    import time
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(1000)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w, "more"]) for w in base]
+    took, links = [], []
+    for ids in (list(range(2000)), [None] * 2000, [7] * 2000):
+        began = time.monotonic()
+        links.append(sorted(r.n_links for r in jaccard_groups(docs_of(texts, ids=ids)).collect()))
+        took.append(time.monotonic() - began)
+    assert links[0] == [1] * 2000 == links[1] == links[2]
+    assert max(took[1:]) < 2 * took[0] + 5
+
+
+def test_repeated_rows_without_ids(spark, docs_of):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = jaccard_groups(docs_of([text] * 30 + [text + " more"] * 20, ids=[None] * 50)).collect()
+    assert len(rows) == 50 and {r.n_links for r in rows} == {49} and len({r.class_node for r in rows}) == 1

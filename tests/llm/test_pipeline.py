@@ -66,3 +66,14 @@ def test_repeated_rows_and_missing_ids(spark, docs_of):
     docs = docs_of([long, long, "other words here to stay for now", None, None, "", long], ids=[5, 5, None, 9, None, 8, 7])
     rows = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in rows) == [((False, 5), long), ((False, 8), ""), ((False, 9), ""), ((True, 0), ""), ((True, 0), "other words here to stay for now")]
+
+
+def test_mixture_without_ids(spark, docs_of):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefghij", k=10)) + f" {i}" for i in range(300)]
+    docs = docs_of(texts, ids=[None] * 300, sources=[None] * 100 + ["a"] * 100 + ["b"] * 100)
+    rows = corpus_pipeline.mixture(spark, docs, "").collect()
+    # weights 5, 2, 1 and twice their size at most: a and b, then none, of 3,300 words
+    assert abs(len(rows) - 450) <= 3 and {r.text for r in rows} <= set(texts)
+    same = docs_of(["ten words are in this text and all the same"] * 100, ids=[None] * 100)
+    assert abs(len(corpus_pipeline.mixture(spark, same, "").collect()) - 150) <= 1

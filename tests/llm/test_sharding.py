@@ -28,6 +28,8 @@ def test_append_compact_read(spark, docs_of):
     assert plain(store.read()) == plain(whole)
     assert old.count() == 80  # older versions stay readable
     store.vacuum()
+    assert len(store.versions()) == last and old.count() == 80  # within the grace time
+    store.vacuum(0)
     assert store.versions() == [last] and plain(store.read()) == plain(whole)
 
 
@@ -71,3 +73,44 @@ def test_query_compacts_several_arrivals(spark, tmp_path, docs_of):
     # five arrivals of one small shard each; the first four were merged into one
     files = rows.select(F.input_file_name().alias("f")).distinct().count()
     assert files == 2
+
+
+def test_vacuum_spares_what_another_writer_is_about_to_commit(spark, docs_of):
+    root = new_folder(spark, "store")
+    a, b = ShardStore(spark, root), ShardStore(spark, root)
+    b.append(docs_of(["one"]))
+    with a._writing(docs_of(["two", "three"])) as new:
+        b.vacuum(0)
+        version, schema, shards = a.manifest()
+        a._commit(version + 1, schema, shards + new)
+    b.vacuum(0)
+    assert plain(b.read()) == plain(docs_of(["one"]).union(docs_of(["two", "three"])))
+    assert b._listed("intents") == []
+
+
+def test_writers_in_turn_on_one_store(spark, docs_of):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = new_folder(spark, "store")
+    arrivals = [docs_of([f"text {k} {i}" for i in range(20)], ids=[100 * k + i for i in range(20)]) for k in range(6)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda d: shard(d, root).schema, arrivals))
+    whole = ShardStore(spark, root).read()
+    assert sorted(r.doc_id for r in whole.collect()) == sorted(100 * k + i for k in range(6) for i in range(20))
+
+
+def test_failed_writes_leave_nothing_and_dead_writers_are_cleared(spark, docs_of):
+    store = ShardStore(spark, new_folder(spark, "store"))
+    store.append(docs_of(["one"]))
+    with pytest.raises(ValueError):
+        store.append(docs_of(["x"]).withColumn("doc_id", F.col("doc_id").cast("string")))
+    with pytest.raises(RuntimeError), store._writing(docs_of(["two"])):
+        raise RuntimeError("no commit")
+    assert len(store._listed("data")) == 1 and store._listed("intents") == []
+    writing = store._writing(docs_of(["never committed"]))
+    writing.__enter__()
+    store.vacuum(0)
+    assert len(store._listed("data")) == 2
+    store.vacuum(0, abandoned_seconds=0)
+    assert len(store._listed("data")) == 1 and store._listed("intents") == [] and store.read().count() == 1
+    assert store.append(docs_of(["two"])) == 2

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import Words, by_key, byte_view, components, map_texts, materialize, mix64, quoted, slices, window_hashes
+from tidewire.llm.common import Words, by_key, byte_view, components, map_texts, materialize, mix64, quoted, slices, text_key, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Shingles sampled at each level of a run.
@@ -89,7 +89,7 @@ def _samples(value: np.ndarray, offsets: np.ndarray, many: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, runs: int) -> DataFrame:
-    """(_id, node, n_set, paths): the digest of the set, its size, and its sampled shingles of all runs and levels."""
+    """(_id, _key, node, n_set, paths): the id and a hash of the text; the digest of the set, its size, and its sampled shingles of all runs and levels."""
     many = runs * sum(BRANCHES)
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
@@ -104,8 +104,9 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, runs: int) -> Da
         return work
 
     fields = [T.StructField("node", T.BinaryType()), T.StructField("n_set", T.LongType()), T.StructField("paths", T.BinaryType())]
-    ids = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).alias("_text"))
-    return map_texts(ids, "_text", ["_id"], fields, make)
+    text = F.col(quoted(text_col)).cast("string")
+    ids = docs.select(F.col(quoted(id_col)).alias("_id"), text.alias("_text"), text_key(text).alias("_key"))
+    return map_texts(ids, "_text", ["_id", "_key"], fields, make)
 
 
 def with_nodes(docs: DataFrame, keep: list[str], text_col: str = "text", n: int = SHINGLE) -> DataFrame:
@@ -334,7 +335,11 @@ def jaccard_groups(
     least = max(1, math.floor(many * threshold - 4.3 * math.sqrt(many * threshold * (1 - threshold))))
     drawn = materialize(sketch(docs, id_col, text_col, n, runs), "sketches")
     nodes = drawn.where("node is not null").groupBy("node").agg(
-        F.min("_id").alias("text_id"), F.count("*").alias("weight"), F.first("n_set").alias("n_set"), F.first("paths").alias("paths")
+        F.min("_id").alias("text_id"),
+        F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_key")).alias("held_by"),
+        F.count("*").alias("weight"),
+        F.first("n_set").alias("n_set"),
+        F.first("paths").alias("paths"),
     )
     nodes = materialize(nodes, "nodes")
     held = materialize(leaves(nodes, runs, limit), "leaves")
@@ -343,9 +348,12 @@ def jaccard_groups(
     at = at.repartition("task").sortWithinPartitions("task", "node")
     near = at.mapInArrow(lambda b: may_match(b, many, least, threshold), "leaf long, node binary").distinct()
     near = materialize(near, "near")
-    wanted = near.select("node").distinct().join(nodes.select("node", "text_id"), "node").withColumnsRenamed({"node": "_want", "text_id": "_want_id"})
-    texts = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
-    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_want_id"))).select("_want", "_text")
+    # one text of each wanted set, by id and text, so that rows without an id meet only those with their own text
+    wanted = near.select("node").distinct().join(nodes.select("node", "held_by"), "node")
+    wanted = wanted.select(F.col("node").alias("_want"), F.col("held_by._id").alias("_want_id"), F.col("held_by._key").alias("_want_key"))
+    text = F.col(quoted(text_col)).cast("string")
+    texts = docs.select(F.col(quoted(id_col)).alias("_id"), text.alias("_text"), text_key(text).alias("_key"))
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_want_id")) & (F.col("_key") == F.col("_want_key"))).select("_want", "_text")
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,7 +367,8 @@ def jaccard_groups(
                 )
                 at += len(digests)
 
-    sets = texts.mapInArrow(fetch, "node binary, shingles binary")
+    # rows that repeat id and text bring their set more than once
+    sets = texts.mapInArrow(fetch, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     left = with_size(near, 1)
     every = held.groupBy("node").agg(F.collect_list("leaf").alias("leaves")).join(nodes.select("node", "n_set", "weight"), "node")
     full = left.join(every, "node").join(sets, "node")

@@ -58,7 +58,7 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # five arrivals, so that small shards pile up and are merged
     arrivals = [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == i) for i in range(5)]
-    rows = shard(docs, new_folder(spark, "shards"), arrivals=arrivals)
+    rows = shard(docs, new_folder(spark, "shards"), arrivals=arrivals, grace_seconds=0)
     stored = F.sha2(F.coalesce("text", F.lit("")), 256)
     return rows.select("doc_id", "lang", "source", "n_chars", stored.alias("text_sha256"), F.col("shard").isNotNull().alias("sharded"))
 

@@ -7,13 +7,20 @@ runs of similarly sized shards, all of one tier, into files of about the target
 size, until no tier has a full run; each document is rewritten at most once a
 tier. No step shuffles. A version appears by one rename that fails if it exists
 already, so a reader sees a whole version or none and of two writers one wins.
+
+Whoever writes shards first leaves an intent in ``intents/`` and removes it when the
+version that has them is committed. Vacuuming spares folders with an intent, so
+it may run beside any number of writers.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -81,26 +88,41 @@ class ShardStore:
             raise
         return version
 
-    def _write(self, df: DataFrame) -> list[Shard]:
-        folder = f"data/{uuid.uuid4().hex}"
-        # a task holds a row group in memory while it writes
-        df.write.option("parquet.block.size", self.row_group_bytes).parquet(f"{self.root}/{folder}")
-        files = self._fs.listStatus(self._path(f"{self.root}/{folder}"))
-        return [Shard(f"{folder}/{f.getPath().getName()}", f.getLen()) for f in files if f.getPath().getName().startswith("part-")]
+    @contextmanager
+    def _writing(self, df: DataFrame) -> Iterator[list[Shard]]:
+        """Writes df as new shards that no vacuum touches until the block is left; they go if it fails."""
+        name = uuid.uuid4().hex
+        intent, folder = self._path(f"{self.root}/intents/{name}"), f"data/{name}"
+        self._fs.create(intent).close()
+        try:
+            # a task holds a row group in memory while it writes
+            df.write.option("parquet.block.size", self.row_group_bytes).parquet(f"{self.root}/{folder}")
+            files = self._fs.listStatus(self._path(f"{self.root}/{folder}"))
+            yield [Shard(f"{folder}/{f.getPath().getName()}", f.getLen()) for f in files if f.getPath().getName().startswith("part-")]
+        except BaseException:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            raise
+        finally:
+            self._fs.delete(intent, False)
 
     def append(self, df: DataFrame, tries: int = 20) -> int:
-        """Adds an arrival; returns the version that has it. The columns must be those of the store."""
-        new = self._write(df)
-        for _ in range(tries):
-            version, schema, shards = self.manifest()
-            have = df.schema.json()
-            if schema is not None and T.StructType.fromJson(json.loads(schema)).fieldNames() != df.schema.fieldNames():
-                raise ValueError("the arrival has other columns than the store")
-            try:
-                return self._commit(version + 1, schema or have, shards + new)
-            except Conflict:
-                continue
-        raise Conflict("too many writers")
+        """Adds an arrival; returns the version that has it. Names, order and types of the columns must be those of the store."""
+
+        def held(schema: str | None) -> str:
+            kind = df.schema if schema is None else T.StructType.fromJson(json.loads(schema))
+            if kind.simpleString() != df.schema.simpleString():
+                raise ValueError(f"the arrival is {df.schema.simpleString()}, the store {kind.simpleString()}")
+            return schema or df.schema.json()
+
+        held(self.manifest()[1])
+        with self._writing(df) as new:
+            for _ in range(tries):
+                version, schema, shards = self.manifest()
+                try:
+                    return self._commit(version + 1, held(schema), shards + new)
+                except Conflict:
+                    continue
+            raise Conflict("too many writers")
 
     def tier(self, size: int) -> int:
         """Shards of a tier are within a factor of fan_in; all below ``unit`` are tier 0."""
@@ -126,34 +148,62 @@ class ShardStore:
                 return version
             kind = T.StructType.fromJson(json.loads(schema))
             files = max(1, round(sum(s.bytes for s in run) / self.target_bytes))
-            merged = self._write(self.spark.read.schema(kind).parquet(*[f"{self.root}/{s.path}" for s in run]).coalesce(files))
             gone = set(run)
-            while True:
-                version, schema, now = self.manifest()
-                if not gone <= set(now):
-                    break
-                try:
-                    self._commit(version + 1, schema, [s for s in now if s not in gone] + merged)
-                    break
-                except Conflict:
-                    continue
-
-    def vacuum(self) -> None:
-        """Deletes shards that the latest version does not have, and older manifests. Readers of older versions must be done."""
-        version, _, shards = self.manifest()
-        live = {s.path for s in shards}
-        for old in self.versions():
-            if old < version:
-                self._fs.delete(self._path(f"{self.root}/manifests/v{old:010d}.json"), False)
-        for folder in self._fs.listStatus(self._path(f"{self.root}/data")):
-            name = folder.getPath().getName()
-            files = [f.getPath() for f in self._fs.listStatus(folder.getPath())]
+            with self._writing(self.spark.read.schema(kind).parquet(*[f"{self.root}/{s.path}" for s in run]).coalesce(files)) as merged:
+                while True:
+                    version, schema, now = self.manifest()
+                    if not gone <= set(now):
+                        break
+                    try:
+                        self._commit(version + 1, schema, [s for s in now if s not in gone] + merged)
+                        break
+                    except Conflict:
+                        continue
+
+    def vacuum(self, grace_seconds: float = 3600, abandoned_seconds: float = 7 * 86_400) -> None:
+        """Deletes versions superseded for longer than ``grace_seconds``, and shards that no version left has.
+
+        Readers of a version have that long to finish; with 0 there must be none. Shards with an intent are left
+        alone, as their writer may be about to commit, unless the intent is older than ``abandoned_seconds``:
+        no write takes that long, so its writer is gone.
+        """
+        now = time.time()
+        # the order matters: what is listed here without an intent after it was committed before the versions are read
+        folders = [f.getPath().getName() for f in self._listed("data")]
+        intents = {f.getPath().getName(): now - f.getModificationTime() / 1000 for f in self._listed("intents")}
+        stamped = {int(f.getPath().getName()[1:-5]): now - f.getModificationTime() / 1000 for f in self._listed("manifests") if f.getPath().getName().startswith("v")}
+        newest_first = sorted(stamped, reverse=True)
+        live: set[str] = set()
+        for place, version in enumerate(newest_first):
+            # a version is superseded when the next one appears
+            if place and stamped[newest_first[place - 1]] >= grace_seconds:
+                self._fs.delete(self._path(f"{self.root}/manifests/v{version:010d}.json"), False)
+                continue
+            try:
+                live |= {s.path for s in self.manifest(version)[2]}
+            except Py4JJavaError as e:  # another vacuum took it; nobody may read it any more
+                if not place or "FileNotFound" not in e.java_exception.getClass().getName():
+                    raise
+        for name in folders:
+            if name in intents and intents[name] < abandoned_seconds:
+                continue
+            files = [f.getPath() for f in self._listed(f"data/{name}")]
             if not any(f"data/{name}/{f.getName()}" in live for f in files):
-                self._fs.delete(folder.getPath(), True)
+                self._fs.delete(self._path(f"{self.root}/data/{name}"), True)
             else:
                 for f in files:
                     if f.getName().startswith("part-") and f"data/{name}/{f.getName()}" not in live:
                         self._fs.delete(f, False)
+            self._fs.delete(self._path(f"{self.root}/intents/{name}"), False)
+
+    def _listed(self, folder: str) -> list:
+        """What is in a folder of the store; nothing if it is not there yet, or no longer."""
+        try:
+            return list(self._fs.listStatus(self._path(f"{self.root}/{folder}")))
+        except Py4JJavaError as e:
+            if "FileNotFound" in e.java_exception.getClass().getName():
+                return []
+            raise
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with ``shard`` (replacing a column of that name)."""
@@ -165,15 +215,16 @@ class ShardStore:
         return rows.withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)$", 1))
 
 
-def shard(df: DataFrame, root: str, target_bytes: int = 64 << 20, arrivals: list[DataFrame] | None = None) -> DataFrame:
+def shard(df: DataFrame, root: str, target_bytes: int = 64 << 20, arrivals: list[DataFrame] | None = None, grace_seconds: float = 3600) -> DataFrame:
     """Appends df (or, one after another, the arrivals that make it up) to the store in root, compacts it after each, and returns the rows of the store with their ``shard``.
 
     Nulls, repeated rows and any columns are stored as they are; an empty table makes a
-    version with an empty shard.
+    version with an empty shard. Several runs may use one store at a time; ``grace_seconds`` as in
+    ``vacuum``, 0 for a store that nobody else reads.
     """
     store = ShardStore(df.sparkSession, root, target_bytes)
     for arrival in arrivals or [df]:
         store.append(arrival)
         store.compact()
-    store.vacuum()
+    store.vacuum(grace_seconds)
     return store.read()
