@@ -68,10 +68,10 @@ def got(df):
     return {r.doc_id: tuple(r[c] for c in COLUMNS) for r in df.collect()}
 
 
-@pytest.mark.parametrize("chars", [1, 500, 24_000_000])
-def test_against_whole_texts(docs_of, chars):
+@pytest.mark.parametrize(("chars", "bucket"), [(1, 200_000), (500, 3), (16_000_000, 200_000)])
+def test_against_whole_texts(docs_of, chars, bucket):
     want = plain(TEXTS)
-    assert got(align_tokens(docs_of(TEXTS), A, B, ["doc_id"], block_chars=chars)) == dict(enumerate(want))
+    assert got(align_tokens(docs_of(TEXTS), A, B, ["doc_id"], block_chars=chars, bucket_segments=bucket)) == dict(enumerate(want))
     assert want[16][:3] == (0, 0, 0) and want[17][:3] == (0, 0, 0) and want[0] == want[25]
 
 
