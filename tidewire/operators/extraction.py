@@ -27,7 +27,8 @@ IMAGE_METAS = ("og:image:secure_url", "og:image", "twitter:image", "twitter:imag
 #: Keys under which an object holds an image's address.
 IMAGE_KEYS = ("url", "contentUrl", "src", "sourceUrl")
 #: Ids and classes of the pages monitored - an article's date, its byline, today's date in the header, its photo.
-DATE_LABEL, MAIN_DATE_LABEL, BYLINE, NEWS_PHOTO = "lbldate", "contentplaceholder1_lbldate", "WriterLink", "newspictures/"
+DATE_LABEL, MAIN_DATE_LABEL = r"(^|_)lblDate$", r"ContentPlaceHolder1_lblDate$"
+BYLINE, NEWS_PHOTO = "WriterLink", "newspictures/"
 TODAY_LABELS = ("lblGrogerianDate", "lblGregorianDate", "lblHijriDate")
 #: Names of the data that pages embed.
 NEXT_DATA, ARTICLE_INFO, NEWS_TYPES = "__NEXT_DATA__", "article_info", {"NewsArticle", "Article"}
@@ -37,19 +38,21 @@ _EMPTY_TAGS = set("area base br col embed hr img input link meta source track wb
 _CHROME = {"script", "style", "noscript", "nav", "footer", "aside"}
 
 
+#: The elements that hold an article's text, best first: tag, and the attribute with a pattern that it must have.
+CONTAINERS = (
+    ("article", None, None),
+    ("div", "class", r"(article|story|content|post).*body"),
+    ("div", "id", r"(article|story|content)"),
+    ("main", None, None),
+    ("body", None, None),
+)
+
+
 def boxes(tag: str, attrs: dict[str, str]) -> Iterator[int]:
     """As which body container an element can serve: 0 the best."""
-    classes, name = attrs.get("class", "").lower(), attrs.get("id", "").lower()
-    if tag == "article":
-        yield 0
-    if tag == "div" and any("body" in classes[classes.index(w) + len(w) :] for w in ("article", "story", "content", "post") if w in classes):
-        yield 1
-    if tag == "div" and any(w in name for w in ("article", "story", "content")):
-        yield 2
-    if tag == "main":
-        yield 3
-    if tag == "body":
-        yield 4
+    for rank, (name, attribute, pattern) in enumerate(CONTAINERS):
+        if tag == name and (attribute is None or re.search(pattern, attrs.get(attribute, ""), re.IGNORECASE)):
+            yield rank
 
 
 class Seen(HTMLParser):
@@ -90,9 +93,9 @@ class Seen(HTMLParser):
         if tag == "script":
             kind = "ld" if got.get("type") == "application/ld+json" else NEXT_DATA if got.get("id") == NEXT_DATA else "script"
             self._capture(kind, "", True)
-        name = got.get("id", "").lower()
-        if name.endswith(DATE_LABEL):
-            self._capture("main_date" if name.endswith(MAIN_DATE_LABEL) else "date" if name == DATE_LABEL or name.endswith(f"_{DATE_LABEL}") else "other", " ", True)
+        for name, label in (("main_date", MAIN_DATE_LABEL), ("date", DATE_LABEL)):
+            if re.search(label, got.get("id", ""), re.IGNORECASE):
+                self._capture(name, " ", True)
         if tag == "font" and BYLINE in got.get("class", "").split():
             self._capture("byline", " ", True)
 
@@ -139,7 +142,7 @@ class Seen(HTMLParser):
         return next(iter(self.texts.get(name, [])), "")
 
     def dom_body(self) -> str:
-        for box in range(5):
+        for box in range(len(CONTAINERS)):
             if f"box{box}" in self.texts:
                 return "\n\n".join(self.paragraphs.get(box, [])) or self.first(f"box{box}")[:BODY_MAX]
         return ""
@@ -251,7 +254,7 @@ def seen_on(page: str, url: str) -> list[tuple[str, str, str | None]]:
     day, clock = (next((x for x in reversed(lines) if re.fullmatch(p, x)), "") for p in (dates.SHOWN_YEAR_FIRST, r".*\d:\d\d.*"))
     if day:
         add("shown", "day_and_clock", f"{day} {clock}")
-    for text in [*seen.texts.get("main_date", []), *seen.texts.get("date", [])]:
+    for text in seen.texts.get("date", []):
         add("shown", "day_first", text)
     images = [seen.metas.get(m) for m in IMAGE_METAS] + [seen.firsts.get("image_src")]
     images += [next(image_addresses(_any(x, "image", "thumbnailUrl")), None) for x in linked] + seen.photos

@@ -21,16 +21,16 @@ def iso_dates(spark, root):
     return load(spark, root, "events").select("event_id", micros(dates.iso(text)).alias("at"), micros(dates.local_naive(text)).alias("local_at"))
 
 
-@query("""SELECT o_orderkey, epoch_us(CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)) AS d, epoch_us(CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS BIGINT)) + to_minutes(7)) AS dh,
-  CASE WHEN o_orderkey % 12 = 0 THEN 12 ELSE o_orderkey % 12 + 12 END AS pm, CASE WHEN o_orderkey % 12 = 0 THEN 0 ELSE o_orderkey % 12 END AS am FROM orders""")
+@query("""SELECT o_orderkey, epoch_us(CAST(date_trunc('day', later) AS TIMESTAMP)) AS d, epoch_us(CAST(date_trunc('day', later) AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS BIGINT)) + to_minutes(7)) AS dh,
+  CASE WHEN o_orderkey % 12 = 0 THEN 12 ELSE o_orderkey % 12 + 12 END AS pm, CASE WHEN o_orderkey % 12 = 0 THEN 0 ELSE o_orderkey % 12 END AS am
+FROM (SELECT *, CAST(o_orderdate AS TIMESTAMP) + to_days(10957) AS later FROM orders)""")
 def shown_dates(spark, root):
-    o = load(spark, root, "orders").withColumn("day", F.date_format("o_orderdate", "dd/MM/yyyy")).withColumn("ymd", F.date_format("o_orderdate", "yyyy.MM.dd"))
-    clock = F.format_string("on %s %02d:07!", F.col("day"), F.col("o_orderkey") % 24)
+    """Orders date from 1992 on and only 20xx is read, so every day is shown 30 years (10,957 days) later."""
+    o = load(spark, root, "orders").withColumn("later", F.date_add("o_orderdate", 10_957))
+    clock = F.format_string("on %s %02d:07!", F.date_format("later", "dd/MM/yyyy"), F.col("o_orderkey") % 24)
     half = lambda mark: dates.clock_hour(F.format_string(f"%d:05 {mark}", F.when(F.col("o_orderkey") % 12 == 0, F.lit(12)).otherwise(F.col("o_orderkey") % 12))).cast("long")
-    old = F.year("o_orderdate") < 2000
     return o.select(
-        "o_orderkey", F.unix_micros(F.when(old, F.date_trunc("day", "o_orderdate")).otherwise(dates.year_first("ymd"))).alias("d"),
-        F.unix_micros(F.when(old, F.date_trunc("day", "o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"), mins=F.lit(7))).otherwise(dates.day_first(clock))).alias("dh"),
+        "o_orderkey", F.unix_micros(dates.year_first(F.date_format("later", "yyyy.MM.dd"))).alias("d"), F.unix_micros(dates.day_first(clock)).alias("dh"),
         half("م").alias("pm"), half("ص").alias("am"),
     )
 
