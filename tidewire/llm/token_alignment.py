@@ -36,16 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import materialize, quoted
+from tidewire.llm.common import discard, materialize, new_folder, quoted, while_writing
 
 #: White space as byte-level pre-tokenizers see it (the Unicode property).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: What stands for a space in the pieces of the second vocabulary.
 SPACE_PIECE = "▁"
 #: Characters of text in a block: a task holds its distinct segments and the numbers of all of them.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 24_000_000
 #: Segments, counted once for each block, in a bucket.
 BUCKET_SEGMENTS = 200_000
+#: A block's segments are stored apart from its documents, as they are read first and then no more.
+PARTS = ("segments", "documents")
 #: Segments encoded at once.
 ENCODED = 16_384
 
@@ -182,8 +184,8 @@ def _whole(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], names: list[str], b_path: str, pattern: re.Pattern, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (block, segs, times, order, docs) from batches whose last column is the text: the distinct segments by hash, how
-    often each occurs, and the places among them of the numbers in the documents' paths."""
+    """Two rows of (block, segs, times, order, docs, part) for each block from batches whose last column is the text: one with the distinct
+    segments by hash and how often each occurs; one with the documents and the places among the segments of the numbers in their paths."""
     model = second_tokenizer(b_path)[0]
     number, parts, rows, chars = _Numbers(), [], [], 0
 
@@ -210,7 +212,8 @@ def _blocks(batches: Iterable[pa.RecordBatch], names: list[str], b_path: str, pa
         docs = pa.StructArray.from_arrays([*[_whole(held.column(i)) for i in range(len(names))], pack(rank[ids], lengths)], names=[*names, "_path"])
         rows.clear()
         listed = [pa.array([segs[i] for i in hashed.tolist()], pa.string()), pa.array(times[hashed], pa.int64()), pa.array(place[common]), docs]
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes], pa.binary()), *map(_one, listed)], names=["block", "segs", "times", "order", "docs"])
+        both = [pa.concat_arrays([x, pa.nulls(1, x.type)] if i < 2 else [pa.nulls(1, x.type), x]) for i, x in enumerate(map(_one, listed))]
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes] * 2, pa.binary()), *both, pa.array(PARTS)], names=["block", "segs", "times", "order", "docs", "part"])
 
     for batch in batches:
         low, kept = 0, pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
@@ -377,13 +380,19 @@ def align_tokens(
         T.StructField("times", T.ArrayType(T.LongType())),
         T.StructField("order", T.ArrayType(T.IntegerType())),
         T.StructField("docs", T.ArrayType(T.StructType([*kinds, T.StructField("_path", T.BinaryType())]))),
+        T.StructField("part", T.StringType()),
     ])
-    blocks = materialize(rows.mapInArrow(lambda b: _blocks(b, names, b_path, pattern, block_chars), block_type), "blocks")
+    stored, spark = new_folder(docs.sparkSession, "blocks"), docs.sparkSession
+    with while_writing(spark):
+        rows.mapInArrow(lambda b: _blocks(b, names, b_path, pattern, block_chars), block_type).write.partitionBy("part").parquet(stored)
+    blocks, whole = (spark.read.schema(block_type).parquet(stored).where(F.col("part") == p) for p in PARTS)
 
     segments = blocks.agg(F.sum(F.size("segs"))).first()[0] or 0
     bits = max(0, (segments // bucket_segments).bit_length())
     uses = blocks.select("block", "segs", "times").mapInArrow(lambda b: _dealt(b, bits), "bucket long, block binary, segs array<string>, times array<long>")
     packs = materialize(uses.groupBy("bucket").applyInArrow(lambda rows: _align_bucket(rows, a_path, b_path), PACK), "packs")
+    blocks.stored_at = f"{stored}/part={PARTS[0]}"
+    discard(blocks)
 
     own = packs.select("bucket", F.explode(F.arrays_zip("a", "b", "n")).alias("p")).select("bucket", "p.*")
     total = own.groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -392,6 +401,6 @@ def align_tokens(
     known = own.select(F.col("bucket").alias("of"), "a", "b").join(total, ["a", "b"])
     fits = packs.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(_score_bucket, FIT)
     out_type = T.StructType([*kinds, *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("groups", T.StringType())])
-    whole = blocks.select(F.col("block").alias("of"), "order", "docs").groupBy("of").cogroup(fits.groupBy("block"))
+    whole = whole.select(F.col("block").alias("of"), "order", "docs").groupBy("of").cogroup(fits.groupBy("block"))
     out = whole.applyInArrow(lambda d, f: _compose(d, f, names), out_type)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *made)
