@@ -16,8 +16,8 @@ from tidewire.functions import urls, vectors
 from tidewire.operators import gates, matching, media, merge, priority, ranking, reports, semantic, stats
 from tidewire.operators.extraction import extract_articles
 from tidewire.plans import jobs
-from tidewire.session import load
-from tidewire.sources import discovery
+from tidewire.session import load, new_folder
+from tidewire.sources import blobs, connector, discovery
 from tidewire.streaming import pipeline as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,6 +469,25 @@ def listing_links(spark, root):
     return discovery.listing(p)
 
 
+@query("""+ dated AS (SELECT *, publisher || '-' || CAST(doc_id // 200 AS VARCHAR) AS channel FROM articles)
+SELECT channel, 'https://news.example.com/' || doc_id AS source_url, trim(title) AS title, epoch_us(published_at) AS at FROM dated
+WHERE NOT coalesce(published_at < TIMESTAMP '2024-01-11', false) AND channel <> publisher || '-0'""", True)
+def connector_feeds(spark, root):
+    """All articles as feeds of up to 200 items, stored as document sets and read by the connector source, stale items left out."""
+    a = articles(spark, root).withColumn("channel", F.concat_ws("-", "publisher", F.floor(F.col("doc_id") / 200).cast("string")))
+    day = F.coalesce(F.concat(F.lit("<pubDate>"), F.date_format("published_at", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate>")), F.lit(""))
+    # XML has no form feeds and the like
+    title = tx.xml_escape(F.regexp_replace("title", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "))
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://news.example.com/"), F.col("doc_id").cast("string"), F.lit("</link>"), day, F.lit("</item>"))
+    feeds = a.groupBy("channel").agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("i"))
+    content = F.concat(F.lit('<rss version="2.0"><channel>'), F.col("i"), F.lit("</channel></rss>"))
+    folder = new_folder(spark, "feeds")
+    connector.store_documents(feeds.select(F.lit("rss").alias("connector"), "channel", F.lit("https://news.example.com/feed").alias("url"), content.alias("content")), folder)
+    connector.register(spark)
+    found = spark.read.format(connector.FORMAT).option("connector", "rss").option("cutoff", "2024-01-11").load(folder)
+    return found.where(~F.endswith("channel", F.lit("-0"))).select("channel", "source_url", "title", F.unix_micros("published_at").alias("at"))
+
+
 @query("""SELECT channel, edition_date, 'https://pdf.example.com/pdf/' || strftime(edition_date, '%Y/%m/%d-%m-%Y/%d-%m-%Y') || '.pdf' AS source_url
 FROM (SELECT n_name AS channel, CAST(unnest(generate_series(DATE '2024-02-03', DATE '2024-02-10', INTERVAL 1 DAY)) AS DATE) AS edition_date FROM nation)""")
 def edition_candidates(spark, root):
@@ -476,6 +495,18 @@ def edition_candidates(spark, root):
     return discovery.edition_candidates(c, F.lit("2024-02-10").cast("date"), 7)
 
 
+@query("""SELECT sha256(html) AS digest, CAST(max(strlen(html)) AS BIGINT) AS n_bytes, 1 AS n_blobs, 2 * count(*) AS n_keys, max(page_id) AS newest FROM pages WHERE html IS NOT NULL GROUP BY 1""")
+def stored_pages(spark, root):
+    """All pages put into the object store twice, under two keys each: one blob for each content."""
+    pages = load(spark, root, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    store = blobs.BlobStore(spark, new_folder(spark, "objects"))
+    for kind in ("raw", "again"):
+        store.put(pages.select(F.format_string(f"{kind}/%012d.html", "page_id").alias("key"), "content"))
+    held = store.blobs().groupBy("digest").agg(F.count("*").cast("int").alias("n_blobs"))
+    named = store.names().groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.count("*").alias("n_keys"), F.max(F.regexp_extract("key", r"(\d+)", 1).cast("long")).alias("newest"))
+    return held.join(named, "digest", "full_outer").select("digest", "n_bytes", "n_blobs", "n_keys", "newest")
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n FROM events GROUP BY ALL""")
 def hourly_counts(spark, root):
     return streams.windowed_counts(load(spark, root, "events"), "ts", ["event_type"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,3 +18,18 @@ def get_session(app: str = "tidewire", **conf: str) -> SparkSession:
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below spark.checkpoint.dir, which all executors share; a temporary one only in local mode where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
+        shared = by_hand.get() if by_hand.isDefined() else None
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
+        spark.sparkContext.setCheckpointDir(shared)
+        shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

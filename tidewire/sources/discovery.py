@@ -14,6 +14,8 @@ from tidewire.functions.urls import parts, resolve, same_site
 
 RSS = "channel struct<item:array<struct<title:string,link:string,pubDate:string,description:string>>>"
 ATOM = "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,published:string,updated:string>>"
+#: A link: its address and what it shows.
+ANCHOR = r'(?is)<a\b[^>]*?\bhref\s*=\s*["\']([^"\']*)["\'][^>]*>(.*?)</a>'
 URLSET = "url array<struct<loc:string,lastmod:string>>"
 
 
@@ -65,8 +67,7 @@ def nested_sitemaps(documents: DataFrame, most: int = 20) -> DataFrame:
 
 def listing(documents: DataFrame, allowed_hosts: tuple[str, ...] = (), prefixes: tuple[str, ...] = (), include: str | None = None, exclude: str | None = None, most: int = 100) -> DataFrame:
     """Links of a page to its own site or allowed hosts: absolute, without fragment, first of each; short titles are null."""
-    anchor = r'(?is)<a\b[^>]*?\bhref\s*=\s*["\']([^"\']*)["\'][^>]*>(.*?)</a>'
-    hrefs, texts = (F.regexp_extract_all("content", F.lit(anchor), F.lit(i)) for i in (1, 2))
+    hrefs, texts = (F.regexp_extract_all("content", F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
     each = documents.select("channel", "url", F.posexplode(F.arrays_zip(hrefs.alias("h"), texts.alias("t"))).alias("position", "a"))
     each = each.where((F.col("a.h") != "") & ~F.regexp_like("a.h", F.lit("^(#|mailto:)")))
     whole = F.substring_index(resolve(F.col("url"), F.col("a.h")), "#", 1)
