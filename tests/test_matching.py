@@ -62,9 +62,51 @@ def test_on_frames(spark):
     assert [(r.entity_id, r.pos, r.source) for r in terms.orderBy("entity_id", "pos").collect()] == [(1, 0, "canonical"), (1, 2, "alias"), (2, 1, "canonical")]
     docs = spark.createDataFrame([(1, "t", "on the harbour line"), (2, None, None), (3, "HL", "stop words")], "doc_id long, title string, body string")
     vetoes = spark.createDataFrame([(1, "stop words")], "entity_id long, phrase string")
-    for limit in (1 << 20, 150):
-        rows = match_documents(docs, terms, vetoes, max_broadcast_bytes=limit).orderBy("doc_id").collect()
-        assert [(r.doc_id, r.entity_id, r.excluded, r.match_type) for r in rows] == [(1, 1, False, "case_insensitive_en"), (3, 1, True, None)]
+    rows = match_documents(docs, terms, vetoes).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.entity_id, r.excluded, r.match_type) for r in rows] == [(1, 1, False, "case_insensitive_en"), (3, 1, True, None)]
+    assert match_documents(docs, terms.limit(0), vetoes).collect() == match_documents(docs.limit(0), terms, vetoes).collect() == []
+
+
+def test_pieces_of_a_term():
+    import difflib
+    import random
+
+    from tidewire.operators.matching import FUZZY_RATIO, edits, fuzzy_pieces
+
+    rng = random.Random(1)
+    near = 0
+    for _ in range(4000):
+        term = "".join(rng.choice("abc d") for _ in range(rng.randint(6, 30)))
+        gram = list(term)
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(len(gram) + 1)
+            gram[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        gram = "".join(gram)
+        if difflib.SequenceMatcher(None, gram, term).ratio() >= FUZZY_RATIO:
+            near += 1
+            d = edits(len(term), len(gram))
+            pieces = [p for p in fuzzy_pieces(term) if p[2] == d]
+            assert "".join(p for p, _, _ in pieces) == term and len(pieces) == d + 1
+            assert any(gram[at : at + len(p)] == p for p, o, _ in pieces for at in range(max(0, o - d), o + d + 1))
+    assert near > 800
+
+
+def test_grams_near_spots():
+    import random
+
+    import numpy as np
+
+    from tidewire.operators.matching import BODY, FuzzyTerms, fuzzy_pieces, near_grams, packed
+
+    rng = random.Random(6)
+    vocab = ["harbour", "harbor", "line", "lines", "liner", "a", "port", "ports", "portal", "المطار", "مطار"]
+    terms = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    for _ in range(60):
+        tokens = [rng.choice(vocab) for _ in range(rng.randint(0, 30))]
+        text = " ".join(tokens)
+        spots = {t: [packed(at, o, d, BODY) for p, o, d in fuzzy_pieces(t) for at in range(len(text)) if text.startswith(p, at)] for t in terms if len(t) >= 6}
+        spots = {t: np.array(places) for t, places in spots.items() if places}
+        assert near_grams(tokens, spots) == FuzzyTerms(terms).find(tokens)
 
 
 def plain_fuzzy(term, tokens):

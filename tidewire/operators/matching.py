@@ -1,21 +1,20 @@
 """Lexical matching of monitored entities in documents.
 
 ``entity_terms`` makes the terms; ``existence`` answers which entity's names occur
-where, with built-ins; ``match_documents`` gives the full evidence: layers exact, case-
+where, by one automaton; ``match_documents`` gives the full evidence: layers exact, case-
 insensitive, normalised and fuzzy, an exclusion veto before them, and the ten best
-hits. Entities are a tenant's list of names; they are sent to the tasks in one broadcast
-below ``max_broadcast_bytes``, and in blocks of entities beyond it. A document is run through one
-automaton of all names, and its runs of words are held against all names at once by character
-counts; only entities found so are looked at one by one.
+hits. Which entity may be in which document is found by a join of pieces of names with pieces of
+texts, and only such pairs are looked at; no task holds all entities.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import ALEFS, ARABIC_DIGITS, DIACRITICS, TATWEEL, normalize_text
+from tidewire.session import checkpointed
 
 #: How match types rank, and the limits of fuzzy matching and of evidence.
 RANK = {"exact": 5, "case_insensitive_en": 4, "arabic_normalized": 3, "alias": 3, "controlled_fuzzy": 1}
@@ -38,6 +38,10 @@ def normalized(text: str | None) -> str:
     return " ".join(re.sub(r"[^\w\s]", " ", t).split())
 
 
+#: Words of texts repeat, so what they fold to is remembered.
+_folded_word = lru_cache(maxsize=1 << 16)(normalized)
+
+
 def entity_terms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """(entity_id, pos, surface, language, exact_only, source): the English name, the Arabic name, then aliases as stored."""
     names = entities.select(
@@ -109,7 +113,7 @@ class Text:
 
     @cached_property
     def words(self) -> list[tuple[int, int, str]]:
-        return [(m.start(), m.end(), normalized(m.group())) for m in re.finditer(r"\S+", self.raw)]
+        return [(m.start(), m.end(), _folded_word(m.group())) for m in re.finditer(r"\S+", self.raw)]
 
     @cached_property
     def tokens(self) -> list[str]:
@@ -225,7 +229,9 @@ class Matcher:
             if term["folded"] and term["folded"] in text.folded:
                 kind, score = ("alias", 0.96) if term["source"] == "alias" else ("arabic_normalized", 0.97)
                 wide, placed = len(term["folded"].split()), False
-                for i in range(len(text.words) - wide + 1):
+                # a window that folds to the term begins with words that do so to its beginning, or to nothing
+                firsts = [i for i, w in enumerate(text.words[: len(text.words) - wide + 1]) if term["folded"].startswith(w[2])]
+                for i in firsts:
                     window = text.words[i : i + wide]
                     if " ".join(w[2] for w in window if w[2]) == term["folded"]:
                         placed = True
@@ -236,87 +242,241 @@ class Matcher:
                 yield from (hit("controlled_fuzzy", round(r, 4), matched=g) for r, g in fuzzy.get(term["folded"], ()))
 
 
-class Finder:
-    """All entities of a block: which of them a document may be about, by one pass over its text."""
+#: Pieces of texts are told apart by 64-bit hashes; false meetings only cost a second look.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Whole names are found by their beginnings, of the largest of these lengths that they have.
+HEADS = (16, 8, 4, 3, 2, 1)
+#: Characters of texts that are cut into pieces at once.
+PIECED_CHARS = 1 << 20
+#: The filter that texts' pieces pass first has 16 bits for each piece of a name, and at most this many (8 MB).
+FILTER_BITS = 1 << 26
+#: A piece or an entity that very many documents have is dealt to so many places.
+SALTS = 16
+RAW, LOWER, FOLDED, TITLE, BODY = range(5)
+
+
+def edits(term: int, gram: int) -> int | None:
+    """How many characters at most two strings of these lengths do not share, if their ratio is FUZZY_RATIO or more; None if it cannot be.
+
+    The ratio is 2M / (term + gram) for M shared characters, so M is at least 0.46 of both lengths.
+    """
+    shared = math.ceil(round(FUZZY_RATIO / 2 * (term + gram), 9))
+    return term + gram - 2 * shared if shared <= min(term, gram) else None
+
+
+def fuzzy_pieces(term: str) -> list[tuple[str, int, int]]:
+    """(piece, offset, d): for each number d of characters not shared that some length of gram allows, the term in d + 1 pieces.
+
+    Every character not shared, in the term or in the gram, breaks one piece at most, so one of them stands whole in the gram,
+    at its offset plus or minus d.
+    """
+    out = []
+    for d in sorted({d for n in range(1, 2 * len(term)) if (d := edits(len(term), n)) is not None}):
+        cut = [len(term) * i // (d + 1) for i in range(d + 2)]
+        out += [(term[lo:hi], lo, d) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def piece_keys(text: str, lengths: Iterable[int], kind: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the hashes of the pieces from every place on."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    total, step, wanted = np.zeros(len(codes), np.uint64), np.uint64(1), set(lengths)
+    for length in range(1, max(wanted, default=0) + 1):
+        left = len(codes) - length + 1
+        if left <= 0:
+            return
+        total = total[:left] + codes[length - 1 :] * step
+        step = np.uint64(int(step) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)
+        if length in wanted:
+            yield length, _mixed(total + np.uint64((length * 8 + kind) * int(_STEP) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
 
-    def __init__(self, matchers: dict):
-        import ahocorasick
 
-        self.matchers, forms = matchers, ({}, {}, {})
-        fuzzy: dict[str, set] = {}
-        for e, m in matchers.items():
-            for t in m.terms:
-                for form, text in zip(forms, (t["surface"], t["lower"], t["folded"]), strict=True):
+def _key(piece: str, kind: int) -> int:
+    return int(next(piece_keys(piece, [len(piece)], kind))[1][0])
+
+
+def term_index(packs: DataFrame) -> DataFrame:
+    """(key, kind, length, entity_id, term, offset, edits) of packs (entity_id, terms, phrases): heads of names and phrases as written, in lower case and
+    normalised, and the pieces of fuzzy terms, for titles and bodies."""
+    kind = packs.schema["entity_id"].dataType.simpleString()
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = set()
+            for entity, terms, phrases in zip(frame["entity_id"], frame["terms"], frame["phrases"], strict=True):
+                matcher = Matcher([r if isinstance(r, dict) else r.asDict() for r in terms], list(phrases))
+                heads = [(form, t[name]) for t in matcher.terms for form, name in ((RAW, "surface"), (LOWER, "lower"), (FOLDED, "folded"))]
+                for form, text in heads + [(FOLDED, x) for _, x in matcher.exclusions]:
                     if text:
-                        form.setdefault(text, set()).add(e)
-            for _, x in m.exclusions:
-                if x:
-                    forms[2].setdefault(x, set()).add(e)
-            for t in m.fuzzy_terms():
-                fuzzy.setdefault(t, set()).add(e)
-        self.automata = []
-        for form in forms:
-            automaton = ahocorasick.Automaton()
-            for text, who in form.items():
-                automaton.add_word(text, who)
-            automaton.make_automaton()
-            self.automata.append(automaton if form else None)
-        self.fuzzy, self.fuzzy_terms = fuzzy, FuzzyTerms(fuzzy)
-
-    def find(self, title: Text, body: Text) -> Iterator[tuple[object, dict]]:
-        whole = f"{title.folded} {body.folded}".strip()
-        alike = {"title": self.fuzzy_terms.find(title.tokens), "body": self.fuzzy_terms.find(body.tokens)}
-        who: set = set().union(*(self.fuzzy[t] for field in alike.values() for t in field))
-        for automaton, texts in zip(self.automata, ((title.raw, body.raw), (title.lower, body.lower), (title.folded, body.folded, whole)), strict=True):
-            for text in texts if automaton is not None else ():
-                for _, entities in automaton.iter(text):
-                    who |= entities
-        for e in who:
-            got = self.matchers[e].match(title, body, alike)
-            if got is not None:
-                yield e, got
+                        head = text[: next(n for n in HEADS if n <= len(text))]
+                        rows.add((_key(head, form), form, len(head), entity, None, 0, 0))
+                for term in matcher.fuzzy_terms():
+                    for piece, offset, d in fuzzy_pieces(term) if len(term) >= FUZZY_CHARS else ():
+                        rows |= {(_key(piece, field), field, len(piece), entity, term, offset, d) for field in (TITLE, BODY)}
+            yield pd.DataFrame(list(rows), columns=["key", "kind", "length", "entity_id", "term", "offset", "edits"])
+
+    return packs.mapInPandas(run, f"key long, kind int, length int, entity_id {kind}, term string, offset int, edits int")
+
+
+def text_pieces(docs: DataFrame, lengths: dict[int, list[int]], bits: np.ndarray) -> DataFrame:
+    """(doc, key, at) of docs (doc, title, body): pieces of the lengths asked for that pass the filter; of names' heads one a document,
+    of fuzzy pieces every place in the normalised field."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    mask = np.uint64(len(bits) * 8 - 1)
+
+    def cut(docs_of: np.ndarray, forms: list[tuple[str, ...]]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        for kind, texts in enumerate(zip(*forms, strict=True)):
+            # texts end to end, with a character between them that no piece has
+            first = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+            for _, key in piece_keys("\0".join(texts), lengths.get(kind, ()), kind):
+                bit = key.view(np.uint64) & mask
+                at = np.flatnonzero(held[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                row = np.searchsorted(first, at, "right") - 1
+                found = pd.DataFrame({"doc": docs_of[row], "key": key[at], "at": at - first[row]})
+                yield found.assign(at=0).drop_duplicates() if kind <= FOLDED else found
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            forms, chars, low = [], 0, 0
+            for i, (title, body) in enumerate(zip(frame["title"], frame["body"], strict=True)):
+                title, body = Text(title), Text(body)
+                whole = f"{title.folded} {body.folded}".strip()
+                forms.append((f"{title.raw}\0{body.raw}", f"{title.lower}\0{body.lower}", whole, title.folded, body.folded))
+                chars += len(forms[-1][0])
+                if chars >= PIECED_CHARS or i + 1 == len(frame):
+                    yield from cut(frame["doc"].to_numpy()[low : i + 1], forms)
+                    forms, chars, low = [], 0, i + 1
+
+    return docs.mapInPandas(run, "doc long, key long, at int")
+
+
+def packed(at, offset, edits, kind):
+    """A spot in one number, of columns or arrays: the place in the text, the piece's offset and d, and the field."""
+    return ((at * 65_536 + offset) * 256 + edits) * 8 + kind
+
+
+def near_grams(tokens: list[str], spots: dict[str, np.ndarray]) -> dict[str, list[tuple[float, str]]]:
+    """As ``FuzzyTerms.find``, for grams near spots only: of each term, where in the text its pieces stand (``packed``)."""
+    if not spots or not tokens:
+        return {}
+    names = list(spots)
+    which, places = np.repeat(np.arange(len(names)), [len(p) for p in spots.values()]), np.concatenate(list(spots.values())) >> 3
+    d, offset, at = places & 255, places >> 8 & 65_535, places >> 24
+    size = np.array([len(t) for t in tokens])
+    starts = np.cumsum(size + 1) - size - 1
+    low, high = np.searchsorted(starts, at - offset - d), np.searchsorted(starts, at - offset + d, "right")
+    many = high - low
+    row = np.repeat(np.arange(len(many)), many)
+    first = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    wide = np.array([len(t.split()) for t in names])[which[row]]
+    # one number for term, first token and width, as equal grams are found by several pieces
+    found = np.unique(np.concatenate([(which[row] * len(tokens) + first) * 4096 + wide + more for more in (0, 1)]))
+    k, i, width = found // 4096 // len(tokens), found // 4096 % len(tokens), found % 4096
+    stop = np.minimum(i + width, len(tokens))
+    long, term_size = starts[stop - 1] + size[stop - 1] - starts[i], np.array([len(t) for t in names])[k]
+    both = long + term_size
+    fits = 2 * np.minimum(long, term_size) >= FUZZY_RATIO * both - 1e-9
+    k, i, width, both, stop = k[fits], i[fits], width[fits], both[fits], stop[fits]
+    counts = FuzzyTerms._counts("".join(tokens), np.repeat(np.arange(len(tokens)), size), len(tokens))
+    upto = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(counts, axis=0)))
+    of_term = np.array([FuzzyTerms._counts(t, np.zeros(len(t), np.int64), 1)[0] for t in names])
+    hits: dict[str, list] = {}
+    judge = difflib.SequenceMatcher()
+    for lo in range(0, len(k), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        grams = upto[stop[part]] - upto[i[part]]
+        grams[:, 32] += stop[part] - i[part] - 1  # blanks between words
+        near = 2 * np.minimum(grams, of_term[k[part]]).sum(1) >= FUZZY_RATIO * both[part] - 1e-9
+        for x, y, n in zip(k[part][near].tolist(), i[part][near].tolist(), width[part][near].tolist(), strict=True):
+            gram = " ".join(tokens[y : y + n])
+            if gram != names[x]:
+                judge.set_seqs(gram, names[x])
+                if (r := judge.ratio()) >= FUZZY_RATIO:
+                    hits.setdefault(names[x], []).append((-r, y, n, gram))
+    return {t: [(-r, gram) for r, _, _, gram in sorted(best)[:FUZZY_BEST]] for t, best in hits.items()}
 
 
 HIT = "struct<match_type:string,field:string,start:int,end:int,score:double,term:string,matched:string,normalized:string,span:string>"
 
 
-def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id_col: str = "doc_id", max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, entity_id, excluded, phrase, match_type, score, evidence) for documents with title and body.
 
-    ``terms`` as entity_terms gives them, ``exclusions`` (entity_id, phrase).
+    ``terms`` as entity_terms gives them, ``exclusions`` (entity_id, phrase). A document meets an entity only if it has the
+    first characters (up to 16) of one of its names or phrases, or one of the d + 1 pieces into which a fuzzy term is cut (see
+    ``fuzzy_pieces``: for a name of 18 characters, three of six for most grams). So the pairs looked at are at most the occurrences of
+    pieces times the names that share a piece, and of them those grams are compared in full that stand where the piece
+    says and share enough characters. Common pieces and entities are dealt to SALTS places.
     """
-    spark = docs.sparkSession
-    size = (terms.agg(F.sum(F.octet_length("surface") * 40 + 100)).first()[0] or 0) + (exclusions.agg(F.sum(F.octet_length("phrase") * 40 + 100)).first()[0] or 0)
-    blocks = max(1, -(-size // max_broadcast_bytes))
-    out = None
-    for block in range(blocks):
-        mine = lambda df, block=block: df if blocks == 1 else df.where(F.pmod(F.xxhash64("entity_id"), F.lit(blocks)) == block)
-        listed = [r.asDict() for r in mine(terms).orderBy("entity_id", "pos").collect()]
-        vetoes = [r.asDict() for r in mine(exclusions).collect()]
-        shared = spark.sparkContext.broadcast((listed, vetoes))
-        kind = docs.schema[id_col].dataType.simpleString()
-        entity = terms.schema["entity_id"].dataType.simpleString()
-
-        def run(frames: Iterable[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            rows, bad = shared.value
-            by: dict = {}
-            for r in rows:
-                by.setdefault(r["entity_id"], ([], []))[0].append(r)
-            for r in bad:
-                if r["entity_id"] in by:
-                    by[r["entity_id"]][1].append(r["phrase"])
-            finder = Finder({e: Matcher(*x) for e, x in by.items()})
-            for frame in frames:
-                found = []
-                for doc_id, title, body in zip(frame[id_col], frame["title"], frame["body"], strict=True):
-                    for e, got in finder.find(Text(title), Text(body)):
+    kind = docs.schema[id_col].dataType.simpleString()
+    entity = terms.schema["entity_id"].dataType.simpleString()
+    listed = F.sort_array(F.collect_list(F.struct("pos", "surface", "language", "exact_only", "source")))
+    packs = terms.groupBy("entity_id").agg(listed.alias("terms")).join(exclusions.groupBy("entity_id").agg(F.collect_list("phrase").alias("phrases")), "entity_id", "left")
+    packs = packs.withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
+    index = checkpointed(term_index(packs), "terms")
+    lengths: dict[int, list[int]] = {}
+    for r in index.select("kind", "length").distinct().collect():  # no more than the longest name has characters
+        lengths.setdefault(r.kind, []).append(r.length)
+    size = min(FILTER_BITS, max(1 << 10, 1 << (index.count() * 16).bit_length()))
+    places = index.select(F.col("key").bitwiseAND(F.lit(size - 1)).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()
+    bits = np.zeros(size // 8, np.uint8)
+    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+
+    # documents are told apart by a hash of all they are; two that share it only look at each other's candidates as well
+    keyed = docs.select(F.col(id_col), "title", "body").withColumn("doc", F.xxhash64(id_col, "title", "body"))
+    spots = text_pieces(keyed.select("doc", "title", "body"), lengths, bits)
+    salts = F.explode(F.lit(list(range(SALTS))))
+    dealt = spots.withColumn("salt", F.pmod(F.col("doc"), F.lit(SALTS)).cast("int"))
+    met = dealt.join(index.select("key", "kind", "entity_id", "term", "offset", "edits", salts.alias("salt")), ["key", "salt"])
+    met = met.select("doc", "entity_id", "kind", "term", packed(F.col("at").cast("long"), F.col("offset"), F.col("edits"), F.col("kind")).alias("place"))
+    met = checkpointed(met, "met")
+
+    # fuzzy terms first: the grams near the pieces, and which of them are alike enough
+    by_term = met.where("term is not null").groupBy("doc", "term").agg(F.collect_set("place").alias("places"))
+    asked = by_term.groupBy("doc").agg(F.collect_list(F.struct("term", "places")).alias("asked"))
+    grams = checkpointed(keyed.join(asked, "doc").select("doc", "title", "body", "asked").mapInPandas(_alike, "doc long, term string, field string, ratio double, gram string, nth int").distinct(), "grams")
+
+    alike = grams.select("doc", "term").distinct().join(index.where("term is not null").select("term", "entity_id").distinct(), "term").select("doc", "entity_id")
+    pairs = met.where("term is null").select("doc", "entity_id").union(alike).distinct().withColumn("salt", F.pmod(F.col("doc"), F.lit(SALTS)).cast("int"))
+    known = pairs.join(packs.withColumn("salt", salts), ["entity_id", "salt"])
+    by_doc = known.groupBy("doc").agg(F.collect_list(F.struct("entity_id", "terms", "phrases")).alias("found"))
+    fuzzy = grams.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("field", "term", "nth", "ratio", "gram"))).alias("fuzzy"))
+    whole = keyed.join(by_doc, "doc").join(fuzzy, "doc", "left").select(F.col(id_col).alias("id"), "title", "body", "found", "fuzzy")
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc_id, title, body, found, near in zip(frame["id"], frame["title"], frame["body"], frame["found"], frame["fuzzy"], strict=True):
+                title, body = Text(title), Text(body)
+                alike: dict[str, dict] = {"title": {}, "body": {}}
+                for x in near if near is not None else ():
+                    alike[x["field"]].setdefault(x["term"], []).append((x["ratio"], x["gram"]))
+                for e in found:
+                    got = Matcher([t if isinstance(t, dict) else t.asDict() for t in e["terms"]], list(e["phrases"])).match(title, body, alike)
+                    if got is not None:
                         best = got["hits"][0] if got["hits"] else {}
-                        found.append((doc_id, e, got["excluded"], got["phrase"], best.get("match_type"), best.get("score"), got["hits"]))
-                yield pd.DataFrame(found, columns=[id_col, "entity_id", "excluded", "phrase", "match_type", "score", "evidence"])
-
-        part = docs.select(id_col, "title", "body").mapInPandas(run, f"{id_col} {kind}, entity_id {entity}, excluded boolean, phrase string, match_type string, score double, evidence array<{HIT}>")
-        out = part if out is None else out.unionByName(part)
-    return out
+                        out.append((doc_id, e["entity_id"], got["excluded"], got["phrase"], best.get("match_type"), best.get("score"), got["hits"]))
+            yield pd.DataFrame(out, columns=[id_col, "entity_id", "excluded", "phrase", "match_type", "score", "evidence"])
+
+    return whole.mapInPandas(run, f"{id_col} {kind}, entity_id {entity}, excluded boolean, phrase string, match_type string, score double, evidence array<{HIT}>")
+
+
+def _alike(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc, term, field, ratio, gram, nth): the best grams of each fuzzy term in each field of (doc, title, body, asked)."""
+    for frame in frames:
+        out = []
+        for doc, title, body, asked in zip(frame["doc"], frame["title"], frame["body"], frame["asked"], strict=True):
+            for kind, name, text in ((TITLE, "title", title), (BODY, "body", body)):
+                spots = {a["term"]: mine for a in asked if len(mine := a["places"][a["places"] & 7 == kind])}
+                for term, best in near_grams(Text(text).tokens, spots).items() if spots else ():
+                    out += [(doc, term, name, ratio, gram, n) for n, (ratio, gram) in enumerate(best)]
+        yield pd.DataFrame(out, columns=["doc", "term", "field", "ratio", "gram", "nth"])
 
 
 def vetoed_documents(docs: DataFrame, exclusions: DataFrame, text_col: str = "text") -> DataFrame:

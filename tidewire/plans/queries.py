@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as tx
 from tidewire.functions import urls, vectors
-from tidewire.operators import gates, matching, media, merge, priority, ranking, reports, semantic, stats
+from tidewire.operators import gates, ledger, matching, media, merge, priority, ranking, reports, semantic, stats, vector_index
 from tidewire.operators.extraction import extract_articles
 from tidewire.plans import jobs
 from tidewire.session import load, new_folder
@@ -314,6 +314,16 @@ def cosine_top_k(spark, root):
     return again.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query()
+def indexed_top_k(spark, root):
+    """As cosine_top_k by the cell index; test_vector_index measures its recall."""
+    e = load(spark, root, "embeddings").withColumnRenamed("vec_id", "item_id")
+    q = e.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+    found = vector_index.indexed_top_k(q, e, vector_index.fit(e, 32), 24, 21, 0.1).where("query_id <> item_id")
+    again = ranking.top_per_group(found.drop("rank"), ["query_id"], [F.desc("similarity"), F.col("item_id")], 20)
+    return again.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query(r"""WITH words AS (SELECT page_id, unnest(CASE WHEN len(w) = 0 THEN ['empty'] ELSE w END) AS word FROM (SELECT page_id, regexp_extract_all(lower(coalesce(url, '')), '[\p{L}\p{N}_]+') AS w FROM pages)),
 slots AS (SELECT page_id, CAST(('0x' || substr(sha256(word), 1, 8))::BIGINT % 1024 AS INTEGER) AS slot, CASE WHEN ('0x' || substr(sha256(word), 9, 2))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END AS v FROM words)
 SELECT page_id, slot, CAST(sum(v) AS DOUBLE) AS value FROM slots GROUP BY page_id, slot HAVING sum(v) <> 0""")
@@ -507,6 +517,29 @@ def stored_pages(spark, root):
     return held.join(named, "digest", "full_outer").select("digest", "n_bytes", "n_blobs", "n_keys", "newest")
 
 
+@query(r"""+ found AS (SELECT * FROM articles WHERE publisher IS NOT NULL AND NOT coalesce(published_at < TIMESTAMP '2024-01-06', false)),
+fetched AS (SELECT *, length(regexp_replace(body, '^\s+|\s+$', '', 'g')) >= 80 AS ok FROM found)
+SELECT publisher, count(*) AS n_found, count(*) FILTER (ok) AS n_bodies, CAST(sum(length(body)) FILTER (ok) AS BIGINT) AS n_chars FROM fetched GROUP BY publisher""", True)
+def lookback_run(spark, root):
+    """Discover, fetch and sum up all articles by publisher, first in a run that loses one publisher, then in one that goes on from there."""
+    a = articles(spark, root).select("publisher", "doc_id", "title", "body", "published_at")
+
+    def stages(lost=None):
+        body = F.when(F.col("publisher") == lost, F.raise_error(F.lit("no answer")).cast("string")).otherwise(F.col("body")) if lost else F.col("body")
+        ok = tx.body_ok("body")
+        sums = [F.count("*").alias("n_found"), F.count(F.when(ok, 1)).alias("n_bodies"), F.sum(F.when(ok, F.length("body"))).alias("n_chars")]
+        return [
+            ledger.Stage("discover", lambda rows: rows.where(discovery.not_stale(F.col("published_at"), F.lit("2024-01-06").cast("timestamp")))),
+            ledger.Stage("fetch", lambda rows: rows.select("publisher", "doc_id", body.alias("body"))),
+            ledger.Stage("stats", lambda rows: rows.groupBy("publisher").agg(*sums)),
+        ]
+
+    book = ledger.RunLedger(spark, new_folder(spark, "runs"))
+    first = a.agg(F.min("publisher")).first()[0]
+    ledger.run_all(book, "first", stages(first), a)
+    return ledger.run_all(book, "second", stages(), a).rows.select("publisher", "n_found", "n_bodies", "n_chars")
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n FROM events GROUP BY ALL""")
 def hourly_counts(spark, root):
     return streams.windowed_counts(load(spark, root, "events"), "ts", ["event_type"])

@@ -33,3 +33,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(shared)
         shared = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """df written to a table in the shared folder and read back, which cuts its lineage."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
