@@ -9,7 +9,8 @@ from tidewire.functions import text as tx
 from tidewire.operators import desk, gates, matching, media, merge, priority, ranking, reports, semantic, stats
 from tidewire.plans import jobs
 from tidewire.plans.queries import ASOF, PHRASES, articles, asof, phrases, query
-from tidewire.session import load
+from tidewire.session import load, new_folder
+from tidewire.sources import tenants
 
 # scalars
 
@@ -302,6 +303,21 @@ def tenant_rows(spark, root):
     return jobs.listed(o, 7, "O").select("id", "created_at")
 
 
+@query("SELECT o_orderpriority AS tenant_id, o_orderkey AS id, count(l_orderkey) AS n_items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY ALL")
+def tenant_partitions(spark, root):
+    """Orders and their lines stored by tenant (the priority), and read back with nested lines through each tenant's own view."""
+    o, folder = load(spark, root, "orders"), new_folder(spark, "tenants")
+    lines = load(spark, root, "lineitem").join(o.select("o_orderkey", F.col("o_orderpriority").alias("tenant_id")), F.col("l_orderkey") == F.col("o_orderkey"))
+    tenants.store_tenants(o.select(F.col("o_orderpriority").alias("tenant_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), folder, "orders")
+    tenants.store_tenants(lines.select("tenant_id", F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")), folder, "lines")
+    out = None
+    for (tenant,) in o.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect():  # a handful
+        rows = tenants.TenantTables(spark, folder, tenant).nested("orders", "lines", "id", ["line"], "lines").where("status = 'O'")
+        rows = rows.select("tenant_id", "id", F.size("lines").cast("long").alias("n_items"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("""SELECT o_orderkey AS edition_id, len(list(l_linenumber)) AS n_pages, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS pages FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def edition_tree(spark, root):
     e = load(spark, root, "orders").select(F.col("o_orderkey").alias("edition_id"))

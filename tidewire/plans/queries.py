@@ -17,7 +17,7 @@ from tidewire.operators import gates, ledger, matching, media, merge, priority,
 from tidewire.operators.extraction import extract_articles
 from tidewire.plans import jobs
 from tidewire.session import load, new_folder
-from tidewire.sources import blobs, connector, discovery
+from tidewire.sources import blobs, connector, discovery, snapshots
 from tidewire.streaming import pipeline as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,6 +540,22 @@ def lookback_run(spark, root):
     return ledger.run_all(book, "second", stages(), a).rows.select("publisher", "n_found", "n_bodies", "n_chars")
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS channel, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS sha256, count(l_orderkey) AS n_pages, coalesce(CAST(sum(l_linenumber) AS BIGINT), 0) AS sum_pages
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND (o_orderkey % 3 <> 0 OR l_linenumber % 2 = 1) GROUP BY o_orderkey""")
+def edition_ingest(spark, root):
+    """Orders as printed editions and their lines as pages, stored twice: a third comes back as another file with fewer pages, the rest unchanged."""
+    o, lines = load(spark, root, "orders"), load(spark, root, "lineitem")
+    day = F.lit("2024-02-10").alias("edition_date")
+    edition = lambda sha: o.select(F.col("o_orderkey").cast("string").alias("channel"), day, sha.alias("sha256"), F.lit(True).alias("ocr_done"))
+    pages = lines.select(F.col("l_orderkey").cast("string").alias("channel"), day, F.col("l_linenumber").cast("int").alias("page"))
+    store = snapshots.SnapshotStore(spark, new_folder(spark, "editions"), 16)
+    snapshots.ingest_editions(store, edition(F.lit("first")), pages)
+    snapshots.ingest_editions(store, edition(F.when(F.col("o_orderkey") % 3 == 0, "second").otherwise("first")), pages.where("page % 2 = 1"))
+    of = store.read("pages").groupBy("channel").agg(F.count("*").alias("n_pages"), F.sum("page").alias("sum_pages"))
+    joined = store.read("editions").join(of, "channel", "left")
+    return joined.select("channel", "sha256", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("sum_pages", F.lit(0)).alias("sum_pages"))
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n FROM events GROUP BY ALL""")
 def hourly_counts(spark, root):
     return streams.windowed_counts(load(spark, root, "events"), "ts", ["event_type"])

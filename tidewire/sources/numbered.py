@@ -72,3 +72,9 @@ def read_text(spark: SparkSession, name: str) -> str:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
+
+
+def listed(spark: SparkSession, root: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    path, fs, _ = _files(spark, root)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path(root))) if fs.exists(path(root)) else []
