@@ -137,3 +137,26 @@ def decision_log(existing: DataFrame, candidates: DataFrame, keys: list[str]) ->
     """A log row for each candidate that the upsert lets through: those whose match a person has decided log nothing."""
     settled = existing.where(F.col("status").isin("included", "excluded")).select(*keys)
     return candidates.join(settled, keys, "left_anti").select(*keys, "label", "confidence", F.lit("system").alias("actor_type"))
+
+
+def accounts(rows: DataFrame, platform: str = "x", approved_only: bool = False) -> DataFrame:
+    """A platform's accounts by handle; on demand only those approved and active."""
+    mine = rows.where(F.col("platform") == platform)
+    return (mine.where("is_approved and is_active") if approved_only else mine).orderBy("handle", "account_id")
+
+
+def approve_accounts(rows: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(accounts, audit rows, decisions on accounts that are not there) after decisions (account_id, approved, actor_id, decided_at).
+
+    All decisions are audited, the last of an account holds; of decisions at one time that of the greater actor.
+    """
+    asked = F.struct("decided_at", "actor_id", "approved")
+    last = decisions.groupBy("account_id").agg(F.max(asked).alias("d"))
+    changed = rows.join(last, "account_id", "left").withColumn("is_approved", F.coalesce("d.approved", "is_approved")).select(*rows.columns)
+    known = decisions.join(rows.select("account_id", "handle"), "account_id")
+    details = F.to_json(F.struct("approved", "handle"))
+    audit = known.select(
+        F.lit("social.account_approval").alias("action"), F.lit("social_account").alias("resource_type"), F.col("account_id").cast("string").alias("resource_id"),
+        "actor_id", F.when(F.col("actor_id").isNotNull(), "user").otherwise("system").alias("actor_type"), F.col("decided_at").alias("at"), details.alias("details"),
+    )
+    return changed, audit, decisions.join(rows, "account_id", "left_anti")

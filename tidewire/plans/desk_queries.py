@@ -303,6 +303,18 @@ def tenant_rows(spark, root):
     return jobs.listed(o, 7, "O").select("id", "created_at")
 
 
+@query("""WITH last AS (SELECT user_id, arg_max(event_type = 'purchase' OR event_type = 'click', struct_pack(t := ts, a := CAST(event_id AS VARCHAR))) AS approved, count(*) AS n FROM events GROUP BY user_id)
+SELECT c_custkey AS account_id, c_name AS handle, coalesce(n, 0) AS n_decisions FROM customer LEFT JOIN last ON user_id = c_custkey WHERE coalesce(approved, c_custkey % 2 = 0) AND c_acctbal >= 0""")
+def approved_accounts(spark, root):
+    """Customers as accounts, active if their balance is not negative, half of them approved; every event of a user decides on the account anew."""
+    c = load(spark, root, "customer").select(F.col("c_custkey").alias("account_id"), F.lit("x").alias("platform"), F.col("c_name").alias("handle"), (F.col("c_custkey") % 2 == 0).alias("is_approved"), (F.col("c_acctbal") >= 0).alias("is_active"))
+    e = load(spark, root, "events")
+    asked = e.select(F.col("user_id").alias("account_id"), F.col("event_type").isin("purchase", "click").alias("approved"), F.col("event_id").cast("string").alias("actor_id"), F.col("ts").alias("decided_at"))
+    after, audit, _ = desk.approve_accounts(c, asked)
+    counted = audit.groupBy(F.col("resource_id").cast("long").alias("account_id")).agg(F.count("*").alias("n_decisions"))
+    return desk.accounts(after, approved_only=True).join(counted, "account_id", "left").select("account_id", "handle", F.coalesce("n_decisions", F.lit(0)).alias("n_decisions"))
+
+
 @query("SELECT o_orderpriority AS tenant_id, o_orderkey AS id, count(l_orderkey) AS n_items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY ALL")
 def tenant_partitions(spark, root):
     """Orders and their lines stored by tenant (the priority), and read back with nested lines through each tenant's own view."""
