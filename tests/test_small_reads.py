@@ -63,3 +63,21 @@ def test_budget_and_freshness_of_streams(spark, tmp_path):
     over = spark.table("over").collect()
     assert {r.host for r in over} == {"h"} and max(r.n for r in over) == 12 and all(r.n > 10 for r in over)
     assert spark.table("dated").count() == 13 and spark.table("undated").count() == 1
+
+
+def test_numbering_of_a_large_report(spark):
+    from tidewire.operators.ranking import number_sections, reordered
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "small").when(F.col("id") % 1000 != 1, "large").alias("report_id"), F.col("id").alias("item_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("k"))
+    sections = [rows.where("item_id % 2 = 0"), rows.where("item_id % 2 = 1")]
+    got = number_sections(sections, ["k", "item_id"]).collect()
+    for report in ("small", "large", None):
+        mine = sorted((r for r in got if r.report_id == report), key=lambda r: r.sort_order)
+        assert [r.sort_order for r in mine] == list(range(len(mine))) and mine
+        order = [(r.item_id % 2, r.k is not None, r.k, r.item_id) for r in mine]
+        assert order == sorted(order, key=lambda x: (x[0], x[1], x[2] or 0, x[3]))
+    items = rows.select("item_id")
+    turned = items.select("item_id", (2999 - F.col("item_id")).alias("position"))
+    assert reordered(items, turned).count() == 3000
+    for bad in (turned.where("item_id > 0"), turned.union(turned.limit(1)), turned.where("item_id > 0").union(spark.createDataFrame([(9999, 0)], "item_id long, position long"))):
+        assert reordered(items, bad).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.session import checkpointed
+
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int = 1, name: str = "rank") -> DataFrame:
     """The first k rows of each group; ``order`` must break ties. Partitions keep k rows a group before the shuffle."""
@@ -46,14 +48,21 @@ def percentile_pick(df: DataFrame, group: str, value: str, share: float = 0.72,
 def number_sections(sections: list[DataFrame], order: list[str]) -> DataFrame:
     """Sections one after another, with ``section`` and 0-based ``sort_order`` over all of a parent's items.
 
-    Numbering is by report, whose items a client reads; it is partitioned by report_id.
+    Numbered in two steps: rows are dealt by ranges of (report_id, section, order), counted by report and range, and numbered
+    inside their range after what lies before it; so a report with a third of all items is numbered by many tasks.
     """
     out = None
     for i, s in enumerate(sections):
         s = s.withColumn("section", F.lit(i))
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
-    place = Window.partitionBy("report_id").orderBy("section", *order)
-    return out.withColumn("sort_order", F.row_number().over(place) - 1)
+    # written once, as the ranges come from a sample and must be the same for counts and numbers
+    ranged = checkpointed(out.repartitionByRange("report_id", "section", *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("report_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("report_id", "_range").agg(F.count("*").alias("_n"))
+    starts = counts.select(F.col("report_id").alias("_report"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.join(starts, F.col("report_id").eqNullSafe(F.col("_report")) & (F.col("_range") == F.col("_of")))
+    inside = Window.partitionBy("report_id", "_range").orderBy("section", *order)
+    return placed.withColumn("sort_order", (F.col("_before") + F.row_number().over(inside) - 1).cast("int")).drop("_range", "_report", "_of", "_before")
 
 
 def number_versions(new: DataFrame, existing: DataFrame, parent: str, order: list[str]) -> DataFrame:
@@ -69,11 +78,15 @@ def limited_then_filtered(df: DataFrame, order: list[Column], first: int, keep:
 
 
 def reordered(items: DataFrame, order: DataFrame) -> DataFrame:
-    """Items with positions from (item_id, position); empty unless it is a permutation of them."""
-    ids = items.agg(F.array_sort(F.collect_set("item_id")).alias("have"))
-    asked = order.agg(F.array_sort(F.collect_set("item_id")).alias("want"), F.count("*").alias("n"))
-    valid = ids.join(asked, F.col("have") == F.col("want")).where(F.size("have") == F.col("n")).select(F.lit(True).alias("ok"))
-    return items.join(order, "item_id").join(F.broadcast(valid)).drop("ok")
+    """Items with positions from (item_id, position); empty unless it is a permutation of them.
+
+    It is one if every item is asked for, once, and nothing else is; counted by id, so no list of all ids is made.
+    """
+    have = items.select("item_id", F.lit(1).alias("_have")).distinct()
+    asked = order.groupBy("item_id").agg(F.count("*").alias("_times"))
+    wrong = F.col("_have").isNull() | F.col("_times").isNull() | (F.col("_times") > 1)
+    valid = have.join(asked, "item_id", "full_outer").agg(F.count(F.when(wrong, 1)).alias("_wrong")).where("_wrong = 0")
+    return items.join(order, "item_id").join(F.broadcast(valid)).drop("_wrong")
 
 
 def story_clusters(articles: DataFrame, title_hash: Column, id_col: str, title: str) -> DataFrame:
