@@ -10,7 +10,7 @@ from tidewire.operators import desk, gates, matching, media, merge, priority, ra
 from tidewire.plans import jobs
 from tidewire.plans.queries import ASOF, PHRASES, articles, asof, phrases, query
 from tidewire.session import load, new_folder
-from tidewire.sources import tenants
+from tidewire.sources import report_files, tenants
 
 # scalars
 
@@ -366,3 +366,31 @@ def printed_rows(spark, root):
     from tidewire.plans.queries import _sections
 
     return reports.print_rows(reports.draft(*_sections(spark, root)).withColumn("included", F.lit(True))).select("report_id", "number", "title")
+
+
+PRINTED = r"""
++ listed AS (SELECT doc_id, publisher AS report_id, title, lang, 'u' || doc_id AS url, row_number() OVER (PARTITION BY publisher ORDER BY doc_id % 4, published_at DESC NULLS LAST, doc_id) - 1 AS pos FROM articles WHERE doc_id % 5 <> 0),
+shown AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS number FROM listed WHERE doc_id % 7 <> 0),
+esc AS (SELECT *, replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS t FROM shown),
+pieces AS (SELECT report_id, (number - 1) // 100 AS part, number, '<h3>' || number || '. ' || CASE WHEN t = '' THEN 'Untitled' ELSE t END || '</h3>' || chr(10) || '<p>' || lang || ' ' || chr(8212) || ' ' || url || '</p>' || chr(10)
+    || CASE WHEN doc_id % 3 = 0 THEN '<p>Editor note: n &amp; m</p>' || chr(10) ELSE '' END AS text FROM esc
+  UNION ALL SELECT DISTINCT publisher, 0, 0, '<h1>Press of ' || publisher || '</h1>' || chr(10) || '<p>Period: 2024-01-01 ' || chr(8594) || ' ' || chr(8212) || ' | Version 1 | Hash ' || substr(sha256(publisher), 1, 16) || '</p>' || chr(10)
+    || CASE WHEN EXISTS (SELECT 1 FROM shown WHERE shown.report_id = publisher) THEN '' ELSE '<p>No included clippings.</p>' || chr(10) END FROM articles WHERE publisher IS NOT NULL),
+files AS (SELECT report_id, part, count(*) AS n_pieces, '<!doctype html><html><head><meta charset="utf-8"></head><body>' || chr(10) || string_agg(text, '' ORDER BY number) || '</body></html>' || chr(10) AS content FROM pieces WHERE report_id IS NOT NULL GROUP BY ALL)
+SELECT report_id, CAST(part AS INTEGER) AS part, n_pieces, CAST(strlen(content) AS BIGINT) AS n_bytes, sha256(content) AS sha256 FROM files"""
+
+
+@query(PRINTED, True)
+def report_documents(spark, root):
+    """Publishers' reports printed to files and read back; a seventh of the drafted items is left out by an editor."""
+    from tidewire.plans.queries import _sections
+
+    a = articles(spark, root).where("publisher is not null")
+    extra = a.select(F.col("doc_id").alias("item_id"), F.col("lang").alias("source"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("snippet"), F.when(F.col("doc_id") % 3 == 0, "n & m").alias("note"))
+    items = reports.draft(*_sections(spark, root)).join(extra, "item_id").withColumn("included", F.col("item_id") % 7 != 0)
+    heads = a.select(F.col("publisher").alias("report_id")).distinct().withColumns(
+        {"title": F.concat(F.lit("Press of "), "report_id"), "period_start": F.lit("2024-01-01"), "period_end": F.lit(None).cast("string"), "version": F.lit(1), "content_hash": F.sha2("report_id", 256), "notes": F.lit(None).cast("string")}
+    )
+    folder = new_folder(spark, "printed")
+    report_files.write_reports(reports.html_pieces(heads, items, 100), folder, **reports.HTML)
+    return report_files.read_reports(spark, folder).select("report_id", "part", "n_pieces", "n_bytes", "sha256")
