@@ -24,24 +24,22 @@ def first_seen(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def percentile_pick(df: DataFrame, group: str, value: str, share: float = 0.72, buckets: int = 1024) -> DataFrame:
+def percentile_pick(df: DataFrame, group: str, value: str, share: float = 0.72) -> DataFrame:
     """(group, threshold): of n values in ascending order the one at index max(0, floor(share * n) - 1).
 
-    Values are counted by bucket between the group's least and greatest first; only the bucket
-    that holds the pick is ordered, so that a group with a third of all rows is not one task's.
+    Equal values are counted first. What is left is dealt by ranges of (group, value), which come from a sample and so follow the values
+    however they lie; counts by range tell which range holds a group's pick, and only that one is ordered.
     """
-    known = df.select(group, F.col(value).alias("_v")).where("_v is not null")
-    ends = known.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (buckets - 1))).otherwise(0).cast("int")
-    dealt = known.join(ends.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_b", place)
-    pick = F.greatest(F.lit(0), F.floor(F.col("_n") * share) - 1) + 1
-    counts = dealt.groupBy("_g", "_b").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_g").orderBy("_b")))  # at most ``buckets`` rows a group
-    chosen = upto.where((F.col("_upto") >= pick) & (F.col("_upto") - F.col("_c") < pick)).select(F.col("_g").alias("_h"), F.col("_b").alias("_d"), (pick - (F.col("_upto") - F.col("_c"))).alias("_k"))
-    inside = dealt.select("_g", "_b", "_v").join(chosen, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_b") == F.col("_d")))
-    # equal values are one row each from here on
-    each = inside.groupBy("_g", "_v").agg(F.count("*").alias("_c"), F.first("_k").alias("_k"))
-    upto = each.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_g").orderBy("_v")))
+    each = df.select(F.col(group).alias("_g"), F.col(value).alias("_v")).where("_v is not null").groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    # written once, as another sample would cut the ranges elsewhere
+    ranged = checkpointed(each.repartitionByRange("_g", "_v").withColumn("_range", F.spark_partition_id()), "percentiles")
+    counts = ranged.groupBy("_g", "_range").agg(F.sum("_c").alias("_n"))
+    of = Window.partitionBy("_g")  # one row a range
+    placed = counts.withColumns({"_upto": F.sum("_n").over(of.orderBy("_range")), "_all": F.sum("_n").over(of)})
+    pick = F.greatest(F.lit(0), F.floor(F.col("_all") * share) - 1) + 1
+    chosen = placed.where((F.col("_upto") >= pick) & (F.col("_upto") - F.col("_n") < pick)).select(F.col("_g").alias("_h"), F.col("_range").alias("_r"), (pick - (F.col("_upto") - F.col("_n"))).alias("_k"))
+    inside = ranged.join(chosen, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_range") == F.col("_r")))
+    upto = inside.withColumn("_upto", F.sum("_c").over(of.orderBy("_v")))
     return upto.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k"))).select(F.col("_g").alias(group), F.col("_v").alias("threshold"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, urls, vectors
 from tidewire.functions import text as tx
-from tidewire.operators import desk, gates, matching, media, merge, priority, ranking, reports, semantic, stats
+from tidewire.operators import dashboard, desk, gates, matching, media, merge, priority, ranking, reports, semantic, stats
 from tidewire.plans import jobs
 from tidewire.plans.queries import ASOF, PHRASES, articles, asof, phrases, query
 from tidewire.session import load, new_folder
@@ -394,3 +394,71 @@ def report_documents(spark, root):
     folder = new_folder(spark, "printed")
     report_files.write_reports(reports.html_pieces(heads, items, 100), folder, **reports.HTML)
     return report_files.read_reports(spark, folder).select("report_id", "part", "n_pieces", "n_bytes", "sha256")
+
+
+DASHBOARD = r"""
++ a AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN upper(lang) END AS model, published_at >= TIMESTAMP '2024-02-10' - INTERVAL 5 DAY AS recent FROM articles),
+counts AS (SELECT publisher, count(*) AS total, count(*) FILTER (WHERE body <> '') AS b, count(published_at) AS d, count(*) FILTER (WHERE body <> '' AND recent) AS c, count(*) FILTER (WHERE body <> '' AND published_at IS NULL) AS u, count(model) AS e FROM a GROUP BY 1),
+p AS (SELECT DISTINCT publisher, row_number() OVER (ORDER BY publisher) - 1 AS position FROM (SELECT DISTINCT publisher FROM a WHERE publisher <> 'src3')),
+top AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, doc_id DESC) - 1 AS position FROM (SELECT * FROM a WHERE recent AND publisher IN (SELECT publisher FROM p) ORDER BY published_at DESC, doc_id DESC LIMIT 40)),
+img AS (SELECT page_id % 50 AS doc_id, min(page_id) AS cover FROM pages GROUP BY 1),
+ed AS (SELECT o_orderkey, o_orderdate, o_orderstatus, publisher, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS position FROM orders JOIN p ON publisher = 'src' || (o_custkey % 7)),
+run AS (SELECT * FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 1)
+SELECT 'stats' AS section, 0 AS position, '' AS key, CAST(json_object('total', CAST(sum(total) AS BIGINT), 'with_body', CAST(sum(b) AS BIGINT), 'with_date', CAST(sum(d) AS BIGINT), 'confirmed_in_lookback', CAST(sum(c) AS BIGINT), 'date_unknown_with_body', CAST(sum(u) AS BIGINT)) AS VARCHAR) AS payload FROM counts
+UNION ALL SELECT 'articles', CAST(position AS INTEGER), CAST(doc_id AS VARCHAR), CAST(json_object('id', CAST(doc_id AS VARCHAR), 'published_at', strftime(published_at, '%Y-%m-%dT%H:%M:%S'), 'language', lang, 'has_body', body <> '', 'cover_image_url', cover, 'ai_topics', CASE WHEN model IS NULL THEN [] ELSE [lang] END, 'ai_importance', CASE WHEN model IS NOT NULL THEN 0.5 END, 'ai_model', model, 'publisher', publisher) AS VARCHAR) FROM top LEFT JOIN img USING (doc_id)
+UNION ALL SELECT 'publishers', CAST(position AS INTEGER), publisher, CAST(json_object('code', publisher, 'name_en', upper(publisher), 'name_ar', NULL, 'homepage_url', NULL, 'channel_count', (SELECT count(DISTINCT lang) FROM a WHERE a.publisher = p.publisher),
+  'article_stats', json_object('total', total, 'with_body', b, 'with_date', d, 'confirmed_in_lookback', c, 'date_unknown_with_body', u)) AS VARCHAR) FROM p JOIN counts USING (publisher)
+UNION ALL SELECT 'editions', CAST(position AS INTEGER), CAST(o_orderkey AS VARCHAR), CAST(json_object('id', CAST(o_orderkey AS VARCHAR), 'edition_date', strftime(o_orderdate, '%Y-%m-%d'), 'title', NULL, 'status', o_orderstatus, 'source_url', NULL, 'page_count', o_orderkey % 40, 'publisher', publisher, 'name_en', upper(publisher), 'name_ar', NULL) AS VARCHAR) FROM ed WHERE position < 12
+UNION ALL SELECT 'ingestion', 0, CAST(event_id AS VARCHAR), CAST(json_object('id', CAST(event_id AS VARCHAR), 'status', 'done', 'attempt_count', user_id, 'error', NULL, 'created_at', strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'started_at', NULL, 'finished_at', NULL, 'result', json_object('created', user_id)) AS VARCHAR) FROM run
+UNION ALL SELECT 'ai_status', 0, '', CAST(json_object('enriched', CAST(sum(e) AS BIGINT), 'embedded', (SELECT count(*) FROM embeddings), 'semantic_candidates', (SELECT count(*) FROM labels), 'pending_review', (SELECT count(*) FROM labels WHERE quality = 1),
+  'index_coverage', least(1.0, round_even(CAST((SELECT count(*) FROM embeddings) AS DOUBLE) / greatest(sum(b), 1), 3))) AS VARCHAR) FROM counts"""
+
+
+@query(DASHBOARD, True)
+def dashboard_payload(spark, root):
+    """All of the dashboard; of an article's payload the fields that are not texts, which JSON writers escape differently."""
+    ai = F.struct(F.col("title").alias("summary"), F.array("lang").alias("topics"), "sentiment", F.lit(0.5).alias("importance"), F.upper("lang").alias("model"))
+    a = articles(spark, root).withColumns({
+        "article_id": F.col("doc_id"), "story_cluster_id": F.lit(None).cast("long"), "url": F.lit(None).cast("string"), "language": F.col("lang"), "ai": F.when(F.col("doc_id") % 3 == 0, ai),
+        "discovered_at": F.timestamp_seconds("doc_id"),
+    })
+    none = lambda *names: {n: F.lit(None).cast("string") for n in names}
+    images = load(spark, root, "pages").select((F.col("page_id") % 50).alias("article_id"), F.col("page_id").alias("created_at"), F.col("page_id").alias("image_url"))
+    publishers = a.select("publisher").where("publisher <> 'src3'").distinct().withColumn("name_en", F.upper("publisher")).withColumns(none("name_ar", "homepage_url"))
+    channels = a.select("publisher", F.col("lang").alias("channel")).distinct()
+    o = load(spark, root, "orders")
+    editions = o.select(F.col("o_orderkey").alias("edition_id"), F.concat(F.lit("src"), (F.col("o_custkey") % 7).cast("string")).alias("publisher"), F.to_date("o_orderdate").alias("edition_date"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 40).alias("page_count")).withColumns(none("title", "source_url"))
+    runs = load(spark, root, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("run_id"), F.lit("ingest").alias("task"), F.lit("done").alias("status"), F.col("user_id").alias("attempt_count"), F.col("ts").alias("created_at"), F.struct(F.col("user_id").alias("created")).alias("result"))
+    runs = runs.withColumns(none("error")).withColumns({c: F.lit(None).cast("timestamp") for c in ("started_at", "finished_at")})
+    marks = load(spark, root, "labels").select(F.when(F.col("quality") == 1, "pending_review").otherwise("included").alias("status"))
+    out = dashboard.payload(a, images, publishers, channels, editions, runs, load(spark, root, "embeddings"), marks, asof())
+    short = F.from_json("payload", "id string, published_at string, language string, has_body boolean, cover_image_url long, ai_topics array<string>, ai_importance double, ai_model string, publisher string")
+    return out.withColumn("payload", F.when(F.col("section") == "articles", F.to_json(short, {"ignoreNullFields": "false"})).otherwise(F.col("payload")))
+
+
+LISTS = """
+WITH cut AS (SELECT event_id, user_id, event_type, ts, c_mktsegment AS tenant FROM events JOIN customer ON c_custkey = user_id)
+SELECT 'cuttings' AS list, tenant AS tenant_id, event_id AS id, CAST(NULL AS VARCHAR) AS nested FROM cut WHERE event_type = 'click'
+UNION ALL SELECT 'edition cuttings', tenant, event_id, NULL FROM cut WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)
+UNION ALL SELECT 'social', tenant, event_id, c.c_name || ' of ' || coalesce(n_name, '-') FROM cut JOIN customer c ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 3 WHERE event_type = 'view'"""
+
+
+@query(LISTS)
+def tenant_lists(spark, root):
+    """Segments as tenants: events are cuttings on pages (customers) of editions (nations), and matches of posts (customers) by accounts (nations)."""
+    c, folder = load(spark, root, "customer"), new_folder(spark, "lists")
+    of = load(spark, root, "events").join(c.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("tenant_id")), "user_id")
+    tenants.store_tenants(of.select("tenant_id", F.col("event_id").alias("cutting_id"), F.col("user_id").alias("page_id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at")), folder, "cuttings")
+    tenants.store_tenants(of.select("tenant_id", F.col("event_id").alias("match_id"), F.col("user_id").alias("post_id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at")), folder, "social_matches")
+    tenants.store_tenants(c.select(F.col("c_mktsegment").alias("tenant_id"), F.col("c_custkey").alias("page_id"), F.col("c_nationkey").alias("edition_id")), folder, "pages")
+    posts = c.select(F.col("c_custkey").alias("post_id"), F.col("c_nationkey").alias("account_id"), F.col("c_name").alias("text"))
+    accounts = load(spark, root, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("account_id"), F.col("n_name").alias("handle"))
+    out, none = None, F.lit(None).cast("string")
+    for (tenant,) in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect():  # a handful
+        mine = tenants.TenantTables(spark, folder, tenant)
+        nested = F.concat("post.text", F.lit(" of "), F.coalesce("post.account.handle", F.lit("-")))
+        parts = [("cuttings", mine.cuttings("click"), "cutting_id", none), ("edition cuttings", mine.cuttings(edition=5), "cutting_id", none), ("social", mine.social_matches(posts, accounts, "view"), "match_id", nested)]
+        for name, rows, key, more in parts:
+            rows = rows.select(F.lit(name).alias("list"), "tenant_id", F.col(key).alias("id"), more.alias("nested"))
+            out = rows if out is None else out.unionByName(rows)
+    return out

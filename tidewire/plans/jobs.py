@@ -192,7 +192,7 @@ def mirrored(inbox: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def dashboard(articles: DataFrame, images: DataFrame, asof: Column, lookback_days: int = 5, limit: int = 40) -> DataFrame:
     """The newest articles of the lookback with body, their first image and a snippet."""
-    recent = articles.where(F.col("published_at") >= asof - F.make_dt_interval(F.lit(lookback_days)))
+    recent = articles.where(F.col("body").isNotNull() & (F.col("published_at") >= asof - F.make_dt_interval(F.lit(lookback_days))))
     first = images.groupBy("article_id").agg(F.min(F.struct("created_at", "image_url"))["image_url"].alias("image_url"))
     top = recent.orderBy(F.desc_nulls_last("published_at"), F.desc("discovered_at"), "article_id").limit(limit)
     return top.join(first, "article_id", "left").withColumn("snippet", tx.snippet("body"))

@@ -62,3 +62,27 @@ class TenantTables:
         kids = self.read(children).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*child_columns))).alias(name))
         rows = self.read(parent).join(kids, key, "left")
         return rows.withColumn(name, F.coalesce(name, F.array().cast(kids.schema[name].dataType)))
+
+    def cuttings(self, status: str | None = None, edition: object = None) -> DataFrame:
+        """Cuttings (cutting_id, page_id, status, created_at, ...), newest first; of one status or one edition, by the pages (page_id, edition_id) it has."""
+        rows = self._of("cuttings", "status", status)
+        if edition is not None:
+            rows = rows.join(self.read("pages").where(F.col("edition_id") == F.lit(edition)).select("page_id"), "page_id", "left_semi")
+        return rows.orderBy(F.desc_nulls_last("created_at"), "cutting_id")
+
+    def logo_templates(self, active_only: bool = False) -> DataFrame:
+        rows = self.read("logo_templates")
+        return (rows.where("is_active") if active_only else rows).orderBy(F.desc_nulls_last("created_at"), "template_id")
+
+    def logo_matches(self, status: str | None = None) -> DataFrame:
+        return self._of("logo_matches", "status", status).orderBy(F.desc_nulls_last("created_at"), "match_id")
+
+    def social_matches(self, posts: DataFrame, accounts: DataFrame, status: str | None = None) -> DataFrame:
+        """Social matches, newest first, each with its post and in that the post's account; both are no tenant's own. What is not there is null."""
+        inner = posts.join(accounts.select("account_id", F.struct(*accounts.columns).alias("account")), "account_id", "left")
+        post = inner.select("post_id", F.struct(*posts.columns, "account").alias("post"))
+        return self._of("social_matches", "status", status).join(post, "post_id", "left").orderBy(F.desc_nulls_last("created_at"), "match_id")
+
+    def _of(self, table: str, column: str, value: object) -> DataFrame:
+        rows = self.read(table)
+        return rows if value is None else rows.where(F.col(column) == F.lit(value))
