@@ -104,3 +104,17 @@ def test_against_brute_force(spark, docs_of):
             total, missed, more = total + want, missed + (want and not got), more + (got and not want)
             at += size + 1
     assert total > 4000 and missed <= 0.01 * total and more <= 0.01 * total
+
+
+def test_one_of_many_equal_rows_stays(spark, monkeypatch):
+    from tidewire.llm import chunk_dedup
+
+    monkeypatch.setattr(chunk_dedup, "LOT", 7)
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, long)] * 30 + [(5, "short")] * 8 + [(5, "other")] * 2 + [(6, None)] * 3 + [(7, "")] * 9 + [(8, "é one")]
+    got = chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got if r.text) == [(False, 5, "other"), (False, 5, "short"), (False, 8, "é one"), (True, 0, long)]
+    assert len(got) == len(rows) and sum(r.text is None for r in got) == 3
+    gone = [r for r in got if r.n_removed]
+    assert len(gone) == 29 + 7 + 1 and all(r.text == "" and [tuple(s) for s in r.removed] == [(0, r.n_bytes)] and r.n_removed == r.n_bytes for r in gone)
+    assert all(r.n_bytes == len((r.text or "").encode()) and r.removed == [] for r in got if not r.n_removed)

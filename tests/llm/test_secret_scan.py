@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import secret_scan
 from tidewire.llm.common import new_folder
-from tidewire.llm.secret_scan import scan_secrets
+from tidewire.llm.secret_scan import read_ledger, scan_secrets
 
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
@@ -76,3 +76,13 @@ def test_edges(spark, docs_of):
     assert [len(r.findings) for r in scan_secrets(same, new_folder(spark, "ledger")).collect()] == [1, 1, 1]
     long = "z" * 500_000 + " secret=abcdefgh"
     assert scan_secrets(docs_of([long]), new_folder(spark, "ledger")).first().findings[0].start == 500_001
+
+
+def test_rows_that_repeat_give_one_row_of_the_ledger(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    rows = [(None, "token: abcdefgh1")] * 50 + [(1, "token: abcdefgh1"), (2, None), (2, None), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for _ in range(2):
+        found = scan_secrets(docs, ledger).collect()
+        assert len(found) == len(rows) and sum(len(r.findings) for r in found) == 51
+        assert read_ledger(spark, ledger).count() == 3

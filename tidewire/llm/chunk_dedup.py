@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ MIN_CHUNK, MEAN_MORE, MAX_CHUNK = 24, 24, 192
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 32, 256, dtype=np.uint32)
 CHUNKS = T.ArrayType(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+#: How many repeated rows of a document one task writes together.
+LOT = 4096
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -186,7 +188,8 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
 
     A chunk's first occurrence is that in the document with the least id (nulls first), then the least
     ``text_key``, then the least place: documents that share an id, or have none, are judged each on its own.
-    Rows that repeat both id and text are one document; all but one of them lose their texts.
+    Rows that repeat both id and text are one document; all but one of them lose their texts: they are counted, and their rows
+    made anew from the counts.
     Null texts stay null. Spans keep to whole words; a text without blanks is one word, and stays
     unless ``min_words`` is 1. Only chunks that occur twice are joined back; a chunk in a third of all
     documents is counted by partial sums, and its rows are dealt out again by skew handling.
@@ -209,11 +212,12 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
     spots = materialize(spots, "spots")
     discard(found, near)
     joined = base.join(spots, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").drop("_id", "_key")
+    # rows that repeat id and text are told by both, as keys of different texts may be equal; tasks count theirs before the shuffle
     twins = materialize(base.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.lit(True).alias("twin")), "twins")
     joined = joined.join(twins, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("id", "text", "spots", "key", "twin")
-    nth = F.row_number().over(Window.partitionBy("id", "key").orderBy("key"))
-    judged = joined.where("twin is null").select("id", "text", "spots", F.lit(False).alias("goes"))
-    judged = judged.unionByName(joined.where("twin").select("id", "text", "spots", (nth > 1).alias("goes")))
+    of_twins = joined.where("twin").groupBy("id", "key", F.sha2("text", 256).alias("digest"))
+    one = materialize(of_twins.agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("spots").alias("spots")), "ones")
+    judged = joined.where("twin is null").select("id", "text", "spots").unionByName(one.select("id", "text", "spots"))
     fields = [judged.schema["id"], T.StructField("text", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPANS)]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -224,9 +228,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
                 texts = part.column(1)
                 offsets, data = byte_view(texts)
                 out, gone, taken = [], [], []
-                for i, (mine, goes) in enumerate(zip(part.column(2), part.column(3).to_pylist(), strict=True)):
+                for i, mine in enumerate(part.column(2)):
                     raw = data[offsets[i] : offsets[i + 1]]
-                    spans = [(0, len(raw))] if goes and len(raw) else _repeated(raw, mine.as_py(), min_words) if mine.is_valid else []
+                    spans = _repeated(raw, mine.as_py(), min_words) if mine.is_valid else []
                     if spans:
                         parts = [raw[a:b].tobytes() for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True)]
                         out.append(b"".join(parts).decode())
@@ -236,4 +240,11 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id
                     taken.append([{"start": s, "end": e} for s, e in spans])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(taken, span)], names=[f.name for f in fields])
 
-    return judged.mapInArrow(run, T.StructType(fields)).withColumnsRenamed({"id": id_col, "text": text_col})
+    stays = judged.mapInArrow(run, T.StructType(fields))
+    # the others of each are dealt out in lots, so that no task writes all rows of one document
+    lots = one.where("n > 1").select("id", F.octet_length("text").cast("long").alias("size"), (F.col("n") - 1).alias("more"))
+    lots = lots.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("more") - 1) / LOT)))).repartition("id", "lot")
+    each = lots.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(LOT).cast("long"), F.col("more") - F.col("lot") * LOT))))
+    size, whole = F.coalesce("size", F.lit(0).cast("long")), F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("end")))
+    gone = each.select("id", F.when(F.col("size").isNotNull(), "").alias("text"), size.alias("n_bytes"), size.alias("n_removed"), F.when(size > 0, whole).otherwise(F.array()).cast(SPANS).alias("removed"))
+    return stays.unionByName(gone).withColumnsRenamed({"id": id_col, "text": text_col})

@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,7 +265,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 def without_lines(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the texts that are left when the lines listed in ``removed`` go; of rows
     that repeat id and text all but one keep only their lines without words."""
-    of, key, gone, rows, nth = (fresh(x, docs) for x in ("_of", "_key", "_gone", "_rows", "_nth"))
+    of, key, gone, rows, nth, one = (fresh(x, docs) for x in ("_of", "_key", "_gone", "_rows", "_nth", "_one"))
     touched = judged.where("n_removed > 0 or n_rows > 1")
     touched = touched.select(F.col(quoted(id_col)).alias(of), F.col("text_key").alias(key), F.col("removed").alias(gone), F.col("n_rows").alias(rows))
     text = F.col(quoted(text_col))
@@ -274,6 +274,8 @@ def without_lines(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", te
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n")
     bare = F.array_join(F.filter(lines, lambda line: ~F.regexp_like(line, F.lit(r"[^ \t\r\f\x0B]"))), "\n")
     single = joined.where(F.coalesce(rows, F.lit(1)) == 1).withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(kept))
-    again = joined.where(F.col(rows) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(of, key).orderBy(key)))
-    again = again.withColumn(text_col, F.when(F.col(nth) == 1, kept).otherwise(bare)).drop(nth)
+    # numbered and written, so that the numbers hold and no task meets all rows of a document
+    again = materialize(joined.where(F.col(rows) > 1).withColumn(nth, F.monotonically_increasing_id()), "twins")
+    firsts = again.groupBy(of, key).agg(F.min(nth).alias(one)).select(one)
+    again = again.join(firsts, F.col(nth) == F.col(one), "left").withColumn(text_col, F.when(F.col(one).isNotNull(), kept).otherwise(bare)).drop(nth, one)
     return single.unionByName(again).drop(of, key, gone, rows)

@@ -76,7 +76,12 @@ def _scanner(rules: tuple[Rule, ...]) -> Callable[[], Callable[[pa.Array], list[
         compiled = [re.compile(r.pattern, r.flags) for r in rules]
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            out = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans_of(t.as_py() or "", rules, compiled)] for t in texts]
+            out, last = [], None
+            for t in texts:
+                text = t.as_py() or ""
+                if text != last:  # rows that repeat a path and its text come one after another
+                    found, last = [dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans_of(text, rules, compiled)], text
+                out.append(found)
             return [pa.array(out, kind)]
 
         return work
@@ -111,7 +116,8 @@ def scan_secrets(
         unseen = unseen.join(had.where(F.col("rules_version") == rules_version).select("blob"), "blob", "left_anti")
     unseen = unseen.select(F.col("blob").alias("b"), F.col("path").alias("p"))
     texts = addressed.join(unseen, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
-    new = map_texts(texts, "text", ["blob"], [T.StructField("findings", FINDINGS)], _scanner(rules))
+    # rows that repeat path and text give one row of the ledger
+    new = map_texts(texts, "text", ["blob"], [T.StructField("findings", FINDINGS)], _scanner(rules)).dropDuplicates(["blob"])
     with while_writing(spark):
         new.withColumn("rules_version", F.lit(rules_version)).write.mode("append").partitionBy("rules_version").parquet(ledger)
     held = read_ledger(spark, ledger).where((F.col("rules_version") == rules_version) & (F.size("findings") > 0))
