@@ -57,6 +57,18 @@ def test_gates(spark):
     assert first(spark, gates.valid_entity(lit("brand"), lit(" "), lit("x"))) and not first(spark, gates.valid_entity(lit("brand"), lit(None).cast("string"), lit("")))
 
 
+def test_job_ages_count_parts_of_seconds(spark):
+    asof, lit = F.lit("2024-01-15 00:00:00").cast("timestamp"), F.lit
+    none = lit(None).cast("string")
+    at = lambda time: lit(f"2024-01-14 {time}").cast("timestamp")
+    lost = lambda state, time, task: first(spark, gates.job_interrupted(lit("running"), state, at(time), at(time), task, asof))
+    assert [lost(none, t, none) for t in ("23:45:00", "23:45:00.000001", "23:45:00.999999", "23:44:59.5")] == [True, False, False, True]
+    assert [lost(lit("PENDING"), t, lit("t")) for t in ("23:55:00", "23:55:00.4")] == [True, False]
+    assert [lost(none, t, lit("t")) for t in ("23:20:00", "23:20:00.4")] == [True, False]
+    done = lambda time: first(spark, gates.refresh_suppressed(lit("succeeded"), at(time), asof))
+    assert [done(t) for t in ("23:45:00", "23:45:00.000001", "23:44:59.9")] == [False, True, False]
+
+
 def test_merge(spark):
     old = spark.createDataFrame([(1, "included", 0.1), (2, "pending_review", 0.2), (3, "pending_review", 0.3)], "k int, status string, score double")
     new = spark.createDataFrame([(1, "x", 0.9), (2, "x", 0.8), (4, "x", 0.7)], "k int, status string, score double")

@@ -62,9 +62,14 @@ def with_overrides(channels: DataFrame, overrides: DataFrame) -> DataFrame:
     return channels.join(overrides, ["publisher", "channel"], "left")
 
 
+def micros_between(since: Column, until: Column) -> Column:
+    """Microseconds from one time to another; whole seconds would call a job a second older than it is."""
+    return F.unix_micros(until.cast("timestamp")) - F.unix_micros(since.cast("timestamp"))
+
+
 def job_interrupted(status: Column, state: Column, started: Column, created: Column, task_id: Column, asof: Column, pending_min: int = 5, legacy_min: int = 15, hard_min: int = 40) -> Column:
     """Whether a job that claims to run has been lost."""
-    age = (asof.cast("timestamp").cast("long") - F.coalesce(started, created).cast("timestamp").cast("long")) / 60
+    age = micros_between(F.coalesce(started, created), asof) / 60_000_000
     lost = (
         F.coalesce(state.isin("FAILURE", "REVOKED"), F.lit(False))
         | (age >= hard_min)
@@ -76,7 +81,7 @@ def job_interrupted(status: Column, state: Column, started: Column, created: Col
 
 def refresh_suppressed(status: Column, finished: Column, asof: Column, minutes: int = 15) -> Column:
     """Whether a new ingest request does nothing: one runs, or one succeeded just now."""
-    return status.isin("queued", "running") | ((status == "succeeded") & (asof.cast("timestamp").cast("long") - finished.cast("timestamp").cast("long") < minutes * 60))
+    return status.isin("queued", "running") | ((status == "succeeded") & (micros_between(finished, asof) < minutes * 60_000_000))
 
 
 #: The types a monitored entity may have.
