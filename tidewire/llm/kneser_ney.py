@@ -1,12 +1,11 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model.
 
-The model is trained on all trusted documents (good quality, not toxic). Its n-grams
-are over ``ALPHABET`` classes of bytes, so that there are at most ALPHABET ** ORDER of
-them however large the corpus is. Tasks count n-grams locally; the counts are
-added up in shards by n-gram, and joins of the shards with the totals of their
-contexts give every order's discounted probabilities and back-off weights. The
-finished table of costs has one float for each possible n-gram (10 MB), a bound that
-does not depend on the data, and is broadcast to score whole documents.
+The model is trained on all trusted documents (good quality, not toxic). Its n-grams are over whole bytes and stay in
+shards, which documents meet by joins (``byte_grams``). Below its order 1 stands a second model of the same kind over
+``ALPHABET`` classes of bytes, for bytes and contexts that trusted texts of the other fold lack: tasks count its n-grams
+locally, the counts are added up in shards by n-gram, and joins of the shards with the totals of their
+contexts give every order's discounted probabilities and back-off weights. Its table of costs has one float for
+each possible n-gram (10 MB) whatever the corpus, and is broadcast.
 
 A document gets its perplexity, and the perplexity of its worst passage of
 ``PEAK`` bytes; and, where its language has trusted and toxic labels, the ratio of a toxic to
@@ -17,16 +16,15 @@ the distance from what is usual at the document's length, as means over few byte
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewire.llm.common import byte_view, map_texts, materialize, quoted, slices
+from tidewire.llm import byte_grams
+from tidewire.llm.common import byte_view, materialize, quoted, slices
 from tidewire.llm.piece_ratio import ratios, text_key
 
 ALPHABET, ORDER, PEAK = 40, 4, 12
@@ -47,7 +45,8 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-SCORES = [T.StructField("n_bytes", T.LongType()), T.StructField("bits", T.DoubleType()), T.StructField("peak_bits", T.DoubleType())]
+#: How many bytes a class has.
+MEMBERS = np.bincount(CLASS, minlength=ALPHABET)
 
 
 def _grams(text: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -78,8 +77,11 @@ def gram_counts(texts: DataFrame, text_col: str) -> DataFrame:
 
 def _discounts(counts: DataFrame) -> list[float]:
     """What is taken off counts of 1, 2, and 3 or more."""
-    n = counts.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first()
-    n = [x or 0 for x in n]
+    return discounts_of([x or 0 for x in counts.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first()])
+
+
+def discounts_of(n: list[int]) -> list[float]:
+    """The same from how many have counts of 1, 2, 3 and 4."""
     y = n[0] / max(1, n[0] + 2 * n[1])
     found = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else i * y for i in (1, 2, 3)]
     return [min(max(d, 0.05 * i), 0.95 * i) for i, d in zip((1, 2, 3), found, strict=True)]
@@ -114,28 +116,12 @@ def train(trusted: DataFrame, text_col: str) -> np.ndarray:
     return -np.log2(cost).astype(np.float32)
 
 
-def score(docs: DataFrame, costs: Broadcast, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep``, and n_bytes, bits (mean cost of a byte) and peak_bits (of the worst PEAK bytes)."""
-
-    def make() -> Callable[[pa.Array], list[pa.Array]]:
-        cost = costs.value
-
-        def work(texts: pa.Array) -> list[pa.Array]:
-            offsets, data = byte_view(texts)
-            sizes = np.diff(offsets)
-            mean, peak = np.zeros(len(sizes)), np.zeros(len(sizes))
-            for i in np.flatnonzero(sizes):
-                run = np.cumsum(cost[_grams(data[offsets[i] : offsets[i + 1]])], dtype=np.float64)
-                mean[i] = run[-1] / sizes[i]
-                peak[i] = mean[i]
-                if sizes[i] > PEAK:
-                    peak[i] = max(run[PEAK - 1], (run[PEAK:] - run[:-PEAK]).max()) / PEAK
-            empty = sizes == 0
-            return [pa.array(sizes), pa.array(np.round(mean, 6), mask=empty), pa.array(np.round(peak, 6), mask=empty)]
-
-        return work
-
-    return map_texts(docs, text_col, keep, SCORES, make)
+def class_chances(cost: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Of the last byte of each n-gram over bytes: that of its class after the classes before, even within the class."""
+    code = np.zeros(len(gram), np.int64)
+    for back in range(ORDER - 1, -1, -1):
+        code = code * ALPHABET + CLASS[gram >> 8 * back & 255]
+    return 2.0 ** -cost[code].astype(np.float64) / MEMBERS[CLASS[gram & 255]]
 
 
 def upper_quantiles(scores: DataFrame, group: str, value: str, q: float, step: float = 1e-3) -> DataFrame:
@@ -213,8 +199,11 @@ def classify(
     labelled = ids.join(marked.hint("merge"), F.col("_id") == F.col("_good")).select("_text", "_lang", "_toxic")
     by_text = ratios(ids, labelled, _discounts)
     keyed = ids.withColumn("_key", text_key("_text", "_id", "_lang"))
-    scores = score(keyed, costs, ["_id", "_lang", "_key"], "_text")
-    scores = materialize(scores.join(by_text, F.col("_key") == F.col("_of_text"), "left").drop("_key", "_of_text"), "scores")
+    model = byte_grams.table(trusted, discounts_of)
+    by_text = byte_grams.perplexities(keyed, model, costs, class_chances, PEAK).join(by_text, F.col("_scored") == F.col("_of_text"), "left").drop("_of_text")
+    by_text = materialize(by_text, "by-text")
+    scores = keyed.select("_id", "_lang", "_key").join(by_text, F.col("_key") == F.col("_scored")).drop("_key", "_scored")
+    scores = materialize(scores, "scores")
     of_good = scores.join(good, F.col("_id") == F.col("_good"), "left_semi")
     both = materialize(of_good.unionByName(of_good.withColumn("_lang", F.lit("\0all"))).where("_lang is not null"), "good")
     for value in ("bits", "peak_bits"):
@@ -239,7 +228,7 @@ def classify(
     else:
         own = {"_id": id_col, "_lang": lang_col, "_text": text_col}
         wide = docs.select(*[F.col(quoted(c)).alias(x) for c, x in held.items()], *[F.col(quoted(c)).alias(x) for x, c in own.items()]).withColumn("_key", text_key("_text", "_id", "_lang"))
-        judged = score(wide, costs, [*held.values(), "_lang", "_key"], "_text").join(by_text, F.col("_key") == F.col("_of_text"), "left")
+        judged = wide.drop("_text", "_id").join(by_text, F.col("_key") == F.col("_scored"))
     judged = judged.join(F.broadcast(limits), F.col("_lang") == F.col("_of"), "left").join(F.broadcast(overall), F.lit(True), "left")
     judged = judged.withColumns({c: F.coalesce(c, f"_all{c}") for c in fields})
     limit = lambda fit, far: usual(fit)[0] + F.col(far) * usual(fit)[1]
