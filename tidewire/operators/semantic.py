@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewire.functions.text import normalize_text
 
+#: Similarities that a task computes at once (32 MB, and about as much again to pick from them), however many queries a block has.
+CELLS = 1 << 22
 TOP_K, RERANK_K, MIN_COSINE, MIN_RERANK, MIN_CONFIDENCE = 20, 10, 0.45, 0.10, 0.6
 
 
@@ -23,7 +25,7 @@ def cosine_top_k(
 
     Queries are a stated set (monitored entities). They are dealt into blocks of at most about ``block_bytes``
     by their counted size, and one block after another is broadcast against all items; a task multiplies
-    batches and keeps the k best of each query before the shuffle.
+    batches, some queries at a time (``CELLS``), and gives out what is among the k best of a query that it has seen so far.
     """
     spark = queries.sparkSession
     whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
@@ -42,6 +44,8 @@ def cosine_top_k(
         shared = spark.sparkContext.broadcast({n: (ids, _unit(np.array(rows).reshape(len(ids), n))) for n, (ids, rows) in by_size.items()})
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            # the k greatest similarities of each query so far
+            top = {n: np.full((k, len(ids)), -np.inf) for n, (ids, _) in shared.value.items()}
             for batch in batches:
                 lists = batch.column(1)
                 sizes = lists.value_lengths().to_numpy()
@@ -49,11 +53,15 @@ def cosine_top_k(
                     rows = np.flatnonzero(sizes == n)
                     if not len(rows) or not n:
                         continue
-                    found = _unit(lists.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), n)) @ matrix.T
-                    if len(rows) > k:  # ties with the k-th stay
-                        found[found < np.partition(found, -k, axis=0)[-k]] = -2
-                    at, of = np.nonzero(found >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in of.tolist()], kind), batch.column(0).take(pa.array(rows[at])), pa.array(found[at, of])], names=schema.names)
+                    mine, step = _unit(lists.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), n)), max(1, CELLS // len(rows))
+                    for lo in range(0, len(ids), step):
+                        part = slice(lo, lo + step)
+                        found = mine @ matrix[part].T
+                        found[np.isnan(found)] = -np.inf
+                        best = np.partition(found, -k, axis=0)[-k:] if len(rows) > k else found
+                        top[n][:, part] = np.partition(np.concatenate((top[n][:, part], best)), -k, axis=0)[-k:]
+                        at, of = np.nonzero((found >= least) & (found >= top[n][0, part]))  # ties with the k-th stay
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in (of + lo).tolist()], kind), batch.column(0).take(pa.array(rows[at])), pa.array(found[at, of])], names=schema.names)
 
         part = i.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
