@@ -91,3 +91,13 @@ def test_stream_goes_on_where_it_stopped(spark, stored, tmp_path):
     assert connector.store_documents(more, root) == 2
     second = run()
     assert len(second) == 8 and second == rows(read(spark, root, "rss"))
+
+
+def test_small_sets_share_a_task(spark, tmp_path):
+    """Starting a task costs more than to read a small set."""
+    connector.register(spark)
+    documents = spark.createDataFrame([("rss", f"c{i}", f"https://c{i}.com/f", FEED) for i in range(150)], "connector string, channel string, url string, content string")
+    connector.store_documents(documents, str(tmp_path / "sets"))
+    found = read(spark, str(tmp_path / "sets"), "rss")
+    assert found.rdd.getNumPartitions() == 3 and rows(found) == rows(discovery.rss(documents))
+    assert found.where("channel = 'c7'").rdd.getNumPartitions() == 1

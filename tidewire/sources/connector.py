@@ -2,7 +2,7 @@
 
 What was fetched is kept as document sets, ``root/arrival=N/connector=K/channel=C/``: what one run fetched
 of one channel for one connector. ``store_documents`` adds an arrival, by a rename, so a reader sees
-all of it or nothing. A set is one input partition: a task opens its files, parses them and gives out
+all of it or nothing. A task takes one set after another, up to ``PACK_SETS`` of them and about ``PACK_BYTES``: it opens a set's files, parses them and gives out
 the items that they announce, in the columns of the readers in ``discovery`` and with
 their rules, by set: of equal addresses the first, at most ``most``, nothing older than the cutoff. Filters on
 ``channel``, ``arrival`` and ``published_at`` are taken over: the first two leave sets unread, the last one
@@ -36,6 +36,8 @@ ITEM = "arrival long, channel string, url string, position int, source_url strin
 #: How many items a set gives at most unless told otherwise; feeds give all.
 MOST = {"rss": None, "sitemap": 200, "html": 100}
 TITLE_MIN = 8
+#: What a task reads, as starting one costs more than to read a small set.
+PACK_SETS, PACK_BYTES = 64, 8 << 20
 
 
 def register(spark: SparkSession) -> None:
@@ -58,13 +60,20 @@ def store_documents(documents: DataFrame, root: str, tries: int = 100) -> int:
 
 
 @dataclass
-class DocumentSet(InputPartition):
+class DocumentSet:
     arrival: int
     channel: str | None
-    folder: str
+    files: list[str]
+
+
+@dataclass
+class Pack(InputPartition):
+    """Document sets that one task reads."""
+
+    sets: list[DocumentSet]
 
     def __post_init__(self) -> None:
-        super().__init__(self.folder)
+        super().__init__(len(self.sets))
 
 
 @dataclass
@@ -230,19 +239,31 @@ class _Sets:
         fs, root = _opened(self.path)
         return {n: f for f in _folders(fs, root) if (n := numbered.number_of(f.rpartition("/")[2], "arrival"))}
 
-    def sets(self, arrivals: dict[int, str]) -> list[DocumentSet]:
-        fs, out = _opened(self.path)[0], []
+    def packs(self, arrivals: dict[int, str], channels: set | None = None) -> list[Pack]:
+        """The sets of some arrivals, all or of some channels, in order; each arrival is listed at once."""
+        fs, out, size = _opened(self.path)[0], [], 0
         for n, folder in sorted(arrivals.items()):
-            for leaf in _folders(fs, f"{folder}/connector={self.rules.connector}"):
+            held: dict[str, list[pyarrow.fs.FileInfo]] = {}
+            for f in fs.get_file_info(pyarrow.fs.FileSelector(f"{folder}/connector={self.rules.connector}", allow_not_found=True, recursive=True)):
+                if f.type == pyarrow.fs.FileType.File and f.path.endswith(".parquet"):
+                    held.setdefault(f.path.rpartition("/")[0], []).append(f)
+            for leaf, files in sorted(held.items()):
                 name = unquote(leaf.rpartition("channel=")[2])
-                out.append(DocumentSet(n, None if name == "__HIVE_DEFAULT_PARTITION__" else name, leaf))
-        return out
-
-    def read(self, partition: DocumentSet) -> Iterator[tuple]:
+                name = None if name == "__HIVE_DEFAULT_PARTITION__" else name
+                if channels is not None and name not in channels:
+                    continue
+                if not out or len(out[-1].sets) >= PACK_SETS or size >= PACK_BYTES:
+                    out.append(Pack([]))
+                    size = 0
+                out[-1].sets.append(DocumentSet(n, name, sorted(f.path for f in files)))
+                size += sum(f.size for f in files)
+        return [Pack(p.sets) for p in out]
+
+    def read(self, partition: Pack) -> Iterator[tuple]:
         fs = _opened(self.path)[0]
-        files = sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(partition.folder)) if f.path.endswith(".parquet"))
-        tables = [pyarrow.parquet.ParquetFile(fs.open_input_file(f)).read(["url", "content"]) for f in files]
-        return items(self.rules, partition, (d for t in tables for d in zip(t.column("url").to_pylist(), t.column("content").to_pylist(), strict=True)))
+        for held in partition.sets:
+            tables = [pyarrow.parquet.ParquetFile(fs.open_input_file(f)).read(["url", "content"]) for f in held.files]
+            yield from items(self.rules, held, (d for t in tables for d in zip(t.column("url").to_pylist(), t.column("content").to_pylist(), strict=True)))
 
 
 class ConnectorReader(_Sets, DataSourceReader):
@@ -265,18 +286,13 @@ class ConnectorReader(_Sets, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[DocumentSet]:
+    def partitions(self) -> list[Pack]:
         tests = {">": int.__gt__, ">=": int.__ge__, "<": int.__lt__, "<=": int.__le__, "=": int.__eq__}
-        found = self.sets({n: f for n, f in self.arrivals().items() if all(tests[s](n, v) for s, v in self.only)})
-        found = [s for s in found if self.channels is None or s.channel in self.channels]
-        return found or [DocumentSet(0, None, "")]
-
-    def read(self, partition: DocumentSet) -> Iterator[tuple]:
-        return super().read(partition) if partition.folder else iter(())
+        return self.packs({n: f for n, f in self.arrivals().items() if all(tests[s](n, v) for s, v in self.only)}, self.channels) or [Pack([])]
 
 
 class ConnectorStream(_Sets, DataSourceStreamReader):
-    """Offsets are arrivals; a trigger reads the sets of all that came since, each in a task."""
+    """Offsets are arrivals; a trigger reads the sets of all that came since, packed into tasks."""
 
     def initialOffset(self) -> dict:
         return {"arrival": 0}
@@ -284,8 +300,8 @@ class ConnectorStream(_Sets, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"arrival": max(self.arrivals(), default=0)}
 
-    def partitions(self, start: dict, end: dict) -> list[DocumentSet]:
-        return self.sets({n: f for n, f in self.arrivals().items() if start["arrival"] < n <= end["arrival"]})
+    def partitions(self, start: dict, end: dict) -> list[Pack]:
+        return self.packs({n: f for n, f in self.arrivals().items() if start["arrival"] < n <= end["arrival"]})
 
     def commit(self, end: dict) -> None:
         """Document sets stay; whoever stores them decides how long."""
