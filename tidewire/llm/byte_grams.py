@@ -29,14 +29,13 @@ COUNTED = 1 << 21
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The ORDER bytes up to each byte of some texts, as numbers; before a text stand PADs."""
-    sizes = np.diff(offsets)
-    padded = np.full(int(sizes.sum()) + (ORDER - 1) * len(sizes), PAD, np.uint8)
-    # where each byte stands among padded texts
-    at = np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(sizes) + 1) * (ORDER - 1), sizes)
-    padded[at] = data[offsets[0] : offsets[-1]]
-    out = np.zeros(len(at), np.int64)
-    for back in range(ORDER - 1, -1, -1):
-        out = out << 8 | padded[at - back]
+    part, first, sizes = data[offsets[0] : offsets[-1]].astype(np.int64), offsets[:-1] - offsets[0], np.diff(offsets)
+    out = part.copy()
+    for back in range(1, ORDER):
+        out[back:] |= part[:-back] << 8 * back
+    for i in range(ORDER - 1):  # the first bytes of a text have others' before them
+        at = first[sizes > i] + i
+        out[at] = _end(out[at], i + 1) | sum(PAD << 8 * back for back in range(i + 1, ORDER))
     return out
 
 
