@@ -1,5 +1,6 @@
 import pytest
 
+from tidewire.operators import matching
 from tidewire.operators.matching import Matcher, Text, entity_terms, match_documents
 
 
@@ -156,3 +157,14 @@ def test_frames_against_a_plain_loop(spark):
     for key, m in want.items():
         assert got[key].excluded == m["excluded"] and got[key].phrase == m["phrase"]
         assert [h.asDict() for h in got[key].evidence] == m["hits"]
+
+
+def test_evidence_is_given_out_in_parts(spark, monkeypatch):
+    """A task does not hold the evidence of all documents of a frame; parts change no row."""
+    docs = spark.createDataFrame([(i, "Acme Corp", f"Beta Works and acme corp number {i}") for i in range(40)], "doc_id long, title string, body string").coalesce(1)
+    terms = spark.createDataFrame([(e, 0, n, "en", True, "canonical") for e, n in enumerate(("Acme Corp", "Beta Works"))], "entity_id long, pos int, surface string, language string, exact_only boolean, source string")
+    none = spark.createDataFrame([], "entity_id long, phrase string")
+    found = lambda: sorted(map(repr, matching.match_documents(docs, terms, none).collect()))
+    whole = found()
+    monkeypatch.setattr(matching, "GIVEN_ROWS", 7)
+    assert len(whole) == 80 and found() == whole

@@ -250,6 +250,8 @@ HEADS = (16, 8, 4, 3, 2, 1)
 PIECED_CHARS = 1 << 20
 #: The filter that texts' pieces pass first has 16 bits for each piece of a name, and at most this many (8 MB).
 FILTER_BITS = 1 << 26
+#: Rows of evidence that a task holds before it gives them out: one is up to HITS_KEPT hits with their surroundings, and a frame has 10,000 documents.
+GIVEN_ROWS = 500
 #: A piece or an entity that very many documents have is dealt to so many places.
 SALTS = 16
 RAW, LOWER, FOLDED, TITLE, BODY = range(5)
@@ -462,8 +464,12 @@ def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id
                     if got is not None:
                         best = got["hits"][0] if got["hits"] else {}
                         out.append((doc_id, e["entity_id"], got["excluded"], got["phrase"], best.get("match_type"), best.get("score"), got["hits"]))
-            yield pd.DataFrame(out, columns=[id_col, "entity_id", "excluded", "phrase", "match_type", "score", "evidence"])
+                        if len(out) >= given_rows:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+            yield pd.DataFrame(out, columns=names)
 
+    names, given_rows = [id_col, "entity_id", "excluded", "phrase", "match_type", "score", "evidence"], GIVEN_ROWS
     return whole.mapInPandas(run, f"{id_col} {kind}, entity_id {entity}, excluded boolean, phrase string, match_type string, score double, evidence array<{HIT}>")
 
 
