@@ -168,3 +168,57 @@ def test_evidence_is_given_out_in_parts(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(matching, "GIVEN_ROWS", 7)
     assert len(whole) == 80 and found() == whole
+
+
+def evidence_of(spark, docs, names):
+    terms = spark.createDataFrame([(e, 0, n, "en", False, "canonical") for e, n in enumerate(names)], "entity_id long, pos int, surface string, language string, exact_only boolean, source string")
+    frame = spark.createDataFrame(docs, "doc_id long, title string, body string")
+    return sorted(map(repr, match_documents(frame, terms, spark.createDataFrame([], "entity_id long, phrase string")).collect()))
+
+
+def test_pieces_joined_or_held(spark, monkeypatch):
+    """Few fuzzy terms are looked up in the tasks, many are joined; the evidence is the same, however texts are put together."""
+    import random
+
+    rng = random.Random(9)
+    vocab = ["Harbour", "harbor", "Line", "lines", "liner", "a", "PORT", "ports", "portal", "المطار", "مطار", "x-y", "été"]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    docs, names = [(i, say(rng.randint(0, 4)), say(rng.randint(0, 40))) for i in range(50)], [say(rng.randint(1, 3)) for _ in range(15)]
+    held = evidence_of(spark, docs, names)
+    assert sum("controlled_fuzzy" in r for r in held) > 20
+    monkeypatch.setattr(matching, "PIECED_CHARS", 100)
+    assert evidence_of(spark, docs, names) == held
+    monkeypatch.setattr(matching, "HELD_PIECES", 0)
+    assert evidence_of(spark, docs, names) == held
+
+
+def test_few_pieces_pass_the_filter(monkeypatch):
+    """Of pieces that no name has, hardly any leave the task; a name's piece has three bits for that, not one."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Frame:
+        sparkSession = sparkContext = property(lambda self: self)
+
+        def broadcast(self, value):
+            return type("Shared", (), {"value": value})()
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    text = "".join(chr(97 + i * i % 23) + chr(97 + i % 26) + chr(97 + i // 7 % 25) for i in range(20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([""]), pa.array([text])], names=["doc", "title", "body"])
+
+    def passed(shifts):
+        monkeypatch.setattr(matching, "FILTER_SHIFTS", shifts)
+        size, bits = 1 << 16, np.zeros(1 << 13, np.uint8)
+        for n in range(4000):
+            key = matching._key(f"{n:08d}", matching.BODY) & (1 << 64) - 1
+            for shift in shifts:
+                bits[(key >> shift & size - 1) >> 3] |= 1 << (key >> shift & 7)
+        rows = matching.text_pieces(Frame(), {matching.BODY: [8]}, bits)([batch])
+        return len({text[at : at + 8] for b in rows for at in b.column(b.schema.get_field_index("at")).to_pylist()})
+
+    different = len({text[i : i + 8] for i in range(len(text) - 7)})
+    shifts = matching.FILTER_SHIFTS
+    assert passed(shifts) * 150 < different and passed((0,)) * 30 > different

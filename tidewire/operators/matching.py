@@ -4,7 +4,7 @@
 where, by one automaton; ``match_documents`` gives the full evidence: layers exact, case-
 insensitive, normalised and fuzzy, an exclusion veto before them, and the ten best
 hits. Which entity may be in which document is found by a join of pieces of names with pieces of
-texts, and only such pairs are looked at; no task holds all entities.
+texts, and only such pairs are looked at; no task holds all entities, and the pieces of all fuzzy terms only if they are HELD_PIECES at most.
 """
 
 from __future__ import annotations
@@ -13,13 +13,17 @@ import difflib
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidewire.functions.text import ALEFS, ARABIC_DIGITS, DIACRITICS, TATWEEL, normalize_text
 from tidewire.session import checkpointed
@@ -29,12 +33,15 @@ RANK = {"exact": 5, "case_insensitive_en": 4, "arabic_normalized": 3, "alias": 3
 FUZZY_RATIO, FUZZY_CHARS, FUZZY_BEST, HITS_KEPT = 0.92, 6, 3, 10
 _MARKS = re.compile(DIACRITICS)
 _FOLD = str.maketrans(dict.fromkeys(ALEFS, "ا") | dict(zip(ARABIC_DIGITS, "0123456789", strict=True)) | {TATWEEL: None})
+_FOLDED = re.compile(f"[{''.join(map(chr, _FOLD))}]")
 
 
 def normalized(text: str | None) -> str:
     """What functions.text.normalize_text gives, for one string."""
     t = unicodedata.normalize("NFKC", text or "").strip().lower()
-    t = _MARKS.sub("", t).translate(_FOLD)
+    if not t.isascii():
+        t = _MARKS.sub("", t)
+        t = t.translate(_FOLD) if _FOLDED.search(t) else t
     return " ".join(re.sub(r"[^\w\s]", " ", t).split())
 
 
@@ -115,6 +122,14 @@ class Text:
     def words(self) -> list[tuple[int, int, str]]:
         return [(m.start(), m.end(), _folded_word(m.group())) for m in re.finditer(r"\S+", self.raw)]
 
+    @cached_property
+    def places(self) -> dict[str, list[int]]:
+        """Where the words stand, by what they fold to."""
+        out: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            out.setdefault(w[2], []).append(i)
+        return out
+
     @cached_property
     def tokens(self) -> list[str]:
         return self.folded.split()
@@ -228,10 +243,11 @@ class Matcher:
                         yield hit("case_insensitive_en", 0.99, m.start(), m.end(), seen)
             if term["folded"] and term["folded"] in text.folded:
                 kind, score = ("alias", 0.96) if term["source"] == "alias" else ("arabic_normalized", 0.97)
-                wide, placed = len(term["folded"].split()), False
-                # a window that folds to the term begins with words that do so to its beginning, or to nothing
-                firsts = [i for i, w in enumerate(text.words[: len(text.words) - wide + 1]) if term["folded"].startswith(w[2])]
-                for i in firsts:
+                words = term["folded"].split()
+                wide, placed = len(words), False
+                # a window that folds to the term begins with a word that does so to its first words, or to nothing
+                firsts = sorted(i for n in range(wide + 1) for i in text.places.get(" ".join(words[:n]), ()))
+                for i in firsts[: bisect_left(firsts, len(text.words[: len(text.words) - wide + 1]))]:
                     window = text.words[i : i + wide]
                     if " ".join(w[2] for w in window if w[2]) == term["folded"]:
                         placed = True
@@ -246,15 +262,29 @@ class Matcher:
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Whole names are found by their beginnings, of the largest of these lengths that they have.
 HEADS = (16, 8, 4, 3, 2, 1)
-#: Characters of texts that are cut into pieces at once.
-PIECED_CHARS = 1 << 20
-#: The filter that texts' pieces pass first has 16 bits for each piece of a name, and at most this many (8 MB).
-FILTER_BITS = 1 << 26
+#: Characters of texts that are cut into pieces at once (few enough for a processor's cache), and spots given out together.
+PIECED_CHARS, GIVEN_SPOTS = 1 << 16, 1 << 18
+#: The filter that texts' pieces pass first has 16 bits for each piece of a name, and at most this many (8 MB). A piece sets those at these parts of its hash.
+FILTER_BITS, FILTER_SHIFTS = 1 << 26, (0, 19, 38)
 #: Rows of evidence that a task holds before it gives them out: one is up to HITS_KEPT hits with their surroundings, and a frame has 10,000 documents.
 GIVEN_ROWS = 500
+#: Entities whose names a task keeps ready between documents.
+HELD_MATCHERS = 1 << 12
 #: A piece or an entity that very many documents have is dealt to so many places.
 SALTS = 16
 RAW, LOWER, FOLDED, TITLE, BODY = range(5)
+FIELDS = {TITLE: "title", BODY: "body"}
+#: Pieces of fuzzy terms up to which every task holds them and looks texts' pieces up itself; more of them are joined.
+HELD_PIECES = 1 << 18
+SPOT = "doc long, key long, at int, term string, field string, ratio double, gram string, nth int"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+GRAM_COLUMNS = ("doc", "term", "field", "ratio", "gram", "nth")
+
+
+def _filled(**columns) -> pa.RecordBatch:
+    """Rows of ``SPOT`` with these columns, the others null."""
+    kinds, n = {name: _KINDS[kind] for name, kind in map(str.split, SPOT.split(", "))}, len(columns["doc"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
 
 
 def edits(term: int, gram: int) -> int | None:
@@ -325,37 +355,78 @@ def term_index(packs: DataFrame) -> DataFrame:
     return packs.mapInPandas(run, f"key long, kind int, length int, entity_id {kind}, term string, offset int, edits int")
 
 
-def text_pieces(docs: DataFrame, lengths: dict[int, list[int]], bits: np.ndarray) -> DataFrame:
+def text_pieces(docs: DataFrame, lengths: dict[int, list[int]], bits: np.ndarray, fuzzy: pa.Table | None = None) -> DataFrame:
     """(doc, key, at) of docs (doc, title, body): pieces of the lengths asked for that pass the filter; of names' heads one a document,
-    of fuzzy pieces every place in the normalised field."""
+    of fuzzy pieces every place in the normalised field. With ``fuzzy`` (key, term, offset, edits, sorted by key), fuzzy pieces are looked up
+    at once, and rows are (doc, term, field, ratio, gram, nth) instead: the best grams of each term in each field."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    known = None if fuzzy is None else docs.sparkSession.sparkContext.broadcast(fuzzy)
     mask = np.uint64(len(bits) * 8 - 1)
 
-    def cut(docs_of: np.ndarray, forms: list[tuple[str, ...]]) -> Iterator[pd.DataFrame]:
+    def passing(key: np.ndarray, held: np.ndarray) -> np.ndarray:
+        at = None
+        for shift in FILTER_SHIFTS:
+            bit = ((key if at is None else key[at]).view(np.uint64) >> np.uint64(shift)) & mask
+            fits = np.flatnonzero(held[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+            at = fits if at is None else at[fits]
+        return at
+
+    def cut(docs_of: np.ndarray, forms: list[tuple[str, ...]], pieces: tuple | None, near: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
         held = shared.value
         for kind, texts in enumerate(zip(*forms, strict=True)):
             # texts end to end, with a character between them that no piece has
             first = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-            for _, key in piece_keys("\0".join(texts), lengths.get(kind, ()), kind):
-                bit = key.view(np.uint64) & mask
-                at = np.flatnonzero(held[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                row = np.searchsorted(first, at, "right") - 1
-                found = pd.DataFrame({"doc": docs_of[row], "key": key[at], "at": at - first[row]})
-                yield found.assign(at=0).drop_duplicates() if kind <= FOLDED else found
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            forms, chars, low = [], 0, 0
-            for i, (title, body) in enumerate(zip(frame["title"], frame["body"], strict=True)):
-                title, body = Text(title), Text(body)
+            text, spots = "\0".join(texts), []
+            for _, key in piece_keys(text, lengths.get(kind, ()), kind):
+                at = passing(key, held)
+                if pieces and kind > FOLDED:
+                    low, high = (np.searchsorted(pieces[0], key[at], side) for side in ("left", "right"))
+                    many = high - low
+                    spots.append((np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum()), np.repeat(at, many)))
+                    continue
+                if len(at):
+                    row, key = np.searchsorted(first, at, "right") - 1, key[at]
+                    if kind <= FOLDED:
+                        known, number = np.unique(key, return_inverse=True)
+                        once = np.unique(row * len(known) + number)
+                        yield docs_of[once // len(known)], known[once % len(known)], np.zeros(len(once), np.int64)
+                    else:
+                        yield docs_of[row], key, at - first[row]
+            if spots:
+                (_, which, offset, d, terms), (row, at) = pieces, (np.concatenate(c) for c in zip(*spots, strict=True))
+                for doc, term, best in _grams_at(text, first, terms, which[row], at, offset[row], d[row]):
+                    near += [(docs_of[doc], term, FIELDS[kind], ratio, gram, n) for n, (ratio, gram) in enumerate(best)]
+
+    def given(found: list[tuple[np.ndarray, ...]], near: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found:
+            doc, key, at = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield _filled(doc=doc, key=key, at=at)
+        if near:
+            yield _filled(**dict(zip(GRAM_COLUMNS, zip(*near, strict=True), strict=True)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, near, pieces = [], [], None
+        if known is not None and known.value.num_rows:
+            term = known.value["term"].combine_chunks().dictionary_encode()
+            number = (known.value[c].to_numpy().astype(np.int64) for c in ("key", "offset", "edits"))
+            key, offset, d = number
+            pieces = key, term.indices.to_numpy().astype(np.int64), offset, d, _features(term.dictionary.to_pylist())
+        for batch in batches:
+            docs_of, forms, chars, low = batch.column(0).to_numpy(), [], 0, 0
+            for i, (title, body) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                title, body = Text(title.as_py()), Text(body.as_py())
                 whole = f"{title.folded} {body.folded}".strip()
                 forms.append((f"{title.raw}\0{body.raw}", f"{title.lower}\0{body.lower}", whole, title.folded, body.folded))
                 chars += len(forms[-1][0])
-                if chars >= PIECED_CHARS or i + 1 == len(frame):
-                    yield from cut(frame["doc"].to_numpy()[low : i + 1], forms)
+                if chars >= PIECED_CHARS or i + 1 == batch.num_rows:
+                    found += cut(docs_of[low : i + 1], forms, pieces, near)
                     forms, chars, low = [], 0, i + 1
+                    if sum(len(f[0]) for f in found) + len(near) >= GIVEN_SPOTS:
+                        yield from given(found, near)
+                        found, near = [], []
+        yield from given(found, near)
 
-    return docs.mapInPandas(run, "doc long, key long, at int")
+    return docs.mapInArrow(run, SPOT)
 
 
 def packed(at, offset, edits, kind):
@@ -367,41 +438,67 @@ def near_grams(tokens: list[str], spots: dict[str, np.ndarray]) -> dict[str, lis
     """As ``FuzzyTerms.find``, for grams near spots only: of each term, where in the text its pieces stand (``packed``)."""
     if not spots or not tokens:
         return {}
-    names = list(spots)
-    which, places = np.repeat(np.arange(len(names)), [len(p) for p in spots.values()]), np.concatenate(list(spots.values())) >> 3
-    d, offset, at = places & 255, places >> 8 & 65_535, places >> 24
-    size = np.array([len(t) for t in tokens])
-    starts = np.cumsum(size + 1) - size - 1
+    which, places = np.repeat(np.arange(len(spots)), [len(p) for p in spots.values()]), np.concatenate(list(spots.values()))
+    return {term: best for _, term, best in _grams_at(" ".join(tokens), np.zeros(1, np.int64), _features(list(spots)), which, *_unpacked(places))}
+
+
+def _unpacked(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in the text, offset and d of ``packed`` spots."""
+    return places >> 27, places >> 11 & 65_535, places >> 3 & 255
+
+
+@lru_cache(maxsize=1 << 14)
+def _feature(term: str) -> tuple[int, int, int]:
+    return len(term), len(term.split()), int(FuzzyTerms._kinds(FuzzyTerms._counts(term, np.zeros(len(term), np.int64), 1))[0])
+
+
+def _features(names: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, and of each its characters, words and kinds of characters (see ``FuzzyTerms``)."""
+    chars, words, kinds = zip(*map(_feature, names), strict=True)
+    return names, np.array(chars), np.array(words), np.array(kinds, np.uint64)
+
+
+def _grams_at(text: str, first: np.ndarray, terms: tuple, which: np.ndarray, at: np.ndarray, offset: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, str, list[tuple[float, str]]]]:
+    """(row, term, its best grams) of normalised texts end to end, a character between them, from spots: number of the term, place, and the piece's offset and d."""
+    names, chars, words, term_kinds = terms
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    turns = np.flatnonzero(np.diff(np.concatenate(([False], (codes != 32) & (codes != 0), [False]))))
+    starts, stops = turns[::2], turns[1::2]
+    if not len(starts) or not len(at):
+        return
+    text_of = np.searchsorted(first, starts, "right") - 1
+    until = np.append(np.searchsorted(starts, first[1:]), len(starts))[text_of]  # the text's last token, and one
+    kinds = np.bitwise_or.reduceat(np.append(np.uint64(1) << (codes & np.uint32(63)).astype(np.uint64), np.uint64(0)), turns)[::2]
     low, high = np.searchsorted(starts, at - offset - d), np.searchsorted(starts, at - offset + d, "right")
     many = high - low
     row = np.repeat(np.arange(len(many)), many)
-    first = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    wide = np.array([len(t.split()) for t in names])[which[row]]
-    # one number for term, first token and width, as equal grams are found by several pieces
-    found = np.unique(np.concatenate([(which[row] * len(tokens) + first) * 4096 + wide + more for more in (0, 1)]))
-    k, i, width = found // 4096 // len(tokens), found // 4096 % len(tokens), found % 4096
-    stop = np.minimum(i + width, len(tokens))
-    long, term_size = starts[stop - 1] + size[stop - 1] - starts[i], np.array([len(t) for t in names])[k]
-    both = long + term_size
-    fits = 2 * np.minimum(long, term_size) >= FUZZY_RATIO * both - 1e-9
-    k, i, width, both, stop = k[fits], i[fits], width[fits], both[fits], stop[fits]
-    counts = FuzzyTerms._counts("".join(tokens), np.repeat(np.arange(len(tokens)), size), len(tokens))
-    upto = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(counts, axis=0)))
-    of_term = np.array([FuzzyTerms._counts(t, np.zeros(len(t), np.int64), 1)[0] for t in names])
-    hits: dict[str, list] = {}
-    judge = difflib.SequenceMatcher()
-    for lo in range(0, len(k), 1 << 14):
-        part = slice(lo, lo + (1 << 14))
-        grams = upto[stop[part]] - upto[i[part]]
-        grams[:, 32] += stop[part] - i[part] - 1  # blanks between words
-        near = 2 * np.minimum(grams, of_term[k[part]]).sum(1) >= FUZZY_RATIO * both[part] - 1e-9
-        for x, y, n in zip(k[part][near].tolist(), i[part][near].tolist(), width[part][near].tolist(), strict=True):
-            gram = " ".join(tokens[y : y + n])
-            if gram != names[x]:
-                judge.set_seqs(gram, names[x])
-                if (r := judge.ratio()) >= FUZZY_RATIO:
-                    hits.setdefault(names[x], []).append((-r, y, n, gram))
-    return {t: [(-r, gram) for r, _, _, gram in sorted(best)[:FUZZY_BEST]] for t, best in hits.items()}
+    begin, of, allowed, found = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many), which[row], d[row], []
+    for more in (0, 1):
+        stop = np.minimum(begin + words[of] + more, until[begin])
+        long, size = stops[stop - 1] - starts[begin], chars[of]
+        shared = np.ceil(np.round(FUZZY_RATIO / 2 * (long + size), 9))
+        fits = np.flatnonzero((long + size - 2 * shared == allowed) & (shared <= np.minimum(long, size)))  # as ``edits``
+        i, k, stop, both = begin[fits], of[fits], stop[fits], (long + size)[fits]
+        held = kinds[i]
+        for n in range(1, int((stop - i).max(initial=0))):
+            held = np.where(i + n < stop, held | kinds[np.minimum(i + n, len(starts) - 1)] | np.uint64(1 << 32), held)  # the blank between words
+        fits = np.bitwise_count(held ^ term_kinds[k]) <= (1 - FUZZY_RATIO) * both + 1e-9
+        # one number for term, first token and width, as equal grams are found by several pieces
+        found.append((k[fits] * len(starts) + i[fits]) * 4096 + words[k[fits]] + more)
+    hits: dict[tuple[int, str], list] = {}
+    judge, last = difflib.SequenceMatcher(), -1
+    for x in np.unique(np.concatenate(found)).tolist():
+        k, i, width = x // 4096 // len(starts), x // 4096 % len(starts), x % 4096
+        gram = text[starts[i] : stops[min(i + width, int(until[i])) - 1]]
+        if gram != names[k]:
+            if k != last:
+                judge.set_seq2(names[k])
+                last = k
+            judge.set_seq1(gram)
+            if judge.quick_ratio() >= FUZZY_RATIO and (r := judge.ratio()) >= FUZZY_RATIO:
+                hits.setdefault((int(text_of[i]), names[k]), []).append((-r, i, width, gram))
+    for (doc, term), best in hits.items():
+        yield doc, term, [(-r, gram) for r, _, _, gram in sorted(best)[:FUZZY_BEST]]
 
 
 HIT = "struct<match_type:string,field:string,start:int,end:int,score:double,term:string,matched:string,normalized:string,span:string>"
@@ -426,23 +523,32 @@ def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id
     for r in index.select("kind", "length").distinct().collect():  # no more than the longest name has characters
         lengths.setdefault(r.kind, []).append(r.length)
     size = min(FILTER_BITS, max(1 << 10, 1 << (index.count() * 16).bit_length()))
-    places = index.select(F.col("key").bitwiseAND(F.lit(size - 1)).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()
+    spread = F.explode(F.array(*[F.shiftrightunsigned("key", n).bitwiseAND(F.lit(size - 1)).cast("int") for n in FILTER_SHIFTS]))
+    places = index.select(spread.alias("bit")).distinct().toArrow().column("bit").to_numpy()
     bits = np.zeros(size // 8, np.uint8)
     np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
 
     # documents are told apart by a hash of all they are; two that share it only look at each other's candidates as well
     keyed = docs.select(F.col(id_col), "title", "body").withColumn("doc", F.xxhash64(id_col, "title", "body"))
-    spots = text_pieces(keyed.select("doc", "title", "body"), lengths, bits)
+    # repeated rows are cut once, and stored rows are dealt to all tasks, however few groups of rows a file has
+    of_terms = index.where("term is not null").select("key", "term", "offset", "edits").distinct()
+    few = of_terms.count() <= HELD_PIECES
+    spots = text_pieces(keyed.select("doc", "title", "body").distinct(), lengths, bits, of_terms.orderBy("key").toArrow() if few else None)
+    spots = checkpointed(spots, "spots") if few else spots
     salts = F.explode(F.lit(list(range(SALTS))))
-    dealt = spots.withColumn("salt", F.pmod(F.col("doc"), F.lit(SALTS)).cast("int"))
-    met = dealt.join(index.select("key", "kind", "entity_id", "term", "offset", "edits", salts.alias("salt")), ["key", "salt"])
+    dealt = spots.where("key is not null").select("doc", "key", "at").withColumn("salt", F.pmod(F.col("doc"), F.lit(SALTS)).cast("int"))
+    # a fuzzy term's pieces meet texts once, however many entities have it
+    pieces = index.select("key", "kind", F.when(F.col("term").isNull(), F.col("entity_id")).alias("entity_id"), "term", "offset", "edits").distinct()
+    met = dealt.join(pieces.withColumn("salt", salts), ["key", "salt"])
     met = met.select("doc", "entity_id", "kind", "term", packed(F.col("at").cast("long"), F.col("offset"), F.col("edits"), F.col("kind")).alias("place"))
-    met = checkpointed(met, "met")
+    met = met if few else checkpointed(met, "met")
 
     # fuzzy terms first: the grams near the pieces, and which of them are alike enough
-    by_term = met.where("term is not null").groupBy("doc", "term").agg(F.collect_set("place").alias("places"))
-    asked = by_term.groupBy("doc").agg(F.collect_list(F.struct("term", "places")).alias("asked"))
-    grams = checkpointed(keyed.join(asked, "doc").select("doc", "title", "body", "asked").mapInPandas(_alike, "doc long, term string, field string, ratio double, gram string, nth int").distinct(), "grams")
+    if few:
+        grams = spots.where("term is not null").select(*GRAM_COLUMNS)
+    else:
+        asked = met.where("term is not null").groupBy("doc").agg(F.collect_list(F.struct("term", "place")).alias("asked"))
+        grams = checkpointed(keyed.join(asked, "doc").select("doc", "title", "body", "asked").mapInArrow(_alike, "doc long, term string, field string, ratio double, gram string, nth int").distinct(), "grams")
 
     alike = grams.select("doc", "term").distinct().join(index.where("term is not null").select("term", "entity_id").distinct(), "term").select("doc", "entity_id")
     pairs = met.where("term is null").select("doc", "entity_id").union(alike).distinct().withColumn("salt", F.pmod(F.col("doc"), F.lit(SALTS)).cast("int"))
@@ -451,38 +557,64 @@ def match_documents(docs: DataFrame, terms: DataFrame, exclusions: DataFrame, id
     fuzzy = grams.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("field", "term", "nth", "ratio", "gram"))).alias("fuzzy"))
     whole = keyed.join(by_doc, "doc").join(fuzzy, "doc", "left").select(F.col(id_col).alias("id"), "title", "body", "found", "fuzzy")
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc_id, title, body, found, near in zip(frame["id"], frame["title"], frame["body"], frame["found"], frame["fuzzy"], strict=True):
-                title, body = Text(title), Text(body)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers: dict[object, Matcher] = {}
+
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * len(made)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
+
+        out = []
+        for batch in batches:
+            ids, titles, bodies, found, fuzzy = (batch.column(i) for i in range(5))
+            packs, packs_from = found.values, found.offsets.to_pylist()
+            entities, terms, phrases = packs.field("entity_id"), packs.field("terms"), packs.field("phrases")
+            names = entities.to_pylist()
+            for i in range(batch.num_rows):
+                title, body = Text(titles[i].as_py()), Text(bodies[i].as_py())
                 alike: dict[str, dict] = {"title": {}, "body": {}}
-                for x in near if near is not None else ():
+                for x in fuzzy[i].as_py() or ():
                     alike[x["field"]].setdefault(x["term"], []).append((x["ratio"], x["gram"]))
-                for e in found:
-                    got = Matcher([t if isinstance(t, dict) else t.asDict() for t in e["terms"]], list(e["phrases"])).match(title, body, alike)
+                for j in range(packs_from[i], packs_from[i + 1]):
+                    matcher = matchers.get(names[j])
+                    if matcher is None:
+                        if len(matchers) >= HELD_MATCHERS:
+                            matchers.clear()
+                        matcher = matchers[names[j]] = Matcher(terms[j].as_py(), phrases[j].as_py())
+                    got = matcher.match(title, body, alike)
                     if got is not None:
                         best = got["hits"][0] if got["hits"] else {}
-                        out.append((doc_id, e["entity_id"], got["excluded"], got["phrase"], best.get("match_type"), best.get("score"), got["hits"]))
+                        out.append((ids[i].as_py(), names[j], got["excluded"], got["phrase"], best.get("match_type"), best.get("score"), got["hits"]))
                         if len(out) >= given_rows:
-                            yield pd.DataFrame(out, columns=names)
+                            yield given(out)
                             out = []
-            yield pd.DataFrame(out, columns=names)
+        if out:
+            yield given(out)
 
-    names, given_rows = [id_col, "entity_id", "excluded", "phrase", "match_type", "score", "evidence"], GIVEN_ROWS
-    return whole.mapInPandas(run, f"{id_col} {kind}, entity_id {entity}, excluded boolean, phrase string, match_type string, score double, evidence array<{HIT}>")
+    given_rows = GIVEN_ROWS
+    shape = f"{id_col} {kind}, entity_id {entity}, excluded boolean, phrase string, match_type string, score double, evidence array<{HIT}>"
+    made = to_arrow_schema(StructType.fromDDL(shape))
+    return whole.mapInArrow(run, shape)
 
 
-def _alike(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, term, field, ratio, gram, nth): the best grams of each fuzzy term in each field of (doc, title, body, asked)."""
-    for frame in frames:
-        out = []
-        for doc, title, body, asked in zip(frame["doc"], frame["title"], frame["body"], frame["asked"], strict=True):
-            for kind, name, text in ((TITLE, "title", title), (BODY, "body", body)):
-                spots = {a["term"]: mine for a in asked if len(mine := a["places"][a["places"] & 7 == kind])}
-                for term, best in near_grams(Text(text).tokens, spots).items() if spots else ():
-                    out += [(doc, term, name, ratio, gram, n) for n, (ratio, gram) in enumerate(best)]
-        yield pd.DataFrame(out, columns=["doc", "term", "field", "ratio", "gram", "nth"])
+    for batch in batches:
+        out: list[tuple] = []
+        docs, titles, bodies, asked = (batch.column(i) for i in range(4))
+        rows, terms, places = asked.offsets.to_pylist(), asked.values.field("term"), asked.values.field("place").to_numpy()
+        for i in range(batch.num_rows):
+            lo, hi = rows[i], rows[i + 1]
+            held, mine = terms.slice(lo, hi - lo).dictionary_encode(), places[lo:hi]
+            names, which = held.dictionary.to_pylist(), held.indices.to_numpy()
+            for kind, name, text in ((TITLE, "title", titles[i]), (BODY, "body", bodies[i])):
+                of_field = mine & 7 == kind
+                folded = normalized(text.as_py()) if of_field.any() else ""
+                for _, term, best in _grams_at(folded, np.zeros(1, np.int64), _features(names), which[of_field], *_unpacked(mine[of_field])) if folded else ():
+                    out += [(docs[i].as_py(), term, name, ratio, gram, n) for n, (ratio, gram) in enumerate(best)]
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "term", "field", "ratio", "gram", "nth"])
 
 
 def vetoed_documents(docs: DataFrame, exclusions: DataFrame, text_col: str = "text") -> DataFrame:
