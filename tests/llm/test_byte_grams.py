@@ -78,3 +78,18 @@ def test_capitals_and_letters_beyond_ascii_are_told_apart(spark, docs_of):
     rows = kn.classify(docs_of(good + junk), labels, keep=["doc_id"]).orderBy("doc_id").collect()
     assert np.mean([r.kept for r in rows[150:300]]) > 0.9
     assert not any(r.kept for r in rows[300:])
+
+
+def test_tables_go_when_they_are_read_no_more(spark):
+    """Of what classify writes on the way, the counts, the models and the answers are not kept to the end."""
+    from pathlib import Path
+
+    from tidewire.llm.common import scratch_dir
+
+    folder = Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7} and more", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 5 and 1, int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert kn.classify(docs, labels).count() == 60
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert not left & {"grams", "totals", "byte-grams", "byte-counts", "byte-totals", "byte-model", "byte-answers", "pieces", "gains"}

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import byte_view, materialize, slices
+from tidewire.llm.common import byte_view, discard, materialize, slices
 
 ORDER, BLOCK_BYTES, SLICE, PAD = 5, 24 << 20, 2 << 20, ord("\n")
 #: N-grams that a task counts before it adds them up, and gives them out if they stay more than half as many.
@@ -84,7 +84,7 @@ def table(trusted: DataFrame, discounts: Callable[[list[int]], list[float]]) ->
     ends = longest.select("fold", F.explode(F.lit(list(range(2, ORDER + 1)))).alias("size"), "gram").select("fold", "size", of("size").alias("gram")).distinct()
     # in how many contexts a shorter gram was seen
     shorter = ends.groupBy("fold", (F.col("size") - 1).alias("size"), of("size - 1").alias("gram")).agg(F.count("*").alias("n"))
-    counts = materialize(longest.select("fold", F.lit(ORDER).alias("size"), "gram", "n").unionByName(shorter), "byte-counts")
+    counts = seen_in = materialize(longest.select("fold", F.lit(ORDER).alias("size"), "gram", "n").unionByName(shorter), "byte-counts")
     seen = counts.groupBy("fold", "size").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()  # two folds, ORDER sizes
     off = spark.createDataFrame([(r.fold, r.size, *discounts([r.n1, r.n2, r.n3, r.n4])) for r in seen], "fold int, size int, d1 double, d2 double, d3 double")
     less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -94,7 +94,9 @@ def table(trusted: DataFrame, discounts: Callable[[list[int]], list[float]]) ->
     nothing = F.lit(None).cast("double")
     own = own.select(key(F.col("gram"), F.col("size"), F.col("fold")).alias("key"), ((F.col("n") - F.col("off")) / F.col("total")).alias("own"), nothing.alias("rest"))
     rest = totals.select(key(F.col("context"), F.col("size") - 1, F.col("fold")).alias("key"), nothing.alias("own"), (F.col("off") / F.col("total")).alias("rest"))
-    return materialize(own.unionByName(rest).groupBy("key").agg(F.max("own").alias("own"), F.max("rest").alias("rest")), "byte-model")
+    model = materialize(own.unionByName(rest).groupBy("key").agg(F.max("own").alias("own"), F.max("rest").alias("rest")), "byte-model")
+    discard(longest, seen_in, totals)
+    return model
 
 
 def asked(gram: np.ndarray, model: int) -> np.ndarray:
@@ -178,4 +180,6 @@ def perplexities(docs: DataFrame, model: DataFrame, base: Broadcast, below: Call
         return pa.table({"_scored": pa.array(docs_of, pa.int64()), "n_bytes": pa.array(sizes.astype(np.int64)), "bits": shown(mean), "peak_bits": shown(worst)})
 
     scored = dealt.select("block", "_key", "_text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "_scored long, n_bytes long, bits double, peak_bits double")
-    return materialize(scored.dropDuplicates(["_scored"]), "byte-scores")
+    scored = materialize(scored.dropDuplicates(["_scored"]), "byte-scores")
+    discard(answers)
+    return scored

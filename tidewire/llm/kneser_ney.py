@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import byte_grams
-from tidewire.llm.common import byte_view, materialize, quoted, slices
+from tidewire.llm.common import byte_view, discard, materialize, quoted, slices
 from tidewire.llm.piece_ratio import ratios, text_key
 
 ALPHABET, ORDER, PEAK = 40, 4, 12
@@ -113,6 +113,8 @@ def train(trusted: DataFrame, text_col: str) -> np.ndarray:
         for chunk in table.to_batches():
             cost[chunk.column(0).to_numpy()] += chunk.column(1).to_numpy()
         del table, left
+        discard(totals)
+    discard(*by_order.values())
     return -np.log2(cost).astype(np.float32)
 
 
@@ -200,7 +202,9 @@ def classify(
     by_text = ratios(ids, labelled, _discounts)
     keyed = ids.withColumn("_key", text_key("_text", "_id", "_lang"))
     model = byte_grams.table(trusted, discounts_of)
-    by_text = byte_grams.perplexities(keyed, model, costs, class_chances, PEAK).join(by_text, F.col("_scored") == F.col("_of_text"), "left").drop("_of_text")
+    bits = byte_grams.perplexities(keyed, model, costs, class_chances, PEAK)
+    discard(model)
+    by_text = bits.join(by_text, F.col("_scored") == F.col("_of_text"), "left").drop("_of_text")
     by_text = materialize(by_text, "by-text")
     scores = keyed.select("_id", "_lang", "_key").join(by_text, F.col("_key") == F.col("_scored")).drop("_key", "_scored")
     scores = materialize(scores, "scores")

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import LOWER, WORD_BYTE, byte_view, materialize, mix64, slices
+from tidewire.llm.common import LOWER, WORD_BYTE, byte_view, discard, materialize, mix64, slices
 
 SIZE, SHARE, HEAD, FILTER = 7, 0.02, 1 << 18, 1 << 25
 _KIND = np.where(WORD_BYTE, 1, 2)
@@ -136,7 +136,9 @@ def ratios(docs: DataFrame, labelled: DataFrame, discounts: Callable[[DataFrame]
         F.count_if(own).alias("copies"), F.max(F.when(own, F.col("n"))).alias("n"), F.max("own").alias("own"), F.sum(F.when(~own, F.col("n") * F.col("tail"))).alias("tail")
     )
     gain = F.col("own") + F.coalesce("tail", F.lit(0.0)) / F.col("copies")
-    return materialize(summed.select(F.col("d").alias("_of_text"), F.round(gain / F.sqrt("n"), 6).alias("ratio")), "ratios")
+    out = materialize(summed.select(F.col("d").alias("_of_text"), F.round(gain / F.sqrt("n"), 6).alias("ratio")), "ratios")
+    discard(counts, table)
+    return out
 
 
 def _spots(keys: np.ndarray) -> np.ndarray:
