@@ -365,6 +365,32 @@ def test_broken_media_are_refused():
             decode(bad)
 
 
+def test_many_at_once_equal_each_alone(monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij é", k=rng.randint(1, 9))) for _ in range(60)]
+    texts = ["", "x" * 64, "ab" * 3000, *(" ".join(rng.choices(words, k=int(rng.paretovariate(0.7) * 20) % 3000)) for _ in range(150))]
+    payloads = [np.frombuffer(t.encode().ljust(max(1, -(-len(t.encode()) // 64)) * 64, b"\0"), np.uint8) for t in texts]
+    payloads.append(np.random.default_rng(1).integers(0, 9, 64 * (webp.MAX_SIDE + 1)).astype(np.uint8))
+    media = [encode(p) for p in payloads]
+    searched = []
+    copies = webp._write_images
+    monkeypatch.setattr(webp, "_write_images", lambda outs, *more, **named: searched.append(len(outs)) or copies(outs, *more, **named))
+    assert webp.encode_all(payloads) == media
+    assert max(searched) > 20  # their symbols are counted and coded together
+    broken = [b"", media[40][:-40], media[41][: len(media[41]) // 2], media[42][:60] + bytes(200)]
+    alone = []
+    for blob in broken:
+        with pytest.raises(Corrupt):
+            decode(blob)
+    monkeypatch.setattr(webp, "decode", lambda blob: alone.append(blob) or decode(blob))
+    for fewest in (1, 48):
+        monkeypatch.setattr(webp, "FEWEST_LANES", fewest)
+        got = webp.decode_all([*broken, *media])
+        assert [x is None for x in got] == [True] * len(broken) + [False] * len(media)
+        assert all((image.reshape(-1)[: len(p)] == p).all() for image, p in zip(got[len(broken) :], payloads, strict=True))
+    assert set(alone) <= set(broken)
+
+
 def test_columns(spark, docs_of):
     texts = [None, "", "a", "é" * 40, "x" * 64, "y" * 70_000, "same", "same"]
     docs = docs_of(texts).withColumns({"media": F.lit("mine"), "n_bytes": F.lit("mine")})

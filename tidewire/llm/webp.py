@@ -39,6 +39,15 @@ ROW_MODES = (1, 2, 3, 4, 8, 9)
 #: What ``encode`` uses: predictor modes that it tries, the longest code, the largest colour cache (bits), the longest copy, pixels searched together for copies.
 TRIED_MODES = (1, 2, 4)
 LONGEST_CODE, LARGEST_CACHE, LONGEST_COPY, SEARCHED = 13, 10, 4096, 1 << 18
+#: Tables of functions of one number hold those below this.
+LOOKED_UP = 1 << 16
+#: Images of at most so many pixels are read together, as long as so many are left.
+LONGEST_LANE, FEWEST_LANES = 1 << 14, 48
+#: Images are read in parts of at most so many, with so many pixels in all.
+PART, PART_PIXELS = 4096, 1 << 21
+NEAR_STEPS = np.array([*NEAR, (0, 0)])
+#: Images of at most so many bytes in all are weighed together.
+WEIGHED = 1 << 18
 
 
 class Corrupt(ValueError):
@@ -99,6 +108,30 @@ class PrefixCode:
         self.table = np.repeat(symbols << 4 | used, share)[_backwards(self.most)]
 
 
+def _canonical(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """(symbol, length, code with its first bit lowest) of a short alphabet, by code."""
+    out, code, before = [], 0, 0
+    for n, symbol in sorted((n, symbol) for symbol, n in enumerate(lengths) if n):
+        code <<= n - before
+        out.append((symbol, n, int(f"{code:0{n}b}"[::-1], 2)))
+        code, before = code + 1, n
+    return out
+
+
+def _small_code(lengths: list[int]) -> tuple[list[int], int]:
+    """``PrefixCode``'s table of a short alphabet, and the most bits that it looks at."""
+    used = _canonical(lengths)
+    if len(used) < 2:
+        return [used[0][0] << 4 if used else 0], 0
+    wide = used[-1][1]
+    if sum(1 << wide - n for _, n, _ in used) != 1 << wide:
+        raise Corrupt("a prefix code is not complete")
+    table = [0] * (1 << wide)
+    for symbol, n, code in used:
+        table[code :: 1 << n] = [symbol << 4 | n] * (1 << wide - n)
+    return table, wide
+
+
 def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
     lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
@@ -108,12 +141,14 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
             raise Corrupt("a symbol is outside its alphabet")
         lengths[symbols] = 1
         return PrefixCode(lengths)
-    of_lengths = np.zeros(19, np.int64)
-    for i in range(4 + bits.read(4)):
-        of_lengths[LENGTH_ORDER[i]] = bits.read(3)
-    code = PrefixCode(of_lengths)
+    count = 4 + bits.read(4)
+    widths = bits.read(3 * count)
+    of_lengths = [0] * 19
+    for i in range(count):
+        of_lengths[LENGTH_ORDER[i]] = widths >> 3 * i & 7
+    table, wide = _small_code(of_lengths)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    table, mask, last, out = code.table.tolist(), (1 << code.most) - 1, 8, []
+    mask, last, out = (1 << wide) - 1, 8, []
     data, at, word, end = bits.data, bits.at, 0, -1
     while len(out) < alphabet and most:
         most -= 1
@@ -167,8 +202,8 @@ def _count(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
-    """Entropy-coded pixels as ARGB bytes (height, width, 4)."""
+def _read_groups(bits: Bits, width: int, height: int, main: bool = False) -> tuple[int, np.ndarray | None, int, list[list[PrefixCode]]]:
+    """What stands before entropy-coded pixels: bits of the cache, the group of each block if there are several, bits of a block, the groups' codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise Corrupt("the colour cache is too large")
@@ -180,19 +215,27 @@ def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.n
         blocks = chosen[..., 1].astype(int) << 8 | chosen[..., 2]
         groups = int(blocks.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    codes = [_read_codes(bits, 280 + cache_size) for _ in range(groups)]
+    return cache_bits, blocks, block_bits, [_read_codes(bits, 280 + cache_size) for _ in range(groups)]
+
+
+def _read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
+    """Entropy-coded pixels as ARGB bytes (height, width, 4)."""
+    return _read_pixels(bits, width, height, *_read_groups(bits, width, height, main))
+
+
+def _read_pixels(bits: Bits, width: int, height: int, cache_bits: int, blocks: np.ndarray | None, block_bits: int, codes: list[list[PrefixCode]]) -> np.ndarray:
     read = _pixels(bits, codes[0], width, width * height, cache_bits) if blocks is None else None
     if read is None:
         read = _pixels_in_turn(bits, codes, blocks, block_bits, width, width * height, cache_bits)
     return read.byteswap().view(np.uint8).reshape(height, width, 4)
 
 
-def _pixels(bits: Bits, codes: list[PrefixCode], width: int, n: int, cache_bits: int) -> np.ndarray | None:
+def _pixels(bits: Bits, codes: list[PrefixCode], width: int, n: int, cache_bits: int, begun: tuple | None = None) -> np.ndarray | None:
     """n pixels (uint32) of one group of codes.
 
     The width of each code is looked up for every bit at which it might start; following these widths gives the
     true starts, and the symbols are gathered for all pixels at once. None, with nothing read, if a colour
-    is asked of the cache before any is there.
+    is asked of the cache before any is there. ``begun``: the bit and the pixel to go on from, symbols and pixels so far, and copies.
     """
     tables, masks = [c.table for c in codes], [np.uint32((1 << c.most) - 1) for c in codes]
     if not any(c.most for c in codes[:4]):
@@ -204,6 +247,8 @@ def _pixels(bits: Bits, codes: list[PrefixCode], width: int, n: int, cache_bits:
     took[0] += (32 * (tables[0] > 4095) + 32 * (tables[0] > 4479)).astype(np.uint8)  # 64 and more: cache; 32 and more: copy
     first, at, count = bits.at, bits.at, 0
     symbols, pixels, copies = [], [], []
+    if begun:
+        at, count, symbols, pixels, copies = begun[0], begun[1], [begun[2]], [begun[3]], begun[4]
     while count < n:
         base, ahead = at & -8, _ahead(bits, at >> 3)
         if at > bits.size:
@@ -274,6 +319,134 @@ def _pixels(bits: Bits, codes: list[PrefixCode], width: int, n: int, cache_bits:
     return out[origin]
 
 
+class Lane:
+    """An image of one group of codes that is read together with others."""
+
+    def __init__(self, bits: Bits, width: int, n: int, cache_bits: int, codes: list[PrefixCode]):
+        self.bits, self.width, self.n, self.cache_bits, self.codes = bits, width, n, cache_bits, codes
+
+    def fits(self) -> bool:
+        most = [c.most for c in self.codes]
+        return self.n <= LONGEST_LANE and sum(most[:4]) <= 57 and any(most[:4])
+
+
+def _extra(eight: np.ndarray, at: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_count`` of many, and where each ends; extra bits are read at these places."""
+    more = np.maximum(prefix - 2, 0) >> 1
+    value = eight[at >> 3].astype(np.int64) >> (at & 7) & ((1 << more) - 1)
+    return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << more) + value) + 1, at + more
+
+
+def _pixels_together(lanes: list[Lane]) -> list[np.ndarray | None]:
+    """``_pixels`` of many images: a symbol of each at a time, until few are left. None for those with
+    which something is wrong: they are to be read alone."""
+    datas = [lane.bits.data for lane in lanes]
+    edges = np.cumsum([0, *(len(d) for d in datas)])
+    raw = np.frombuffer(b"".join(datas) + bytes(1 << 12), np.uint8)
+    eight = np.ndarray((len(raw) - 8,), "<i8", raw, strides=(1,))
+    distinct = {id(c): c for lane in lanes for c in lane.codes}
+    tables = np.concatenate([c.table for c in distinct.values()])
+    place = dict(zip(distinct, np.cumsum([0, *(len(c.table) for c in distinct.values())]).tolist(), strict=False))
+    base = np.array([[place[id(c)] for c in lane.codes] for lane in lanes]).T.copy()
+    mask = np.array([[(1 << c.most) - 1 for c in lane.codes] for lane in lanes]).T.copy()
+    wanted, width = np.array([lane.n for lane in lanes]), np.array([lane.width for lane in lanes])
+    begin = edges[:-1] * 8
+    lane, at = np.arange(len(lanes), dtype=np.int32), begin + [x.bits.at for x in lanes]
+    count, steps, turn = np.zeros(len(lanes), np.int64), [], 0
+    while True:
+        if turn % 16 == 0:
+            live = (count < wanted[lane]).nonzero()[0]
+            if len(live) < FEWEST_LANES:
+                break
+            if len(live) < len(lane):
+                lane, at, count = lane[live], at[live], count[live]
+                base, mask = base[:, live], mask[:, live]
+        turn += 1
+        ahead = eight[at >> 3] >> (at & 7)
+        found = tables[base[0] + (ahead & mask[0])]
+        symbol, own = found >> 4, found & 15
+        ahead >>= own
+        value, took = symbol, own
+        for i, shift in ((1, 16), (2, 0), (3, 24)):
+            found = tables[base[i] + (ahead & mask[i])]
+            one = found & 15
+            ahead >>= one
+            took = took + one
+            value = (value if i > 1 else symbol << 8) | found >> 4 << shift
+        held = lane, count.astype(np.int32), symbol.astype(np.int16), value
+        grown = np.ones(len(lane), np.int64)
+        plain = symbol < 256
+        at = at + np.where(plain, took, own)
+        if not plain.all() and len(some := ((symbol > 255) & (symbol < 280)).nonzero()[0]):
+            length, spot = _extra(eight, at[some], symbol[some] - 256)
+            found = tables[base[4][some] + (eight[spot >> 3] >> (spot & 7) & mask[4][some])]
+            far, at[some] = _extra(eight, spot + (found & 15), found >> 4)
+            name = NEAR_STEPS[np.minimum(far, 121) - 1]
+            far = np.where(far > 120, far - 120, np.maximum(1, name[:, 0] + name[:, 1] * width[lane[some]]))
+            value[some] = length << 32 | far
+            grown[some] = length
+        steps.append((*held, (at - begin[lane]).astype(np.int32)))  # what is read beyond an image's end is not used
+        count = count + grown
+    good = np.ones(len(lanes), bool)
+    left = dict(zip(lane[live].tolist(), zip((at[live] - begin[lane[live]]).tolist(), count[live].tolist(), strict=True), strict=True))
+    good[list(left)] = False
+    lane, count, symbol, value, at = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 5
+    longer = {}
+    if left:
+        mine = (~good[lane]).nonzero()[0]
+        mine = mine[np.argsort(lane[mine], kind="stable")]
+        cuts = np.searchsorted(lane[mine], [*left, len(lanes)])  # lanes stay in order
+        for i, lo, hi in zip(left, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = mine[lo:hi]
+            one, what = symbol[part], value[part]
+            copied = (one > 255) & (one < 280)
+            copies = list(zip(count[part][copied].tolist(), (what[copied] >> 32).tolist(), (what[copied] & 0xFFFFFFFF).tolist(), strict=True))
+            if all(far <= place and place + length <= lanes[i].n for place, length, far in copies):
+                x = lanes[i]
+                try:
+                    longer[i] = _pixels(x.bits, x.codes, x.width, x.n, x.cache_bits, (*left[i], one[~copied].astype(np.int64), what[~copied].astype(np.uint32), copies))
+                except Corrupt:
+                    continue
+    valid = (count < wanted[lane]) & good[lane]
+    lane, count, symbol, value, at = (x[valid] for x in (lane, count, symbol, value, at))
+    good[lane[at > np.diff(edges)[lane] * 8]] = False
+    first = np.cumsum(wanted) - wanted
+    total = int(wanted.sum())
+    spot = first[lane] + count
+    copied = (symbol > 255) & (symbol < 280)
+    length, far = value[copied] >> 32, value[copied] & 0xFFFFFFFF
+    bad = (far > count[copied]) | (count[copied] + length > wanted[lane[copied]])
+    good[lane[copied][bad]] = False
+    fine = good[lane]
+    out, origin = np.zeros(total, np.uint32), np.arange(total, dtype=np.int32)
+    plain = fine & (symbol < 256)
+    out[spot[plain]] = value[plain]
+    fine_copy = fine[copied]
+    length, far, start = length[fine_copy], far[fine_copy], spot[copied][fine_copy]
+    inside = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    origin[inside] -= np.repeat(far, length).astype(np.int32)
+    origin = _settled(origin)
+    cached = fine & (symbol > 279)
+    if cached.any():
+        bits = np.array([x.cache_bits for x in lanes])
+        of = np.repeat(np.arange(len(lanes)), wanted)
+        mine = (bits > 0)[of].nonzero()[0]
+        slots = (out * np.uint32(0x1E35A7BD)) >> (32 - np.maximum(bits, 1)).astype(np.uint32)[of]
+        slots[spot[cached]] = symbol[cached].astype(np.int64) - 280
+        asks = np.zeros(total, bool)
+        asks[spot[cached]] = True
+        key = of[mine] << 11 | slots[origin[mine]]
+        order = np.argsort(key, kind="stable")
+        asked = asks[mine[order]].nonzero()[0]
+        before = np.maximum(asked - 1, 0)
+        early = (asked == 0) | (key[order[asked]] != key[order[before]])
+        good[of[mine[order[asked[early]]]]] = False
+        origin[mine[order[asked[~early]]]] = mine[order[before[~early]]]
+        origin = _settled(origin)
+    out = out[origin]
+    return [out[a : a + n] if ok else longer.get(i) for i, (a, n, ok) in enumerate(zip(first.tolist(), wanted.tolist(), good.tolist(), strict=True))]
+
+
 def _ahead(bits: Bits, start: int) -> np.ndarray:
     """At least 16 bits from each bit on, of up to 4 KB from this byte on."""
     raw = np.frombuffer(bits.data[start : start + 4106].ljust(min(4106, max(0, len(bits.data) - start) + 18), b"\0"), np.uint8).astype(np.uint32)
@@ -422,8 +595,8 @@ def _packed_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode(media: bytes) -> np.ndarray:
-    """The RGBA samples (height, width, 4) of a lossless WebP image; ``Corrupt`` if it is none."""
+def _begin(media: bytes) -> tuple[Bits, list[tuple], int, int]:
+    """The bits behind the transforms, these, and the size of the image that follows."""
     if len(media) < 21 or media[:4] != b"RIFF" or media[8:16] != b"WEBPVP8L" or media[20] != 0x2F:
         raise Corrupt("no lossless WebP image")
     size = struct.unpack("<I", media[16:20])[0]
@@ -449,7 +622,45 @@ def decode(media: bytes) -> np.ndarray:
             now = (now + (1 << _packed_bits(colours)) - 1) >> _packed_bits(colours)
         else:
             undo.append((kind, None, 0))
-    image = _read_image(bits, now, height, main=True)
+    return bits, undo, now, height
+
+
+def decode(media: bytes) -> np.ndarray:
+    """The RGBA samples (height, width, 4) of a lossless WebP image; ``Corrupt`` if it is none."""
+    bits, undo, width, height = _begin(media)
+    return _undone(_read_image(bits, width, height, main=True), undo)
+
+
+def decode_all(media: list[bytes]) -> list[np.ndarray | None]:
+    """``decode`` of each, None for those that are no lossless WebP image; pixels of many are read together."""
+    out: list[np.ndarray | None] = [None] * len(media)
+    lanes, rest = [], []
+    for i, blob in enumerate(media):
+        try:
+            bits, undo, width, height = _begin(blob)
+            cache_bits, blocks, block_bits, codes = _read_groups(bits, width, height, main=True)
+            lane = Lane(bits, width, width * height, cache_bits, codes[0])
+            if blocks is None and lane.fits():
+                lanes.append((lane, i, undo, height))
+            else:
+                out[i] = _undone(_read_pixels(bits, width, height, cache_bits, blocks, block_bits, codes), undo)
+        except Corrupt:
+            continue
+    for (lane, i, undo, height), pixels in zip(lanes, _pixels_together([x[0] for x in lanes]) if lanes else [], strict=True):
+        if pixels is None:
+            rest.append(i)
+        else:
+            out[i] = _undone(pixels.byteswap().view(np.uint8).reshape(height, lane.width, 4), undo)
+    for i in rest:
+        try:
+            out[i] = decode(media[i])
+        except Corrupt:
+            continue
+    return out
+
+
+def _undone(image: np.ndarray, undo: list[tuple]) -> np.ndarray:
+    """RGBA samples from ARGB pixels, transforms undone."""
     for kind, given, number in reversed(undo):
         if kind == PREDICTOR:
             image = _undo_predictor(image, given[..., 2], number)
@@ -480,23 +691,31 @@ class Out:
         self.parts += [(self.few, self.bits), (values, widths.astype(np.int64))]
         self.few, self.bits = 0, 0
 
-    def joined(self) -> bytes:
-        total = self.bits + sum(int(np.sum(widths)) for _, widths in self.parts)
-        words = np.zeros(total // 64 + 3, "<u8")
-        at = 0
-        for values, widths in [*self.parts, (self.few, self.bits)]:
+
+def _joined(outs: list[Out]) -> list[bytes]:
+    """The bytes of each."""
+    totals = [out.bits + sum([widths if isinstance(widths, int) else int(widths.sum()) for _, widths in out.parts]) for out in outs]
+    edges = np.cumsum([0, *(total // 64 + 3 for total in totals)]).tolist()
+    words = np.zeros(edges[-1], "<u8")
+    octets, all_values, all_starts = words.view(np.uint8), [], []
+    for out, word in zip(outs, edges, strict=False):
+        at = word * 64
+        for values, widths in [*out.parts, (out.few, out.bits)]:
             if isinstance(values, int):
                 raw = (values << (at & 7)).to_bytes((widths + 15) // 8, "little")
-                words.view(np.uint8)[at >> 3 : (at >> 3) + len(raw)] |= np.frombuffer(raw, np.uint8)
+                octets[at >> 3 : (at >> 3) + len(raw)] |= np.frombuffer(raw, np.uint8)
                 at += widths
-                continue
-            ends = np.cumsum(widths) + at
-            starts = ends - widths
-            shift = (starts & 63).view(np.uint64)
-            np.bitwise_or.at(words, starts >> 6, values << shift)
-            np.bitwise_or.at(words, (starts >> 6) + 1, (values >> np.uint64(1)) >> (np.uint64(63) - shift))
-            at = int(ends[-1])
-        return words.tobytes()[: -(-total // 8)]
+            else:
+                ends = widths.cumsum() + at
+                all_values.append(values)
+                all_starts.append(ends - widths)
+                at = int(ends[-1])
+    if all_values:
+        values, starts = np.concatenate(all_values), np.concatenate(all_starts)
+        shift = (starts & 63).view(np.uint64)
+        np.bitwise_or.at(words, starts >> 6, values << shift)
+        np.bitwise_or.at(words, (starts >> 6) + 1, (values >> np.uint64(1)) >> (np.uint64(63) - shift))
+    return [octets[8 * word : 8 * word + -(-total // 8)].tobytes() for word, total in zip(edges, totals, strict=False)]
 
 
 def _code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -545,21 +764,26 @@ def _codes(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+SINGLE = [(value, 0, 0) for value in range(16)]
+
+
 def _runs(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     """Code lengths as (symbol, extra bits, their number): runs of zeros and repeats shortened."""
-    starts = [0, *((lengths[1:] != lengths[:-1]).nonzero()[0] + 1).tolist(), len(lengths)]
+    starts = [0, *((lengths[1:] != lengths[:-1]).nonzero()[0] + 1).tolist()]
     out = []
-    for value, lo, hi in zip(lengths[starts[:-1]].tolist(), starts, starts[1:], strict=False):
+    for value, lo, hi in zip(lengths[starts].tolist(), starts, [*starts[1:], len(lengths)], strict=True):
         run = hi - lo
+        if run == 1:
+            out.append(SINGLE[value])
+            continue
         if value:
-            out.append((value, 0, 0))
+            out.append(SINGLE[value])
             run -= 1
         while run >= 3:
             n = min(run, 6 if value else 138)
             out.append((16, n - 3, 2) if value else (17, n - 3, 3) if n < 11 else (18, n - 11, 7))
             run -= n
-        for _ in range(run):
-            out.append((value, 0, 0))
+        out += [SINGLE[value]] * run
     return out
 
 
@@ -580,17 +804,18 @@ def _write_code(out: Out, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = _code_lengths(counts, LONGEST_CODE)
     runs = _runs(lengths)
     of_runs = np.bincount([r[0] for r in runs], minlength=19)
-    if np.count_nonzero(of_runs) == 1:
+    if len(of_runs.nonzero()[0]) == 1:
         of_runs[0 if of_runs[0] == 0 else 1] = 1
-    wide = _code_lengths(of_runs, 7)
-    names, wide = _codes(wide).tolist(), wide.tolist()
+    wide = _code_lengths(of_runs, 7).tolist()
+    names = {symbol: code for symbol, _, code in _canonical(wide)}
     stored = max(i for i, symbol in enumerate(LENGTH_ORDER) if wide[symbol] or i == 3) + 1
     out.put(0, 1)
     out.put(stored - 4, 4)
-    for symbol in LENGTH_ORDER[:stored]:
-        out.put(wide[symbol], 3)
-    out.put(0, 1)
     value, at = 0, 0
+    for symbol in LENGTH_ORDER[:stored]:
+        value |= wide[symbol] << at
+        at += 3
+    at += 1
     for symbol, extra, n in runs:
         value |= (names[symbol] | extra << wide[symbol]) << at
         at += wide[symbol] + n
@@ -627,6 +852,19 @@ def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbol, extra bits and their number of lengths or distances."""
+    if len(values) and values.max() < LOOKED_UP:
+        symbol, extra, top = _prefixes()
+        return symbol[values], extra[values], top[values]
+    return _prefix_of(values)
+
+
+@cache
+def _prefixes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefix_of`` all values below LOOKED_UP; none is asked of 0."""
+    return _prefix_of(np.maximum(np.arange(LOOKED_UP), 1))
+
+
+def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     less = values - 1
     top = np.maximum(np.frexp(np.maximum(less, 1).astype(float))[1] - 2, 0)  # bits below the two highest
     top = np.where(less < 4, 0, top)
@@ -649,131 +887,232 @@ def _near_names(width: int) -> np.ndarray:
 CHANNELS = np.array([0, 256, 512, 768])
 
 
-def _cost(counts: np.ndarray, totals: list[int]) -> float:
-    """Bits that symbols so frequent take, of several codes with so many in all, and about five for each that has to be named."""
-    counts = counts[counts > 0].astype(float)
-    return sum(t * math.log2(t) for t in totals if t) - float((counts * np.log2(counts)).sum()) + 5 * len(counts)
+@cache
+def _self_bits() -> np.ndarray:
+    """x * log2(x) of all x below LOOKED_UP."""
+    x = np.arange(LOOKED_UP, dtype=float)
+    return x * np.log2(np.maximum(x, 1))
+
+
+def _costs(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Bits that symbols so frequent take, of several codes with so many in all, and about five for each that has to be named; a row for each image."""
+    return _spent(totals) - _spent(counts) + 5 * np.count_nonzero(counts, axis=1)
+
+
+def _spent(counts: np.ndarray) -> np.ndarray:
+    """The sum of x * log2(x) of each row, whatever rows are beside it."""
+    if counts.max() < LOOKED_UP:
+        return _self_bits()[counts].sum(axis=1)
+    return np.array([(_self_bits()[row] if row.max() < LOOKED_UP else row * np.log2(np.maximum(row, 1))).sum() for row in counts])
 
 
 def _bits_left(image: np.ndarray) -> float:
     """About how many bits the literals of an image take."""
-    pixels = image.reshape(-1, 4)
-    return _cost(np.bincount((pixels + CHANNELS).reshape(-1)), [len(pixels)] * 4)
+    return Stack([image]).bits_left(image)[0]
+
 
+#: Where distances, the first of the other channels and green are counted, and all that is counted of an image.
+OTHERS, GREEN = 40, 808
+COUNTED = GREEN + 280 + (1 << LARGEST_CACHE)
 
-def _write_image(out: Out, image: np.ndarray, main: bool = False) -> None:
-    """Entropy-coded pixels (height, width, 4), ARGB: copies, cache hits and literals with one group of codes."""
-    width = image.shape[1]
-    bytes_ = np.ascontiguousarray(image).reshape(-1, 4)
+
+def _write_images(outs: list[Out], images: list[np.ndarray], main: bool = False) -> None:
+    """Entropy-coded pixels (height, width, 4), ARGB, of each image: copies, cache hits and literals with one group of codes."""
+    sizes = np.array([x.shape[0] * x.shape[1] for x in images])
+    edges, widths_ = np.cumsum([0, *sizes]), np.array([x.shape[1] for x in images])
+    bytes_ = np.concatenate([np.ascontiguousarray(x).reshape(-1, 4) for x in images])
     pixels = bytes_.view(">u4").reshape(-1).astype(np.uint32)
-    n = len(pixels)
-    copies = np.array(_copies(pixels), np.int64).reshape(-1, 3)
+    n, of = len(pixels), np.repeat(np.arange(len(images)), sizes)
+    found = [_copies(pixels[lo:hi]) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    copies = np.array([c for part in found for c in part], np.int64).reshape(-1, 3)
+    copies[:, 0] += np.repeat(edges[:-1], [len(part) for part in found])
     inside = np.bincount(copies[:, 0] + 1, minlength=n + 1) - np.bincount(copies[:, 0] + copies[:, 1], minlength=n + 1)
     starts = (inside.cumsum()[:n] == 0).nonzero()[0]
     of_copy = np.searchsorted(starts, copies[:, 0])
     literal = np.ones(len(starts), bool)
     literal[of_copy] = False
+    row = of[starts] * COUNTED
     length, length_extra, length_bits = _prefix(copies[:, 1])
-    near = _near_names(width)
-    far = copies[:, 2]
-    named = near[np.minimum(far, len(near) - 1)] * (far < len(near))
+    far, named = copies[:, 2], np.zeros(len(copies), np.int64)
+    for width in set(widths_.tolist()):
+        near = _near_names(width)
+        short = (far < len(near)) & (widths_[of[copies[:, 0]]] == width)
+        named[short] = near[far[short]]
     distance, distance_extra, distance_bits = _prefix(np.where(named > 0, named, far + 120))
     channels = bytes_[starts]
-    cache_bits = min(LARGEST_CACHE, max(1, n.bit_length() - 5))
-    spot = (pixels * np.uint32(0x1E35A7BD)) >> np.uint32(32 - cache_bits)
-    order = np.argsort(spot, kind="stable")
-    same = (spot[order[1:]] == spot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    cache_bits = [min(LARGEST_CACHE, max(1, x.bit_length() - 5)) for x in sizes.tolist()]
+    spot = (pixels * np.uint32(0x1E35A7BD)) >> np.array([32 - x for x in cache_bits], np.uint32)[of]
+    key = of << LARGEST_CACHE | spot
+    order = np.argsort(key, kind="stable")
+    same = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
     hit = np.zeros(n, bool)
     hit[order[1:][same]] = True
     hit = hit[starts] & literal
-
-    def counted(cached: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        plain, greens = channels[literal & ~cached] if len(copies) or cached.any() else channels, 280 + (1 << cache_bits if cached.any() else 0)
-        parts = [(plain[:, [1, 3, 0, 2]] + (CHANNELS + 40)).reshape(-1), distance, 808 + 256 + length]
-        if cached.any():
-            parts.append(808 + 280 + spot[starts[cached]].astype(np.int64))
-        counts = np.bincount(np.concatenate(parts), minlength=808 + greens)
-        cost = _cost(counts, [len(plain)] * 3 + [len(copies), len(starts)])
-        return cost, [counts[808:], counts[40:296], counts[296:552], counts[552:808], counts[:40]]
-
-    none = np.zeros(len(starts), bool)
-    cost, counts = counted(none)
-    if hit.any():
-        other, with_cache = counted(hit)
-        if other < cost:
-            counts = with_cache
-        else:
-            hit = none
-    out.put(int(hit.any()), 1)
-    if hit.any():
-        out.put(cache_bits, 4)
-    if main:
-        out.put(0, 1)
-    counts[1:4] = [counts[1] + counts[2] + counts[3]] * 3  # bytes of a text are spread alike in all; one code serves as well
-    codes = []
-    for i, c in enumerate(counts):
-        if i in (2, 3) and c is counts[1]:
-            out.put(*same)
-            codes.append(codes[1])
-            continue
-        before = out.few, out.bits
-        codes.append(_write_code(out, c))
-        same = out.few >> before[1], out.bits - before[1]
+    del key, order, same, inside
     symbol = channels[:, 2].astype(np.int64)
-    symbol[hit] = 280 + spot[starts][hit].astype(np.int64)
     symbol[of_copy] = 256 + length
-    values, widths = codes[0][0][symbol], codes[0][1][symbol]
-    plain = literal & ~hit
-    for (code, lengths), channel in zip(codes[1:4], (1, 3, 0), strict=True):
-        part = channels[plain, channel]
-        values[plain] |= code[part] << widths[plain]
-        widths[plain] += lengths[part]
-    for value, more in ((length_extra, length_bits), (codes[4][0][distance], codes[4][1][distance]), (distance_extra, distance_bits)):
+    far_rows = row[of_copy]
+
+    def counted(cached: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain = literal & ~cached
+        now = np.where(cached, 280 + spot[starts].astype(np.int64), symbol)
+        counts = np.bincount(far_rows + distance, minlength=len(images) * COUNTED)
+        for lo in range(0, len(starts), SEARCHED):
+            part = slice(lo, lo + SEARCHED)
+            others = (row[part, None] + channels[part][:, [1, 3, 0]] + [OTHERS, OTHERS + 256, OTHERS + 512])[plain[part]]
+            counts += np.bincount(np.concatenate((others.reshape(-1), row[part] + GREEN + now[part])), minlength=len(counts))
+        counts = counts.reshape(-1, COUNTED)
+        each = [np.bincount(of[starts[x]], minlength=len(images)) for x in (plain, of_copy, slice(None))]
+        return _costs(counts, np.stack([*each[:1] * 3, *each[1:]], axis=1)), counts, now
+
+    cost, counts, now = counted(np.zeros(len(starts), bool))
+    cached = np.bincount(of[starts[hit]], minlength=len(images)) > 0
+    if cached.any():
+        other, with_cache, now = counted(hit)
+        cached &= other < cost
+        counts = np.where(cached[:, None], with_cache, counts)
+        hit &= cached[of[starts]]
+        now = np.where(hit, now, symbol)
+    codes, lengths = np.zeros((len(images), COUNTED), np.uint64), np.zeros((len(images), COUNTED), np.uint64)
+    for i, out in enumerate(outs):
+        greens = 280 + (1 << cache_bits[i] if cached[i] else 0)
+        out.put(int(cached[i]), 1)
+        if cached[i]:
+            out.put(cache_bits[i], 4)
+        if main:
+            out.put(0, 1)
+        counts_, code, length_ = counts[i], codes[i], lengths[i]
+        # bytes of a text are spread alike in all other channels; one code serves as well
+        one = counts_[OTHERS : OTHERS + 256] + counts_[OTHERS + 256 : OTHERS + 512] + counts_[OTHERS + 512 : GREEN]
+        code[GREEN : GREEN + greens], length_[GREEN : GREEN + greens] = _write_code(out, counts_[GREEN : GREEN + greens])
+        few, bits = out.few, out.bits
+        code[OTHERS : OTHERS + 256], length_[OTHERS : OTHERS + 256] = _write_code(out, one)
+        written = out.few >> bits, out.bits - bits
+        for at in (OTHERS + 256, OTHERS + 512):
+            out.put(*written)
+            code[at : at + 256], length_[at : at + 256] = code[OTHERS : OTHERS + 256], length_[OTHERS : OTHERS + 256]
+        code[:OTHERS], length_[:OTHERS] = _write_code(out, counts_[:OTHERS])
+    codes, lengths = codes.reshape(-1), lengths.reshape(-1)
+    now += row + GREEN
+    values, widths = codes[now], lengths[now]
+    plain = (literal & ~hit).nonzero()[0]
+    value, wide = values[plain], widths[plain]
+    for channel, at in ((1, OTHERS), (3, OTHERS + 256), (0, OTHERS + 512)):
+        part = row[plain] + at + channels[plain, channel]
+        value |= codes[part] << wide
+        wide += lengths[part]
+    values[plain], widths[plain] = value, wide
+    far_rows = far_rows + distance
+    for value, more in ((length_extra, length_bits), (codes[far_rows], lengths[far_rows]), (distance_extra, distance_bits)):
         values[of_copy] |= value.astype(np.uint64) << widths[of_copy]
         widths[of_copy] += more.astype(np.uint64)
-    out.put_all(values, widths)
-
-
-def _with_predictor(image: np.ndarray) -> tuple[int, np.ndarray]:
-    """The mode of ``TRIED_MODES`` with the smallest residuals, and those."""
-    now = image.astype(np.int16)
-    fixed = np.empty_like(now)
-    fixed[0, 0] = now[0, 0] - [255, 0, 0, 0]
-    fixed[0, 1:] = now[0, 1:] - now[0, :-1]
-    fixed[1:, 0] = now[1:, 0] - now[:-1, 0]
-    above, left = now[:-1, 1:], now[1:, :-1]
-    corner = now[:-1, :-1]
-    right = np.concatenate((now[:-1, 2:], now[1:, :1]), axis=1)
-    best = None
-    for mode in TRIED_MODES:
-        rest = (now[1:, 1:] - _predict(mode, left, above, corner, right)).astype(np.uint8)
-        size = int(np.abs(rest.view(np.int8).astype(np.int16)).sum(dtype=np.int64))
-        if best is None or size < best[0]:
-            best = size, mode, rest
-    out = fixed.astype(np.uint8)
-    out[1:, 1:] = best[2]
-    return best[1], out
-
-
-def _with_cross_colour(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One set of factors (as an ARGB pixel) by least squares, and what they leave."""
-    green, red, blue = (image[..., c].view(np.int8).astype(np.int16) for c in (2, 1, 3))
-    whole = np.int64(np.square(green.astype(np.int32)).sum(dtype=np.int64))
-    by = lambda x: int(np.clip(np.round(32 * np.multiply(x, green, dtype=np.int32).sum(dtype=np.int64) / max(1, whole)), -128, 127))
-    to_red, to_blue = by(red), by(blue)
-    out = image.copy()
-    out[..., 1] = (red - (to_red * green.astype(np.int32) >> 5)).astype(np.uint8)
-    out[..., 3] = (blue - (to_blue * green.astype(np.int32) >> 5)).astype(np.uint8)
-    return np.array([255, 0, to_blue & 255, to_red & 255], np.uint8), out
-
-
-def _with_palette(image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """The colours, and the image of their packed numbers; None if there are more than 256."""
+    cuts = np.searchsorted(starts, edges).tolist()
+    for out, lo, hi in zip(outs, cuts, cuts[1:], strict=False):
+        out.put_all(values[lo:hi], widths[lo:hi])
+
+
+class Stack:
+    """Images of one width, one below the other: what holds for each is found for all at once."""
+
+    def __init__(self, images: list[np.ndarray]):
+        heights = [len(x) for x in images]
+        self.image = np.concatenate(images) if len(images) > 1 else images[0]
+        self.edges = np.cumsum([0, *heights])
+        self.tops = self.edges[:-1]
+        self.of_row = np.repeat(np.arange(len(images)), heights)
+        self.pixels = [h * self.image.shape[1] for h in heights]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums for each image of numbers for each pixel."""
+        return np.add.reduceat(values.sum(axis=1, dtype=np.int64), self.tops)
+
+    def bits_left(self, image: np.ndarray) -> list[float]:
+        """``_bits_left`` of each image."""
+        code = image.reshape(len(image), -1, 4) + (CHANNELS + 1024 * self.of_row[:, None])[:, None]
+        counts = np.bincount(code.reshape(-1), minlength=1024 * len(self.tops)).reshape(-1, 1024)
+        return _costs(counts, np.repeat(np.array(self.pixels), 4).reshape(-1, 4)).tolist()
+
+    def with_predictor(self) -> tuple[list[int], np.ndarray]:
+        """The mode of ``TRIED_MODES`` with the smallest residuals of each image, and those."""
+        now = self.image.astype(np.int16)
+        above = np.concatenate((now[:1], now[:-1]))
+        out = np.empty_like(self.image)
+        out[:, 0] = now[:, 0] - above[:, 0]
+        right = np.concatenate((above[:, 2:], now[:, :1]), axis=1)
+        rests, sizes = [], []
+        for mode in TRIED_MODES:
+            rest = (now[:, 1:] - _predict(mode, now[:, :-1], above[:, 1:], above[:, :-1], right)).astype(np.uint8)
+            size = np.abs(rest.view(np.int8).astype(np.int16)).reshape(len(rest), -1).sum(axis=1, dtype=np.int64)
+            size[self.tops] = 0  # first rows are foretold from the left
+            rests.append(rest)
+            sizes.append(np.add.reduceat(size, self.tops))
+        best = np.argmin(sizes, axis=0)
+        for i, rest in enumerate(rests):
+            if (best == i).all():
+                out[:, 1:] = rest
+            else:
+                mine = (best == i)[self.of_row]
+                out[mine, 1:] = rest[mine]
+        tops = now[self.tops]
+        out[self.tops, 1:] = tops[:, 1:] - tops[:, :-1]
+        out[self.tops, 0] = tops[:, 0] - [255, 0, 0, 0]
+        return [TRIED_MODES[i] for i in best.tolist()], out
+
+    def with_cross_colour(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """One set of factors (as an ARGB pixel) by least squares for each image, and what they leave."""
+        green, red, blue = (self.image[..., c].view(np.int8).astype(np.int32) for c in (2, 1, 3))
+        whole = np.maximum(1, self.sums(green * green))
+        to_red, to_blue = (np.clip(np.round(32 * self.sums(x * green) / whole), -128, 127).astype(np.int32) for x in (red, blue))
+        out = self.image.copy()
+        out[..., 1] = red - (to_red[self.of_row][:, None] * green >> 5)
+        out[..., 3] = blue - (to_blue[self.of_row][:, None] * green >> 5)
+        return [np.array([255, 0, b & 255, r & 255], np.uint8) for r, b in zip(to_red.tolist(), to_blue.tolist(), strict=True)], out
+
+    def without_green(self) -> np.ndarray:
+        out = self.image.copy()
+        out[..., 1] -= self.image[..., 2]
+        out[..., 3] -= self.image[..., 2]
+        return out
+
+    def colours(self) -> np.ndarray:
+        """How many colours each image has."""
+        pixels = self.image.view(">u4")[..., 0].astype(np.uint64) | self.of_row.astype(np.uint64)[:, None] << np.uint64(32)
+        pixels = np.sort(pixels.reshape(-1))
+        new = np.concatenate(([True], pixels[1:] != pixels[:-1]))
+        return np.bincount((pixels[new] >> np.uint64(32)).astype(np.int64), minlength=len(self.tops))
+
+    def media(self) -> list[bytes]:
+        """Each image's file: without a transform, or with the one that leaves the fewest bits, if that is shorter."""
+        modes, predicted = self.with_predictor()
+        factors, crossed = self.with_cross_colour()
+        less = self.without_green()
+        plain, *left = (self.bits_left(x) for x in (self.image, predicted, crossed, less))
+        colours = self.colours().tolist()
+        images = [self.image[lo:hi] for lo, hi in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True)]
+        out, better = _files([(image,) for image in images]), {}
+        for i, image in enumerate(images):
+            lo, hi = self.edges[i], self.edges[i + 1]
+            plans = [
+                (left[0][i] + 50, PREDICTOR, modes[i], predicted[lo:hi]),
+                (left[1][i] + 60, CROSS_COLOUR, factors[i], crossed[lo:hi]),
+                (left[2][i] + 3, SUBTRACT_GREEN, None, less[lo:hi]),
+            ]
+            if colours[i] <= 256:
+                found = _with_palette(image)
+                plans.append((_bits_left(found[1]) + _bits_left(found[0][None]) + 40, PALETTE, *found))
+            cost, *plan = min(plans, key=lambda p: p[:2])
+            if cost < plain[i]:
+                better[i] = (image, *plan)
+        for i, media in zip(better, _files(list(better.values())), strict=True):
+            out[i] = min(media, out[i], key=len)
+        return out
+
+
+def _with_palette(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The colours (at most 256), and the image of their packed numbers."""
     pixels = image.view(">u4").reshape(-1).astype(np.uint32)
     ordered = np.sort(pixels)
     colours = ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
-    if len(colours) > 256:
-        return None
     index = np.searchsorted(colours, pixels)
     packed = _packed_bits(len(colours))
     height, width = image.shape[:2]
@@ -788,27 +1127,40 @@ def _with_palette(image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
 
 def _file(image: np.ndarray, kind: int | None = None, given: np.ndarray | int | None = None, rest: np.ndarray | None = None) -> bytes:
     """The image with one transform, or none."""
-    height, width = image.shape[:2]
-    out = Out()
-    out.put(width - 1 | height - 1 << 14 | 1 << 28, 32)
-    if kind is not None:
-        out.put(1 | kind << 1, 3)
-        if kind in (PREDICTOR, CROSS_COLOUR):  # blocks of 512 pixels a side, all alike
-            out.put(7, 3)
-            pixel = np.array([255, 0, given, 0], np.uint8) if kind == PREDICTOR else given
-            _write_image(out, np.broadcast_to(pixel, (-(-height >> 9), -(-width >> 9), 4)))
-        elif kind == PALETTE:
-            out.put(len(given) - 1, 8)
-            _write_image(out, np.diff(given.astype(np.int16), axis=0, prepend=np.zeros((1, 4), np.int16)).astype(np.uint8)[None])
-    out.put(0, 1)
-    _write_image(out, image if rest is None else rest, main=True)
-    raw = b"\x2f" + out.joined()
-    padded = raw + b"\0" * (len(raw) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(raw)) + padded
-
-
-def encode(payload: np.ndarray) -> bytes:
-    """A lossless WebP image whose RGBA samples begin with the payload (a positive multiple of 64 bytes); zeros follow."""
+    return _files([(image, kind, given, rest)])[0]
+
+
+def _files(plans: list[tuple]) -> list[bytes]:
+    """``_file`` of each."""
+    outs, mains = [], []
+    for image, kind, given, rest in ((*plan, None, None, None)[:4] for plan in plans):
+        height, width = image.shape[:2]
+        out = Out()
+        out.put(width - 1 | height - 1 << 14 | 1 << 28, 32)
+        if kind is not None:
+            out.put(1 | kind << 1, 3)
+            if kind in (PREDICTOR, CROSS_COLOUR):  # blocks of 512 pixels a side, all alike
+                out.put(7, 3)
+                pixel = np.array([255, 0, given, 0], np.uint8) if kind == PREDICTOR else given
+                _write_images([out], [np.broadcast_to(pixel, (-(-height >> 9), -(-width >> 9), 4))])
+            elif kind == PALETTE:
+                out.put(len(given) - 1, 8)
+                _write_images([out], [np.diff(given.astype(np.int16), axis=0, prepend=np.zeros((1, 4), np.int16)).astype(np.uint8)[None]])
+        out.put(0, 1)
+        outs.append(out)
+        mains.append(image if rest is None else rest)
+    if outs:
+        _write_images(outs, mains, main=True)
+    files = []
+    for made in _joined(outs):
+        raw = b"\x2f" + made
+        padded = raw + b"\0" * (len(raw) & 1)
+        files.append(b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(raw)) + padded)
+    return files
+
+
+def _image(payload: np.ndarray) -> np.ndarray:
+    """The payload as ARGB pixels, zeros behind it."""
     rows = len(payload) // 64
     if rows > MAX_SIDE * MAX_SIDE // 16:
         raise ValueError("a payload of more than 1 GiB does not fit one image")
@@ -819,21 +1171,25 @@ def encode(payload: np.ndarray) -> bytes:
     if width * height * 4 != len(payload):
         samples = np.zeros(width * height * 4, np.uint8)
         samples[: len(payload)] = payload
-    image = np.ascontiguousarray(samples.reshape(height, width, 4)[..., [3, 0, 1, 2]])
-    plans: list[tuple] = []
-    mode, rest = _with_predictor(image)
-    plans.append((_bits_left(rest) + 50, PREDICTOR, mode, rest))
-    factors, rest = _with_cross_colour(image)
-    plans.append((_bits_left(rest) + 60, CROSS_COLOUR, factors, rest))
-    rest = image.copy()
-    rest[..., 1] -= image[..., 2]
-    rest[..., 3] -= image[..., 2]
-    plans.append((_bits_left(rest) + 3, SUBTRACT_GREEN, None, rest))
-    if found := _with_palette(image):
-        plans.append((_bits_left(found[1]) + _bits_left(found[0]) + 40, PALETTE, *found))
-    plain = _file(image)
-    cost, kind, given, rest = min(plans, key=lambda p: p[:2])
-    return min(_file(image, kind, given, rest), plain, key=len) if cost < _bits_left(image) else plain
+    return np.ascontiguousarray(samples.reshape(height, width, 4)[..., [3, 0, 1, 2]])
+
+
+def encode(payload: np.ndarray) -> bytes:
+    """A lossless WebP image whose RGBA samples begin with the payload (a positive multiple of 64 bytes); zeros follow."""
+    return Stack([_image(payload)]).media()[0]
+
+
+def encode_all(payloads: list[np.ndarray]) -> list[bytes]:
+    """``encode`` of each; neighbours of one width, WEIGHED bytes in all, are weighed together."""
+    out, held, size = [], [], 0
+    for payload in payloads:
+        image = _image(payload)
+        if held and (size + image.size > WEIGHED or image.shape[1] != held[0].shape[1]):
+            out += Stack(held).media()
+            held, size = [], 0
+        held.append(image)
+        size += image.size
+    return out + (Stack(held).media() if held else [])
 
 
 def encode_media(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -851,16 +1207,15 @@ def encode_media(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
             offsets, data = byte_view(batch.column(len(keep)))
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                sizes, payloads, media = [], [], []
+                sizes, payloads = [], []
                 for i in range(lo, lo + part.num_rows):
                     text = data[offsets[i] : offsets[i + 1]]
                     payload = np.zeros(max(1, -(-len(text) // 64)) * 64, np.uint8)
                     payload[: len(text)] = text
                     sizes.append(len(text))
-                    payloads.append(len(payload))
-                    media.append(encode(payload))
+                    payloads.append(payload)
                 columns = [part.column(i) for i in range(len(keep))]
-                columns += [pa.array(sizes, pa.int64()), pa.array(payloads, pa.int64()), pa.array(media, pa.binary())]
+                columns += [pa.array(sizes, pa.int64()), pa.array([len(p) for p in payloads], pa.int64()), pa.array(encode_all(payloads), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in made)])
 
     picked = [F.col(quoted(c)) for c in keep] + [F.col(quoted(text_col)).cast("string").alias(fresh("_text_", docs))]
@@ -879,13 +1234,10 @@ def decode_media(media: DataFrame, keep: list[str], media_col: str = "media") ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in _parts(batch, len(keep)):
                 rows = []
-                for blob in part.column(len(keep)):
-                    try:
-                        image = decode(blob.as_py() or b"")
-                    except Corrupt:
+                for image in decode_all([blob or b"" for blob in part.column(len(keep)).to_pylist()]):
+                    if image is None:
                         rows.append((None,) * 4)
                         continue
                     flat = np.ascontiguousarray(image).reshape(-1)
@@ -899,6 +1251,20 @@ def decode_media(media: DataFrame, keep: list[str], media_col: str = "media") ->
     return media.select(*picked).mapInArrow(run, T.StructType([media.schema[c] for c in keep] + made))
 
 
+def _parts(batch: pa.RecordBatch, media: int) -> Iterator[pa.RecordBatch]:
+    """The rows in parts by PART and PART_PIXELS, sizes as the images' beginnings say."""
+    lo, pixels = 0, 0
+    for i, blob in enumerate(batch.column(media)):
+        sides = int.from_bytes((blob.as_py() or b"")[21:25], "little")
+        size = ((sides & 0x3FFF) + 1) * ((sides >> 14 & 0x3FFF) + 1)
+        if i > lo and (i - lo == PART or pixels + size > PART_PIXELS):
+            yield batch.slice(lo, i - lo)
+            lo, pixels = i, 0
+        pixels += size
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def average_hash(samples: np.ndarray) -> str:
     usable = len(samples) // 64 * 64
     if not usable:
