@@ -44,7 +44,7 @@ LOOKED_UP = 1 << 16
 #: Images of at most so many pixels are read together, as long as so many are left.
 LONGEST_LANE, FEWEST_LANES = 1 << 14, 48
 #: Images are read in parts of at most so many, with so many pixels in all.
-PART, PART_PIXELS = 4096, 1 << 21
+PART, PART_PIXELS = 4096, 1 << 20
 NEAR_STEPS = np.array([*NEAR, (0, 0)])
 #: Images of at most so many bytes in all are weighed together.
 WEIGHED = 1 << 18
