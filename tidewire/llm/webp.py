@@ -150,7 +150,8 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     mask, last, out = (1 << wide) - 1, 8, []
     data, at, word, end = bits.data, bits.at, 0, -1
-    while len(out) < alphabet and most:
+    size = 0
+    while size < alphabet and most:
         most -= 1
         if at + 14 > end:
             base, end = at & -8, (at & -8) + 256
@@ -161,16 +162,22 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
         at += took
         if symbol < 16:
             out.append(symbol)
+            size += 1
             last = symbol or last
-        elif symbol == 16:
-            out += [last] * (3 + (ahead >> took & 3))
+            continue
+        if symbol == 16:
+            run = 3 + (ahead >> took & 3)
+            out += [last] * run
             at += 2
         elif symbol == 17:
-            out += [0] * (3 + (ahead >> took & 7))
+            run = 3 + (ahead >> took & 7)
+            out += [0] * run
             at += 3
         else:
-            out += [0] * (11 + (ahead >> took & 127))
+            run = 11 + (ahead >> took & 127)
+            out += [0] * run
             at += 7
+        size += run
     bits.at = at
     if len(out) > alphabet:
         raise Corrupt("a run of code lengths is too long")
@@ -908,7 +915,8 @@ def _spent(counts: np.ndarray) -> np.ndarray:
 
 def _bits_left(image: np.ndarray) -> float:
     """About how many bits the literals of an image take."""
-    return Stack([image]).bits_left(image)[0]
+    pixels = image.reshape(-1, 4)
+    return float(_costs(np.bincount((pixels + CHANNELS).reshape(-1), minlength=1024)[None], np.full((1, 4), len(pixels)))[0])
 
 
 #: Where distances, the first of the other channels and green are counted, and all that is counted of an image.
@@ -1099,7 +1107,7 @@ class Stack:
             ]
             if colours[i] <= 256:
                 found = _with_palette(image)
-                plans.append((_bits_left(found[1]) + _bits_left(found[0][None]) + 40, PALETTE, *found))
+                plans.append((_bits_left(found[1]) + _bits_left(found[0]) + 40, PALETTE, *found))
             cost, *plan = min(plans, key=lambda p: p[:2])
             if cost < plain[i]:
                 better[i] = (image, *plan)
