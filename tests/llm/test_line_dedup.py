@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm.line_dedup import dedup_lines, without_lines
+from tidewire.llm.line_dedup import dedup_lines, prefixes, without_lines, word_set
 
 
 def brute(texts, t=(4, 5)):
@@ -83,3 +83,31 @@ def test_group_around_no_common_pivot(spark, docs_of):
         texts.append(" ".join(mine))
     rows = dedup_lines(docs_of(texts)).orderBy("doc_id").collect()
     assert [list(r.removed) for r in rows] == brute(texts)
+
+
+def test_no_python_in_the_tasks(spark, docs_of, monkeypatch):
+    docs = docs_of(["a b c d e f g h i j", "x y\na b c d e f g h i j k", None])
+
+    def refused(*_, **__):
+        raise AssertionError("runs Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, refused)
+    monkeypatch.setattr(F, "udf", refused)
+    assert {r.doc_id: list(r.removed) for r in dedup_lines(docs).collect()} == {0: [], 1: [1], 2: []}
+
+
+@pytest.mark.parametrize("t", [(1, 2), (9, 10)])
+def test_pairs_at_the_threshold_share_a_token(spark, t):
+    """Also sets of few words, which often have too few runs, and lengths on both sides of a class's end."""
+    rng, rows = random.Random(7), []
+    for i in range(400):
+        both = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([2, 3, 4, 5, 9, 17, 33, 60, 70, 130]))]
+        own = (len(both) * t[1]) // t[0] - len(both)  # shared * t[1] >= t[0] * all
+        cut = rng.randint(0, own)
+        words = [f"o{rng.randrange(10**9)}" for _ in range(own)]
+        rows += [(i, " ".join(both + words[:cut])), (i, " ".join(both + words[cut:]))]
+    made = spark.createDataFrame(rows, "pair int, line string").select("pair", prefixes(word_set(F.col("line")), t[0] / t[1]).alias("p"), word_set(F.col("line")).alias("w"))
+    two = made.groupBy("pair").agg(F.collect_list("p").alias("p"), F.collect_list("w").alias("w"))
+    bad = two.where(~F.arrays_overlap(F.col("p")[0], F.col("p")[1]) & (F.col("w")[0] != F.col("w")[1]))
+    assert two.count() == 400 and bad.count() == 0

@@ -1,155 +1,121 @@
-"""Line deduplication: an exact set-similarity join.
-
-A line is the set of its words; equal sets are one node from the start. Words are
-ordered by rarity, and a line's prefix are its rarest words: two lines at the threshold
-share one of them. Prefix words are the join's key; the length filter, the positional
-filter and a parity filter (bits that differ in signatures, of which each word flips
-one, bound the words that differ) drop pairs that cannot reach the threshold. A
-semi-join keeps the nodes with some partner left, so its result does not grow with the
-pairs. Only their texts are fetched, and Jaccard similarity over all their words
-decides: first against the earliest node of each prefix word, then against a drawn one,
-which settles nearly all members of large groups, then the nodes still open against all.
-A line goes if some earlier line (by document, then place) matches it.
-
-Words are cut and hashed in Arrow batches; joins and grouping are DataFrame functions. With DataFrame
-functions alone the same plan took two to three times its budget of CPU seconds, as higher-order
-functions are interpreted word by word (figures in the README).
+"""Line deduplication: an exact set-similarity join, by DataFrame functions only.
+
+A line is the set of its words; equal sets are one node from the start. The hashes of a
+line's words, in order, are cut into runs by ranges of values, as many as words may differ
+at the threshold and two more. A word that differs spoils one run, so two lines at the
+threshold have a run in common; and if a line's runs are put in an order that all lines
+share (here the letters in them, as long runs are rare), it is enough to look at one
+run more than words may differ. As the number of ranges depends on length, a line has
+runs for each class of lengths that its partners may have. A line with too few
+runs adds single words, the longest first. Runs are the join's key; the length filter and a
+parity filter (bits that differ in signatures, of which each word flips one, bound the words
+that differ) drop pairs that cannot reach the threshold. A semi-join keeps the nodes with
+some partner left, so its result does not grow with the pairs. Only their texts are
+fetched, and Jaccard similarity over all their words decides: first against the earliest
+node of each run, then against a drawn one, which settles nearly all members of large groups,
+then the nodes still open against all. A line goes if some earlier line (by document,
+then place) matches it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidewire.llm.common import byte_view, discard, fresh, materialize, mix64, quoted, run_hashes, slices, text_key
+from tidewire.llm.common import discard, fresh, materialize, quoted, text_key
 
-#: Word counts are kept in this many cells, whatever the vocabulary; words that share a cell share a count.
-CELLS = 1 << 17
 #: Nodes with more than one in HEAVY of all lines, fewer than HEAVY of them, are broadcast to the lines.
 HEAVY = 4096
-_BLANK = np.zeros(256, bool)
-_BLANK[list(b" \t\r\f\v\n")] = True
-
-
-class Lines:
-    """The lines of some texts and the words on them (between blanks, in lower case) by 64-bit hashes."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        base = int(offsets[0])
-        part, at = data[base : int(offsets[-1])], offsets - base
-        ends = np.flatnonzero(part == 0x0A)
-        # a text has a line more than line ends; lines are numbered over all texts
-        first = np.searchsorted(ends, at[:-1]) + np.arange(len(at) - 1)
-        self.row = np.repeat(np.arange(len(at) - 1), np.diff(np.append(first, len(ends) + len(at) - 1)))
-        self.number = np.arange(len(self.row)) - first[self.row]
-        inside = ~_BLANK[part]
-        starts, self.hashes = run_hashes(part, inside, at)
-        self.line = np.searchsorted(ends, starts) + np.searchsorted(at, starts, "right") - 1
-
-    def ranked(self, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(line, hash) of each line's distinct words, the rarest first."""
-        h, line = self.hashes, self.line
-        level = levels[(h & np.uint64(CELLS - 1)).astype(np.int64)]
-        if len(self.row) < 1 << 20:
-            order = np.argsort(line.astype(np.uint64) << np.uint64(44) | level.astype(np.uint64) << np.uint64(36) | h >> np.uint64(28))
-        else:
-            order = np.lexsort((h >> np.uint64(28), level, line))
-        h, line = h[order], line[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        return line[new], h[new]
-
-
-def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return byte_view(pc.utf8_lower(texts))
-
-
-def cell_levels(texts: DataFrame) -> np.ndarray:
-    """How often words of each cell occur, in quarters of a power of two: CELLS numbers."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            offsets, data = lowered(batch.column(0))
-            for lo, hi in slices(offsets):
-                cells = Lines(data, offsets[lo : hi + 1]).hashes & np.uint64(CELLS - 1)
-                total += np.bincount(cells.astype(np.int64), minlength=CELLS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["cell", "n"])
-
-    counted = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = counted.select("cell", F.ceil(F.log2("n") * 4).cast("int").alias("level")).toArrow()  # at most CELLS rows
-    levels = np.zeros(CELLS, np.uint8)
-    levels[found["cell"].to_numpy()] = found["level"].to_numpy()
-    return levels
-
-
-def _parity(h: np.ndarray, starts: np.ndarray, names: tuple[str, ...]) -> list[pa.Array]:
-    """A signature of 64 bits for each name; each word flips one bit of all."""
-    bit, part = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(len(names))
-    return [pa.array(np.bitwise_xor.reduceat(np.where(part == i, bit, np.uint64(0)), starts).view(np.int64)) for i in range(len(names))]
-
-
-#: The signature of all nodes, and the wider one of those whose texts are fetched.
-NARROW, WIDE = ("sig0", "sig1"), ("wide0", "wide1", "wide2", "wide3")
-
-
-def prefix_sizes(n: np.ndarray, t: float) -> np.ndarray:
-    return n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
-
-
-def line_sets(docs: DataFrame, levels: np.ndarray, t: float) -> DataFrame:
-    """(id, key, line_no, node, node2, NARROW, n, prefix) of each line with words, from (id, key, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-    fields = [("line_no", pa.int32()), ("node", pa.int64()), ("node2", pa.int64()), *((c, pa.int64()) for c in NARROW), ("n", pa.int32()), ("prefix", pa.list_(pa.int32()))]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = lowered(batch.column(2))
-            for lo, hi in slices(offsets):
-                lines = Lines(data, offsets[lo : hi + 1])
-                line, h = lines.ranked(shared.value)
-                if not len(h):
-                    continue
-                starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-                n = np.diff(np.append(starts, len(h)))
-                place = np.arange(len(h)) - np.repeat(starts, n)
-                sizes = prefix_sizes(n, t)
-                prefix = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), (h[place < np.repeat(sizes, n)] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                node, node2 = (np.add.reduceat(mix64(h ^ np.uint64(seed)), starts).view(np.int64) for seed in (1, 0x5DEECE66D))
-                at = line[starts]
-                rows = pa.array(lines.row[at] + lo)
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, (lines.number[at].astype(np.int32), node, node2)), *_parity(h, starts, NARROW)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int32)), prefix], names=["id", "key", *(f for f, _ in fields)])
-
-    kind = T.StructType([docs.schema["id"], docs.schema["key"], *(T.StructField(f, T.LongType() if k == pa.int64() else T.IntegerType() if k == pa.int32() else T.ArrayType(T.IntegerType())) for f, k in fields)])
-    return docs.select("id", "key", "text").mapInArrow(run, kind)
+BLANKS = " \t\r\f\v"
+#: Bits of the parity in the signature of all nodes; the number of words is above them, up to MANY.
+PARITY, MANY = 54, 1023
+#: The wider signature of nodes whose texts are fetched, 64 bits each.
+WIDE = ("wide0", "wide1")
 
 
-def line_words(lines: DataFrame) -> DataFrame:
-    """Puts ``words`` (the distinct words' hashes, 8 bytes each) and WIDE in the place of ``line``, the last column."""
-    kept = lines.columns[:-1]
+def word_set(line: Column) -> Column:
+    """The distinct words of a lower-case line without blanks around it, as sorted numbers: 56 bits of a hash, then 8 of the length."""
+    low = F.lit(255).cast("long")
+    code = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-256).cast("long")).bitwiseOR(F.least(F.octet_length(w).cast("long"), low))
+    return F.sort_array(F.array_distinct(F.transform(F.split(line, f"[{BLANKS}]+"), code)))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once for each row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _floor(x: Column) -> Column:
+    return F.floor(x + 1e-9).cast("int")
+
+
+def _class(n: Column) -> Column:
+    """Lengths from 2 ** c to 2 ** (c + 1) - 1 are class c."""
+    return F.length(F.bin(n.cast("long"))) - 1
+
+
+def _token(letters: Column, digest: Column) -> Column:
+    """Smaller for more letters; 52 bits of the digest."""
+    return F.shiftleft(2047 - F.least(letters, F.lit(2047).cast("long")), 52).bitwiseOR(F.shiftrightunsigned(digest, 12))
+
+
+def prefixes(words: Column, t: float) -> Column:
+    """The tokens, 32 bits each, of which lines at the threshold have one in common: runs of words, for each class of lengths."""
+    rate, n = (1 - t) / (1 + t), F.size(words)
+    length = lambda x: x.bitwiseAND(F.lit(255).cast("long"))
+
+    def of_class(c: Column) -> Column:
+        top = F.call_function("shiftleft", F.lit(2), c) - 1
+        return _let(F.struct(_floor((n + F.least(top, _floor(n / t))) * rate).alias("differ"), (_floor(top * 2 * rate) + 2).cast("long").alias("ranges")), lambda at: F.when(at["differ"] > 0, of_ranges(c, at)).otherwise(F.array().cast("array<long>")))
+
+    def of_ranges(c: Column, at: Column) -> Column:
+        places = F.transform(words, lambda x: F.shiftright(F.shiftright(x, 32) * at["ranges"], 32))
+        new = lambda p, i: F.coalesce(F.get(p, i - 2) != F.get(p, i - 1), F.lit(True))
+        starts = _let(places, lambda p: F.filter(F.sequence(F.lit(1), n), lambda i: new(p, i)))
+        # a run is told by its first and last word; what lies between is left to the comparison of sets
+        def token(begin: Column, s: Column, i: Column) -> Column:
+            first, last = F.get(words, s - 1), F.get(words, F.coalesce(F.get(begin, i + 1), n + 1) - 2)
+            return _token(length(first) + length(last), F.xxhash64(first, last, c))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(CELLS, np.uint8)
-        for batch in batches:
-            offsets, data = lowered(batch.column(len(kept)))
-            for lo, hi in slices(offsets):
-                line, h = Lines(data, offsets[lo : hi + 1]).ranked(none)
-                starts = np.searchsorted(line, np.arange(hi - lo))  # each has words
-                edges = np.append(starts, len(h)) * 8
-                words = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
-                part = batch.slice(lo, hi - lo).columns[:-1]
-                yield pa.RecordBatch.from_arrays([*part, words, *_parity(h, starts, WIDE)], names=[*kept, "words", *WIDE])
+        tokens = _let(starts, lambda begin: F.transform(begin, lambda s, i: token(begin, s, i)))
+        single = F.transform(words, lambda x: _token(length(x), F.xxhash64(x, c, F.lit(1))))
+        most = at["differ"] + 1
+        first = lambda x: F.slice(F.sort_array(x), F.lit(1), most)
+        return _let(tokens, lambda x: F.when(F.size(x) >= most, first(x)).otherwise(F.concat(x, first(single))))
 
-    schema = T.StructType([*(lines.schema[c] for c in kept), T.StructField("words", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in WIDE)])
-    return lines.mapInArrow(run, schema)
+    classes = F.sequence(_class(n), _class(_floor(n / t)))
+    return F.transform(F.flatten(F.transform(classes, of_class)), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+
+
+def _flipped(words: Column, bits: int, of: Callable[[Column], Column], only: Callable[[Column], Column] | None = None) -> Column:
+    """Bits of which each word flips one."""
+    one = F.lit(1).cast("long")
+    flip = lambda x: F.call_function("shiftleft", one, F.pmod(of(x), F.lit(bits).cast("long")).cast("int"))
+    return F.aggregate(F.filter(words, only) if only else words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(flip(x)))
+
+
+def _split_lines(docs: DataFrame) -> DataFrame:
+    """(id, key, line_no, line): lower case, without blanks around; lines without words are left out."""
+    lines = docs.select("id", "key", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    return lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line != ''")
+
+
+def line_sets(docs: DataFrame, t: float) -> DataFrame:
+    """(id, key, line_no, node, node2, sig, n, prefix) of each line with words, from (id, key, text)."""
+    lines = _split_lines(docs).select("id", "key", "line_no", word_set(F.col("line")).alias("words"))
+    words = F.col("words")
+    n = F.size(words)
+    sig = F.shiftleft(F.least(n, F.lit(MANY)).cast("long"), PARITY).bitwiseOR(_flipped(words, PARITY, lambda x: F.shiftright(x, 8)))
+    return lines.select("id", "key", "line_no", F.xxhash64(words).alias("node"), F.xxhash64(F.lit(7), words).alias("node2"), sig.alias("sig"), n.alias("n"), prefixes(words, t).alias("prefix"))
+
+
+def line_words(lines: DataFrame) -> DataFrame:
+    """Puts ``words`` and WIDE in the place of ``line``."""
+    sets = lines.withColumn("words", word_set(F.col("line"))).drop("line")
+    part = lambda i: lambda x: F.shiftright(x, 14).bitwiseAND(F.lit(1).cast("long")) == i
+    return sets.select("*", *[_flipped(F.col("words"), 64, lambda x: F.shiftright(x, 8), part(i)).alias(c) for i, c in enumerate(WIDE)])
 
 
 def _need(n_a: Column, n_b: Column, t: float) -> Column:
@@ -162,61 +128,54 @@ def _named(df: DataFrame, side: str) -> DataFrame:
 
 
 def postings(nodes: DataFrame, *carried: str) -> DataFrame:
-    """A row for each prefix word of each node: word, node, ``at`` (words of the node, and the word's place from 1, 32 bits each) and columns carried."""
-    rows = nodes.select("node", "n", *carried, F.posexplode("prefix").alias("pos", "word"))
-    return rows.select("word", "node", *carried, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") + 1).alias("at"))
+    """(word, node, columns carried): a row for each token of each node."""
+    return nodes.select(F.explode("prefix").alias("word"), "node", *carried)
 
 
-def _possible(t: float, signature: tuple[str, ...]) -> Column:
-    """Length, parity and positional filters on two postings of one word, a and b."""
-    na, nb = (F.shiftright(c, 32) for c in ("a.at", "b.at"))
-    pa_, pb = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("a.at", "b.at"))
-    need = _need(na, nb, t)
-    length = F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9
-    positional = F.least(pa_, pb) + F.least(na - pa_, nb - pb) >= need
-    differ = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in signature)
-    return length & (differ <= na + nb - 2 * need) & positional
+def _fits(na: Column, nb: Column, differ: Column, t: float) -> Column:
+    """Length and parity filters."""
+    return (F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9) & (differ <= na + nb - 2 * _need(na, nb, t))
 
 
 def with_partner(nodes: DataFrame, t: float) -> DataFrame:
-    """(node): those that some other node may match by the filters. Both sides of the join are one exchange by word."""
-    rows = postings(nodes, *NARROW)
+    """(node): those that some other node may match by the filters. Both sides of the join are one exchange by token."""
+    rows = postings(nodes, "sig")
+    na, nb = (F.shiftrightunsigned(c, PARITY) for c in ("a.sig", "b.sig"))
+    differ = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig")).bitwiseAND(F.lit((1 << PARITY) - 1)))
+    fits = _fits(na, nb, differ, t) | (F.greatest(na, nb) == MANY)  # or more words than that
     other = (F.col("a.word") == F.col("b.word")) & (F.col("a.node") != F.col("b.node"))
-    return rows.alias("a").join(rows.alias("b").hint("merge"), other & _possible(t, NARROW), "left_semi").select("a.node").distinct()
+    return rows.alias("a").join(rows.alias("b").hint("merge"), other & fits, "left_semi").select("a.node").distinct()
 
 
 def reaching(pairs: DataFrame, t: float) -> DataFrame:
     """(node): the later nodes (a) of pairs of sets that reach t."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(i)] for i in (1, 2)]
-            match = []
-            for a, b in zip(*sets, strict=True):
-                shared = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
-                match.append(shared >= np.ceil((len(a) + len(b)) * (t / (1 + t)) - 1e-9))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(match, pa.bool_()))], names=["node"])
-
-    return pairs.select("a_node", "a_words", "b_words").mapInArrow(run, "node long").distinct()
+    enough = F.size(F.array_intersect("a_words", "b_words")) >= _need(F.size("a_words"), F.size("b_words"), t)
+    return pairs.where(enough).select(F.col("a_node").alias("node")).distinct()
 
 
 def similar_nodes(sets: DataFrame, t: float) -> DataFrame:
-    """Of (node, WIDE, n, prefix, first, words) the nodes with an earlier one at or above t."""
-    rows = postings(sets, *WIDE)
-    firsts, words = sets.select("node", "first"), sets.select("node", "words")
-
-    def matches(a: DataFrame, b: DataFrame) -> DataFrame:
-        pairs = a.alias("a").join(b.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.node") != F.col("b.node")) & _possible(t, WIDE))
-        pairs = pairs.select(F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node")).distinct()
-        later = pairs.join(_named(firsts, "a_"), "a_node").join(_named(firsts, "b_"), "b_node").where("a_first > b_first").select("a_node", "b_node")
-        return reaching(later.join(_named(words, "a_"), "a_node").join(_named(words, "b_"), "b_node"), t)
-
-    settled, still = [], rows
+    """Of (node, n, prefix, first, words, WIDE) the nodes with an earlier one at or above t."""
+    carried, words = ("node", "n", *WIDE, "first"), sets.select("node", "words")
+    of_word = Window.partitionBy("word")
+    common = postings(sets, *carried[1:]).withColumn("times", F.count("*").over(of_word)).where("times > 1").drop("times")
+    still, settled = materialize(common, "common"), []
+
+    def matches(pairs: DataFrame) -> DataFrame:
+        """Of pairs of rows a and b the later nodes of those that match."""
+        differ = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in WIDE)
+        later = (F.col("a.node") != F.col("b.node")) & (F.col("a.first") > F.col("b.first"))
+        ids = pairs.where(later & _fits(F.col("a.n"), F.col("b.n"), differ, t)).select(F.col("a.node").alias("a_node"), F.col("b.node").alias("b_node")).distinct()
+        return reaching(ids.join(_named(words, "a_"), "a_node").join(_named(words, "b_"), "b_node"), t)
+
+    rows = still
     for order in (F.col("first"), F.xxhash64("first")):
-        pivots = postings(sets, *WIDE, "first").groupBy("word").agg(F.min_by(F.struct("node", *WIDE, "at"), order).alias("p")).select("word", "p.*")
-        settled.append(materialize(matches(still, pivots), "settled"))
-        still = still.join(settled[-1], "node", "left_anti")
-    rest = matches(still, rows)
+        pivot = F.first(F.struct(*carried)).over(of_word.orderBy(order, "node"))
+        # the pivots are those of all nodes, settled or not
+        pairs = rows.select("word", F.struct(*carried).alias("a"), pivot.alias("b"))
+        settled.append(materialize(matches(pairs if still is rows else pairs.join(settled[0], F.col("a.node") == F.col("node"), "left_anti")), "settled"))
+        still = rows.join(settled[0], "node", "left_anti")
+    still = still.join(settled[1], "node", "left_anti")
+    rest = matches(still.alias("a").join(rows.alias("b"), F.col("a.word") == F.col("b.word")))
     return rest.unionByName(settled[0]).unionByName(settled[1])
 
 
@@ -227,22 +186,21 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     Lines without words always stay. Null texts have no lines. Documents are ordered by id (null
     first), then by ``text_key``: documents that share an id, or have none, are judged each on its own.
     Rows that repeat both id and text are one document, ``n_rows`` of them; all but one
-    lose their lines. Words are compared by 64-bit hashes, within two lines at a time; equal sets
-    are told by two sums of these, scrambled.
+    lose their lines. Words are compared by 56 bits of a hash and their length, within two lines at a time; equal
+    sets are told by two hashes of these.
     """
     t = threshold
     text = F.col(quoted(text_col)).cast("string")
     base = docs.select(F.col(quoted(id_col)).alias("id"), text_key(text).alias("key"), text.alias("text"))
-    found = materialize(line_sets(base, cell_levels(base), t), "lines")
+    found = materialize(line_sets(base, t), "lines")
     place = F.struct("id", "key", "line_no")
-    nodes = found.groupBy("node", "node2").agg(F.min(place).alias("first"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in NARROW], F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = found.groupBy("node", "node2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "nodes")
     some = materialize(with_partner(nodes, t), "partners")
     near = materialize(nodes.join(some, "node", "left_semi"), "near")
     spots = near.select("node", "node2", "n", "prefix", "first", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"), F.col("first.line_no").alias("_no"))
     here = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("line_no") == F.col("_no"))
-    lines = base.select("id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    fetched = lines.join(spots.hint("merge"), here).dropDuplicates(["node", "node2"])  # rows may repeat
+    fetched = _split_lines(base).join(spots.hint("merge"), here).dropDuplicates(["node", "node2"])  # rows may repeat
     sets = line_words(fetched.select("node", "n", "prefix", "first", "line"))
     sets = materialize(sets, "sets")
     similar = materialize(similar_nodes(sets, t).distinct(), "similar").withColumn("similar", F.lit(True))
