@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm.line_dedup import dedup_lines, prefixes, without_lines, word_set
+from tidewire.llm.line_dedup import dedup_lines, prefixes, with_partner, without_lines, word_set
 
 
 def brute(texts, t=(4, 5)):
@@ -111,3 +111,15 @@ def test_pairs_at_the_threshold_share_a_token(spark, t):
     two = made.groupBy("pair").agg(F.collect_list("p").alias("p"), F.collect_list("w").alias("w"))
     bad = two.where(~F.arrays_overlap(F.col("p")[0], F.col("p")[1]) & (F.col("w")[0] != F.col("w")[1]))
     assert two.count() == 400 and bad.count() == 0
+
+
+def test_semi_join_has_one_exchange(spark, tmp_path):
+    spark.createDataFrame([(1, 2, [1, 2])], "node long, sig long, prefix array<int>").write.parquet(f"{tmp_path}/nodes")
+    joined = with_partner(spark.read.parquet(f"{tmp_path}/nodes"), 0.8)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = joined.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert "ReusedExchange" in plan

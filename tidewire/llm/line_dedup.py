@@ -128,8 +128,9 @@ def _named(df: DataFrame, side: str) -> DataFrame:
 
 
 def postings(nodes: DataFrame, *carried: str) -> DataFrame:
-    """(word, node, columns carried): a row for each token of each node."""
-    return nodes.select(F.explode("prefix").alias("word"), "node", *carried)
+    """(node, columns carried, word): a row for each token of each node."""
+    # word comes last, as explode gives it: a self-join then needs no other order of columns on one side, and has one exchange
+    return nodes.select("node", *carried, F.explode("prefix").alias("word"))
 
 
 def _fits(na: Column, nb: Column, differ: Column, t: float) -> Column:
